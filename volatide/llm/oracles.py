@@ -54,5 +54,15 @@ c AS (SELECT *, coalesce(sum(size) FILTER (live) OVER (PARTITION BY source ORDER
 SELECT doc_id, size, source_size, target,
   (CASE WHEN size = 0 THEN 0 ELSE whole + CASE WHEN live AND before + size / 2.0 <= need THEN 1 ELSE 0 END END * size)::BIGINT AS taken
 FROM c
+""",
+    "op10_exact_top_k": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.x, d.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id
+), ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs)
+SELECT * FROM ranked WHERE rank <= 5
 """,
 }
