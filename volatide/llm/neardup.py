@@ -5,8 +5,9 @@ space); with fewer words the whole sequence is one shingle; without words the se
 Two documents are linked when their Jaccard similarity is at least percent / 100; groups are connected components.
 
 1. One pass makes per document: the size of its set, a 128-bit fingerprint of the set, band keys from MinHash
-   samples, and an odd sketch: the samples folded into a parity bitmap. The population count of two sketches' XOR
-   estimates how many samples differ, which is precise for high similarities.
+   samples, and two odd sketches (parity bitmaps): of the samples, and of the whole set. The population count of two
+   sketches' XOR estimates how many samples differ, which is precise for high similarities; that of the whole sets
+   never exceeds their symmetric difference, so it rules pairs out without loss, sharply up to some hundred shingles.
 2. Equal sets are one node from here on (a class, by fingerprint), so exact copies of any number cost one node.
 3. Nodes that share a band key are candidates. Each bucket (split into pairs of chunks if large) proposes a spanning
    forest of its most similar pairs by sketch, never all pairs. These are confirmed on full sets.
@@ -39,9 +40,10 @@ from volatide.llm.common import cut, slices
 
 SAMPLES = 256
 SKETCH_BITS = 512
+WHOLE_BITS = 1024
 MARGIN = 3.5
 #: Members of a bucket that are compared in one task; a larger bucket is split into pairs of chunks.
-CHUNK = 1024
+CHUNK = 512
 BITMAP_BITS = 23
 WORDS_CACHED = 1_000_000
 
@@ -96,6 +98,11 @@ def odd_sketch(samples: np.ndarray) -> bytes:
     return np.packbits((np.bincount(place.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
 
 
+def whole_sketch(shingles: np.ndarray) -> bytes:
+    place = (shingles & np.uint64(WHOLE_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=WHOLE_BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def most_bits(percent: float) -> int:
     """XOR bits up to which two sketches may belong to sets of at least this similarity."""
     s = percent / 100
@@ -130,7 +137,7 @@ def _signatures(docs: DataFrame, words: int, percent: float) -> DataFrame:
                     key = _mixed(key ^ part.astype(np.uint64)) * _STEP
                 prints.append(xxhash.xxh3_128_digest(found.tobytes()))
                 keys.append(key.view(np.int64))
-                sketches.append(odd_sketch(best))
+                sketches.append(odd_sketch(best) + whole_sketch(found))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                 ["doc_id", "n", "node", "bands", "sketch"],
@@ -163,6 +170,17 @@ def _bits(sketches: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
 
 
+def _compared(bits: np.ndarray, sizes: np.ndarray, one_bits: np.ndarray, one_size, most: int, percent: float) -> tuple[np.ndarray, np.ndarray]:
+    """Bits by which the samples' sketches differ, and whether a link is possible."""
+    differ = np.bitwise_count(bits ^ one_bits)
+    distance = differ[:, : SKETCH_BITS // 64].sum(1, dtype=np.int32)
+    whole = differ[:, SKETCH_BITS // 64 :].sum(1, dtype=np.int32)
+    fits = 100 * np.minimum(sizes, one_size) >= percent * np.maximum(sizes, one_size)
+    # |A xor B| <= (|A| + |B|) (1 - s) / (1 + s)
+    fits &= (100 + percent) * whole <= (sizes + one_size) * (100 - percent)
+    return distance, fits & (distance <= most)
+
+
 def _forest(bits: np.ndarray, sizes: np.ndarray, most: int, percent: float) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the nearest admissible pairs (Prim's, a row of distances at a time)."""
     m = len(sizes)
@@ -174,9 +192,8 @@ def _forest(bits: np.ndarray, sizes: np.ndarray, most: int, percent: float) -> l
         todo[now] = False
         if near[now] <= most:
             out.append((int(parent[now]), now))
-        distance = np.bitwise_count(bits ^ bits[now]).sum(1).astype(np.int32)
-        fits = 100 * np.minimum(sizes, sizes[now]) >= percent * np.maximum(sizes, sizes[now])
-        closer = todo & fits & (distance <= most) & (distance < near)
+        distance, fits = _compared(bits, sizes, bits[now], sizes[now], most, percent)
+        closer = todo & fits & (distance < near)
         near[closer], parent[closer] = distance[closer], now
         if todo.any():
             now = int(np.where(todo, near, far).argmin()) if (near[todo] < far).any() else int(todo.argmax())
@@ -190,9 +207,7 @@ def _crossing(bits: np.ndarray, sizes: np.ndarray, group: np.ndarray, most: int,
         other = group[i + 1 :] != group[i]
         if other.any():
             at = np.flatnonzero(other) + i + 1
-            fits = 100 * np.minimum(sizes[at], sizes[i]) >= percent * np.maximum(sizes[at], sizes[i])
-            at = at[fits]
-            near = np.bitwise_count(bits[at] ^ bits[i]).sum(1) <= most
+            _, near = _compared(bits[at], sizes[at], bits[i], sizes[i], most, percent)
             out += [(i, int(j)) for j in at[near]]
     return out
 
@@ -211,8 +226,7 @@ def _proposals(members: DataFrame, percent: float, crossing: bool) -> DataFrame:
             counts = np.diff(edges)
             two = edges[:-1][counts == 2]
             if len(two):  # most buckets
-                small, large = np.minimum(sizes[two], sizes[two + 1]), np.maximum(sizes[two], sizes[two + 1])
-                good = (100 * small >= percent * large) & (np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1) <= most)
+                _, good = _compared(bits[two], sizes[two], bits[two + 1], sizes[two + 1], most, percent)
                 if crossing:
                     good &= np.array([group[i] != group[i + 1] for i in two], bool)
                 pairs += [(int(i), int(i) + 1) for i in two[good]]
