@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volatide.llm import ann, bpe, chat, mixing, neardup, pii, quality, topk
+from volatide.llm import ann, bpe, chat, maintext, mixing, neardup, pii, pseudolikelihood, quality, topk
 from volatide.llm.common import table
 from volatide.llm.oracles import ORACLES  # noqa: F401
 
@@ -62,6 +62,15 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return maintext.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudolikelihood.score(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -84,5 +93,16 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_near_duplicates, op3_byte_bpe, op4_nearest_neighbours, op5_chat_format, op8_mix_sources, op9_pii, op10_exact_top_k)
+    for f in (
+        op1_quality,
+        op2_near_duplicates,
+        op3_byte_bpe,
+        op4_nearest_neighbours,
+        op5_chat_format,
+        op6_main_text,
+        op7_pseudo_likelihood,
+        op8_mix_sources,
+        op9_pii,
+        op10_exact_top_k,
+    )
 }
