@@ -1,10 +1,78 @@
-"""A training-corpus pipeline over `documents`; each stage applies one operator to all rows its predecessor kept."""
+"""A training-corpus pipeline over `documents`; each stage applies one operator to all rows its predecessor kept.
+
+quality: documents that the classifier rejects go. near_duplicates: one document of each group stays (five-word
+shingles, similarity 0.8). pii: confirmed spans are replaced by their kind. mixing: documents are repeated or left out
+so that sources meet their target weights. byte_bpe: texts become token ids, which are decoded and compared.
+All stages but the last return the columns of documents. Ids are expected to be unique: rows that share an id stay or
+go together, and of equal rows one stays.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from volatide.llm import bpe, mixing, neardup, pii, quality
+from volatide.llm.common import shared_folder, table
+
+BPE_FILE = "byte_bpe_multi_50k.tiktoken"
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~quality.held_out())
+    scored = quality.annotate(docs, quality.learn(docs, labels), "__quality")
+    return scored.where(F.col("__quality") >= 0.5).drop("__quality")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(docs, words=5, percent=80)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "text"])
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = pii.redact(pii.find_spans(docs, out="__spans"), spans="__spans").drop("__spans")
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.expand(docs)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    plain = docs.select("doc_id", "lang", "source", "text")
+    done = bpe.encode(plain, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN, ids="token_ids", decoded="decoded")
+    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return done.select("doc_id", "lang", "source", F.floor(F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("byte_bpe", bpe_stage),
+]
+
+#: Classification and tokenization can't be expressed in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what one returns is written as Parquet to the shared folder and read again for the next."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus_pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{i}-{name}")
+            docs = spark.read.parquet(f"{folder}/{i}-{name}")
+            if i:
+                before = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
+                before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
+    return docs

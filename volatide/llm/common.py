@@ -16,17 +16,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 50_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder below the one that the cluster names in spark.checkpoint.dir.
 
-    The folder is read from the session; only where it is unset (tests, a laptop) a temporary one is used.
-    Checkpoint files go when Spark's cleaner finds the frame unused, if the cluster enables that.
+    The setting is read from the session; only where it is unset (tests, a laptop) a temporary folder is used.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="volatide-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder.
+
+    Checkpoint files go when Spark's cleaner finds the frame unused, if the cluster enables that.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

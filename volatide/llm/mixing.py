@@ -61,36 +61,43 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], total_share: float, ce
     return base.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
-    total_share: float = 1.5,
-    ceiling: float = 2.0,
-    seed: str = "mix",
-    affinity: Column | None = None,
-) -> DataFrame:
-    """All documents: (doc_id, source, size, source_size, target, copies, taken); copies * size = taken."""
+class Mix:
+    """What was decided: a row a source of targets, and the place of its cut."""
+
+    def __init__(self, plan: DataFrame, ends: DataFrame, seed: str, affinity: Column | None):
+        self.plan, self.ends, self.seed, self.affinity = plan, ends, seed, affinity
+
+
+def _measured(docs: DataFrame, seed: str, affinity: Column | None) -> DataFrame:
     relative = F.lit(1.0) if affinity is None else F.greatest(affinity.cast("double"), F.lit(1e-6))
-    sized = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size"), uniform(F.col("doc_id"), seed).alias("u"), relative.alias("a")))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), (F.sum(F.col("a") * F.col("size")) / F.sum("size")).alias("mean_a"))
-    goals = targets(totals.select("source", "source_size"), weights, total_share, ceiling)
-    plan = goals.alias("g").join(totals.select(F.col("source").alias("s"), "mean_a"), F.col("g.source").eqNullSafe(F.col("s"))).drop("s")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = plan.withColumn("whole", F.floor(ratio)).withColumn("need", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    plan = cut(plan.withColumnRenamed("source", "p_source"))
+    return docs.withColumns({"__mix_size": words(F.col("text")), "__mix_u": uniform(F.col("doc_id"), seed), "__mix_a": relative})
+
 
-    same = F.col("source").eqNullSafe(F.col("p_source"))
-    joined = sized.join(checked_broadcast(plan), same).drop("p_source")
-    p = F.col("need") / F.col("source_size") * F.col("a") / F.col("mean_a")
+def _ranked(measured: DataFrame, plan: DataFrame) -> DataFrame:
+    """With the source's plan and the Pareto rank in (0, 1), null where no sample is needed."""
+    joined = measured.join(checked_broadcast(plan), F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
+    p = F.col("p_need") / F.col("p_size") * F.col("__mix_a") / F.col("p_mean")
     p = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
-    odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
-    rank = odds / (1 + odds)  # in (0, 1), in the same order
-    live = (F.col("size") > 0) & (F.col("need") > 0)
-    ranked = joined.withColumn("rank", F.when(live, rank)).withColumn("place", F.col("rank"))
-
-    # Narrow the interval that holds each source's cut: `low` bins lie before it, `met` words are in them.
-    edges = plan.select("p_source", "need", F.lit(0.0).alias("low"), F.lit(1.0).alias("width"), F.lit(0.0).alias("met"))
-    places = ranked.where("rank is not null").select("source", "size", "rank")
+    odds = (F.col("__mix_u") / (1 - F.col("__mix_u"))) / (p / (1 - p))
+    live = (F.col("__mix_size") > 0) & (F.col("p_need") > 0)
+    return joined.withColumn("__mix_rank", F.when(live, odds / (1 + odds)))
+
+
+def decide(
+    docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), total_share: float = 1.5, ceiling: float = 2.0, seed: str = "mix", affinity: Column | None = None
+) -> Mix:
+    measured = cut(_measured(docs, seed, affinity).select("source", "__mix_size", "__mix_u", "__mix_a"))
+    weighed = F.sum(F.col("__mix_a") * F.col("__mix_size")) / F.sum("__mix_size")
+    totals = cut(measured.groupBy("source").agg(F.sum("__mix_size").alias("source_size"), weighed.alias("p_mean")))
+    goals = targets(totals.select("source", "source_size"), weights, total_share, ceiling).withColumnRenamed("source", "p_source")
+    plan = goals.join(totals.select("source", "p_mean"), F.col("p_source").eqNullSafe(F.col("source"))).drop("source")
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    plan = plan.select("p_source", F.col("source_size").alias("p_size"), F.col("target").alias("p_target"), "p_mean", F.floor(ratio).alias("p_whole"))
+    plan = cut(plan.withColumn("p_need", F.greatest(F.lit(0.0), F.col("p_target") - F.col("p_whole") * F.col("p_size"))))
+
+    # Narrow the interval that holds each source's cut: `low` is its beginning, `met` words lie before it.
+    places = _ranked(measured, plan).where("__mix_rank is not null").select("source", F.col("__mix_size").alias("size"), F.col("__mix_rank").alias("rank"))
+    edges = plan.select("p_source", F.col("p_need").alias("need"), F.lit(0.0).alias("low"), F.lit(1.0).alias("width"), F.lit(0.0).alias("met"))
     while True:
         inside = places.join(checked_broadcast(edges), F.col("source").eqNullSafe(F.col("p_source"))).where("rank >= low and rank < low + width")
         slot = F.least(F.floor((F.col("rank") - F.col("low")) / F.col("width") * BINS), F.lit(BINS - 1))
@@ -116,15 +123,33 @@ def mix(
     # Order the few documents of the interval. One that would end nearer to the target if left out is left out.
     near = places.join(checked_broadcast(edges), F.col("source").eqNullSafe(F.col("p_source"))).where("rank >= low and rank < low + width")
     order = Window.partitionBy("p_source").orderBy("rank", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("met") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    chosen = near.withColumn("before", before).where(F.col("before") + F.col("size") / 2 <= F.col("need"))
-    last = chosen.groupBy("p_source").agg(F.max(F.struct("rank", "size")).alias("last"))
-    ends = cut(edges.alias("e").join(last.withColumnRenamed("p_source", "l_source"), F.col("p_source").eqNullSafe(F.col("l_source")), "left").select("p_source", "low", "last"))
+    near = near.withColumn("before", F.col("met") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    last = near.where(F.col("before") + F.col("size") / 2 <= F.col("need")).groupBy("p_source").agg(F.max(F.struct("rank", "size")).alias("last"))
+    ends = edges.select("p_source", "low").join(last.withColumnRenamed("p_source", "l_source"), F.col("p_source").eqNullSafe(F.col("l_source")), "left")
+    return Mix(plan, cut(ends.select(F.col("p_source").alias("e_source"), F.col("low").alias("e_low"), F.col("last").alias("e_last"))), seed, affinity)
+
 
-    joined = ranked.join(checked_broadcast(ends), F.col("source").eqNullSafe(F.col("p_source")), "left")
+def with_copies(docs: DataFrame, mix: Mix) -> DataFrame:
+    """Add __mix_size, p_size, p_target and __mix_copies to every row; texts aren't shuffled while the plan is broadcast."""
+    ranked = _ranked(_measured(docs, mix.seed, mix.affinity), mix.plan)
+    joined = ranked.join(checked_broadcast(mix.ends), F.col("source").eqNullSafe(F.col("e_source")), "left")
+    here = F.struct(F.col("__mix_rank").alias("rank"), F.col("__mix_size").alias("size"))
     # A source without an interval needs more words than its ranked documents have: all are taken.
-    inside = F.col("low").isNull() | (F.col("rank") < F.col("low")) | F.coalesce(F.struct("rank", "size") <= F.col("last"), F.lit(False))
-    copies = F.col("whole") + F.when(F.col("rank").isNotNull() & inside, 1).otherwise(0)
-    return joined.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long").alias("copies")).withColumn(
-        "taken", F.col("copies") * F.col("size")
-    )
+    taken = F.col("e_low").isNull() | (F.col("__mix_rank") < F.col("e_low")) | F.coalesce(here <= F.col("e_last"), F.lit(False))
+    copies = F.col("p_whole") + F.when(F.col("__mix_rank").isNotNull() & taken, 1).otherwise(0)
+    return joined.withColumn("__mix_copies", F.when(F.col("__mix_size") > 0, copies).otherwise(F.lit(0)).cast("long"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) of all documents; copies * size = taken."""
+    done = with_copies(docs.select("doc_id", "source", "text"), decide(docs, **options))
+    done = done.select("doc_id", "source", F.col("__mix_size").alias("size"), F.col("p_size").alias("source_size"), F.col("p_target").alias("target"), F.col("__mix_copies").alias("copies"))
+    return done.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def expand(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each document as often as it is taken."""
+    columns = docs.columns
+    done = with_copies(docs, decide(docs, **options)).where("__mix_copies > 0")
+    repeated = done.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("__mix_copies").cast("int"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in columns])

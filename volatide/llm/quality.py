@@ -1,7 +1,6 @@
 """Quality scores: random Fourier features of document statistics, ridge regression, isotonic calibration.
 
-One pass over the whole texts makes a vector of statistics per document (STATISTICS); nothing else of a document
-enters its score. Labelled rows train the model: their standardised statistics are mapped to random Fourier features
+A document's whole text makes a vector of statistics (STATISTICS); nothing else of it enters its score. Labelled rows train the model: their standardised statistics are mapped to random Fourier features
 (an approximate Gaussian kernel), each partition sums its normal equations for each of FOLDS folds, and the sums of
 the few partitions are solved on the driver. Scores of the folds' rows under models without their fold are calibrated
 by isotonic regression (pool adjacent violators).
@@ -23,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from volatide.llm.common import cut, slices
 
@@ -73,7 +73,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             found = pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), found], ["doc_id", "stats"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, stats array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, stats array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -169,27 +169,31 @@ def fit(labelled: DataFrame) -> Model:
     return model
 
 
-def training_rows(stats: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """(doc_id, stats, label) of at most about `max_rows` labelled documents, one row a document."""
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 20_000) -> Model:
+    """The model of at most about `max_rows` labelled documents; `labels` are the rows that may train."""
     clean = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col(label).cast("double")).alias("label"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = clean.count()
-    if n > max_rows:
-        share = int(max_rows / n * 2**32)
-        clean = clean.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(2**32)) < share)
-    return cut(stats.join(clean, "doc_id").dropDuplicates(["doc_id"]))
+    if n > max_rows:  # the hash picks documents and labels alike, so other texts aren't looked at
+        picked = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(2**32)) < int(max_rows / n * 2**32)
+        clean, rows = clean.where(picked), rows.where(picked)
+    return fit(cut(with_statistics(rows).join(clean, "doc_id").dropDuplicates(["doc_id"])))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 20_000) -> DataFrame:
-    """(doc_id, score, predicted) of every row of `docs`; `labels` are the rows that may train."""
-    stats = cut(with_statistics(docs))
-    model = fit(training_rows(stats, labels, label, max_rows))
+def annotate(docs: DataFrame, model: Model, score: str = "score", text: str = "text") -> DataFrame:
+    """Add `score` to every row, in one pass over the whole texts."""
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))))], ["doc_id", "score"])
+        for batch in slices(batches, 512):
+            found = model.score(np.array([statistics(t) for t in batch.column(text).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, score])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
 
-    scored = stats.mapInArrow(run, "doc_id long, score double")
+
+def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 20_000) -> DataFrame:
+    """(doc_id, score, predicted) of every row of `docs`."""
+    scored = annotate(docs.select("doc_id", "text"), learn(docs, labels, label, max_rows)).select("doc_id", "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
