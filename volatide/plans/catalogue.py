@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from volatide.plans import corpus_queries, market_queries, model_queries, news_queries
+
+PARTS = (market_queries, news_queries, corpus_queries, model_queries)
+QUERIES: dict = {name: query for part in PARTS for name, query in part.REGISTRY.queries.items()}
+ORACLES: dict = {name: sql for part in PARTS for name, sql in part.REGISTRY.oracles.items()}
