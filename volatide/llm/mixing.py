@@ -76,7 +76,7 @@ def _measured(docs: DataFrame, seed: str, affinity: Column | None) -> DataFrame:
 def _ranked(measured: DataFrame, plan: DataFrame) -> DataFrame:
     """With the source's plan and the Pareto rank in (0, 1), null where no sample is needed."""
     joined = measured.join(checked_broadcast(plan), F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
-    p = F.col("p_need") / F.col("p_size") * F.col("__mix_a") / F.col("p_mean")
+    p = F.try_divide(F.col("p_need"), F.col("p_size")) * F.col("__mix_a") / F.col("p_mean")
     p = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
     odds = (F.col("__mix_u") / (1 - F.col("__mix_u"))) / (p / (1 - p))
     live = (F.col("__mix_size") > 0) & (F.col("p_need") > 0)
@@ -87,7 +87,7 @@ def decide(
     docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), total_share: float = 1.5, ceiling: float = 2.0, seed: str = "mix", affinity: Column | None = None
 ) -> Mix:
     measured = cut(_measured(docs, seed, affinity).select("source", "__mix_size", "__mix_u", "__mix_a"))
-    weighed = F.sum(F.col("__mix_a") * F.col("__mix_size")) / F.sum("__mix_size")
+    weighed = F.try_divide(F.sum(F.col("__mix_a") * F.col("__mix_size")), F.sum("__mix_size"))
     totals = cut(measured.groupBy("source").agg(F.sum("__mix_size").alias("source_size"), weighed.alias("p_mean")))
     goals = targets(totals.select("source", "source_size"), weights, total_share, ceiling).withColumnRenamed("source", "p_source")
     plan = goals.join(totals.select("source", "p_mean"), F.col("p_source").eqNullSafe(F.col("source"))).drop("source")
