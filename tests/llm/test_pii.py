@@ -38,7 +38,7 @@ TEXTS = [
     None, "", "nothing here", "ünï a.b@c.de, x@y and p@q.r_s@t.u %@-.- a@b.c.d@e.f @x.y a@@b.c",
     "1.2.3.4.5.6.7.8 256.1.1.1 0000255.01.2.3 1.2.3 999.1.1.1.1 1.2.3.4", "4111 1111 1111 1111 4111-1111-1111-1111 4111  1111 4111111111111112",
     "+1 (555) 010-9999. +49.30.1234567 +12 +123456789012345678 ++1 23456789(", "GB82 WEST 1234 5698 7654 32 DE89370400440532013000 DE89370400440532013001",
-    "é" * 50 + "call +1 555 123 4567 mail a@b.co", "a" * 60_000 + "@", "1" * 60_000, "+1" + "." * 30_000 + "x", "x@y.z " * 300, "1 2-" * 20_000,
+    "é" * 50 + "call +1 555 123 4567 mail a@b.co", "a" * 6_000 + "@", "1" * 60_000, "+1" + "." * 30_000 + "x", "x@y.z " * 300, "1 2-" * 20_000,
 ]
 
 
