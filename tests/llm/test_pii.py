@@ -69,3 +69,15 @@ def test_redaction_context_and_clashing_columns(spark):
     assert [r["text"] for r in out] == ["mail me: <EMAIL> or <PHONE>!", None, "clean"]
     assert out[0]["pii_spans"][0]["score"] == 1.0 and out[0]["kind"] == "k"
     assert pii.find_spans(df.where("1 = 0")).count() == 0
+
+
+def test_odd_texts_match_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, t) for i, t in enumerate(TEXTS) if t is None or len(t) < 20_000]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.sql(queries.ORACLES["op9_pii"]).fetchall())
+    assert sorted(tuple(r) for r in queries.op9_pii(spark, str(tmp_path)).collect()) == want
+    assert sum("iban" in w[-1] for w in want) == 1

@@ -64,5 +64,35 @@ WITH v AS (
   FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id
 ), ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs)
 SELECT * FROM ranked WHERE rank <= 5
+""",
+    "op9_pii": r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+hits AS (
+  SELECT r, doc_id, 1 AS o, 'email' AS kind, regexp_extract_all(x, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS h, regexp_split_to_array(x, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS g FROM t UNION ALL
+  SELECT r, doc_id, 2 AS o, 'ip' AS kind, regexp_extract_all(x, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') AS h, regexp_split_to_array(x, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') AS g FROM t UNION ALL
+  SELECT r, doc_id, 3 AS o, 'card' AS kind, regexp_extract_all(x, '[0-9](?:[\x20-]?[0-9])+') AS h, regexp_split_to_array(x, '[0-9](?:[\x20-]?[0-9])+') AS g FROM t UNION ALL
+  SELECT r, doc_id, 4 AS o, 'phone' AS kind, regexp_extract_all(x, '\+[0-9][\x20().0-9-]+[0-9]') AS h, regexp_split_to_array(x, '\+[0-9][\x20().0-9-]+[0-9]') AS g FROM t UNION ALL
+  SELECT r, doc_id, 5 AS o, 'iban' AS kind, regexp_extract_all(x, '\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b') AS h, regexp_split_to_array(x, '\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b') AS g FROM t
+), placed AS (
+  SELECT r, o, kind, unnest(list_transform(range(1, len(h) + 1), lambda i: struct_pack(
+    hit := h[i], s := list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda y: length(y))), 0)))) AS z
+  FROM hits WHERE len(h) > 0
+), cleaned AS (
+  SELECT r, o, kind, z.hit AS hit, z.s::BIGINT AS s, CASE kind WHEN 'card' THEN regexp_replace(z.hit, '[\x20-]', '', 'g') WHEN 'phone' THEN regexp_replace(z.hit, '[^0-9]', '', 'g') ELSE replace(z.hit, ' ', '') END AS d
+  FROM placed
+), spans AS (
+  SELECT r, o, kind, s, kind || ':' || s || ':' || (s + length(hit)) AS span FROM cleaned
+  WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN regexp_full_match(hit, '0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2}|)(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2}|)){3}')
+    WHEN 'phone' THEN length(d) BETWEEN 9 AND 15
+    WHEN 'card' THEN length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i:
+      CASE WHEN i % 2 = 1 THEN d[length(d) + 1 - i]::INTEGER ELSE (2 * d[length(d) + 1 - i]::INTEGER) // 10 + (2 * d[length(d) + 1 - i]::INTEGER) % 10 END)) % 10 = 0
+    ELSE length(d) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(d[5:] || d[:4], ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)),
+      lambda a, v: (a * CASE WHEN v >= 10 THEN 100 ELSE 10 END + v) % 97) = 1 END
+)
+SELECT t.doc_id, count(*) FILTER (kind = 'email')::BIGINT AS n_email, count(*) FILTER (kind = 'ip')::BIGINT AS n_ip, count(*) FILTER (kind = 'card')::BIGINT AS n_card, count(*) FILTER (kind = 'phone')::BIGINT AS n_phone,
+  sha256(coalesce(string_agg(span, ',' ORDER BY o, s) FILTER (o <= 4), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY o, s), '') AS spans
+FROM t LEFT JOIN spans USING (r) GROUP BY t.r, t.doc_id
 """,
 }

@@ -34,7 +34,7 @@ KINDS = {
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
     # country, check digits, 11 to 30 more, perhaps in groups
-    "iban": (r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"),
+    "iban": (r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])"),
 }
 BASE = ("email", "ip", "card", "phone")
 
