@@ -33,8 +33,8 @@ from volatide.llm.common import slices
 NONE = np.int32(2**31 - 1)
 #: Longest match (in bytes) that is laid out in a matrix.
 MATRIX_BYTES = 256
-#: Cached matches a worker keeps before it starts anew, and texts it encodes at once.
-CACHE_ENTRIES = 400_000
+#: Cached stretches and matches a worker keeps before it starts anew, and texts it encodes at once.
+CACHE_ENTRIES = 150_000
 TEXTS_AT_ONCE = 256
 STRETCH = 1_000_000
 

@@ -45,7 +45,7 @@ MARGIN = 3.5
 #: Members of a bucket that are compared in one task; a larger bucket is split into pairs of chunks.
 CHUNK = 512
 BITMAP_BITS = 23
-WORDS_CACHED = 1_000_000
+WORDS_CACHED = 250_000
 
 _ODD = np.random.default_rng(20240229).integers(0, 2**32, (2, SAMPLES), dtype=np.uint32)
 _XOR, _MUL = _ODD[0], _ODD[1] | np.uint32(1)
@@ -142,6 +142,7 @@ def _signatures(docs: DataFrame, words: int, percent: float) -> DataFrame:
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                 ["doc_id", "n", "node", "bands", "sketch"],
             )
+        _HASHES.clear()  # workers are used again by other stages
 
     return docs.mapInArrow(run, "doc_id long, n long, node binary, bands array<long>, sketch binary")
 
@@ -277,6 +278,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             for part in slices([kept], 256):
                 found = [shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())], ["doc_id", "node", "shingles"])
+        _HASHES.clear()
 
     found = docs.withColumn("slot", slot).where("slot is not null and doc_id is not null").mapInArrow(run, "doc_id long, node binary, shingles binary")
     return found.join(wanted, ["doc_id", "node"]).select("node", "shingles").dropDuplicates(["node"])
