@@ -2,8 +2,8 @@
 
 A component sqrt(M^2 - |x|^2) (M: the largest norm) is appended to each vector, which turns the largest inner product
 into the smallest Euclidean distance. Centroids are fitted by k-means on a bounded sample. A vector joins its nearest
-centroid's list; a boundary vector also joins up to REPLICAS - 1 others whose distance is within a factor of the
-nearest, unless such a centroid is nearer to one already chosen than to the vector. Lists are balanced: long ones
+centroid's list; a boundary vector also joins up to REPLICAS - 1 others whose distance is within BOUNDARY times the
+nearest, unless such a centroid is nearer to one already chosen than APART times the vector. Lists are balanced: long ones
 are split into blocks, short ones packed. A query walks a nearest-neighbour graph over the centroids, held in memory,
 expanding every centroid whose distance is within a ratio of the best met so far; the lists within that ratio are
 searched with exact products in double precision.
@@ -32,7 +32,8 @@ SAMPLE = 16_384
 CENTROIDS = 2048
 LIST_ROWS = 256
 REPLICAS = 3
-BOUNDARY = 1.12
+BOUNDARY = 1.05
+APART = 0.5
 DEGREE = 24
 AIM = 0.985
 LEAST_BLOCK, MOST_BLOCK, BLOCKS = 512, 65_536, 16
@@ -57,10 +58,13 @@ def centroids_of(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.nd
 
 
 class Graph:
-    """Nearest neighbours of each centroid, both ways, and a few far links."""
+    """Nearest neighbours of each centroid, both ways, and a few far links.
+
+    `floor` is added to all distances that are compared by ratio, so that a query on a centroid still has a ratio.
+    """
 
     def __init__(self, points: np.ndarray, seed: int = 5):
-        self.points = points
+        self.points, self.floor = points, 1e-9
         n = len(points)
         rng = np.random.default_rng(seed)
         between = distances(points, points)
@@ -78,7 +82,7 @@ class Graph:
     def within(self, q: np.ndarray, ratio: float) -> np.ndarray:
         """For each query the centroids met whose distance is within `ratio` of the nearest met."""
         met = np.full((len(q), len(self.points)), np.inf)
-        met[:, self.entries] = distances(q, self.points[self.entries])
+        met[:, self.entries] = distances(q, self.points[self.entries]) + self.floor
         expanded = np.zeros(met.shape, bool)
         while True:
             front = ~expanded & (met <= ratio * met.min(1)[:, None])
@@ -89,7 +93,7 @@ class Graph:
             reach = (front[rows].astype(np.float32) @ self.joined.astype(np.float32)) > 0
             who, what = np.nonzero(reach & np.isinf(met[rows]))
             step = q[rows[who]] - self.points[what]
-            met[rows[who], what] = np.sqrt((step * step).sum(1))
+            met[rows[who], what] = np.sqrt((step * step).sum(1)) + self.floor
 
 
 def lists_of(x: np.ndarray, graph: Graph) -> np.ndarray:
@@ -107,24 +111,25 @@ def lists_of(x: np.ndarray, graph: Graph) -> np.ndarray:
         own = away[np.arange(len(x)), c]
         fits = (used < REPLICAS) & (own <= BOUNDARY * first)
         for r in range(REPLICAS):
-            fits &= (out[:, r] < 0) | (graph.between[c, out[:, r]] > 0.7 * own)
+            fits &= (out[:, r] < 0) | (graph.between[c, out[:, r]] > APART * own)
         rows = np.flatnonzero(fits)
         out[rows, used[rows]] = c[rows]
         used[rows] += 1
     return out
 
 
-def ratio_for(sampled: np.ndarray, lists: np.ndarray, queries: np.ndarray, graph: Graph, k: int) -> float:
-    """The least ratio at which AIM of the sample's true neighbours lie in a searched list."""
+def ratio_for(sampled: np.ndarray, lists: np.ndarray, queries: np.ndarray, selves: np.ndarray, graph: Graph, k: int) -> float:
+    """The least ratio at which AIM of the sample's true neighbours lie in a searched list; sets the graph's floor."""
     away = distances(queries, sampled)
+    away[np.arange(len(queries)), selves] = np.inf
     own = distances(queries, graph.points)
-    best = own.min(1)
+    graph.floor = max(1e-9, 0.5 * float(np.median(own.min(1))))
     needs = []
     for i in range(len(queries)):
-        near = np.argsort(away[i], kind="stable")[1 : k + 1]
+        near = np.argsort(away[i], kind="stable")[: min(k, len(sampled) - 1)]
         reach = np.where(lists[near] >= 0, own[i][lists[near]], np.inf).min(1)
-        needs.append(reach / max(best[i], 1e-12))
-    return float(np.quantile(np.concatenate(needs), AIM)) + 1e-9
+        needs.append((reach + graph.floor) / (own[i].min() + graph.floor))
+    return float(np.quantile(np.concatenate(needs), AIM, method="higher")) * (1 + 1e-9)
 
 
 def neighbours(df: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
@@ -142,9 +147,10 @@ def neighbours(df: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     def aimed(v: np.ndarray) -> np.ndarray:
         return np.column_stack([v * (np.sqrt(largest) / np.sqrt((v * v).sum(1)))[:, None], np.zeros(len(v))])
 
-    _, sampled = vectors.sample(x, SAMPLE, dimension)
+    _, sampled = vectors.sample(x, SAMPLE, total, dimension)
     graph = Graph(centroids_of(lifted(sampled), int(min(CENTROIDS, max(8, total // LIST_ROWS)))))
-    ratio = ratio_for(lifted(sampled), lists_of(lifted(sampled), graph), aimed(sampled[:: max(1, len(sampled) // 256)]), graph, k) if len(sampled) > 1 else np.inf
+    asked = np.arange(0, len(sampled), max(1, len(sampled) // 256))
+    ratio = ratio_for(lifted(sampled), lists_of(lifted(sampled), graph), aimed(sampled[asked]), asked, graph, k) if len(sampled) > 1 else 1.0
 
     def assign(batches):
         for batch in batches:

@@ -41,7 +41,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> Data
     total = x.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    pivot_ids, pivots = vectors.sample(x, int(min(PIVOTS, max(4, total**0.5 / 2))), dimension)
+    pivot_ids, pivots = vectors.sample(x, int(min(PIVOTS, max(4, total**0.5 / 2))), total, dimension)
 
     def assign(batches):
         for batch in batches:

@@ -50,9 +50,15 @@ def unpacked(column: pa.Array, dimension: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), float).reshape(len(column), dimension)
 
 
-def sample(x: DataFrame, rows: int, dimension: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of at most `rows` rows, the first by a hash of the id; each id once."""
-    got = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).toArrow().combine_chunks()
+def sample(x: DataFrame, rows: int, total: int, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of at most `rows` of `total` rows, the first by a hash of the id; each id once.
+
+    A hash threshold leaves about twice as many before they are ordered, however many partitions there are.
+    """
+    h = F.pmod(F.xxhash64("vec_id"), F.lit(2**32))
+    if total > 2 * rows + 200:
+        x = x.where(h < int(2 * rows / total * 2**32))
+    got = x.orderBy(h, "vec_id").limit(rows).toArrow().combine_chunks()
     ids = got.column("vec_id").to_numpy()
     column = got.column("v").combine_chunks() if got.num_rows else None
     vectors = matrix(column, dimension) if got.num_rows else np.zeros((0, dimension))
