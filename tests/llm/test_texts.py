@@ -107,6 +107,14 @@ def test_pseudo_likelihood_matches_brute_force_and_learns(spark):
     assert lm.score(df.where("1 = 0")).count() == 0
 
 
+def test_all_positions_of_whole_texts_train(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"word{k}" for k in rng.integers(0, 90, n))) for i, n in enumerate([3000, 1, 17, 250, 0, 900])]
+    df = spark.createDataFrame([*rows, (9, None)], "doc_id long, text string").repartition(3)
+    vocabulary, network = lm.fit(df)
+    assert network.positions == lm.start(df, vocabulary).positions == sum(len(t.split()) for _, t in rows)
+
+
 def test_mix_meets_targets(spark):
     rng = np.random.default_rng(8)
     rows = [(i, ["a", "b", None, "z"][min(3, i % 7)], "w " * int(rng.integers(0, 60)), 9) for i in range(4000)]

@@ -9,11 +9,10 @@ bucket's class is its rank by corpus count up to CLASSES - GROUPS, and one of GR
 The first term is a network trained in numpy: embeddings of the SIDE classes on each side, one tanh layer, softmax
 over classes. The second is the bucket's share of its class in the counts of the whole corpus.
 
-Corpus counts cover every token of every document, summed on the executors. Training: a start is fitted on the driver
-to a bounded sample of documents (START_DOCS, START_CHARS); then every partition goes on from it over all its
-documents (one position in STRIDE of each, offset by a hash, so that every document takes part), and the partitions'
-weights are averaged by their numbers of positions, again summed on the executors. Counts and weights that reach the
-driver are bounded (BUCKETS, and the network's size).
+Corpus counts cover every token of every document, summed on the executors. Training: a start is fitted in one task
+to the whole texts of START_DOCS documents; then every partition goes on from it over all positions of all its
+documents, and the partitions' weights are averaged by their numbers of positions, again summed on the executors.
+Counts and weights that reach the driver are bounded (BUCKETS, and the network's size).
 
 Defined results: null and empty texts have no tokens and log-probability 0; the mean of no tokens is 0; a document's
 score depends on its text and the corpus, so repeated rows tie; an empty table gives an empty table; extra columns
@@ -34,9 +33,8 @@ BUCKETS = 1 << 17
 CLASSES, GROUPS = 112, 32
 SIDE = 2
 EMBED, HIDDEN = 12, 24
-STRIDE = 16
-START_DOCS, START_CHARS = 512, 4000
-BATCH = 2048
+START_DOCS = 512
+BATCH, BLOCK = 2048, 512
 STRETCH = 16_384
 WORDS_CACHED = 250_000
 PAD = CLASSES  # beyond either end of a text
@@ -88,23 +86,28 @@ class Network:
     @staticmethod
     def windows(classes: np.ndarray) -> np.ndarray:
         """(positions, 2 * SIDE) classes on both sides."""
-        padded = np.concatenate([np.full(SIDE, PAD), classes, np.full(SIDE, PAD)])
+        ends = np.full(SIDE, PAD, np.uint8)
+        padded = np.concatenate([ends, classes.astype(np.uint8), ends])
         return np.stack([padded[SIDE + o : SIDE + o + len(classes)] for o in range(-SIDE, SIDE + 1) if o], 1)
 
     def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         embed, w1, b1, w2, b2 = self.w
-        x = embed[around].reshape(len(around), -1)
-        h = np.tanh(x @ w1 + b1)
-        return x, h, h @ w2 + b2
+        x = embed.take(around.ravel(), axis=0).reshape(len(around), -1)
+        h = x @ w1
+        h += b1
+        np.tanh(h, out=h)
+        z = h @ w2
+        z += b2
+        return x, h, z
 
     def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         out = np.empty(len(target))
-        for at in range(0, len(target), BATCH):
-            _, _, z = self.forward(around[at : at + BATCH])
+        for at in range(0, len(target), BLOCK):
+            _, _, z = self.forward(around[at : at + BLOCK])
             top = z.max(1)
-            own = z[np.arange(len(z)), target[at : at + BATCH]] - top
+            own = z[np.arange(len(z)), target[at : at + BLOCK]] - top
             z -= top[:, None]
-            out[at : at + BATCH] = own - np.log(np.exp(z, out=z).sum(1))
+            out[at : at + BLOCK] = own - np.log(np.exp(z, out=z).sum(1))
         return out
 
     def step(self, around: np.ndarray, target: np.ndarray, memory: list[np.ndarray], rate: float) -> None:
@@ -112,10 +115,9 @@ class Network:
         embed, w1, _, w2, _ = self.w
         x, h, z = self.forward(around)
         z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(p)), target] -= 1
-        p /= len(p)
+        p = np.exp(z, out=z)
+        p /= p.sum(1, keepdims=True) * np.float32(len(p))
+        p[np.arange(len(p)), target] -= np.float32(1 / len(p))
         dh = (p @ w2.T) * (1 - h * h)
         dx = (dh @ w1.T).reshape(-1, EMBED)
         flat, de = around.ravel(), np.zeros_like(embed)
@@ -151,67 +153,70 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def _thinned(batch: pa.RecordBatch, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    around, target = [], []
-    for text in batch.column(0).to_pylist():
-        t = tokens(text)
-        if len(t):
-            c = vocabulary.group[t]
-            at = np.arange((int(t[0]) * 7 + len(t)) % min(STRIDE, len(t)), len(t), STRIDE)
-            around.append(Network.windows(c)[at])
-            target.append(c[at])
-    if not target:
-        return np.zeros((0, 2 * SIDE), np.int64), np.zeros(0, np.int64)
-    return np.concatenate(around), np.concatenate(target)
+def _positions(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and classes of all positions of the texts."""
+    classes = [vocabulary.group[tokens(t)].astype(np.uint8) for t in texts]
+    return np.concatenate([np.zeros((0, 2 * SIDE), np.uint8), *map(Network.windows, classes)]), np.concatenate([np.zeros(0, np.uint8), *classes])
 
 
-def fit(docs: DataFrame) -> tuple[Vocabulary, Network]:
-    vocabulary = Vocabulary(corpus_counts(docs))
-    # The start: a bounded sample, for weights that the partitions can be averaged from.
+def _weighed(network: Network, seen: int) -> pa.RecordBatch:
+    """The network's weights times the positions that it has seen, and their number."""
+    flat = np.concatenate([w.ravel() for w in network.w]).astype(float) * seen
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1), pa.int32()), pa.array(np.append(flat, float(seen)))], ["i", "x"])
+
+
+def _averaged(weighed: DataFrame) -> Network:
+    """The average network, or an untrained one if no position was seen; `positions` is how many were."""
+    got, network = weighed.groupBy("i").agg(F.sum("x").alias("x")).toArrow(), Network()
+    network.positions = 0
+    if got.num_rows:
+        flat = np.zeros(got.num_rows)
+        flat[got.column("i").to_numpy()] = got.column("x").to_numpy()
+        network.positions = int(flat[-1])
+        flat, at = flat[:-1] / flat[-1], 0
+        for i, w in enumerate(network.w):
+            network.w[i] = flat[at : at + w.size].reshape(w.shape).astype(np.float32)
+            at += w.size
+    return network
+
+
+def start(docs: DataFrame, vocabulary: Vocabulary) -> Network:
+    """A network fitted to a bounded sample of whole texts, for weights that the partitions can be averaged from."""
     h = F.pmod(F.xxhash64("doc_id"), F.lit(2**32))
     total = docs.count()
     # A hash threshold leaves a few times as many before they are ordered, however many partitions there are.
     some = docs.where(h < int(4 * START_DOCS / total * 2**32)) if total > 4 * START_DOCS else docs
-    start = some.where(F.length("text") > 0).select(F.substring("text", 1, START_CHARS).alias("text"), h.alias("h")).orderBy("h").limit(START_DOCS).toArrow()
-    network = Network()
-    windows, targets = [np.zeros((0, 2 * SIDE), np.int64)], [np.zeros(0, np.int64)]
-    for text in start.column("text").to_pylist():
-        c = vocabulary.group[tokens(text)]
-        windows.append(Network.windows(c))
-        targets.append(c)
-    network.train(np.concatenate(windows), np.concatenate(targets), rate=0.08, rounds=2)
-    shapes = [w.shape for w in network.w]
-    first = network.w
+    some = some.where(F.length("text") > 0).select("text", h.alias("h")).orderBy("h").limit(START_DOCS).coalesce(1)
+
+    def run(batches):
+        found = [_positions(part.column(0).to_pylist(), vocabulary) for part in slices(batches, 64)]
+        around, target = (np.concatenate(x) for x in zip(*found, strict=True)) if found else _positions([], vocabulary)
+        if len(target):
+            network = Network()
+            network.train(around, target, rate=0.08, rounds=2)
+            yield _weighed(network, len(target))
+
+    return _averaged(some.select("text").mapInArrow(run, "i int, x double"))
+
+
+def fit(docs: DataFrame) -> tuple[Vocabulary, Network]:
+    vocabulary = Vocabulary(corpus_counts(docs))
+    first = start(docs, vocabulary).w
 
     def run(batches):
-        own = Network([w.copy() for w in first])
-        memory, seen, held, rows = [np.full_like(w, 1e-3) for w in own.w], 0, [], 0
+        own, rng = Network([w.copy() for w in first]), np.random.default_rng(1)
+        memory, seen = [np.full_like(w, 1e-3) for w in own.w], 0
         for batch in slices(batches, 256):
-            held.append(_thinned(batch, vocabulary))
-            rows += len(held[-1][1])
-            if rows >= BATCH:
-                around, target = (np.concatenate(x) for x in zip(*held, strict=True))
-                for at in range(0, len(target), BATCH):
-                    own.step(around[at : at + BATCH], target[at : at + BATCH], memory, 0.02)
-                seen, held, rows = seen + rows, [], 0
-        if rows:
-            own.step(*(np.concatenate(x) for x in zip(*held, strict=True)), memory, 0.02)
-            seen += rows
+            around, target = _positions(batch.column(0).to_pylist(), vocabulary)
+            order = rng.permutation(len(target))
+            for at in range(0, len(order), BATCH):
+                mine = order[at : at + BATCH]
+                own.step(around[mine], target[mine], memory, 0.02)
+            seen += len(target)
         if seen:
-            flat = np.concatenate([w.ravel() for w in own.w]).astype(float) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1), pa.int32()), pa.array(np.append(flat, float(seen)))], ["i", "x"])
+            yield _weighed(own, seen)
 
-    got = docs.select("text").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-    if got.num_rows:
-        flat = np.zeros(got.num_rows)
-        flat[got.column("i").to_numpy()] = got.column("x").to_numpy()
-        flat, at, weights = flat[:-1] / flat[-1], 0, []
-        for shape in shapes:
-            size = int(np.prod(shape))
-            weights.append(flat[at : at + size].reshape(shape).astype(np.float32))
-            at += size
-        network = Network(weights)
-    return vocabulary, network
+    return vocabulary, _averaged(docs.select("text").mapInArrow(run, "i int, x double"))
 
 
 def log_probability(text: str | None, vocabulary: Vocabulary, network: Network) -> tuple[int, float]:
@@ -232,15 +237,9 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network] | None = None) -> D
 
     def run(batches):
         for batch in slices(batches, 64):
-            found = [tokens(t) for t in batch.column(1).to_pylist()]
-            # Short documents share matrix products; windows don't cross documents.
-            around = [Network.windows(vocabulary.group[t]) for t in found]
-            sizes = np.array([len(t) for t in found])
-            every = np.concatenate(found)
-            each = network.log_probability(np.concatenate(around), vocabulary.group[every]) + vocabulary.log_share[every] if len(every) else np.zeros(0)
-            ends = np.cumsum(sizes)
-            running = np.concatenate([[0.0], np.cumsum(each)])
-            total = running[ends] - running[ends - sizes]
+            # A text at a time: sums that share matrix products with other texts would not tie to the last bit.
+            found = [log_probability(t, vocabulary, network) for t in batch.column(1).to_pylist()]
+            sizes, total = np.array([n for n, _ in found]), np.array([x for _, x in found])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(total), pa.array(total / np.maximum(sizes, 1))], ["doc_id", "n_tokens", "log_probability", "mean_log_probability"]
             )
