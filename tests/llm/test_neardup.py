@@ -81,6 +81,16 @@ def test_whole_sketches_never_exceed_the_difference():
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
+def test_sampled_sketches_rule_out_no_pair_at_the_threshold():
+    rng = np.random.default_rng(7)
+    far = 0
+    for _ in range(8000):  # Jaccard 85 / 100
+        s = rng.integers(0, 2**64, 100, np.uint64)
+        a, b = (np.frombuffer(neardup.odd_sketch(neardup.minhash(x)), np.uint64) for x in (s[:92], np.append(s[:85], s[92:])))
+        far += np.bitwise_count(a ^ b).sum() > neardup.most_bits(85)
+    assert far == 0 and neardup.most_bits(100) == 0
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(100, 140)]
     df = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in edges], "a binary, b binary")

@@ -17,8 +17,8 @@ Two documents are linked when their Jaccard similarity is at least percent / 100
 Full sets are recomputed only for nodes that are in some pair; a bitmap of fixed size (BITMAP_BITS, so a bounded
 broadcast) tells a second pass over the texts which they are, and a join corrects its false positives.
 
-What can be missed: a link whose ends share no band (under 1e-6 at the threshold) or whose sketches differ by more
-than MARGIN standard deviations beyond the threshold (2e-4).
+What can be missed: a link whose ends share no band (under 1e-6 at the threshold) or whose sampled sketches differ by
+more bits than all but MISSED of the pairs at the threshold do (both MinHash's variance and the sketch's are in it).
 
 Defined results: null text counts as empty; rows may repeat, a repeated row gets the result of its equal; rows that
 share an id but not a text are documents of their own; rows with a null id get component_id from their group if any
@@ -27,6 +27,7 @@ member has an id, else null; an empty table gives an empty table; other columns
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -41,7 +42,8 @@ from volatide.llm.common import cut, slices
 SAMPLES = 256
 SKETCH_BITS = 512
 WHOLE_BITS = 1024
-MARGIN = 3.5
+#: Share of the pairs at the threshold that the sampled sketches may rule out.
+MISSED = 1e-7
 #: Members of a bucket that are compared in one task; a larger bucket is split into pairs of chunks.
 CHUNK = 512
 BITMAP_BITS = 23
@@ -103,12 +105,23 @@ def whole_sketch(shingles: np.ndarray) -> bytes:
     return np.packbits((np.bincount(place, minlength=WHOLE_BITS) & 1).astype(np.uint8)).tobytes()
 
 
+@functools.cache
 def most_bits(percent: float) -> int:
-    """XOR bits up to which two sketches may belong to sets of at least this similarity."""
+    """XOR bits up to which two sketches may belong to sets of this similarity, but for MISSED of such pairs.
+
+    The bits' exact distribution: a binomial number of samples differ, each puts two marks at random places, and the
+    places with an odd number of marks are counted. More similar sets differ by fewer bits.
+    """
     s = percent / 100
-    s = max(0.0, s - MARGIN * math.sqrt(s * (1 - s) / SAMPLES))
-    differing = 2 * SAMPLES * (1 - s)
-    return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-2 * differing / SKETCH_BITS)))
+    odd, total = np.zeros(SKETCH_BITS + 1), np.zeros(SKETCH_BITS + 1)
+    odd[0], up = 1.0, 1 - np.arange(SKETCH_BITS + 1) / SKETCH_BITS
+    for differing in range(SAMPLES + 1):
+        total += math.comb(SAMPLES, differing) * (1 - s) ** differing * s ** (SAMPLES - differing) * odd
+        for _ in range(2):
+            rise, fall = odd * up, odd * (1 - up)
+            odd = np.append(0.0, rise[:-1]) + np.append(fall[1:], 0.0)
+    beyond = np.cumsum(total[::-1])[::-1]  # at least so many bits
+    return int(np.flatnonzero(beyond > MISSED)[-1])
 
 
 def layout(percent: float) -> tuple[int, int]:
