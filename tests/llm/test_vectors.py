@@ -63,6 +63,18 @@ def test_few_rows_and_empty_tables(spark):
         assert f(frame(spark, [(0, [1.0])]), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize(("find", "k"), [(topk.top_k, 5), (ann.neighbours, 20)])
+def test_repeated_rows_take_no_places(spark, find, k):
+    rng = np.random.default_rng(4)
+    rows = [(i, [*rng.normal(size=4).round(2).tolist(), 3.0]) for i in range(60)]
+    again = [*rows, *(r for r in rows if r[0] < 6 for _ in range(30))]
+    many = collect(find(frame(spark, again), F.col("vec_id") % 20 == 0, k=k))
+    x = {i: np.floor(256 * v) if find is topk.top_k else v for i, v in usable(rows, True).items()}
+    expected = brute(x, lambda q: q % 20 == 0, k)
+    hits = [len({v for v, _ in many[q]} & {v for v, _ in expected[q]}) / k for q in expected]
+    assert all(len(many[q]) == k for q in expected) and np.mean(hits) >= (1 if find is topk.top_k else 0.9)
+
+
 def test_neighbours_with_ties_and_unusable_vectors(spark):
     rows = messy(400, 8, 5)
     x = {i: v for i, v in usable(rows, False).items() if len(v) == 8}

@@ -160,7 +160,7 @@ def neighbours(df: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                 who, which = np.nonzero(found >= 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(found[who, which], pa.int64()), pa.array(which == 0), vectors.packed(rows[who])], ["vec_id", "grp", "own", "v"])
 
-    data = cut(x.mapInArrow(assign, "vec_id long, grp long, own boolean, v binary"))
+    data = cut(x.mapInArrow(assign, "vec_id long, grp long, own boolean, v binary").distinct())
     counts = np.zeros(len(graph.points), np.int64)
     for row in data.groupBy("grp").count().collect():  # at most CENTROIDS rows
         counts[row["grp"]] = row["count"]

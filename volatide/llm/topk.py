@@ -52,7 +52,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> Data
                     [batch.column(0), pa.array(grp, pa.int64()), pa.array(distance), pa.array(np.sqrt((rows * rows).sum(1))), vectors.packed(rows)], ["vec_id", "grp", "distance", "norm", "v"]
                 )
 
-    data = cut(x.mapInArrow(assign, "vec_id long, grp long, distance double, norm double, v binary"))
+    # Repeated rows would count as several candidates in the bounds.
+    data = cut(x.mapInArrow(assign, "vec_id long, grp long, distance double, norm double, v binary").dropDuplicates(["vec_id", "v"]))
     summaries = data.groupBy("grp").agg(F.count("*").alias("n"), F.max("distance").alias("radius"), F.max("norm").alias("norm")).toPandas()
     counts, radius, norm = np.zeros(len(pivots), np.int64), np.zeros(len(pivots)), np.zeros(len(pivots))
     at = summaries["grp"].to_numpy()

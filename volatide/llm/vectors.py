@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +101,20 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int, slack: float) -> list[np.n
     return out
 
 
+def columns(grp: np.ndarray, vec: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows ordered so that those of one id and vector (repeats, replicas in several groups) stand together.
+
+    Gives all rows' groups, where each id and vector starts among them, and its id and vector once.
+    """
+    x = x + 0.0  # no negative zeros
+    h = np.fromiter((xxhash.xxh3_64_intdigest(row.tobytes()) for row in x), np.uint64, len(x))
+    order = np.lexsort((h, vec))
+    grp, vec, h, x = grp[order], vec[order], h[order], x[order]
+    other = (vec[1:] != vec[:-1]) | (h[1:] != h[:-1]) | (x[1:] != x[:-1]).any(1)
+    starts = np.flatnonzero(np.append(True, other))
+    return grp, starts, vec[starts], x[starts]
+
+
 def search(
     data: DataFrame, queries: DataFrame, needed: Callable[[np.ndarray, np.ndarray], np.ndarray], counts: np.ndarray, dimension: int, k: int, block_rows: int, integer: bool
 ) -> DataFrame:
@@ -157,8 +172,8 @@ def search(
                 if not held:
                     continue
                 if ready is None:
-                    ready = [np.concatenate(x) for x in zip(*held, strict=True)]
-                    biggest = np.abs(ready[2]).max()
+                    ready, held = columns(*(np.concatenate(x) for x in zip(*held, strict=True))), [None]
+                    biggest = np.abs(ready[3]).max()
                 for n, payload, mask in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
                     ids, q = np.frombuffer(payload[: 8 * n], np.int64), np.frombuffer(payload[8 * n :], float).reshape(n, dimension)
                     members = bundles.members[int(now)]
@@ -166,13 +181,14 @@ def search(
                     exact = not integer or np.abs(q).max() * biggest * dimension < 2**53
                     yield from answer(ids, q, use, members, *ready, exact)
 
-    def answer(ids, q, use, members, grp, vec, x, exact):
+    def answer(ids, q, use, members, grp, starts, vec, x, exact):
         slot = np.searchsorted(members, grp)
-        step = max(1, SCORES_AT_ONCE // len(vec))
+        step = max(1, SCORES_AT_ONCE // len(grp))
         for at in range(0, len(ids), step):
             part = slice(at, at + step)
             scores = q[part] @ x.T if exact else (q[part].astype(np.int64) @ x.T.astype(np.int64)).astype(float)
-            scores[~use[part][:, slot] | (ids[part][:, None] == vec)] = -np.inf
+            seen = np.logical_or.reduceat(use[part][:, slot], starts, axis=1)
+            scores[~seen | (ids[part][:, None] == vec)] = -np.inf
             chosen = best(scores, vec, k, slack if exact else 1e-6 * max(1.0, np.abs(scores[np.isfinite(scores)]).max(initial=0)))
             who = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])
             which = np.concatenate(chosen) if len(chosen) else np.zeros(0, np.int64)
