@@ -432,3 +432,31 @@ def test_forecasts_and_robustness(spark):
     rows = {r["spec"]: r for r in flows.robustness(build, specs, *ends, length=5, epochs=1).collect()}
     assert set(rows) == {"hybrid", "garchx", "expanding"} and all(r["hybrid_rmse"] > 0 for r in rows.values())
     assert len(residual.specifications()) == 7
+
+
+def test_forecasting_queries_run_the_whole_job(monkeypatch):
+    import inspect
+
+    from volatide.operators import residual
+    from volatide.plans import flows, model_queries
+
+    calls = []
+
+    def note(real):
+        def run(*args, **named):
+            bound = inspect.signature(real).bind(*args, **named)
+            bound.apply_defaults()
+            calls.append(bound.arguments)
+            return {"errors": None}
+
+        return run
+
+    monkeypatch.setattr(model_queries, "build_frame", lambda *_: None)
+    monkeypatch.setattr(model_queries, "_ends", lambda _: ("a", "b"))
+    for owner, name in ((residual, "hybrid_forecasts"), (flows, "robustness"), (flows, "experiment")):
+        monkeypatch.setattr(owner, name, note(getattr(owner, name)))
+    for query in (model_queries.residual_forecast, model_queries.robustness_specs, model_queries.experiment_errors):
+        query(None, "")
+    assert [(c["length"], c["epochs"]) for c in calls] == [(15, 30)] * 3
+    assert all((c.get("features") or residual.FEATURES) == residual.FEATURES for c in calls)
+    assert calls[1]["specs"] == residual.specifications()

@@ -11,16 +11,12 @@ from volatide.plans.registry import Registry
 
 REGISTRY = query = Registry()
 
-# A small set of features and a small training budget.
-USED = ["abs_return", "target_vol", "mean_sentiment", "sentiment_surprise", "garch_forecast_vol", "garch_std_resid"]
-EPOCHS = 6
-
 
 @query()
 def residual_forecast(spark, sf_dir):
     frame = build_frame(spark, sf_dir)
     ends = _ends(frame)
-    return residual.hybrid_forecasts(frame, *ends, USED, length=10, epochs=EPOCHS)
+    return residual.hybrid_forecasts(frame, *ends)
 
 
 @query()
@@ -32,14 +28,13 @@ def garchx_forecast(spark, sf_dir):
 @query()
 def robustness_specs(spark, sf_dir):
     first = build_frame(spark, sf_dir)
-    specs = [s if s.kind != "hybrid" else residual.Spec(s.name, s.threshold, s.target, [f for f in USED if "sentiment" not in f] if s.name == "no_sentiment" else USED) for s in residual.specifications()]
-    return flows.robustness(lambda threshold, target: build_frame(spark, sf_dir, threshold, target), specs, *_ends(first), length=10, epochs=EPOCHS)
+    return flows.robustness(lambda threshold, target: build_frame(spark, sf_dir, threshold, target), residual.specifications(), *_ends(first))
 
 
 @query()
 def experiment_errors(spark, sf_dir):
     frame = build_frame(spark, sf_dir)
-    return flows.experiment(frame, *_ends(frame), length=10, epochs=EPOCHS, features=USED)["errors"]
+    return flows.experiment(frame, *_ends(frame))["errors"]
 
 
 def _ends(frame) -> tuple[str, str]:
