@@ -50,6 +50,11 @@ def test_main_text_leaves_the_frame_out():
     assert maintext.trained().text(PAGE) == "T & U\n\nOne two three.\n\nFirst point.\n\nFour <five> six."
 
 
+def test_capital_dotted_i_before_a_script_moves_nothing():
+    page = "<p>" + "\u0130" * 40 + "</p><SCRIPT>var a = 1;</Script><p>" + "The article goes on here. " * 3 + "</p><p>More.</p>"
+    assert [t.strip() for t in maintext.Page(page).text if t.strip()] == ["\u0130" * 40, ("The article goes on here. " * 3).strip(), "More."]
+
+
 def test_main_text_of_labelled_pages_and_odd_pages(spark):
     import random
 

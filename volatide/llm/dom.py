@@ -92,7 +92,6 @@ class Page:
 
     def _read(self, source: str) -> None:
         at, end = 0, len(source)
-        lowered = None
         while at < end:
             found = _TOKEN.match(source, at)
             token = found[0]
@@ -122,9 +121,8 @@ class Page:
             tag = token[1:].lower()
             if tag in SKIPPED:
                 if not attributes.endswith("/"):
-                    lowered = source.lower() if lowered is None else lowered
-                    stop = lowered.find(f"</{tag}", at)
-                    stop = -1 if stop < 0 else source.find(">", stop)
+                    close = re.compile(f"</{re.escape(tag)}", re.IGNORECASE | re.ASCII).search(source, at)
+                    stop = -1 if close is None else source.find(">", close.start())
                     at = end if stop < 0 else stop + 1
                 continue
             marks = ""
