@@ -93,6 +93,39 @@ def test_sampled_sketches_rule_out_no_pair_at_the_threshold():
 
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(100, 140)]
-    df = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in edges], "a binary, b binary")
-    labels = {bytes(r["node"])[0]: bytes(r["label"])[0] for r in neardup.components(df).collect()}
+    labels = {r["node"]: r["label"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert labels == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 140: 100}
+
+
+def test_a_row_without_an_id_links_others(spark):
+    words = ["w%d" % i for i in range(40)]
+    texts = [" ".join(words), " ".join([*words[:37], "x", "y"]), " ".join([*words[3:37], "x", "y"])]
+    both = [spark.createDataFrame([(1, texts[0]), (middle, texts[1]), (2, texts[2])], "doc_id long, text string") for middle in (3, None)]
+    for df in both:
+        found = neardup.near_duplicates(df, 3, 85).collect()
+        assert [r["component_id"] for r in found] == [1, 1, 1]
+    apart = neardup.near_duplicates(both[0].where("doc_id < 3"), 3, 85).collect()
+    assert sorted(r["component_id"] for r in apart) == [1, 2]
+
+
+def test_links_at_the_threshold_are_kept(spark):
+    """Pairs of 100 shingles that share exactly 85 (linked) or 84 (not), and chains that only such a link joins."""
+    rng, rows = random.Random(12), []
+    for at in range(300):
+        base = ["p%dx%d" % (at, rng.randrange(10**9)) for _ in range(94)]
+        rows.append((2 * at, " ".join(base)))
+        rows.append((2 * at + 1, " ".join([*base[: 87 - at % 2], *("q%dx%d" % (at, rng.randrange(10**9)) for _ in range(8))])))
+    check(spark, rows, 3, 85)
+
+
+def test_large_mixed_buckets_lose_no_link(spark, monkeypatch):
+    """One band for all texts: a large group, small groups and single texts meet in one bucket."""
+    monkeypatch.setattr(neardup, "CHUNK", 12)
+    monkeypatch.setattr(neardup, "layout", lambda percent: (2, 0))
+    rng, rows = random.Random(8), []
+    for size, share in ((70, 0.02), (9, 0.02), (3, 0.02), (2, 0.03), *((1, 0),) * 25):
+        base = ["w%d" % rng.randrange(5000) for _ in range(90)]
+        rows += [(0, edited(rng, base, rng.random() * share)) for _ in range(size)]
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    check(spark, [(i, t) for i, (_, t) in zip(order, rows, strict=True)], 3, 85)

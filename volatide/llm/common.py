@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -19,11 +20,14 @@ BROADCAST_ROWS = 50_000
 def shared_folder(spark: SparkSession) -> str:
     """The session's folder below the one that the cluster names in spark.checkpoint.dir.
 
-    The setting is read from the session; only where it is unset (tests, a laptop) a temporary folder is used.
+    The setting is read from the session. Where it is unset, a temporary folder is used if driver and workers are one
+    process (local masters: tests, a laptop); a cluster without a shared folder is an error.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\[\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder, which operators need on a cluster")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="volatide-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -61,3 +65,17 @@ def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int) -
             yield function(batch)
 
     return run
+
+
+def unused(columns: list[str], name: str) -> str:
+    """The name, lengthened until no column has it (names are compared without case, as Spark does)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def replaced(df: DataFrame, *names: str) -> DataFrame:
+    """Without the columns whose names an operator is about to give to its output."""
+    gone = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])

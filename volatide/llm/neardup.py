@@ -9,20 +9,25 @@ Two documents are linked when their Jaccard similarity is at least percent / 100
    sketches' XOR estimates how many samples differ, which is precise for high similarities; that of the whole sets
    never exceeds their symmetric difference, so it rules pairs out without loss, sharply up to some hundred shingles.
 2. Equal sets are one node from here on (a class, by fingerprint), so exact copies of any number cost one node.
-3. Nodes that share a band key are candidates. Each bucket (split into pairs of chunks if large) proposes a spanning
-   forest of its most similar pairs by sketch, never all pairs. These are confirmed on full sets.
-4. Components of the confirmed links are found; buckets that still hold several components propose the pairs between
-   different components whose sketches don't rule the link out. These are confirmed too, and components found anew.
+3. Nodes that share a band key are candidates. Each bucket proposes a spanning forest of its most similar pairs by
+   sketch, never all pairs; a bucket of more than CHUNK nodes is dealt DEALS times at random into chunks, so its
+   cost grows in proportion. The pairs are confirmed on full sets and make components.
+4. Buckets that still hold several components propose the pairs between different components whose sketches don't
+   rule the link out. A component with more than CHUNK nodes in a bucket has chunks of its own there, which are not
+   compared with one another; so a large group of near copies that is one component by now costs nothing more, and
+   only what is not linked to it meets it again. These pairs are confirmed too, and components found anew.
 
 Full sets are recomputed only for nodes that are in some pair; a bitmap of fixed size (BITMAP_BITS, so a bounded
-broadcast) tells a second pass over the texts which they are, and a join corrects its false positives.
+broadcast) over a hash of id and text tells a second pass over the texts which they are, and a join corrects its
+false positives.
 
 What can be missed: a link whose ends share no band (under 1e-6 at the threshold) or whose sampled sketches differ by
 more bits than all but MISSED of the pairs at the threshold do (both MinHash's variance and the sketch's are in it).
 
 Defined results: null text counts as empty; rows may repeat, a repeated row gets the result of its equal; rows that
 share an id but not a text are documents of their own; rows with a null id get component_id from their group if any
-member has an id, else null; an empty table gives an empty table; other columns are ignored.
+member has an id, else null (such rows link others as any row does); an empty table gives an empty table; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,8 +49,9 @@ SKETCH_BITS = 512
 WHOLE_BITS = 1024
 #: Share of the pairs at the threshold that the sampled sketches may rule out.
 MISSED = 1e-7
-#: Members of a bucket that are compared in one task; a larger bucket is split into pairs of chunks.
+#: Members of a bucket that are compared at once; a larger bucket is dealt into chunks, DEALS times.
 CHUNK = 512
+DEALS = 2
 BITMAP_BITS = 23
 WORDS_CACHED = 250_000
 
@@ -136,10 +142,9 @@ def _signatures(docs: DataFrame, words: int, percent: float) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches, 512):
-            ids, sizes, prints, keys, sketches = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sizes, prints, keys, sketches = [], [], [], []
+            for text in batch.column("text").to_pylist():
                 found = shingle_set(text, words)
-                ids.append(doc_id)
                 sizes.append(len(found))
                 if not len(found):
                     prints.append(None), keys.append(None), sketches.append(None)
@@ -152,12 +157,12 @@ def _signatures(docs: DataFrame, words: int, percent: float) -> DataFrame:
                 keys.append(key.view(np.int64))
                 sketches.append(odd_sketch(best) + whole_sketch(found))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "n", "node", "bands", "sketch"],
+                [batch.column("doc_id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "row", "n", "print", "bands", "sketch"],
             )
         _HASHES.clear()  # workers are used again by other stages
 
-    return docs.mapInArrow(run, "doc_id long, n long, node binary, bands array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, row long, n long, print binary, bands array<long>, sketch binary")
 
 
 def _in_groups(batches, keys: list[str]):
@@ -250,10 +255,10 @@ def _proposals(members: DataFrame, percent: float, crossing: bool) -> DataFrame:
                 pairs += [(at + i, at + j) for i, j in found]
             if pairs:
                 a, b = (nodes[list(x)] for x in zip(*pairs, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in zip(a, b, strict=True)], pa.binary()), pa.array([max(x) for x in zip(a, b, strict=True)], pa.binary())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
     dealt = members.repartition("key", "unit").sortWithinPartitions("key", "unit", "node")
-    return dealt.mapInArrow(run, "a binary, b binary").where("a < b").distinct()
+    return dealt.mapInArrow(run, "a long, b long").where("a < b").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: float) -> DataFrame:
@@ -272,29 +277,36 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: float) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of the wanted nodes (node, doc_id)."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS))
+    """(node, shingles) of the wanted nodes (node, print, row)."""
+    slot = F.pmod("row", F.lit(1 << BITMAP_BITS))
     held = wanted.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
     bitmap = np.zeros((1 << BITMAP_BITS) // 64, np.int64)
     bitmap[held.column("at").to_numpy()] = held.column("bits").to_numpy()
     bitmap = bitmap.view(np.uint64)
 
     def run(batches):
+        given: set[bytes] = set()  # rows that share id and text are given once a task, as long as this has room
         for batch in slices(batches, 2048):
-            at = batch.column(2).to_numpy()
+            at = batch.column("slot").to_numpy()
             keep = (bitmap[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1
-            kept = batch.filter(pa.array(keep))
-            for part in slices([kept], 256):
-                found = [shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())], ["doc_id", "node", "shingles"])
+            for part in slices([batch.filter(pa.array(keep))], 256):
+                rows, prints, found = [], [], []
+                for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    one = shingle_set(text, words).tobytes()
+                    mark = xxhash.xxh3_128_digest(one)
+                    if mark not in given:
+                        rows.append(row), prints.append(mark), found.append(one)
+                        if len(given) < WORDS_CACHED:
+                            given.add(mark)
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(prints, pa.binary()), pa.array(found, pa.binary())], ["row", "print", "shingles"])
         _HASHES.clear()
 
-    found = docs.withColumn("slot", slot).where("slot is not null and doc_id is not null").mapInArrow(run, "doc_id long, node binary, shingles binary")
-    return found.join(wanted, ["doc_id", "node"]).select("node", "shingles").dropDuplicates(["node"])
+    found = docs.select("row", "text", slot.alias("slot")).mapInArrow(run, "row long, print binary, shingles binary")
+    return found.join(wanted.select("node", "print"), "print").select("node", "shingles").dropDuplicates(["node"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -321,46 +333,74 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """(key, unit, node) from (key, node): buckets of two nodes or more; large ones in random chunks, DEALS times."""
+    shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    chunks = F.ceil(F.col("c") / CHUNK)
+    several = F.array(*[F.lit(i) * chunks + F.pmod(F.xxhash64("node", F.lit(i)), chunks) for i in range(DEALS)])
+    units = F.when(F.col("c") <= CHUNK, F.array(F.lit(0).cast("long"))).otherwise(several)
+    return rows.join(shared, "key").select("key", F.explode(units).alias("unit"), "node")
+
+
+def _parted(members: DataFrame) -> DataFrame:
+    """(key, unit, node, label) from (key, node, label): buckets of several components, in units that hold each pair of nodes of different components together."""
+    sizes = members.groupBy("key", "label").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("c") <= CHUNK, F.col("c")).otherwise(0)).alias("rest"), F.sum("c").alias("all")).where("labels > 1")
+    small = F.col("all") <= CHUNK
+    whole = members.join(mixed.where(small).select("key"), "key").select("key", F.lit("").alias("unit"), "node", "label")
+
+    # Chunks of a large bucket: of a component with many nodes here (own = its label), or of all others together.
+    large = cut(sizes.join(mixed.where(~small).select("key", "rest"), "key"))
+    own = F.when(F.col("c") > CHUNK, F.col("label"))
+    parts = F.when(F.col("c") > CHUNK, F.ceil(F.col("c") / CHUNK)).otherwise(F.ceil(F.col("rest") / CHUNK))
+    chunks = large.select("key", own.alias("own"), parts.alias("parts")).distinct()
+    chunks = chunks.select("key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    chunks = chunks.withColumn("chunk", F.struct(F.coalesce("own", F.lit(-1).cast("long")).alias("own"), "part"))
+    other = chunks.select("key", F.col("own").alias("own2"), F.col("chunk").alias("chunk2"))
+    met = chunks.join(other, "key").where((F.col("chunk") <= F.col("chunk2")) & ~F.coalesce(F.col("own") == F.col("own2"), F.lit(False)))
+    unit = F.concat_ws(":", *[F.col(f"{c}.{f}").cast("string") for c in ("chunk", "chunk2") for f in ("own", "part")])
+    met = met.select("key", F.explode(F.array_distinct(F.array("chunk", "chunk2"))).alias("chunk"), unit.alias("unit"))
+    hashed = F.xxhash64(F.when(F.col("c") > CHUNK, F.col("node")).otherwise(F.col("label")))
+    mine = F.struct(F.coalesce(own, F.lit(-1).cast("long")).alias("own"), F.pmod(hashed, parts).alias("part"))
+    placed = members.join(large, ["key", "label"]).withColumn("chunk", mine)
+    return whole.union(placed.join(met, ["key", "chunk"]).select("key", "unit", "node", "label"))
+
+
 def near_duplicates(df: DataFrame, words: int = 5, percent: float = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     signed = cut(_signatures(docs, words, percent))
-    nodes = cut(
-        signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
-    )
+    # From here on a set is a node, numbered once and for all by the checkpoint.
+    nodes = signed.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
 
-    rows = nodes.select("node", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    live = rows.join(shared, "key")
-    chunks = F.ceil(F.col("c") / CHUNK).cast("int")
-    mine = F.pmod(F.hash("node"), F.col("chunks"))
-    units = F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
-        F.transform(
-            F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("mine")),
-            lambda x: F.least(x, F.col("mine")).cast("long") * F.col("chunks") + F.greatest(x, F.col("mine")),
-        )
-    )
-    live = live.withColumn("chunks", chunks).withColumn("mine", mine).withColumn("unit", F.explode(units)).select("key", "unit", "node")
-    members = cut(live.join(nodes.select("node", "n", "sketch"), "node"))
-
-    pairs = cut(_proposals(members, percent, crossing=False))
+    sketches = nodes.select("node", "n", "sketch")
+    members = cut(_dealt(nodes.select("node", F.explode("bands").alias("key"))))
+    pairs = cut(_proposals(members.join(sketches, "node"), percent, crossing=False))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.select("node", "doc_id").join(ends, "node")
-    sets = cut(_sets(docs, cut(wanted), words))
+    sets = cut(_sets(docs, cut(nodes.select("node", "print", "row").join(ends, "node")), words))
     links = cut(_confirmed(pairs, sets, percent))
     found = cut(components(links))
 
-    # Only members that are in some pair can be in another; unlinked ones are components of their own.
-    again = members.join(ends.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "node")
-    mixed = again.groupBy("key", "unit").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key", "unit")
-    more = _proposals(again.join(mixed, ["key", "unit"]), percent, crossing=True).join(pairs, ["a", "b"], "left_anti")
-    added = cut(_confirmed(more, sets, percent))
-    if not added.isEmpty():
-        found = cut(components(links.union(added)))
+    # A large bucket's deals may have held apart nodes that are in no pair; in a small one these are linked with nothing.
+    held = members.groupBy("key", "node").agg(F.max("unit").alias("unit")).select("key", "node", (F.col("unit") > 0).alias("large"))
+    again = held.join(ends.withColumn("paired", F.lit(True)), "node", "left").where("paired or large").select("key", "node")
+    again = again.join(found, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    more = _proposals(_parted(cut(again)).join(sketches, "node"), percent, crossing=True)
+    more = cut(more.join(pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        ends = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct().join(sets.select("node"), "node", "left_anti")
+        lacking = cut(nodes.select("node", "print", "row").join(ends, "node"))
+        if not lacking.isEmpty():
+            sets = sets.union(cut(_sets(docs, lacking, words)))
+        added = cut(_confirmed(more, sets, percent))
+        if not added.isEmpty():
+            found = cut(components(links.union(added)))
 
     heads = nodes.select("node", "doc_id").join(found, "node").groupBy("label").agg(F.min("doc_id").alias("head"))
     heads = found.join(heads, "label").select("node", "head")
-    heads = nodes.select("node", "doc_id").join(heads, "node", "left").select("node", F.coalesce("head", "doc_id").alias("component_id"))
-    full = signed.where("n > 0").select("doc_id", "n", "node").join(cut(heads), "node").select("doc_id", "n", "component_id")
+    heads = nodes.select("node", "print", "doc_id").join(heads, "node", "left").select("print", F.coalesce("head", "doc_id").alias("component_id"))
+    full = signed.where("n > 0").select("doc_id", "n", "print").join(cut(heads), "print").select("doc_id", "n", "component_id")
     empty = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return full.union(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
