@@ -81,3 +81,25 @@ def test_odd_texts_match_sql(spark, tmp_path):
     want = sorted(con.sql(queries.ORACLES["op9_pii"]).fetchall())
     assert sorted(tuple(r) for r in queries.op9_pii(spark, str(tmp_path)).collect()) == want
     assert sum("iban" in w[-1] for w in want) == 1
+
+
+def test_a_text_full_of_matches_takes_time_in_proportion(spark):
+    import time
+
+    line = "Ünï mail a%d@b.co or call +1 555 123 %04d at 10.0.0.1, "
+    text = "".join(line % (i, i % 10000) for i in range(40_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = pii.redact(pii.find_spans(df)).collect()[0]
+    assert time.time() - began < 60
+    found = [f"{s['kind']}:{s['start']}:{s['end']}" for s in row["pii_spans"]]
+    assert len(found) == 120_000 and found == brute(text)
+    assert row["text"] == "Ünï mail <EMAIL> or call <PHONE> at <IP>, " * 40_000
+
+
+def test_overlapping_spans_are_covered_together_and_names_may_clash(spark):
+    df = spark.createDataFrame([("x 4111 1111 1111 1111@mail.com 😀 +378282246310005 y", 1, 2, 3)], "text string, __pii_wide int, pii_spans int, __PII_card int")
+    out = pii.redact(pii.find_spans(df))
+    assert out.columns == ["text", "__pii_wide", "pii_spans", "__PII_card"]
+    row = out.collect()[0]
+    assert row["text"] == "x <CARD> 😀 <PHONE> y" and (row["__pii_wide"], row["__PII_card"]) == (1, 3)
