@@ -149,5 +149,51 @@ def test_mix_narrows_its_cut_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(mixing, "LAST_DOCS", 1)
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(mixing.mix(df).collect(), key=key) == sorted(whole, key=key)
-    loved = mixing.mix(df, affinity=F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(1.0), total_share=0.5).collect()
-    assert sum(r["taken"] for r in loved if r["doc_id"] % 2 == 0) > 1.5 * sum(r["taken"] for r in loved if r["doc_id"] % 2)
+    loved = mixing.mix(df, affinity=F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.0), total_share=0.5).collect()
+    even = [p for f in (5 / 7, 2 / 7) for p in [f + f * (1 - f) / 2]]  # inclusion probabilities of the sources' even ids
+    assert abs(sum(r["taken"] for r in loved if r["doc_id"] % 2 == 0) - 4500 * sum(even)) < 250
+
+
+def test_mix_takes_longer_documents_more_often_than_a_plain_order(spark):
+    """Equal halves of short and long texts, half of the words needed: shares of documents that the sample takes."""
+    rows = [(i, "s", "w " * (400 if i % 2 else 20)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    share = lambda out: [sum(r["taken"] > 0 for r in out if r["size"] == n) / 3000 for n in (20, 400)]
+    short, long = share(mixing.mix(df, total_share=0.5, ceiling=1.0).collect())
+    g = [20 * 1024 // 120 / 1024, 400 * 1024 // 500 / 1024]
+    mean = (20 * g[0] + 400 * g[1]) / 420
+    assert abs(short - (0.5 + 0.25 * (g[0] - mean))) < 0.03 and abs(long - (0.5 + 0.25 * (g[1] - mean))) < 0.03
+    plain = mixing.mix(df, total_share=0.5, ceiling=1.0, affinity=F.lit(1.0)).collect()
+    assert abs(share(plain)[0] - share(plain)[1]) < 0.03
+    by_u = {r["doc_id"]: r["taken"] for r in plain}
+    assert sum(by_u[r["doc_id"]] != r["taken"] for r in mixing.mix(df, total_share=0.5, ceiling=1.0).collect()) > 200
+
+
+def test_many_rows_without_ids_and_repeated_rows_are_mixed(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LAST_DOCS", 4)
+    rows = [(None, "s", "a b c d %d" % i) for i in range(900)] + [(5, "s", "one row")] * 300
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), total_share=0.6).collect()
+    taken = sum(r["taken"] for r in out)
+    assert len({r["taken"] for r in out if r["doc_id"] == 5}) == 1 and abs(taken - 0.6 * (4500 + 600)) <= 300
+
+
+def test_columns_with_clashing_names(spark):
+    """Internal names in the input are kept; a column with an output's name is replaced."""
+    import public_tokenizers as P
+
+    from volatide.llm import bpe, quality
+
+    rows = [(i, "s%d" % (i % 2), "some words of text %d" % i, 1, 2, 3, 4, 5, 6, 7, 8, 9) for i in range(40)]
+    names = "p_size int, p_source int, e_low int, row int, src int, size int, u int, copies int, rank int"
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, " + names)
+    out = mixing.expand(df)
+    assert out.columns == df.columns and {r[3:] for r in out.collect()} == {tuple(range(1, 10))}
+    assert mixing.mix(df).count() == 40
+    clash = df.select("doc_id", "text", F.lit(1).alias("token_ids"), F.lit(2).alias("Decoded"), F.lit(3).alias("score"), F.lit("x").alias("html"))
+    done = bpe.encode(clash, P.path(queries.BPE_FILE), P.PATTERN, decoded="decoded")
+    assert done.columns == ["doc_id", "text", "score", "html", "token_ids", "decoded"]
+    assert all(bytes(r["decoded"]).decode() == r["text"] for r in done.collect())
+    pages = maintext.extract(clash)
+    assert pages.columns == ["doc_id", "token_ids", "Decoded", "score", "html", "text"] and pages.count() == 40
+    scored = quality.annotate(clash, quality.learn(df, df.select("doc_id", (F.col("doc_id") % 2).alias("quality"))))
+    assert scored.columns == ["doc_id", "text", "token_ids", "Decoded", "html", "score"] and all(0 <= r["score"] <= 1 for r in scored.collect())

@@ -12,7 +12,8 @@ path that is a parameter (they belong to an installed package).
 
 Defined results: null text counts as empty; empty text has no ids and decodes to no bytes; texts of any length are
 encoded whole, in stretches of about a million characters that are cut at single spaces, where matches always
-begin; other columns are kept; repeated rows give repeated results; an empty table gives an empty table.
+begin; other columns are kept, but for those with an output's name, which are replaced; repeated rows give repeated
+results; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from volatide.llm.common import slices
+from volatide.llm.common import add_columns
 
 NONE = np.int32(2**31 - 1)
 #: Longest match (in bytes) that is laid out in a matrix.
@@ -244,28 +245,20 @@ def tokenizer(path: str, pattern: str) -> ByteBPE:
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """Add `ids` (binary); with `decoded`, also the bytes that these ids decode to."""
 
-    def run(batches):
+    def make(batch):
         bpe = tokenizer(path, pattern)
-        for batch in slices(batches, TEXTS_AT_ONCE):
-            found = bpe.encode_texts(batch.column(text).to_pylist())
-            columns = [*batch.columns, pa.array(found, pa.binary())]
-            names = [*batch.schema.names, ids]
-            if decoded is not None:
-                columns.append(pa.array([bpe.decode(x) for x in found], pa.binary()))
-                names.append(decoded)
-            yield pa.RecordBatch.from_arrays(columns, names)
+        found = bpe.encode_texts(batch.column(text).to_pylist())
+        back = [] if decoded is None else [pa.array([bpe.decode(x) for x in found], pa.binary())]
+        return [pa.array(found, pa.binary()), *back]
 
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType()), *([T.StructField(decoded, T.BinaryType())] if decoded else [])])
-    return df.mapInArrow(run, schema)
+    return add_columns(df, [T.StructField(name, T.BinaryType()) for name in (ids, decoded) if name is not None], make, TEXTS_AT_ONCE)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add `out`: the bytes of the ids in a binary column (null: none)."""
 
-    def run(batches):
+    def make(batch):
         bpe = tokenizer(path, pattern)
-        for batch in slices(batches, TEXTS_AT_ONCE):
-            found = pa.array([bpe.decode(x or b"") for x in batch.column(ids).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, out])
+        return [pa.array([bpe.decode(x or b"") for x in batch.column(ids).to_pylist()], pa.binary())]
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
+    return add_columns(df, [T.StructField(out, T.BinaryType())], make, TEXTS_AT_ONCE)

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The words of every contract: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,16 +58,6 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
-def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int) -> Callable:
-    """A mapInArrow function that applies `function` to bounded batches."""
-
-    def run(batches):
-        for batch in slices(batches, rows):
-            yield function(batch)
-
-    return run
-
-
 def unused(columns: list[str], name: str) -> str:
     """The name, lengthened until no column has it (names are compared without case, as Spark does)."""
     taken = {c.lower() for c in columns}
@@ -75,7 +66,15 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
-def replaced(df: DataFrame, *names: str) -> DataFrame:
-    """Without the columns whose names an operator is about to give to its output."""
-    gone = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[pa.RecordBatch], list[pa.Array]], rows: int) -> DataFrame:
+    """The frame with these columns, made from bounded batches of all of its columns; existing columns of their names are replaced."""
+    new = {f.name.lower() for f in fields}
+    kept = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in new]
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), *fields])
+    names = schema.names
+
+    def run(batches):
+        for batch in slices(batches, rows):
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *make(batch)], names)
+
+    return df.mapInArrow(run, schema)

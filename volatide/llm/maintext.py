@@ -11,7 +11,8 @@ comments around and inside articles, in several markups. A page's own words play
 link shares. Training takes seconds, once a driver process, from a fixed seed.
 
 Defined results: null html counts as empty; a page without content has empty text; pages are processed whole; a
-page's result depends on its html alone, so repeated rows tie; an empty table gives an empty table; other columns stay.
+page's result depends on its html alone, so repeated rows tie; an empty table gives an empty table; other columns stay,
+but for one with the output's name, which is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from volatide.llm.common import slices
+from volatide.llm.common import add_columns
 from volatide.llm.dom import Page
 
 # Words in class, id, role or label that tell what a part is for.
@@ -285,9 +286,7 @@ def extract(df: DataFrame, html: str = "html", text: str = "text", model: Model
     """Add `text`: the main text of each page."""
     used = model or trained()
 
-    def run(batches):
-        for batch in slices(batches, 256):
-            found = pa.array([used.text(h) for h in batch.column(html).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, text])
+    def make(batch):
+        return [pa.array([used.text(h) for h in batch.column(html).to_pylist()], pa.string())]
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
+    return add_columns(df, [T.StructField(text, T.StringType())], make, 256)

@@ -5,18 +5,25 @@ its source's words and the excess is shared again by weight, until none is above
 form over the table of sources).
 
 Copies: with ratio = target / words of the source, every document first gets floor(ratio) certain whole copies. What
-is left of the target is met by a fixed-size sample: each document has an inclusion probability p (the fraction
-left, times its relative `affinity` if given) and a uniform number u from a hash of its id; documents are ranked by
-Pareto's (u / (1-u)) / (p / (1-p)) and taken from the smallest until the words left are met; the cut is put where
-the taken words come nearest to the target. So a document is taken at most ceil(ratio) <= `ceiling` times.
+is left of the target, a fraction f of the source's words, is met by a fixed-size sample with unequal probabilities.
+A document's affinity g is a number from 0 to 1: by default size / (size + HALF_WORDS), so longer documents are
+likelier; any other column may be given. Its inclusion probability is
+
+    p = f + f (1 - f) (g - mean of g over the source's words)
+
+which is always between 0 and 1 and makes the expected words exactly those that are left. With a uniform number u from
+a hash of its id, documents are ranked by Pareto's (u / (1-u)) / (p / (1-p)) and taken from the smallest until the
+words left are met; the cut is put where the taken words come nearest to the target. So a document is taken at most
+ceil(ratio) <= `ceiling` times. Affinities are rounded down to STEPS-ths, so that sums of them are exact.
 
 Where the cut lies is found without gathering a source: ranks are counted in 256 equal bins per source (partial
 sums first), the bin that holds the cut is split again into 256, and so on until it holds few documents; only these
 are ordered. So a source with a third of all rows needs no large task.
 
 Defined results: null text has size 0; sources order by code point with null as the last source of its own;
-documents of size 0 and documents of sources without words take 0; repeated rows are documents of their own with
-equal ranks, ordered by size, so that reruns agree; an empty table gives an empty table.
+documents of size 0 and documents of sources without words take 0; a null id is replaced by a hash of the text; rows
+that share id and size have equal ranks and are taken together or not at all, so that reruns agree; null affinities
+count as 0; an empty table gives an empty table; `expand` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +34,8 @@ from pyspark.sql import functions as F
 from volatide.llm.common import WORD, checked_broadcast, cut
 
 BINS = 256
+HALF_WORDS = 100
+STEPS = 1024
 #: Documents around a cut that may be ordered in one task.
 LAST_DOCS = 4096
 
@@ -36,9 +45,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number in (0, 1) from 52 bits of a hash of the id."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10)
+def uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number in (0, 1) from 52 bits of a hash of the id (of the text's, where the id is null)."""
+    name = F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit(""))))
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 13), 16, 10)
     return (bits.cast("long").cast("double") + 0.5) / float(2**52)
 
 
@@ -69,37 +79,42 @@ class Mix:
 
 
 def _measured(docs: DataFrame, seed: str, affinity: Column | None) -> DataFrame:
-    relative = F.lit(1.0) if affinity is None else F.greatest(affinity.cast("double"), F.lit(1e-6))
-    return docs.withColumns({"__mix_size": words(F.col("text")), "__mix_u": uniform(F.col("doc_id"), seed), "__mix_a": relative})
+    """(row: all columns, src, size, u, g) of every row."""
+    size = words(F.col("text"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("src"), size.alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"), *([] if affinity is None else [affinity.cast("double").alias("a")]))
+    if affinity is None:
+        return whole.withColumn("g", F.expr(f"size * {STEPS} div (size + {HALF_WORDS})"))
+    inside = F.when(F.col("a") >= 1, 1.0).when(F.col("a") > 0, F.col("a")).otherwise(0.0)
+    return whole.withColumn("g", F.floor(inside * STEPS).cast("long")).drop("a")
 
 
 def _ranked(measured: DataFrame, plan: DataFrame) -> DataFrame:
     """With the source's plan and the Pareto rank in (0, 1), null where no sample is needed."""
-    joined = measured.join(checked_broadcast(plan), F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
-    p = F.try_divide(F.col("p_need"), F.col("p_size")) * F.col("__mix_a") / F.col("p_mean")
-    p = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
-    odds = (F.col("__mix_u") / (1 - F.col("__mix_u"))) / (p / (1 - p))
-    live = (F.col("__mix_size") > 0) & (F.col("p_need") > 0)
-    return joined.withColumn("__mix_rank", F.when(live, odds / (1 + odds)))
+    joined = measured.join(checked_broadcast(plan), F.col("src").eqNullSafe(F.col("p_source"))).drop("p_source")
+    left = F.try_divide(F.col("p_need"), F.col("p_size"))
+    p = left + left * (1 - left) * (F.col("g") / STEPS - F.col("p_mean"))
+    odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
+    live = (F.col("size") > 0) & (F.col("p_need") > 0)
+    return joined.withColumn("rank", F.when(live, odds / (1 + odds)))
 
 
 def decide(
     docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), total_share: float = 1.5, ceiling: float = 2.0, seed: str = "mix", affinity: Column | None = None
 ) -> Mix:
-    measured = cut(_measured(docs, seed, affinity).select("source", "__mix_size", "__mix_u", "__mix_a"))
-    weighed = F.try_divide(F.sum(F.col("__mix_a") * F.col("__mix_size")), F.sum("__mix_size"))
-    totals = cut(measured.groupBy("source").agg(F.sum("__mix_size").alias("source_size"), weighed.alias("p_mean")))
-    goals = targets(totals.select("source", "source_size"), weights, total_share, ceiling).withColumnRenamed("source", "p_source")
-    plan = goals.join(totals.select("source", "p_mean"), F.col("p_source").eqNullSafe(F.col("source"))).drop("source")
+    measured = cut(_measured(docs, seed, affinity).select("src", "size", "u", "g"))
+    mean = F.try_divide(F.sum(F.col("g") * F.col("size")).cast("double"), F.sum("size").cast("double")) / STEPS
+    totals = cut(measured.groupBy("src").agg(F.sum("size").alias("source_size"), mean.alias("p_mean")))
+    goals = targets(totals.select(F.col("src").alias("source"), "source_size"), weights, total_share, ceiling).withColumnRenamed("source", "p_source")
+    plan = goals.join(totals.select("src", "p_mean"), F.col("p_source").eqNullSafe(F.col("src"))).drop("src")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.select("p_source", F.col("source_size").alias("p_size"), F.col("target").alias("p_target"), "p_mean", F.floor(ratio).alias("p_whole"))
     plan = cut(plan.withColumn("p_need", F.greatest(F.lit(0.0), F.col("p_target") - F.col("p_whole") * F.col("p_size"))))
 
     # Narrow the interval that holds each source's cut: `low` is its beginning, `met` words lie before it.
-    places = _ranked(measured, plan).where("__mix_rank is not null").select("source", F.col("__mix_size").alias("size"), F.col("__mix_rank").alias("rank"))
+    places = _ranked(measured, plan).where("rank is not null").select("src", "size", "rank")
     edges = plan.select("p_source", F.col("p_need").alias("need"), F.lit(0.0).alias("low"), F.lit(1.0).alias("width"), F.lit(0.0).alias("met"))
     while True:
-        inside = places.join(checked_broadcast(edges), F.col("source").eqNullSafe(F.col("p_source"))).where("rank >= low and rank < low + width")
+        inside = places.join(checked_broadcast(edges), F.col("src").eqNullSafe(F.col("p_source"))).where("rank >= low and rank < low + width")
         slot = F.least(F.floor((F.col("rank") - F.col("low")) / F.col("width") * BINS), F.lit(BINS - 1))
         bins = inside.groupBy("p_source", "need", "low", "width", "met", slot.alias("slot")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
         running = Window.partitionBy("p_source").orderBy("slot")
@@ -121,35 +136,38 @@ def decide(
             break
 
     # Order the few documents of the interval. One that would end nearer to the target if left out is left out.
-    near = places.join(checked_broadcast(edges), F.col("source").eqNullSafe(F.col("p_source"))).where("rank >= low and rank < low + width")
+    near = places.join(checked_broadcast(edges), F.col("src").eqNullSafe(F.col("p_source"))).where("rank >= low and rank < low + width")
+    # Equal ranks and sizes (repeated rows, however many) are one line here.
+    near = near.groupBy("p_source", "need", "met", "rank", "size").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("p_source").orderBy("rank", "size").rowsBetween(Window.unboundedPreceding, -1)
-    near = near.withColumn("before", F.col("met") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    last = near.where(F.col("before") + F.col("size") / 2 <= F.col("need")).groupBy("p_source").agg(F.max(F.struct("rank", "size")).alias("last"))
+    near = near.withColumn("before", F.col("met") + F.coalesce(F.sum("words").over(order), F.lit(0)))
+    last = near.where(F.col("before") + F.col("words") / 2 <= F.col("need")).groupBy("p_source").agg(F.max(F.struct("rank", "size")).alias("last"))
     ends = edges.select("p_source", "low").join(last.withColumnRenamed("p_source", "l_source"), F.col("p_source").eqNullSafe(F.col("l_source")), "left")
     return Mix(plan, cut(ends.select(F.col("p_source").alias("e_source"), F.col("low").alias("e_low"), F.col("last").alias("e_last"))), seed, affinity)
 
 
 def with_copies(docs: DataFrame, mix: Mix) -> DataFrame:
-    """Add __mix_size, p_size, p_target and __mix_copies to every row; texts aren't shuffled while the plan is broadcast."""
+    """(row: all columns, size, p_size, p_target, copies) of every row; texts aren't shuffled while the plan is broadcast."""
     ranked = _ranked(_measured(docs, mix.seed, mix.affinity), mix.plan)
-    joined = ranked.join(checked_broadcast(mix.ends), F.col("source").eqNullSafe(F.col("e_source")), "left")
-    here = F.struct(F.col("__mix_rank").alias("rank"), F.col("__mix_size").alias("size"))
+    joined = ranked.join(checked_broadcast(mix.ends), F.col("src").eqNullSafe(F.col("e_source")), "left")
+    here = F.struct("rank", "size")
     # A source without an interval needs more words than its ranked documents have: all are taken.
-    taken = F.col("e_low").isNull() | (F.col("__mix_rank") < F.col("e_low")) | F.coalesce(here <= F.col("e_last"), F.lit(False))
-    copies = F.col("p_whole") + F.when(F.col("__mix_rank").isNotNull() & taken, 1).otherwise(0)
-    return joined.withColumn("__mix_copies", F.when(F.col("__mix_size") > 0, copies).otherwise(F.lit(0)).cast("long"))
+    taken = F.col("e_low").isNull() | (F.col("rank") < F.col("e_low")) | F.coalesce(here <= F.col("e_last"), F.lit(False))
+    copies = F.col("p_whole") + F.when(F.col("rank").isNotNull() & taken, 1).otherwise(0)
+    return joined.select("row", "size", "p_size", "p_target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of all documents; copies * size = taken."""
-    done = with_copies(docs.select("doc_id", "source", "text"), decide(docs, **options))
-    done = done.select("doc_id", "source", F.col("__mix_size").alias("size"), F.col("p_size").alias("source_size"), F.col("p_target").alias("target"), F.col("__mix_copies").alias("copies"))
+    """(doc_id, source, size, source_size, target, copies, taken) of all documents; copies * size = taken.
+
+    An `affinity` is a column over doc_id, source and text.
+    """
+    done = with_copies(docs.select("doc_id", "source", "text"), decide(docs.select("doc_id", "source", "text"), **options))
+    done = done.select("row.doc_id", "row.source", "size", F.col("p_size").alias("source_size"), F.col("p_target").alias("target"), "copies")
     return done.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def expand(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken."""
-    columns = docs.columns
-    done = with_copies(docs, decide(docs, **options)).where("__mix_copies > 0")
-    repeated = done.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("__mix_copies").cast("int"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in columns])
+    """The mix itself: each document as often as it is taken, with all its columns."""
+    done = with_copies(docs, decide(docs, **options)).where("copies > 0")
+    return done.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -39,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volatide.llm.common import cut, slices
@@ -366,14 +366,24 @@ def _parted(members: DataFrame) -> DataFrame:
     return whole.union(placed.join(met, ["key", "chunk"]).select("key", "unit", "node", "label"))
 
 
+def text_hash(doc_id: Column, text: Column) -> Column:
+    """Together with the id, what a row is found by again."""
+    return F.xxhash64(doc_id, text, doc_id.isNull())
+
+
 def near_duplicates(df: DataFrame, words: int = 5, percent: float = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+    """(doc_id, n_shingles, component_id, kept, text_hash, first) of every row.
+
+    `first` is true for the one document that stands for its group: the least id (null last), then the least text_hash;
+    documents without words stand for themselves. A row is found again by its id and `text_hash`.
+    """
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    docs = docs.withColumn("row", text_hash(F.col("doc_id"), F.col("text")))
     signed = cut(_signatures(docs, words, percent))
     # From here on a set is a node, numbered once and for all by the checkpoint.
-    nodes = signed.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
-    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    nodes = signed.where("n > 0").groupBy("print").agg(F.min(rank).alias("rank"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    nodes = cut(nodes.withColumns({"node": F.monotonically_increasing_id(), "row": F.col("rank.row")}))
 
     sketches = nodes.select("node", "n", "sketch")
     members = cut(_dealt(nodes.select("node", F.explode("bands").alias("key"))))
@@ -398,9 +408,13 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: float = 80, doc_id:
         if not added.isEmpty():
             found = cut(components(links.union(added)))
 
-    heads = nodes.select("node", "doc_id").join(found, "node").groupBy("label").agg(F.min("doc_id").alias("head"))
+    heads = nodes.select("node", "rank").join(found, "node").groupBy("label").agg(F.min("rank").alias("head"))
     heads = found.join(heads, "label").select("node", "head")
-    heads = nodes.select("node", "print", "doc_id").join(heads, "node", "left").select("print", F.coalesce("head", "doc_id").alias("component_id"))
-    full = signed.where("n > 0").select("doc_id", "n", "print").join(cut(heads), "print").select("doc_id", "n", "component_id")
-    empty = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return full.union(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    heads = nodes.select("node", "print", "rank").join(heads, "node", "left").select("print", F.coalesce("head", "rank").alias("head"))
+    full = signed.where("n > 0").select("doc_id", "row", "n", "print").join(cut(heads), "print").select("doc_id", "row", "n", "head")
+    empty = signed.where("n = 0").select("doc_id", "row", "n", rank.alias("head"))
+    component = F.col("head.doc_id")
+    first = F.col("doc_id").eqNullSafe(component) & (F.col("row") == F.col("head.row"))
+    return full.union(empty).select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("row").alias("text_hash"), first.alias("first")
+    )

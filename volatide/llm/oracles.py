@@ -38,21 +38,29 @@ FROM p GROUP BY conv_id
     "op8_mix_sources": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+    (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM documents
-), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+), a AS (SELECT *, (size * 1024) // (size + 100) AS g FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, sum(g * size)::DOUBLE / sum(size)::DOUBLE / 1024 AS mean FROM a GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, source_size * 2.0::DOUBLE AS cap FROM s),
 v AS (
   SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
   FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), l AS (SELECT min_by(level, cap / weight) AS level FROM v WHERE level <= cap / weight),
-g AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM l) * weight, cap)) AS target FROM w),
+g AS (SELECT source, source_size, mean, least(cap, coalesce((SELECT level FROM l) * weight, cap)) AS target FROM w),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM g),
 n AS (SELECT *, greatest(0.0, target - whole * source_size) AS need FROM q),
-x AS (SELECT d.doc_id, d.size, d.u, n.*, d.size > 0 AND n.need > 0 AS live FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source),
-c AS (SELECT *, coalesce(sum(size) FILTER (live) OVER (PARTITION BY source ORDER BY u, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x)
+x AS (
+  SELECT a.doc_id, a.size, a.u, a.g, n.*, a.size > 0 AND n.need > 0 AS live, CASE WHEN n.source_size > 0 THEN n.need / n.source_size END AS f
+  FROM a JOIN n ON a.source IS NOT DISTINCT FROM n.source
+), p AS (SELECT *, f + f * (1 - f) * (g / 1024.0::DOUBLE - mean) AS p FROM x),
+o AS (SELECT *, CASE WHEN live THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM p),
+c AS (
+  SELECT *, sum(size) OVER (PARTITION BY source, live, odds, size) AS tied,
+    sum(size) FILTER (live) OVER (PARTITION BY source ORDER BY odds NULLS LAST, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM o
+)
 SELECT doc_id, size, source_size, target,
-  (CASE WHEN size = 0 THEN 0 ELSE whole + CASE WHEN live AND before + size / 2.0 <= need THEN 1 ELSE 0 END END * size)::BIGINT AS taken
+  (CASE WHEN size = 0 THEN 0 ELSE whole + CASE WHEN live AND upto - tied / 2.0 <= need THEN 1 ELSE 0 END END * size)::BIGINT AS taken
 FROM c
 """,
     "op10_exact_top_k": r"""

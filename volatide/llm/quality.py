@@ -1,9 +1,11 @@
 """Quality scores: random Fourier features of document statistics, ridge regression, isotonic calibration.
 
-A document's whole text makes a vector of statistics (STATISTICS); nothing else of it enters its score. Labelled rows train the model: their standardised statistics are mapped to random Fourier features
-(an approximate Gaussian kernel), each partition sums its normal equations for each of FOLDS folds, and the sums of
-the few partitions are solved on the driver. Scores of the folds' rows under models without their fold are calibrated
-by isotonic regression (pool adjacent violators).
+A document's whole text makes a vector of statistics (STATISTICS); nothing else of it enters its score. Two of them
+describe how the text ends (its last TAIL_WORDS words) beside the same measure of all of it, for junk that follows
+prose. Labelled rows train the model: their standardised statistics are mapped to random Fourier features (an
+approximate Gaussian kernel), each partition sums its normal equations for each of FOLDS folds, and the sums of the
+few partitions are solved on the driver. Scores of the folds' rows under models without their fold are calibrated by
+isotonic regression (pool adjacent violators).
 
 Bounds, as documented parameters: at most `max_rows` labelled rows are used, picked by a hash of the id when there
 are more; they are summed in FIT_PARTITIONS partitions. Statistics and scores cover all documents.
@@ -11,7 +13,8 @@ are more; they are summed in FIT_PARTITIONS partitions. Statistics and scores co
 Defined results: null and empty texts have the statistics of an empty text and get a score like any other; a
 document's score depends on its text alone, so repeated rows tie; a document that is labelled twice trains with the
 mean label; labels that are null are ignored; without labels of both classes every score is the mean label (0.5
-without labels); an empty table gives an empty table; extra columns are ignored.
+without labels); an empty table gives an empty table; extra columns are ignored (`annotate` keeps them, but replaces
+one with the name of its score).
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volatide.llm.common import cut, slices
+from volatide.llm.common import add_columns, cut, slices
 
 STATISTICS = (
     "log_bytes", "log_words", "word_bytes", "distinct_words", "repeated_neighbours", "pipes", "upper", "digits", "exclamations",
@@ -137,7 +140,8 @@ def fit(labelled: DataFrame) -> Model:
     model = Model(np.array(sums["mean"]), np.array(sums["scale"]))
     size = FEATURES + d + 1
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
-    dealt = labelled.select("stats", "label", fold.alias("fold")).repartition(FIT_PARTITIONS, F.xxhash64("stats"))
+    # By id, so that copies of one text spread over all tasks.
+    dealt = labelled.select("stats", "label", fold.alias("fold"), "doc_id").repartition(FIT_PARTITIONS, F.xxhash64("doc_id")).drop("doc_id")
 
     def summed(batches):
         total = np.zeros((FOLDS, size, size + 1))
@@ -183,12 +187,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 def annotate(docs: DataFrame, model: Model, score: str = "score", text: str = "text") -> DataFrame:
     """Add `score` to every row, in one pass over the whole texts."""
 
-    def run(batches):
-        for batch in slices(batches, 512):
-            found = model.score(np.array([statistics(t) for t in batch.column(text).to_pylist()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, score])
+    def make(batch):
+        found = np.array([statistics(t) for t in batch.column(text).to_pylist()]).reshape(-1, len(STATISTICS))
+        return [pa.array(model.score(found))]
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
+    return add_columns(docs, [T.StructField(score, T.DoubleType())], make, 512)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 20_000) -> DataFrame:

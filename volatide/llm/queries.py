@@ -20,7 +20,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
