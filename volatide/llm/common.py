@@ -71,10 +71,11 @@ def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[pa.R
     new = {f.name.lower() for f in fields}
     kept = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in new]
     schema = T.StructType([*(df.schema.fields[i] for i in kept), *fields])
-    names = schema.names
+    before, names = df.columns, schema.names
 
     def run(batches):
         for batch in slices(batches, rows):
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *make(batch)], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *make(batch.rename_columns(before))], names)
 
-    return df.mapInArrow(run, schema)
+    # Numbered on their way in: names with dots can't be passed.
+    return df.toDF(*[f"c{i}" for i in range(len(before))]).mapInArrow(run, schema)
