@@ -3,8 +3,10 @@
 quality: documents that the classifier rejects go. near_duplicates: one document of each group stays (five-word
 shingles, similarity 0.8). pii: confirmed spans are replaced by their kind. mixing: documents are repeated or left out
 so that sources meet their target weights. byte_bpe: texts become token ids, which are decoded and compared.
-All stages but the last return the columns of documents. Ids are expected to be unique: rows that share an id stay or
-go together, and of equal rows one stays.
+All stages but the last return the columns of documents, whatever other columns there are and whatever their names. A
+document is its id and text: of rows that share both, one stays (by a hash of all its columns); rows that share an id
+but not a text are documents of their own; null ids count as equal. Null texts are scored and kept or dropped as
+empty ones; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -16,28 +18,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volatide.llm import bpe, mixing, neardup, pii, quality
-from volatide.llm.common import shared_folder, table
+from volatide.llm.common import shared_folder, table, unused
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~quality.held_out())
-    scored = quality.annotate(docs, quality.learn(docs, labels), "__quality")
-    return scored.where(F.col("__quality") >= 0.5).drop("__quality")
+    name = unused(docs.columns, "__quality")
+    scored = quality.annotate(docs, quality.learn(docs, labels), name)
+    return scored.where(F.col(name) >= 0.5).drop(name)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     found = neardup.near_duplicates(docs, words=5, percent=80)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id", "text"])
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = lambda doc_id, text_hash: F.struct(F.coalesce(doc_id.cast("long"), F.lit(0)), text_hash).alias("key")
+    gone = found.where(~F.col("first")).select(key(F.col("doc_id"), F.col("text_hash"))).distinct()
+    mine = key(F.col("doc_id"), neardup.text_hash(F.col("doc_id").cast("long"), F.col("text")))
+    left = docs.select(mine, F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("order")).join(gone, "key", "left_anti")
+    # Only documents whose rows repeat need to meet.
+    repeated = docs.select(mine).groupBy("key").count().where("count > 1").select("key")
+    one = left.join(repeated, "key", "left_semi").groupBy("key").agg(F.min_by("row", "order").alias("row"))
+    return left.join(repeated, "key", "left_anti").select("row.*").union(one.select("row.*"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = pii.redact(pii.find_spans(docs, out="__spans"), spans="__spans").drop("__spans")
+    spans = unused(docs.columns, "__spans")
+    masked = pii.redact(pii.find_spans(docs, out=spans), spans=spans).drop(spans)
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
