@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from volatide.llm import chat, maintext, mixing, queries
@@ -87,37 +88,98 @@ def test_marginals_match_enumeration():
     assert np.allclose(odds, np.log(weight[:, 1] / weight[:, 0]))
 
 
-def test_pseudo_likelihood_matches_brute_force_and_learns(spark):
-    rng = np.random.default_rng(2)
+def lm_rows(rng):
+    """Texts in which words follow one another, noise, and odd ones; two texts with words of their own, twice."""
     texts = [" ".join(f"w{k}" for k in (np.arange(60) + rng.integers(50)) % 50) for _ in range(300)]
     noise = " ".join(f"w{k}" for k in rng.integers(0, 50, 60))
-    rows = [(i, t, 1) for i, t in enumerate([*texts, noise, None, "", "w1", "w1 w2 " * 60_000, texts[0]])]
+    odd = [noise, None, "", "w1", "w1 W2 " * 60_000, texts[0], " ".join(f"rare{k}" for k in range(40)), "w3 rare1 rare2 rare1"]
+    return [(i, t, 1) for i, t in enumerate([*texts, *odd])]
+
+
+def by_hand(model, text, counts):
+    """Log-probabilities of each token: a position at a time, shares from plain counts."""
+    import xxhash
+
+    code_of = dict(zip(model.vocabulary.hashes.tolist(), model.vocabulary.codes.tolist(), strict=True))
+    hashes = [xxhash.xxh3_64_intdigest(w) for w in lm.words(text)]
+    codes = [code_of.get(h, lm.TAIL) for h in hashes]
+    totals = np.zeros(lm.CODES)
+    for h, n in counts.items():
+        totals[code_of.get(h, lm.TAIL)] += n
+    out = []
+    for at, c in enumerate(codes):
+        around = np.array([[codes[at + o] if 0 <= at + o < len(codes) else lm.PAD for o in range(-lm.SIDE, lm.SIDE + 1) if o]])
+        embed, w1, b1, w2, b2, w3, b3 = (w.astype(float) for w in model.network.w)
+        h = np.tanh(embed[around].reshape(1, -1) @ w1 + b1)[0]
+        z, y = h @ w2 + b2, h @ w3[c >> 6] + b3[c >> 6]
+        out.append(z[c >> 6] - np.log(np.exp(z).sum()) + y[c & 63] - np.log(np.exp(y).sum()) + np.log(counts.get(hashes[at], 0.5) / max(1, totals[c])))
+    return out
+
+
+@pytest.mark.parametrize("known", [lm.KNOWN, 12])
+def test_pseudo_likelihood_matches_brute_force_and_learns(spark, monkeypatch, known):
+    """With all words known, and with most of them in the tail, whose counts are joined."""
+    from collections import Counter
+
+    import xxhash
+
+    monkeypatch.setattr(lm, "KNOWN", known)
+    monkeypatch.setattr(lm, "WORDS_CACHED", 30)
+    rows = lm_rows(np.random.default_rng(2))
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int").repartition(3)
-    vocabulary, network = model = lm.fit(df)
-    counts = lm.corpus_counts(df)
-    assert counts.sum() == sum(len((t or "").split()) for _, t, _ in rows)
-    shares = np.bincount(vocabulary.group, np.exp(vocabulary.log_share))
-    assert np.allclose(shares[np.bincount(vocabulary.group) > 0], 1)
+    model = lm.Model(df)
+    counts = Counter(xxhash.xxh3_64_intdigest(w) for _, t, _ in rows for w in lm.words(t))
+    assert {r["h"] % 2**64: r["n"] for r in model.counts.collect()} == dict(counts)
+    assert len(model.vocabulary.hashes) == (len(counts) if known > 12 else max(k for k in range(13) if k == sum(n >= sorted(counts.values())[-k] for n in counts.values())))
+    assert model.network.positions == sum(counts.values())  # all positions of whole texts train
     found = {r["doc_id"]: r for r in lm.score(df, model).collect()}
-    assert found[0]["log_probability"] == found[305]["log_probability"]
+    assert found[0]["log_probability"] == found[305]["log_probability"] and len(found) == len(rows)
     assert (found[301]["n_tokens"], found[301]["log_probability"], found[302]["mean_log_probability"]) == (0, 0.0, 0.0)
-    for i, text, _ in rows[:3] + rows[300:304]:
-        t, total = lm.tokens(text), 0.0
-        for at in range(len(t)):
-            around = [vocabulary.group[t[at + o]] if 0 <= at + o < len(t) else lm.PAD for o in range(-lm.SIDE, lm.SIDE + 1) if o]
-            z = network.forward(np.array([around]))[2][0].astype(float)
-            total += z[vocabulary.group[t[at]]] - np.log(np.exp(z).sum()) + vocabulary.log_share[t[at]]
-        assert abs(total - found[i]["log_probability"]) < 1e-2
-    assert found[0]["mean_log_probability"] > found[300]["mean_log_probability"] + 0.5
+    for i in (0, 1, 300, 303, 306, 307):
+        assert abs(sum(by_hand(model, rows[i][1], counts)) - found[i]["log_probability"]) < 1e-2
+    if known > 12:
+        assert found[0]["mean_log_probability"] > found[300]["mean_log_probability"] + 0.5
+        unigram = np.mean([np.log(counts[xxhash.xxh3_64_intdigest(w)] / sum(counts.values())) for w in lm.words(rows[0][1])])
+        assert found[0]["mean_log_probability"] > unigram + 1
+    other = lm.score(spark.createDataFrame([(1, "w1 never seen", 0)], "doc_id long, text string, n_tokens int"), model).collect()[0]
+    assert abs(sum(by_hand(model, "w1 never seen", counts)) - other["log_probability"]) < 1e-2
     assert lm.score(df.where("1 = 0")).count() == 0
 
 
-def test_all_positions_of_whole_texts_train(spark):
-    rng = np.random.default_rng(5)
-    rows = [(i, " ".join(f"word{k}" for k in rng.integers(0, 90, n))) for i, n in enumerate([3000, 1, 17, 250, 0, 900])]
-    df = spark.createDataFrame([*rows, (9, None)], "doc_id long, text string").repartition(3)
-    vocabulary, network = lm.fit(df)
-    assert network.positions == lm.start(df, vocabulary).positions == sum(len(t.split()) for _, t in rows)
+def test_each_position_is_a_distribution_over_all_words():
+    rng = np.random.default_rng(4)
+    network = lm.Network([rng.normal(0, 0.5, w.shape).astype(np.float32) for w in lm.Network().w])
+    around = np.repeat(rng.integers(0, lm.CODES + 1, (1, 2 * lm.SIDE)), lm.CODES, axis=0)
+    assert abs(np.exp(network.log_probability(around, np.arange(lm.CODES))).sum() - 1) < 1e-4
+    counts = np.sort(rng.integers(1, 1000, 9000))
+    v = lm.Vocabulary(np.arange(9000, dtype=np.uint64), counts, int(counts.sum()) + 77)
+    shares = np.bincount(v.codes, np.exp(v.shares), minlength=lm.CODES)
+    assert np.allclose(shares[np.unique(v.codes)], 1) and (v.codes != lm.TAIL).all() and v.tail == 77
+    assert np.bincount(v.codes, minlength=lm.CODES)[: lm.FREQUENT].max() == 1 and counts[v.codes < lm.FREQUENT].min() >= counts[v.codes >= lm.FREQUENT].max()
+
+
+def test_gradients_match_differences():
+    rng = np.random.default_rng(6)
+    network = lm.Network([rng.normal(0, 0.3, w.shape) for w in lm.Network().w])
+    around, target = rng.integers(0, 40, (50, 2 * lm.SIDE)), rng.integers(0, 300, 50)
+    before = [w.copy() for w in network.w]
+    memory = [np.full_like(w, 1e12) for w in network.w]  # so that a step is the gradient, scaled
+    network.step(around, target, memory, 1e6)
+    for k, place in ((0, (3, 2)), (1, (5, 7)), (2, (4,)), (3, (2, 1)), (4, (2,)), (5, (1, 3, 5)), (6, (2, 9))):
+        values = []
+        for d in (1e-3, -1e-3):
+            moved = [w.copy() for w in before]
+            moved[k][place] += d
+            values.append(-lm.Network(moved).log_probability(around, target).mean())
+        assert abs((values[0] - values[1]) / 2e-3 - (before[k][place] - network.w[k][place])) < 1e-4
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_DOCS", 64)
+    df = spark.createDataFrame(lm_rows(np.random.default_rng(9)), "doc_id long, text string, n_tokens int")
+    key = lambda r: r["doc_id"]
+    two, nine = (sorted(lm.score(df.repartition(n)).collect(), key=key) for n in (2, 9))
+    assert all(abs(a["mean_log_probability"] - b["mean_log_probability"]) < 1e-4 for a, b in zip(two, nine, strict=True))
 
 
 def test_mix_meets_targets(spark):

@@ -1,247 +1,410 @@
 """Scoring documents by masked pseudo-likelihood of a bidirectional window network.
 
 Every token is predicted from the tokens on both sides of it, never from itself; a document's score is the sum of
-its tokens' conditional log-probabilities. Tokens are words (ASCII letters lower-cased) in BUCKETS hash buckets; a
-bucket's class is its rank by corpus count up to CLASSES - GROUPS, and one of GROUPS shared classes beyond.
+its tokens' conditional log-probabilities. Tokens are words (ASCII letters lower-cased), known by 64-bit hashes.
 
-    log p(token | both sides) = log p(class | both sides) + log p(bucket | class)
+Words are counted exactly over the whole corpus, in a distributed table that grows with it. Codes are made from it:
+the FREQUENT most frequent words have a code each; words that are less frequent, up to KNOWN words, share BANDS codes
+with words of like rank; all rarer words (the tail) share one code. A code has a class and a place in it, and
 
-The first term is a network trained in numpy: embeddings of the SIDE classes on each side, one tanh layer, softmax
-over classes. The second is the bucket's share of its class in the counts of the whole corpus.
+    log p(word | both sides) = log p(class | both sides) + log p(place | class, both sides) + log p(word | code)
 
-Corpus counts cover every token of every document, summed on the executors. Training: a start is fitted in one task
-to the whole texts of START_DOCS documents; then every partition goes on from it over all positions of all its
-documents, and the partitions' weights are averaged by their numbers of positions, again summed on the executors.
-Counts and weights that reach the driver are bounded (BUCKETS, and the network's size).
+The first two terms are a network trained in numpy: embeddings of the SIDE codes on each side, one tanh layer, a
+softmax over CLASSES classes, and one over the PLACES places of the class, both over the hidden layer. The third is 0
+for frequent words and otherwise the word's share of its code in the exact counts. KNOWN counts are sent with the
+tasks (a bounded table); the counts of the tail are joined from the distributed table by hash. No word of the tail is
+hot, since KNOWN others are more frequent.
+
+Training: a start is fitted in one task to the whole texts of START_DOCS documents. Documents are then dealt into
+shards of about SHARD_DOCS by a hash of id and codes; every shard goes on from the start over all positions of all its
+documents, in an order of its own, and the shards' weights are averaged by their numbers of positions, on the
+executors. So the model depends on the rows alone, not on how they are partitioned (but for rounding).
 
 Defined results: null and empty texts have no tokens and log-probability 0; the mean of no tokens is 0; a document's
-score depends on its text and the corpus, so repeated rows tie; an empty table gives an empty table; extra columns
-are ignored; texts of any length are scored whole, in stretches of tokens.
+score depends on its text and the corpus, and repeated texts get the very same one; words that the counts lack (in
+texts outside the corpus) count as half an occurrence; an empty table gives an empty table; extra columns are ignored;
+texts of any length are scored whole, in stretches of tokens.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volatide.llm.common import slices
+from volatide.llm.common import cut, slices
 
-BUCKETS = 1 << 17
-CLASSES, GROUPS = 112, 32
+CLASSES, PLACES = 64, 64
+CODES = CLASSES * PLACES
+BANDS = 63
+FREQUENT = CODES - BANDS - 1
+TAIL = FREQUENT  # the code of the rarest words; the bands follow
+KNOWN = 1 << 18
 SIDE = 2
 EMBED, HIDDEN = 12, 24
-START_DOCS = 512
-BATCH, BLOCK = 2048, 512
-STRETCH = 16_384
-WORDS_CACHED = 250_000
-PAD = CLASSES  # beyond either end of a text
+START_DOCS, SHARD_DOCS = 512, 8192
+BATCH, BLOCK = 4096, 8192
+TOGETHER = 256
+STRETCH = 1 << 18
+WORDS_CACHED = 300_000
+PAD = CODES  # beyond either end of a text
+PARTS = 32
+
+
+def words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+class _Slots(dict):
+    """Numbers words as they are met, and keeps their hashes."""
 
+    def __init__(self) -> None:
+        self.hashes: list[int] = []
 
-class _Buckets(dict):
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word) % BUCKETS
-        if len(self) < WORDS_CACHED:
-            self[word] = value
-        return value
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        self[word] = len(self.hashes) - 1
+        return len(self.hashes) - 1
 
+    def of(self, found: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
 
-_BUCKETS = _Buckets()
 
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """(h, n): the count of every word of the corpus, by hash."""
+
+    def run(batches):
+        slots, counts = _Slots(), np.zeros(0, np.int64)
+
+        def given():
+            h = np.array(slots.hashes, np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(counts)], ["h", "n"])
+
+        for batch in slices(batches, 64):
+            found = np.concatenate([slots.of(words(t)) for t in batch.column(0).to_pylist()])
+            counts = np.bincount(found, minlength=len(slots.hashes)) + np.pad(counts, (0, len(slots.hashes) - len(counts)))
+            if len(counts) > WORDS_CACHED:
+                yield given()
+                slots, counts = _Slots(), np.zeros(0, np.int64)
+        if len(counts):
+            yield given()
 
-def tokens(text: str | None) -> np.ndarray:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(_BUCKETS.__getitem__, words), np.int64, len(words))
+    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
-    """Class of each bucket, and its log share of the class."""
+    """Codes and log shares of the known words: those with at least `least` occurrences, sorted by hash."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
+        rank = np.lexsort((hashes, -counts))
+        code = np.empty(len(hashes), np.uint16)
+        code[rank[:FREQUENT]] = np.arange(min(FREQUENT, len(hashes)))
+        rest = rank[FREQUENT:]
+        # Bands hold words of like rank, with about equal counts in all.
+        mass = np.cumsum(counts[rest])
+        code[rest] = TAIL + 1 + np.minimum((mass - counts[rest]) * BANDS // max(1, int(mass[-1]) if len(mass) else 1), BANDS - 1)
+        totals = np.bincount(code, counts, minlength=CODES)
+        order = np.argsort(hashes)
+        self.hashes, self.codes = hashes[order], code[order]
+        self.shares = np.log(counts / totals[code])[order]
+        self.tail = total - int(counts.sum())
+
+    @classmethod
+    def of(cls, table: DataFrame) -> Vocabulary:
+        """At most KNOWN words of a table of counts: all from the least count at which they aren't more."""
+        # Counts in bins whose edges are exact below 1024 and 64 an octave above: a bounded number of them.
+        step = F.pow(F.lit(2.0), F.floor(F.log2("n")) - 6)
+        low = F.when(F.col("n") < 1024, F.col("n").cast("double")).otherwise(F.floor(F.col("n") / step) * step)
+        bins = table.groupBy(low.alias("low")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).toArrow()
+        edge, many, n = (bins.column(c).to_numpy() for c in ("low", "words", "n"))
+        order = np.argsort(-edge)
+        fits = np.cumsum(many[order]) <= KNOWN
+        least = float(edge[order][fits].min()) if fits.any() else float("inf")
+        got = table.where(F.col("n") >= least).toArrow()
+        return cls(got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy(), int(n.sum()))
+
+
+class Coder:
+    """Codes, shares and tail words of texts, with a bounded cache of words."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = _Slots()
+        self.codes, self.shares = np.zeros(0, np.uint16), np.zeros(0)
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[float], list[np.ndarray]]:
+        if len(self.slots.hashes) > WORDS_CACHED:
+            self.clear()
+        found = [self.slots.of(words(t)) for t in texts]
+        new = np.array(self.slots.hashes[len(self.codes) :], np.uint64)
+        if len(new):
+            v = self.vocabulary
+            at = np.minimum(np.searchsorted(v.hashes, new), max(0, len(v.hashes) - 1))
+            known = v.hashes[at] == new if len(v.hashes) else np.zeros(len(new), bool)
+            self.codes = np.append(self.codes, np.where(known, v.codes[at] if len(v.hashes) else 0, TAIL).astype(np.uint16))
+            self.shares = np.append(self.shares, np.where(known, v.shares[at] if len(v.hashes) else 0, 0.0))
+        codes = [self.codes[s] for s in found]
+        tails = [np.array([self.slots.hashes[i] for i in s[c == TAIL].tolist()], np.uint64).view(np.int64) for s, c in zip(found, codes, strict=True)]
+        return codes, [float(self.shares[s].sum()) for s in found], tails
+
+
+def coded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, print, n, codes, share, tail): codes as 16-bit numbers, the hashes of the tail's words."""
 
-    def __init__(self, counts: np.ndarray):
-        order = np.lexsort((np.arange(len(counts)), -counts))
-        single = CLASSES - GROUPS
-        self.group = np.empty(len(counts), np.int64)
-        self.group[order[:single]] = np.arange(single)
-        rest = order[single:]
-        # Shared classes hold buckets of like rank, with about equal counts.
-        share = np.cumsum(counts[rest] + 0.5)
-        self.group[rest] = single + np.minimum((share / share[-1] * GROUPS).astype(np.int64), GROUPS - 1)
-        smooth = counts + 0.5
-        self.log_share = np.log(smooth / np.bincount(self.group, smooth, minlength=CLASSES)[self.group])
+    def run(batches):
+        coder = Coder(vocabulary)
+        for batch in slices(batches, 64):
+            codes, shares, tails = coder(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(2), pa.array([len(c) for c in codes], pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary()),
+                    pa.array(shares, pa.float64()), pa.array(tails, pa.list_(pa.int64())),
+                ],
+                ["doc_id", "print", "n", "codes", "share", "tail"],
+            )
+
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("print"))
+    return text.mapInArrow(run, "doc_id long, print string, n long, codes binary, share double, tail array<long>")
 
 
 class Network:
     def __init__(self, weights: list[np.ndarray] | None = None, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.w = weights or [
-            rng.normal(0, 0.3, (CLASSES + 1, EMBED)).astype(np.float32),
+            rng.normal(0, 0.3, (CODES + 1, EMBED)).astype(np.float32),
             rng.normal(0, (2 * SIDE * EMBED) ** -0.5, (2 * SIDE * EMBED, HIDDEN)).astype(np.float32),
             np.zeros(HIDDEN, np.float32),
             np.zeros((HIDDEN, CLASSES), np.float32),
             np.zeros(CLASSES, np.float32),
+            np.zeros((CLASSES, HIDDEN, PLACES), np.float32),
+            np.zeros((CLASSES, PLACES), np.float32),
         ]
 
     @staticmethod
-    def windows(classes: np.ndarray) -> np.ndarray:
-        """(positions, 2 * SIDE) classes on both sides."""
-        ends = np.full(SIDE, PAD, np.uint8)
-        padded = np.concatenate([ends, classes.astype(np.uint8), ends])
-        return np.stack([padded[SIDE + o : SIDE + o + len(classes)] for o in range(-SIDE, SIDE + 1) if o], 1)
-
-    def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        embed, w1, b1, w2, b2 = self.w
+    def windows(codes: np.ndarray) -> np.ndarray:
+        """(positions, 2 * SIDE) codes on both sides."""
+        ends = np.full(SIDE, PAD, np.uint16)
+        padded = np.concatenate([ends, codes.astype(np.uint16), ends])
+        return np.stack([padded[SIDE + o : SIDE + o + len(codes)] for o in range(-SIDE, SIDE + 1) if o], 1)
+
+    def forward(self, around: np.ndarray, target: np.ndarray):
+        """Inputs, hidden layer, logits of the classes; order by class, bounds of the classes in it, logits of the places in that order."""
+        embed, w1, b1, w2, b2, w3, b3 = self.w
         x = embed.take(around.ravel(), axis=0).reshape(len(around), -1)
         h = x @ w1
         h += b1
         np.tanh(h, out=h)
         z = h @ w2
         z += b2
-        return x, h, z
+        klass = target >> 6
+        order = np.argsort(klass.astype(np.uint8), kind="stable")
+        ends = np.cumsum(np.bincount(klass, minlength=CLASSES)).tolist()
+        hs, y, a = h.take(order, axis=0), np.empty((len(target), PLACES), np.float32), 0
+        for c, b in enumerate(ends):
+            if b > a:
+                np.matmul(hs[a:b], w3[c], out=y[a:b])
+                y[a:b] += b3[c]
+                a = b
+        return x, h, z, order, ends, hs, y
+
+    @staticmethod
+    def _own(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log-probability of one column of each row; z is used up."""
+        z -= z.max(1, keepdims=True)
+        own = z[np.arange(len(z)), at]
+        return own - np.log(np.exp(z, out=z).sum(1))
 
     def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log-probability of each code, given those around it."""
         out = np.empty(len(target))
         for at in range(0, len(target), BLOCK):
-            _, _, z = self.forward(around[at : at + BLOCK])
-            top = z.max(1)
-            own = z[np.arange(len(z)), target[at : at + BLOCK]] - top
-            z -= top[:, None]
-            out[at : at + BLOCK] = own - np.log(np.exp(z, out=z).sum(1))
+            t = target[at : at + BLOCK].astype(np.int64)
+            _, _, z, order, _, _, y = self.forward(around[at : at + BLOCK], t)
+            part = self._own(z, t >> 6).astype(float)
+            part[order] += self._own(y, t[order] & 63)
+            out[at : at + BLOCK] = part
         return out
 
     def step(self, around: np.ndarray, target: np.ndarray, memory: list[np.ndarray], rate: float) -> None:
         """One AdaGrad step on a batch."""
-        embed, w1, _, w2, _ = self.w
-        x, h, z = self.forward(around)
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z, out=z)
-        p /= p.sum(1, keepdims=True) * np.float32(len(p))
-        p[np.arange(len(p)), target] -= np.float32(1 / len(p))
-        dh = (p @ w2.T) * (1 - h * h)
+        embed, w1, _, w2, _, w3, b3 = self.w
+        t = target.astype(np.int64)
+        x, h, z, order, ends, hs, y = self.forward(around, t)
+        for logits, at in ((z, t >> 6), (y, t[order] & 63)):
+            logits -= logits.max(1, keepdims=True)
+            np.exp(logits, out=logits)
+            logits /= logits.sum(1, keepdims=True) * np.float32(len(t))
+            logits[np.arange(len(t)), at] -= np.float32(1 / len(t))
+        dh, back, g3, gb3, a = z @ w2.T, np.empty_like(hs), np.zeros_like(w3), np.zeros_like(b3), 0
+        for c, b in enumerate(ends):
+            if b > a:
+                np.matmul(y[a:b], w3[c].T, out=back[a:b])
+                np.matmul(hs[a:b].T, y[a:b], out=g3[c])
+                gb3[c] = y[a:b].sum(0)
+                a = b
+        dh[order] += back
+        dh *= 1 - h * h
         dx = (dh @ w1.T).reshape(-1, EMBED)
-        flat, de = around.ravel(), np.zeros_like(embed)
+        flat, de = around.ravel(), np.empty_like(embed)
         for j in range(EMBED):
-            de[:, j] = np.bincount(flat, dx[:, j], minlength=CLASSES + 1)
-        for w, m, g in zip(self.w, memory, (de, x.T @ dh, dh.sum(0), h.T @ p, p.sum(0)), strict=True):
+            de[:, j] = np.bincount(flat, dx[:, j], minlength=CODES + 1)
+        for w, m, g in zip(self.w, memory, (de, x.T @ dh, dh.sum(0), h.T @ z, z.sum(0), g3, gb3), strict=True):
             m += g * g
             w -= rate * g / (np.sqrt(m) + 1e-6)
 
-    def train(self, around: np.ndarray, target: np.ndarray, rate: float, rounds: int = 1, seed: int = 1) -> None:
-        rng = np.random.default_rng(seed)
-        memory = [np.full_like(w, 1e-4) for w in self.w]
-        for _ in range(rounds):
-            order = rng.permutation(len(target))
-            for at in range(0, len(order), 512):
-                self.step(around[order[at : at + 512]], target[order[at : at + 512]], memory, rate)
-
-
-def corpus_counts(docs: DataFrame) -> np.ndarray:
-    """Count of each bucket over all tokens."""
+    def train(self, codes: list[np.ndarray], memory: list[np.ndarray], rate: float, rng: np.random.Generator) -> int:
+        """All positions of these documents once, in batches in random order; gives their number."""
+        if not (n := sum(map(len, codes))):
+            return 0
+        around, target = np.concatenate([self.windows(c) for c in codes]), np.concatenate(codes)
+        order = rng.permutation(n)
+        for at in range(0, n, BATCH):
+            mine = order[at : at + BATCH]
+            self.step(around[mine], target[mine], memory, rate)
+        return n
+
+    def memory(self, value: float) -> list[np.ndarray]:
+        return [np.full_like(w, value) for w in self.w]
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Shard and codes of up to TOGETHER documents of a shard at once, however the batches are cut."""
+    now, held = None, []
+    for batch in batches:
+        for shard, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held and (shard != now or len(held) == TOGETHER):
+                yield now, held
+                held = []
+            now = shard
+            held.append(np.frombuffer(codes, np.uint16))
+    if held:
+        yield now, held
+
+
+def _weighed(parts: DataFrame) -> Network:
+    """The average network from rows (i, part) of summed weights times positions; `positions` is how many were seen."""
 
     def run(batches):
-        counts = np.zeros(BUCKETS, np.int64)
-        for batch in slices(batches, 512):
-            found = [tokens(t) for t in batch.column(0).to_pylist()]
-            counts += np.bincount(np.concatenate(found), minlength=BUCKETS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["bucket", "n"])
-
-    got = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return counts
-
-
-def _positions(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and classes of all positions of the texts."""
-    classes = [vocabulary.group[tokens(t)].astype(np.uint8) for t in texts]
-    return np.concatenate([np.zeros((0, 2 * SIDE), np.uint8), *map(Network.windows, classes)]), np.concatenate([np.zeros(0, np.uint8), *classes])
-
-
-def _weighed(network: Network, seen: int) -> pa.RecordBatch:
-    """The network's weights times the positions that it has seen, and their number."""
-    flat = np.concatenate([w.ravel() for w in network.w]).astype(float) * seen
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1), pa.int32()), pa.array(np.append(flat, float(seen)))], ["i", "x"])
-
-
-def _averaged(weighed: DataFrame) -> Network:
-    """The average network, or an untrained one if no position was seen; `positions` is how many were."""
-    got, network = weighed.groupBy("i").agg(F.sum("x").alias("x")).toArrow(), Network()
+        now, total = None, np.zeros(0)
+        for batch in batches:
+            for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if i != now:
+                    if now is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["i", "part"])
+                    now, total = i, np.zeros(len(part) // 8)
+                total = total + np.frombuffer(part)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["i", "part"])
+
+    rows = parts.repartition("i").sortWithinPartitions("i").mapInArrow(run, "i int, part binary").collect()  # PARTS rows, one network in all
+    network = Network()
     network.positions = 0
-    if got.num_rows:
-        flat = np.zeros(got.num_rows)
-        flat[got.column("i").to_numpy()] = got.column("x").to_numpy()
+    if rows:
+        flat = np.concatenate([np.frombuffer(r["part"]) for r in sorted(rows, key=lambda r: r["i"])])
         network.positions = int(flat[-1])
-        flat, at = flat[:-1] / flat[-1], 0
+        flat, at = np.round(flat[:-1] / max(1.0, flat[-1]), 6), 0
         for i, w in enumerate(network.w):
             network.w[i] = flat[at : at + w.size].reshape(w.shape).astype(np.float32)
             at += w.size
     return network
 
 
-def start(docs: DataFrame, vocabulary: Vocabulary) -> Network:
-    """A network fitted to a bounded sample of whole texts, for weights that the partitions can be averaged from."""
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(2**32))
-    total = docs.count()
+def _parts(total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in np.array_split(total, PARTS)], pa.binary())], ["i", "part"])
+
+
+def _flat(network: Network, seen: int) -> np.ndarray:
+    return np.append(np.concatenate([w.ravel() for w in network.w]).astype(float) * seen, float(seen))
+
+
+def start(rows: DataFrame, total: int) -> Network:
+    """A network fitted to a bounded sample of whole documents, for weights that the shards can be averaged from."""
+    h = F.pmod(F.xxhash64("doc_id", "codes", F.lit("start")), F.lit(2**32))
     # A hash threshold leaves a few times as many before they are ordered, however many partitions there are.
-    some = docs.where(h < int(4 * START_DOCS / total * 2**32)) if total > 4 * START_DOCS else docs
-    some = some.where(F.length("text") > 0).select("text", h.alias("h")).orderBy("h").limit(START_DOCS).coalesce(1)
+    some = rows.where(h < int(4 * START_DOCS / total * 2**32)) if total > 4 * START_DOCS else rows
+    some = some.where("n > 0").select(F.lit(0).alias("shard"), "codes", h.alias("h")).orderBy("h", "codes").limit(START_DOCS).coalesce(1)
 
     def run(batches):
-        found = [_positions(part.column(0).to_pylist(), vocabulary) for part in slices(batches, 64)]
-        around, target = (np.concatenate(x) for x in zip(*found, strict=True)) if found else _positions([], vocabulary)
-        if len(target):
-            network = Network()
-            network.train(around, target, rate=0.08, rounds=2)
-            yield _weighed(network, len(target))
+        codes = [c for _, part in _documents(batches) for c in part]
+        if codes:
+            network, rng = Network(), np.random.default_rng(1)
+            memory = network.memory(1e-6)
+            seen = [network.train(codes, memory, 0.2, rng) for _ in range(2)][0]
+            yield _parts(_flat(network, seen))
+
+    return _weighed(some.select("shard", "codes").mapInArrow(run, "i int, part binary"))
+
+
+def fit(rows: DataFrame) -> Network:
+    """From coded documents."""
+    total = rows.count()
+    if not total:
+        return Network()
+    first = start(rows, total).w
+    shards = -(-total // SHARD_DOCS)
+    h = F.xxhash64("doc_id", "codes")
+    dealt = rows.where("n > 0").select(F.pmod(h, F.lit(shards)).cast("int").alias("shard"), "codes", h.alias("h"))
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "h", "codes").select("shard", "codes")
 
-    return _averaged(some.select("text").mapInArrow(run, "i int, x double"))
+    def run(batches):
+        now, seen, network, total = None, 0, None, None
+        for shard, codes in _documents(batches):
+            if shard != now:
+                if network is not None:
+                    total = _flat(network, seen) + (0 if total is None else total)
+                now, seen, network, rng = shard, 0, Network([w.copy() for w in first]), np.random.default_rng(1)
+                memory = network.memory(1e-6)
+            seen += network.train(codes, memory, 0.1, rng)
+        if network is not None:
+            yield _parts(_flat(network, seen) + (0 if total is None else total))
 
+    return _weighed(dealt.mapInArrow(run, "i int, part binary"))
 
-def fit(docs: DataFrame) -> tuple[Vocabulary, Network]:
-    vocabulary = Vocabulary(corpus_counts(docs))
-    first = start(docs, vocabulary).w
 
-    def run(batches):
-        own, rng = Network([w.copy() for w in first]), np.random.default_rng(1)
-        memory, seen = [np.full_like(w, 1e-3) for w in own.w], 0
-        for batch in slices(batches, 256):
-            around, target = _positions(batch.column(0).to_pylist(), vocabulary)
-            order = rng.permutation(len(target))
-            for at in range(0, len(order), BATCH):
-                mine = order[at : at + BATCH]
-                own.step(around[mine], target[mine], memory, 0.02)
-            seen += len(target)
-        if seen:
-            yield _weighed(own, seen)
-
-    return vocabulary, _averaged(docs.select("text").mapInArrow(run, "i int, x double"))
-
-
-def log_probability(text: str | None, vocabulary: Vocabulary, network: Network) -> tuple[int, float]:
-    t = tokens(text)
-    if not len(t):
-        return 0, 0.0
-    c = vocabulary.group[t]
-    around = Network.windows(c)
-    total = float(vocabulary.log_share[t].sum())
-    for at in range(0, len(c), STRETCH):
-        total += float(network.log_probability(around[at : at + STRETCH], c[at : at + STRETCH]).sum())
-    return len(t), total
-
-
-def score(docs: DataFrame, model: tuple[Vocabulary, Network] | None = None) -> DataFrame:
-    """(doc_id, n_tokens, log_probability, mean_log_probability) of every row, by a model of the whole table unless one is given."""
-    vocabulary, network = model or fit(docs)
+def _scored(rows: DataFrame, network: Network) -> DataFrame:
+    """(print, n, total, tail) of coded documents: all terms but the shares of the tail's words."""
 
     def run(batches):
-        for batch in slices(batches, 64):
-            # A text at a time: sums that share matrix products with other texts would not tie to the last bit.
-            found = [log_probability(t, vocabulary, network) for t in batch.column(1).to_pylist()]
-            sizes, total = np.array([n for n, _ in found]), np.array([x for _, x in found])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(total), pa.array(total / np.maximum(sizes, 1))], ["doc_id", "n_tokens", "log_probability", "mean_log_probability"]
-            )
+        for batch in slices(batches, TOGETHER):
+            codes = [np.frombuffer(c, np.uint16) for c in batch.column(1).to_pylist()]
+            sizes = np.array([len(c) for c in codes], np.int64)
+            total = batch.column(2).to_numpy().copy()
+            owner, flat = np.repeat(np.arange(len(codes)), sizes), np.concatenate([*codes, np.zeros(0, np.uint16)])
+            around = np.concatenate([*map(Network.windows, codes), np.zeros((0, 2 * SIDE), np.uint16)])
+            for at in range(0, len(flat), STRETCH):
+                part = slice(at, at + STRETCH)
+                total += np.bincount(owner[part], network.log_probability(around[part], flat[part]), minlength=len(codes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(total), batch.column(3)], ["print", "n", "total", "tail"])
+
+    return rows.select("print", "codes", "share", "tail").mapInArrow(run, "print string, n long, total double, tail array<long>")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, log_probability double, mean_log_probability double")
+
+class Model:
+    """Exact counts (distributed), the codes made from them, and the network; with the corpus' coded rows if they are to be scored."""
+
+    def __init__(self, docs: DataFrame):
+        self.counts = cut(corpus_counts(docs))
+        self.vocabulary = Vocabulary.of(self.counts)
+        self.rows = cut(coded(docs, self.vocabulary))
+        self.network = fit(self.rows)
+
+
+def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """(doc_id, n_tokens, log_probability, mean_log_probability) of every row, by a model of the whole table unless one is given."""
+    used = model or Model(docs)
+    rows = used.rows if model is None else cut(coded(docs, used.vocabulary))
+    # A text once, so that equal texts have equal scores.
+    texts = cut(_scored(rows, used.network).groupBy("print").agg(F.min("total").alias("total"), F.any_value("n").alias("n"), F.any_value("tail").alias("tail")))
+    spelled = texts.select("print", F.explode("tail").alias("h")).join(used.counts.withColumnRenamed("n", "c"), "h", "left")
+    shares = spelled.groupBy("print").agg(F.sum(F.log(F.coalesce("c", F.lit(0.5)) / F.lit(float(max(1, used.vocabulary.tail))))).alias("shares"))
+    done = texts.select("print", "total", "n").join(shares, "print", "left").select("print", "n", (F.col("total") + F.coalesce("shares", F.lit(0.0))).alias("log_probability"))
+    out = rows.select("doc_id", "print").join(done, "print")
+    mean = F.coalesce(F.try_divide(F.col("log_probability"), F.col("n")), F.lit(0.0))
+    return out.select("doc_id", F.col("n").alias("n_tokens"), "log_probability", mean.alias("mean_log_probability"))
