@@ -217,9 +217,17 @@ class Network:
     @staticmethod
     def _own(z: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log-probability of one column of each row; z is used up."""
-        z -= z.max(1, keepdims=True)
+        own, total = Network._powers(z, at)
+        return own - np.log(total)
+
+    @staticmethod
+    def _powers(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One logit of each row and the sum of the row's powers, which take the logits' place; shifted so that none overflows or vanishes."""
+        top = z.max()
+        z -= top if top - z.min() < 60 else z.max(1, keepdims=True)
         own = z[np.arange(len(z)), at]
-        return own - np.log(np.exp(z, out=z).sum(1))
+        np.exp(z, out=z)
+        return own, z @ np.ones(z.shape[1], z.dtype)
 
     def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each code, given those around it."""
@@ -238,23 +246,24 @@ class Network:
         t = target.astype(np.int64)
         x, h, z, order, ends, hs, y = self.forward(around, t)
         for logits, at in ((z, t >> 6), (y, t[order] & 63)):
-            logits -= logits.max(1, keepdims=True)
-            np.exp(logits, out=logits)
-            logits /= logits.sum(1, keepdims=True) * np.float32(len(t))
+            _, total = self._powers(logits, at)
+            logits /= (total * logits.dtype.type(len(t)))[:, None]
             logits[np.arange(len(t)), at] -= np.float32(1 / len(t))
-        dh, back, g3, gb3, a = z @ w2.T, np.empty_like(hs), np.zeros_like(w3), np.zeros_like(b3), 0
+        dh, back, g3, gb3, a, ones = z @ w2.T, np.empty_like(hs), np.zeros_like(w3), np.zeros_like(b3), 0, np.ones(len(t), y.dtype)
         for c, b in enumerate(ends):
             if b > a:
                 np.matmul(y[a:b], w3[c].T, out=back[a:b])
                 np.matmul(hs[a:b].T, y[a:b], out=g3[c])
-                gb3[c] = y[a:b].sum(0)
+                np.matmul(ones[a:b], y[a:b], out=gb3[c])
                 a = b
         dh[order] += back
         dh *= 1 - h * h
         dx = (dh @ w1.T).reshape(-1, EMBED)
-        flat, de = around.ravel(), np.empty_like(embed)
-        for j in range(EMBED):
-            de[:, j] = np.bincount(flat, dx[:, j], minlength=CODES + 1)
+        flat, de = around.ravel(), np.zeros_like(embed)
+        by_code = np.argsort(flat, kind="stable")
+        ordered = flat[by_code]
+        starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        de[ordered[starts]] = np.add.reduceat(dx.take(by_code, axis=0), starts, axis=0)
         for w, m, g in zip(self.w, memory, (de, x.T @ dh, dh.sum(0), h.T @ z, z.sum(0), g3, gb3), strict=True):
             m += g * g
             w -= rate * g / (np.sqrt(m) + 1e-6)
@@ -351,7 +360,7 @@ def fit(rows: DataFrame) -> Network:
     shards = -(-total // SHARD_DOCS)
     h = F.xxhash64("doc_id", "codes")
     dealt = rows.where("n > 0").select(F.pmod(h, F.lit(shards)).cast("int").alias("shard"), "codes", h.alias("h"))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "h", "codes").select("shard", "codes")
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h", "codes").select("shard", "codes")
 
     def run(batches):
         now, seen, network, total = None, 0, None, None
