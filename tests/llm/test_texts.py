@@ -137,6 +137,9 @@ def test_pseudo_likelihood_matches_brute_force_and_learns(spark, monkeypatch, kn
     assert (found[301]["n_tokens"], found[301]["log_probability"], found[302]["mean_log_probability"]) == (0, 0.0, 0.0)
     for i in (0, 1, 300, 303, 306, 307):
         assert abs(sum(by_hand(model, rows[i][1], counts)) - found[i]["log_probability"]) < 1e-2
+    for i, text, _ in rows:
+        own = Counter(xxhash.xxh3_64_intdigest(w) for w in lm.words(text))
+        assert found[i]["novel_tokens"] == sum(k for h, k in own.items() if counts[h] == k), i
     if known > 12:
         assert found[0]["mean_log_probability"] > found[300]["mean_log_probability"] + 0.5
         unigram = np.mean([np.log(counts[xxhash.xxh3_64_intdigest(w)] / sum(counts.values())) for w in lm.words(rows[0][1])])

@@ -15,6 +15,9 @@ for frequent words and otherwise the word's share of its code in the exact count
 tasks (a bounded table); the counts of the tail are joined from the distributed table by hash. No word of the tail is
 hot, since KNOWN others are more frequent.
 
+Beside its probability a document gets the number of its novel tokens: those whose word occurs in no other document of
+the corpus (by the exact counts), which tells what the corpus holds once from what it holds again elsewhere.
+
 Training: a start is fitted in one task to the whole texts of START_DOCS documents. Documents are then dealt into
 shards of about SHARD_DOCS by a hash of id and codes; every shard goes on from the start over all positions of all its
 documents, in an order of its own, and the shards' weights are averaged by their numbers of positions, on the
@@ -53,6 +56,7 @@ STRETCH = 1 << 18
 WORDS_CACHED = 300_000
 PAD = CODES  # beyond either end of a text
 PARTS = 32
+TAIL_TYPE = pa.list_(pa.struct([("h", pa.int64()), ("k", pa.int64())]))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -111,6 +115,7 @@ class Vocabulary:
         order = np.argsort(hashes)
         self.hashes, self.codes = hashes[order], code[order]
         self.shares = np.log(counts / totals[code])[order]
+        self.counts = counts[order]
         self.tail = total - int(counts.sum())
 
     @classmethod
@@ -129,7 +134,7 @@ class Vocabulary:
 
 
 class Coder:
-    """Codes, shares and tail words of texts, with a bounded cache of words."""
+    """What `coded` gives of texts, with a bounded cache of words."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -137,9 +142,9 @@ class Coder:
 
     def clear(self) -> None:
         self.slots = _Slots()
-        self.codes, self.shares = np.zeros(0, np.uint16), np.zeros(0)
+        self.codes, self.shares, self.counts = np.zeros(0, np.uint16), np.zeros(0), np.zeros(0, np.int64)
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[float], list[np.ndarray]]:
+    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, float, int, list[dict]]]:
         if len(self.slots.hashes) > WORDS_CACHED:
             self.clear()
         found = [self.slots.of(words(t)) for t in texts]
@@ -150,28 +155,33 @@ class Coder:
             known = v.hashes[at] == new if len(v.hashes) else np.zeros(len(new), bool)
             self.codes = np.append(self.codes, np.where(known, v.codes[at] if len(v.hashes) else 0, TAIL).astype(np.uint16))
             self.shares = np.append(self.shares, np.where(known, v.shares[at] if len(v.hashes) else 0, 0.0))
-        codes = [self.codes[s] for s in found]
-        tails = [np.array([self.slots.hashes[i] for i in s[c == TAIL].tolist()], np.uint64).view(np.int64) for s, c in zip(found, codes, strict=True)]
-        return codes, [float(self.shares[s].sum()) for s in found], tails
+            self.counts = np.append(self.counts, np.where(known, v.counts[at] if len(v.hashes) else 0, 0))
+        return [self._one(s) for s in found]
+
+    def _one(self, slots: np.ndarray) -> tuple[np.ndarray, float, int, list[dict]]:
+        own, k = np.unique(slots, return_counts=True)
+        rare = self.codes[own] == TAIL
+        tail = [{"h": self.slots.hashes[i] - (self.slots.hashes[i] >> 63 << 64), "k": n} for i, n in zip(own[rare].tolist(), k[rare].tolist(), strict=True)]
+        return self.codes[slots], float((self.shares[own] * k).sum()), int(k[self.counts[own] == k].sum()), tail
 
 
 def coded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, print, n, codes, share, tail): codes as 16-bit numbers, the hashes of the tail's words."""
+    """(doc_id, print, n, codes, share, novel, tail): 16-bit codes, novel tokens of known words, the tail's words with their numbers."""
 
     def run(batches):
         coder = Coder(vocabulary)
         for batch in slices(batches, 64):
-            codes, shares, tails = coder(batch.column(1).to_pylist())
+            codes, shares, novel, tails = zip(*coder(batch.column(1).to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(2), pa.array([len(c) for c in codes], pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary()),
-                    pa.array(shares, pa.float64()), pa.array(tails, pa.list_(pa.int64())),
+                    pa.array(shares, pa.float64()), pa.array(novel, pa.int64()), pa.array(tails, TAIL_TYPE),
                 ],
-                ["doc_id", "print", "n", "codes", "share", "tail"],
+                ["doc_id", "print", "n", "codes", "share", "novel", "tail"],
             )
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("print"))
-    return text.mapInArrow(run, "doc_id long, print string, n long, codes binary, share double, tail array<long>")
+    return text.mapInArrow(run, "doc_id long, print string, n long, codes binary, share double, novel long, tail array<struct<h:long,k:long>>")
 
 
 class Network:
@@ -378,7 +388,7 @@ def fit(rows: DataFrame) -> Network:
 
 
 def _scored(rows: DataFrame, network: Network) -> DataFrame:
-    """(print, n, total, tail) of coded documents: all terms but the shares of the tail's words."""
+    """(print, n, total, novel, tail) of coded documents: all terms but those of the tail's words."""
 
     def run(batches):
         for batch in slices(batches, TOGETHER):
@@ -390,9 +400,9 @@ def _scored(rows: DataFrame, network: Network) -> DataFrame:
             for at in range(0, len(flat), STRETCH):
                 part = slice(at, at + STRETCH)
                 total += np.bincount(owner[part], network.log_probability(around[part], flat[part]), minlength=len(codes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(total), batch.column(3)], ["print", "n", "total", "tail"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(total), batch.column(3), batch.column(4)], ["print", "n", "total", "novel", "tail"])
 
-    return rows.select("print", "codes", "share", "tail").mapInArrow(run, "print string, n long, total double, tail array<long>")
+    return rows.select("print", "codes", "share", "novel", "tail").mapInArrow(run, "print string, n long, total double, novel long, tail array<struct<h:long,k:long>>")
 
 
 class Model:
@@ -406,14 +416,20 @@ class Model:
 
 
 def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id, n_tokens, log_probability, mean_log_probability) of every row, by a model of the whole table unless one is given."""
+    """(doc_id, n_tokens, log_probability, mean_log_probability, novel_tokens, novel_share) of every row.
+
+    By a model of the whole table unless one is given. The last two are of tokens that occur in no other document.
+    """
     used = model or Model(docs)
     rows = used.rows if model is None else cut(coded(docs, used.vocabulary))
     # A text once, so that equal texts have equal scores.
-    texts = cut(_scored(rows, used.network).groupBy("print").agg(F.min("total").alias("total"), F.any_value("n").alias("n"), F.any_value("tail").alias("tail")))
-    spelled = texts.select("print", F.explode("tail").alias("h")).join(used.counts.withColumnRenamed("n", "c"), "h", "left")
-    shares = spelled.groupBy("print").agg(F.sum(F.log(F.coalesce("c", F.lit(0.5)) / F.lit(float(max(1, used.vocabulary.tail))))).alias("shares"))
-    done = texts.select("print", "total", "n").join(shares, "print", "left").select("print", "n", (F.col("total") + F.coalesce("shares", F.lit(0.0))).alias("log_probability"))
+    texts = _scored(rows, used.network).groupBy("print")
+    texts = cut(texts.agg(F.min("total").alias("total"), F.any_value("n").alias("n"), F.any_value("novel").alias("novel"), F.any_value("tail").alias("tail")))
+    spelled = texts.select("print", F.inline("tail")).join(used.counts.withColumnRenamed("n", "c"), "h", "left")
+    share = F.col("k") * F.log(F.coalesce("c", F.lit(0.5)) / F.lit(float(max(1, used.vocabulary.tail))))
+    rare = spelled.groupBy("print").agg(F.sum(share).alias("shares"), F.sum(F.when(F.coalesce("c", "k") == F.col("k"), F.col("k")).otherwise(0)).alias("novel_rare"))
+    done = texts.select("print", "total", "n", "novel").join(rare, "print", "left")
+    done = done.select("print", "n", (F.col("total") + F.coalesce("shares", F.lit(0.0))).alias("log_probability"), (F.col("novel") + F.coalesce("novel_rare", F.lit(0))).alias("novel"))
+    per_token = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("n")), F.lit(0.0))
     out = rows.select("doc_id", "print").join(done, "print")
-    mean = F.coalesce(F.try_divide(F.col("log_probability"), F.col("n")), F.lit(0.0))
-    return out.select("doc_id", F.col("n").alias("n_tokens"), "log_probability", mean.alias("mean_log_probability"))
+    return out.select("doc_id", F.col("n").alias("n_tokens"), "log_probability", per_token("log_probability").alias("mean_log_probability"), F.col("novel").alias("novel_tokens"), per_token("novel").alias("novel_share"))
