@@ -100,3 +100,57 @@ def test_bundles_split_large_groups_and_pack_small_ones():
     for g in range(6):
         assert all(g in b.members[i] for i in range(b.first[g], b.first[g] + b.blocks[g]))
     assert all(sum(n for g, n in enumerate([3, 0, 2, 0, 5, 9]) if g in m and b.blocks[g] == 1) <= 10 for m in b.members)
+
+
+def clustered(n, d, clusters, seed, spread):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(clusters, d))
+    return [(i, (centers[i % clusters] + spread * rng.normal(size=d)).tolist()) for i in range(n)]
+
+
+def test_bounds_rule_out_most_of_clustered_data(spark):
+    rows = clustered(1500, 16, 25, 6, 0.05)
+    df, x = frame(spark, rows), {i: np.floor(256 * v) for i, v in usable(rows, True).items()}
+    is_query = F.col("vec_id") % 50 == 0
+    assert 0 < topk.searched(df, is_query) < 0.5
+    assert collect(topk.top_k(df, is_query)) == brute(x, lambda q: q % 50 == 0, 5)
+
+
+def recall(expected, found, k):
+    return np.mean([len({v for v, _ in found[q]} & {v for v, _ in expected[q]}) / k for q in expected])
+
+
+def test_few_lists_of_clustered_data_are_searched(spark):
+    rows = clustered(4000, 16, 40, 7, 0.3)
+    df, x = frame(spark, rows), usable(rows, False)
+    is_query = F.col("vec_id") % 20 == 0
+    assert 0 < ann.searched(df, is_query) < 0.5
+    assert recall(brute(x, lambda q: q % 20 == 0, 20), collect(ann.neighbours(df, is_query)), 20) >= 0.93
+
+
+def test_long_lists_are_parted_again(spark, monkeypatch):
+    for name, value in (("CENTROIDS", 6), ("LIST_ROWS", 40), ("PART_ROWS", 200)):
+        monkeypatch.setattr(ann, name, value)
+    rows = clustered(3000, 12, 60, 8, 0.4)
+    df, x = frame(spark, rows), usable(rows, False)
+    found = collect(ann.neighbours(df, F.col("vec_id") % 20 == 0))
+    assert recall(brute(x, lambda q: q % 20 == 0, 20), found, 20) >= 0.9
+    assert all(len(v) == 20 and len({i for i, _ in v}) == 20 for v in found.values())
+
+
+def test_the_graph_meets_what_all_distances_give():
+    rng = np.random.default_rng(3)
+    points, q = rng.normal(size=(300, 6)), rng.normal(size=(50, 6))
+    graph = ann.Graph(points)
+    away = ann.distances(q, points) + graph.floor
+    want = away <= 1.3 * away.min(1)[:, None]
+    met = graph.within(q, 1.3)
+    assert not (met & ~want).any() and met.sum() > 0.95 * want.sum()
+
+
+def test_huge_components_saturate(spark):
+    rows = [(0, [1e30, 1.0]), (50, [1e30, -1.0]), (1, [3e8, 1e8]), (2, [-1e30, 0.0]), (100, [3e8, 1e8 + 8])]
+    found = collect(topk.top_k(frame(spark, rows), F.col("vec_id") % 50 == 0))
+    top, big = 2**63 - 1, lambda x: math.floor(256 * float(np.float32(x)))
+    assert found[0][:2] == [(1, top), (50, top)] and found[0][-1] == (2, -(2**63))
+    assert dict(found[100])[1] == min(top, big(3e8) ** 2 + big(1e8) * big(1e8 + 8))

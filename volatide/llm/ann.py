@@ -11,7 +11,13 @@ searched with exact products in double precision.
 The ratio is the one parameter of recall. It is set on the sample: of a few hundred sample queries' true neighbours
 in the sample, AIM must lie in a list within the ratio.
 
-Bounds, as documented parameters: SAMPLE rows to fit, at most CENTROIDS centroids. Every row is indexed.
+There are at most CENTROIDS such centroids, whatever the number of rows, so lists grow with the table. A list of more
+than PART_ROWS rows is parted again where it is held, in the same way: centroids fitted to its own rows, a graph, and
+a ratio set on its rows. So what a query is compared with in a list grows with the square root of the list at most.
+
+Bounds, as documented parameters: SAMPLE rows to fit, at most CENTROIDS centroids (and as many in a list). Every row is
+indexed. How much is searched depends on the data: `searched` tells. Where all directions are alike, neighbours are
+hardly nearer than other rows, and most lists must be searched for AIM.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows without an id, take no
 part; so do vectors of another length than the most common one; equal scores go to the smaller id; rows that repeat
@@ -35,7 +41,9 @@ REPLICAS = 3
 BOUNDARY = 1.05
 APART = 0.5
 DEGREE = 24
-AIM = 0.985
+AIM = 0.96
+#: Rows of a list above which it is parted again, and rows of a part.
+PART_ROWS = 8 * LIST_ROWS
 LEAST_BLOCK, MOST_BLOCK, BLOCKS = 512, 65_536, 16
 
 
@@ -76,24 +84,44 @@ class Graph:
             near = np.argpartition(between, degree - 1, axis=1)[:, :degree]
             joined[np.arange(n)[:, None], near] = True
             joined[np.arange(n)[:, None], rng.integers(0, n, (n, 4))] = True
-        self.joined = joined | joined.T
+        # Links as lists: those of point i are links[first[i] : first[i + 1]].
+        which, self.links = np.nonzero(joined | joined.T)
+        self.first = np.searchsorted(which, np.arange(n + 1))
         self.entries = np.unique(rng.integers(0, n, 4))
 
     def within(self, q: np.ndarray, ratio: float) -> np.ndarray:
         """For each query the centroids met whose distance is within `ratio` of the nearest met."""
         met = np.full((len(q), len(self.points)), np.inf)
         met[:, self.entries] = distances(q, self.points[self.entries]) + self.floor
-        expanded = np.zeros(met.shape, bool)
+        waiting = np.isfinite(met)  # met, and its links not followed
         while True:
-            front = ~expanded & (met <= ratio * met.min(1)[:, None])
-            rows = np.flatnonzero(front.any(1))
-            if not len(rows):
+            who, at = np.nonzero(waiting)
+            near = met[who, at] <= ratio * met.min(1)[who]
+            who, at = who[near], at[near]
+            if not len(who):
                 return met <= ratio * met.min(1)[:, None]
-            expanded |= front
-            reach = (front[rows].astype(np.float32) @ self.joined.astype(np.float32)) > 0
-            who, what = np.nonzero(reach & np.isinf(met[rows]))
-            step = q[rows[who]] - self.points[what]
-            met[rows[who], what] = np.sqrt((step * step).sum(1)) + self.floor
+            waiting[who, at] = False
+            many = self.first[at + 1] - self.first[at]
+            offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            who, what = np.repeat(who, many), self.links[np.repeat(self.first[at], many) + offset]
+            fresh = np.zeros(met.shape, bool)
+            fresh[who, what] = True
+            who, what = np.nonzero(fresh & np.isinf(met))
+            step = q[who] - self.points[what]
+            met[who, what] = np.sqrt((step * step).sum(1)) + self.floor
+            waiting[who, what] = True
+
+
+def enough(chosen: np.ndarray, q: np.ndarray, graph: Graph, sizes: np.ndarray, k: int) -> np.ndarray:
+    """The lists chosen, and for queries for which they hold fewer than k other rows, the nearest lists that do."""
+    short = np.flatnonzero(chosen @ sizes < k + 1)
+    if len(short):
+        order = np.argsort(distances(q[short], graph.points), axis=1, kind="stable")
+        held = np.cumsum(sizes[order], axis=1)
+        more = np.zeros((len(short), len(sizes)), bool)
+        np.put_along_axis(more, order, held - sizes[order] < k + 1, axis=1)
+        chosen[short] |= more
+    return chosen
 
 
 def lists_of(x: np.ndarray, graph: Graph) -> np.ndarray:
@@ -132,41 +160,73 @@ def ratio_for(sampled: np.ndarray, lists: np.ndarray, queries: np.ndarray, selve
     return float(np.quantile(np.concatenate(needs), AIM, method="higher")) * (1 + 1e-9)
 
 
+class Index:
+    """Posting lists of all rows, and which lists a query has to see."""
+
+    def __init__(self, df: DataFrame, k: int):
+        x, dimension = vectors.clean(df, zeros=False)
+        self.dimension = dimension
+        self.total, most = x.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))).first()
+        if not self.total:
+            return
+        largest = most * (1 + 1e-9)
+
+        def lifted(v: np.ndarray) -> np.ndarray:
+            return np.column_stack([v, np.sqrt(np.maximum(largest - (v * v).sum(1), 0))])
+
+        def aimed(v: np.ndarray) -> np.ndarray:
+            return np.column_stack([v * (np.sqrt(largest) / np.sqrt((v * v).sum(1)))[:, None], np.zeros(len(v))])
+
+        def fitted(v: np.ndarray, parts: int) -> tuple[Graph, float]:
+            graph = Graph(centroids_of(lifted(v), parts))
+            asked = np.arange(0, len(v), max(1, len(v) // 256))
+            return graph, ratio_for(lifted(v), lists_of(lifted(v), graph), aimed(v[asked]), asked, graph, k) if len(v) > 1 else 1.0
+
+        _, sampled = vectors.sample(x, SAMPLE, self.total, dimension)
+        graph, ratio = fitted(sampled, int(min(CENTROIDS, max(8, self.total // LIST_ROWS))))
+
+        def assign(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    rows = vectors.matrix(batch.column(1), dimension) + 0.0  # no negative zeros
+                    found = lists_of(lifted(rows), graph)
+                    who, which = np.nonzero(found >= 0)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(found[who, which], pa.int64()), pa.array(which == 0), vectors.packed(rows[who])], ["vec_id", "grp", "own", "v"])
+
+        self.data = cut(x.mapInArrow(assign, "vec_id long, grp long, own boolean, v binary").distinct())
+        counts, own = np.zeros(len(graph.points), np.int64), np.zeros(len(graph.points), np.int64)
+        for row in self.data.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("int")).alias("own")).collect():  # at most CENTROIDS rows
+            counts[row["grp"]], own[row["grp"]] = row["n"], row["own"]
+        self.counts = counts
+
+        def needed(ids: np.ndarray, grp: np.ndarray, q: np.ndarray) -> np.ndarray:
+            return enough(graph.within(aimed(q), ratio), aimed(q), graph, own, k) & (counts > 0)
+
+        def parted(v: np.ndarray):
+            """Parts of a long list by the nearest of its own centroids, and which of them a query has to see."""
+            if len(v) <= PART_ROWS:
+                return None
+            inner, inner_ratio = fitted(v[:: -(-len(v) // SAMPLE)], int(min(CENTROIDS, len(v) // LIST_ROWS)))
+            owner = np.concatenate([distances(lifted(v[at : at + 4096]), inner.points).argmin(1) for at in range(0, len(v), 4096)])
+            sizes = np.bincount(owner, minlength=len(inner.points))
+            return owner, lambda q: enough(inner.within(aimed(q), max(ratio, inner_ratio)), aimed(q), inner, sizes, k)
+
+        self.needed, self.parted = needed, parted
+
+
 def neighbours(df: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where `is_query` (over vec_id) holds, against all other rows."""
-    x, dimension = vectors.clean(df, zeros=False)
-    spark = df.sparkSession
-    total, most = x.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))).first()
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    largest = most * (1 + 1e-9)
-
-    def lifted(v: np.ndarray) -> np.ndarray:
-        return np.column_stack([v, np.sqrt(np.maximum(largest - (v * v).sum(1), 0))])
-
-    def aimed(v: np.ndarray) -> np.ndarray:
-        return np.column_stack([v * (np.sqrt(largest) / np.sqrt((v * v).sum(1)))[:, None], np.zeros(len(v))])
-
-    _, sampled = vectors.sample(x, SAMPLE, total, dimension)
-    graph = Graph(centroids_of(lifted(sampled), int(min(CENTROIDS, max(8, total // LIST_ROWS)))))
-    asked = np.arange(0, len(sampled), max(1, len(sampled) // 256))
-    ratio = ratio_for(lifted(sampled), lists_of(lifted(sampled), graph), aimed(sampled[asked]), asked, graph, k) if len(sampled) > 1 else 1.0
-
-    def assign(batches):
-        for batch in batches:
-            if batch.num_rows:
-                rows = vectors.matrix(batch.column(1), dimension)
-                found = lists_of(lifted(rows), graph)
-                who, which = np.nonzero(found >= 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(found[who, which], pa.int64()), pa.array(which == 0), vectors.packed(rows[who])], ["vec_id", "grp", "own", "v"])
-
-    data = cut(x.mapInArrow(assign, "vec_id long, grp long, own boolean, v binary").distinct())
-    counts = np.zeros(len(graph.points), np.int64)
-    for row in data.groupBy("grp").count().collect():  # at most CENTROIDS rows
-        counts[row["grp"]] = row["count"]
-
-    def needed(ids: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return graph.within(aimed(q), ratio) & (counts > 0)
-
-    block = int(min(MOST_BLOCK, max(LEAST_BLOCK, -(-counts.sum() // BLOCKS))))
-    return vectors.search(data.select("grp", "vec_id", "v"), data.where(is_query & F.col("own")), needed, counts, dimension, k, block, integer=False)
+    index = Index(df, k)
+    if not index.total:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    block = int(min(MOST_BLOCK, max(LEAST_BLOCK, -(-index.counts.sum() // BLOCKS))))
+    return vectors.search(index.data.select("grp", "vec_id", "v"), index.data.where(is_query & F.col("own")), index.needed, index.counts, index.dimension, k, block, integer=False, replicas=REPLICAS, parted=index.parted)
+
+
+def searched(df: DataFrame, is_query: Column, k: int = 20) -> float:
+    """The number of products that the lists searched hold, as a share of all pairs of a query and an entry of a list."""
+    index = Index(df, k)
+    if not index.total:
+        return 0.0
+    row = vectors.needed_share(index.data.where(is_query & F.col("own")), index.needed, index.counts, index.dimension).first()
+    return (row["asked"] or 0) / max(1, row["pairs"] or 0)

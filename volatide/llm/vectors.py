@@ -3,7 +3,8 @@
 Data rows carry a group (a Voronoi cell or a posting list). Groups are packed into bundles of at most about
 `block_rows` rows; a larger group is split over several bundles by a hash of the id, so a group with a third of all
 rows needs no large task. Queries are matrices of at most QUERIES_AT_ONCE rows, one copy for each bundle that holds
-a group they need. A bundle's rows come sorted, data first; queries then stream past them.
+a group they need. A bundle's rows come sorted, data first and by group; queries then stream past them. Products are
+made of a query and the groups that it needs, and of no others; a large group may be parted further where it is held.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,41 +86,49 @@ class Bundles:
         self.members = [np.flatnonzero((self.first <= b) & (b < self.first + self.blocks)) for b in range(self.count)]
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int, slack: float) -> list[np.ndarray]:
-    """For each row of scores, columns that hold its k best (ties to smaller ids), with those within `slack` of the k-th."""
-    n = scores.shape[1]
-    if n <= k:
-        return [np.flatnonzero(s > -np.inf) for s in scores]
-    top = np.argpartition(scores, n - k, axis=1)[:, n - k :]
-    edge = np.take_along_axis(scores, top, 1).min(1)
-    more = (scores >= (edge - slack)[:, None]).sum(1)
-    out = []
-    for i in range(len(scores)):
-        at = top[i] if more[i] == k else np.flatnonzero(scores[i] >= edge[i] - slack)
-        out.append(at[scores[i][at] > -np.inf])
-    return out
+def best(scores: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k best scores, with those within a relative `slack` of the k-th and all its ties."""
+    if scores.shape[1] > k:
+        edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+        edge = edge - slack * np.abs(edge)
+        return np.nonzero((scores >= edge[:, None]) & (scores > -np.inf))
+    return np.nonzero(scores > -np.inf)
 
 
-def columns(grp: np.ndarray, vec: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows ordered so that those of one id and vector (repeats, replicas in several groups) stand together.
+def runs(grp: np.ndarray) -> np.ndarray:
+    """Where the runs of equal groups begin, and the end."""
+    return np.append(np.flatnonzero(np.append(True, grp[1:] != grp[:-1])), len(grp))
 
-    Gives all rows' groups, where each id and vector starts among them, and its id and vector once.
-    """
-    x = x + 0.0  # no negative zeros
-    h = np.fromiter((xxhash.xxh3_64_intdigest(row.tobytes()) for row in x), np.uint64, len(x))
-    order = np.lexsort((h, vec))
-    grp, vec, h, x = grp[order], vec[order], h[order], x[order]
-    other = (vec[1:] != vec[:-1]) | (h[1:] != h[:-1]) | (x[1:] != x[:-1]).any(1)
-    starts = np.flatnonzero(np.append(True, other))
-    return grp, starts, vec[starts], x[starts]
+
+def needed_share(queries: DataFrame, needed: Callable, counts: np.ndarray, dimension: int) -> DataFrame:
+    """One row (asked, pairs): products of queries and data that the groups needed hold, of all pairs."""
+
+    def run(batches):
+        for batch in slices(batches, QUERIES_AT_ONCE):
+            if batch.num_rows:
+                asked = int((needed(batch.column(0).to_numpy(), batch.column(2).to_numpy(), unpacked(batch.column(1), dimension)) @ counts).sum())
+                yield pa.RecordBatch.from_arrays([pa.array([asked]), pa.array([batch.num_rows * int(counts.sum())])], ["asked", "pairs"])
+
+    return queries.select("vec_id", "v", "grp").mapInArrow(run, "asked long, pairs long").agg(F.sum("asked").alias("asked"), F.sum("pairs").alias("pairs"))
 
 
 def search(
-    data: DataFrame, queries: DataFrame, needed: Callable[[np.ndarray, np.ndarray], np.ndarray], counts: np.ndarray, dimension: int, k: int, block_rows: int, integer: bool
+    data: DataFrame,
+    queries: DataFrame,
+    needed: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
+    counts: np.ndarray,
+    dimension: int,
+    k: int,
+    block_rows: int,
+    integer: bool,
+    replicas: int = 1,
+    parted: Callable[[np.ndarray], tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]] | None] | None = None,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score) from data (grp, vec_id, v binary) and queries (vec_id, v binary).
+    """(query_id, rank, vec_id, score) from data (grp, vec_id, v binary), distinct in each group, and queries (vec_id, v binary, grp).
 
-    needed(ids, vectors) gives for each query the groups it has to see.
+    A row is in at most `replicas` groups.
+    needed(ids, groups, vectors) gives for each query the groups it has to see. parted(rows), if it is given, may part
+    the rows of a group: it gives each row's part and a function from queries to the parts that they have to see.
     """
     bundles = Bundles(counts, block_rows)
 
@@ -136,7 +144,7 @@ def search(
             ids, q = batch.column(0).to_numpy(), unpacked(batch.column(1), dimension)
             if not len(ids):
                 continue
-            wanted = needed(ids, q)
+            wanted = needed(ids, batch.column(2).to_numpy(), q)
             rows = []
             for b, members in enumerate(bundles.members):
                 mask = wanted[:, members]
@@ -150,10 +158,11 @@ def search(
     names = ["bundle", "side", "grp", "vec_id", "payload", "mask"]
     schema = "bundle long, side int, grp long, vec_id long, payload binary, mask binary"
     hashed = data.select("grp", "vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(2**31)).alias("h"))
-    both = hashed.mapInArrow(place, schema).union(queries.select("vec_id", "v").mapInArrow(ask, schema))
+    # Queries of one group stand together, so that those of a block need like groups.
+    asked = queries.select("vec_id", "v", "grp").sortWithinPartitions("grp", "vec_id")
+    both = hashed.mapInArrow(place, schema).union(asked.mapInArrow(ask, schema))
     dealt = both.repartition(max(1, bundles.count), "bundle").sortWithinPartitions("bundle", "side", "grp")
     kind = np.int64 if integer else float
-    slack = 0.0 if integer else 1e-9
 
     def solve(batches):
         now, held, ready = None, [], None
@@ -171,40 +180,85 @@ def search(
                     continue
                 if not held:
                     continue
+                members = bundles.members[int(now)]
                 if ready is None:
-                    ready, held = columns(*(np.concatenate(x) for x in zip(*held, strict=True))), [None]
-                    biggest = np.abs(ready[3]).max()
+                    ready, held = load(members, *(np.concatenate(x) for x in zip(*held, strict=True))), [None]
                 for n, payload, mask in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
                     ids, q = np.frombuffer(payload[: 8 * n], np.int64), np.frombuffer(payload[8 * n :], float).reshape(n, dimension)
-                    members = bundles.members[int(now)]
                     use = np.unpackbits(np.frombuffer(mask, np.uint8), count=n * len(members)).reshape(n, -1).astype(bool)
-                    exact = not integer or np.abs(q).max() * biggest * dimension < 2**53
-                    yield from answer(ids, q, use, members, *ready, exact)
-
-    def answer(ids, q, use, members, grp, starts, vec, x, exact):
-        slot = np.searchsorted(members, grp)
-        step = max(1, SCORES_AT_ONCE // len(grp))
-        for at in range(0, len(ids), step):
-            part = slice(at, at + step)
-            scores = q[part] @ x.T if exact else (q[part].astype(np.int64) @ x.T.astype(np.int64)).astype(float)
-            seen = np.logical_or.reduceat(use[part][:, slot], starts, axis=1)
-            scores[~seen | (ids[part][:, None] == vec)] = -np.inf
-            chosen = best(scores, vec, k, slack if exact else 1e-6 * max(1.0, np.abs(scores[np.isfinite(scores)]).max(initial=0)))
-            who = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])
-            which = np.concatenate(chosen) if len(chosen) else np.zeros(0, np.int64)
-            if not len(which):
+                    yield from answer(ids, q, use, *ready)
+
+    def load(members, grp, vec, x):
+        """Ids and vectors by group and part, groups as (slot among the members, bounds of the parts, choice of parts), and the largest component."""
+        groups, edges = [], runs(grp)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            slot, bounds, choose = int(np.searchsorted(members, grp[a])), np.array([a, b]), None
+            if parted is not None and (found := parted(x[a:b])) is not None:
+                part, choose = found
+                order = np.argsort(part, kind="stable")
+                vec[a:b], x[a:b] = vec[a:b][order], x[a:b][order]
+                bounds = a + np.append(np.searchsorted(part[order], np.arange(part.max() + 1)), b - a)
+            groups.append((slot, bounds, choose))
+        return vec, x, groups, np.abs(x).max(initial=0)
+
+    def pieces(q, use, groups):
+        """(queries, from, to): slices of rows that the same queries need."""
+        for slot, bounds, choose in groups:
+            mine = np.flatnonzero(use[:, slot])
+            if len(mine) and choose is None:
+                yield mine, int(bounds[0]), int(bounds[-1])
+            elif len(mine):
+                wanted = choose(q[mine])
+                for j in range(len(bounds) - 1):
+                    some = mine[wanted[:, j]]
+                    if len(some) and bounds[j + 1] > bounds[j]:
+                        yield some, int(bounds[j]), int(bounds[j + 1])
+
+    def joined(q, use, groups):
+        """The pieces, neighbours that the same queries need as one."""
+        last = None
+        for mine, a, b in pieces(q, use, groups):
+            if last is not None and last[2] == a and np.array_equal(last[0], mine):
+                last = (mine, last[1], b)
                 continue
-            # The same sum for equal vectors, wherever they stand in a block.
-            a, b = q[part][who], x[which]
-            final = (a.astype(np.int64) * b.astype(np.int64)).sum(1) if integer else (a * b).sum(1)
-            order = np.lexsort((vec[which], -final, who))
-            who, which, final = who[order], which[order], final[order]
-            copy = np.zeros(len(who), bool)
-            copy[1:] = (who[1:] == who[:-1]) & (vec[which[1:]] == vec[which[:-1]]) & (final[1:] == final[:-1])
-            who, which, final = who[~copy], which[~copy], final[~copy]
-            start = np.searchsorted(who, who, side="left")
-            keep = np.arange(len(who)) - start < k
-            yield pa.RecordBatch.from_arrays([pa.array(ids[part][who[keep]]), pa.array(vec[which[keep]]), pa.array(final[keep].astype(kind))], ["query_id", "vec_id", "score"])
+            if last is not None:
+                yield last
+            last = (mine, a, b)
+        if last is not None:
+            yield last
+
+    def answer(ids, q, use, vec, x, groups, biggest):
+        exact = not integer or np.abs(q).max() * biggest * dimension < 2**53
+        slack = 0.0 if integer and exact else 1e-6 if integer else 1e-9
+        who, which = [], []
+        for mine, a, b in joined(q, use, groups):
+            step = max(1, SCORES_AT_ONCE // (b - a))
+            for at in range(0, len(mine), step):
+                some = mine[at : at + step]
+                scores = q[some] @ x[a:b].T
+                scores[ids[some][:, None] == vec[a:b]] = -np.inf
+                row, column = best(scores, k * replicas, slack)
+                who.append(some[row])
+                which.append(column + a)
+        if not who:
+            return
+        who, which = np.concatenate(who), np.concatenate(which)
+        # The same sum for equal vectors, wherever they stand in a block.
+        a, b = q[who], x[which]
+        if not integer:
+            final = (a * b).sum(1)
+        elif exact:
+            final = (a.astype(np.int64) * b.astype(np.int64)).sum(1)
+        else:  # whole numbers of any size, cut off at 64 bits
+            whole = np.frompyfunc(int, 1, 1)
+            final = np.array([min(max(t, -(2**63)), 2**63 - 1) for t in (whole(a) * whole(b)).sum(1)], np.int64)
+        order = np.lexsort((vec[which], -final, who))
+        who, which, final = who[order], which[order], final[order]
+        copy = np.zeros(len(who), bool)  # replicas in several groups
+        copy[1:] = (who[1:] == who[:-1]) & (vec[which[1:]] == vec[which[:-1]]) & (final[1:] == final[:-1])
+        who, which, final = who[~copy], which[~copy], final[~copy]
+        keep = np.arange(len(who)) - np.searchsorted(who, who, side="left") < k
+        yield pa.RecordBatch.from_arrays([pa.array(ids[who[keep]]), pa.array(vec[which[keep]]), pa.array(final[keep].astype(kind))], ["query_id", "vec_id", "score"])
 
     found = dealt.mapInArrow(solve, f"query_id long, vec_id long, score {'long' if integer else 'double'}").distinct()
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
