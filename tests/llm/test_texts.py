@@ -51,6 +51,45 @@ def test_main_text_leaves_the_frame_out():
     assert maintext.trained().text(PAGE) == "T & U\n\nOne two three.\n\nFirst point.\n\nFour <five> six."
 
 
+def other_layout(rng):
+    """A page of layouts that training has not seen, with its article's blocks."""
+
+    def prose(low, high):
+        return " ".join(" ".join(rng.choice("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor".split()) for _ in range(rng.randrange(5, 18))).capitalize() + "." for _ in range(rng.randrange(low, high)))
+
+    links = lambda n: "".join(f"<li><a href='/{i}'>{prose(1, 2)[:20]}</a></li>" for i in range(n))
+    title, blocks = prose(1, 2)[:60], [prose(1, 6) for _ in range(rng.randrange(2, 9))]
+    body = "".join(f"<p>{b}</p>" for b in blocks)
+    kind = rng.randrange(4)
+    if kind == 0:  # tables
+        return f"<body><table><tr><td class=site-header><h2>{prose(1, 2)[:20]}</h2></td></tr><tr><td class=nav-menu><ul>{links(6)}</ul></td><td class=post-content><h1>{title}</h1>{body}</td></tr><tr><td class=footer-links>{prose(1, 2)}</td></tr></table></body>", [title, *blocks]
+    if kind == 1:  # a blog with widgets and answers below the article, inside one wrapper
+        return f"<body><div id=wrap><div class='header top'><b>{prose(1, 2)[:30]}</b><ul>{links(5)}</ul></div><div class='post entry'><h1>{title}</h1><div class=entry-text>{body}</div><div class='share-buttons'>{prose(1, 2)[:25]}</div></div><ol class=comment-list>{''.join(f'<li><p>{prose(1, 3)}</p></li>' for _ in range(3))}</ol><div class=widget-area><div><h3>{prose(1, 2)[:18]}</h3><p>{prose(1, 3)}</p></div></div></div><div>Copyright {prose(1, 2)}</div></body>", [title, *blocks]
+    if kind == 2:  # roles
+        return f"<body><div role=navigation><ul>{links(8)}</ul></div><div role=main><h1>{title}</h1>{body}</div><div role=search><p>{prose(1, 2)[:30]}</p></div><div class='cookie-banner'><div><p>{prose(1, 3)}</p></div></div></body>", [title, *blocks]
+    return f"<body><header><div><ul>{links(4)}</ul></div></header><main><section><div><h1>{title}</h1><div>{body}</div></div></section><aside><div><p>{prose(1, 3)}</p></div></aside></main><section class=related-posts><div><h3>{prose(1, 2)[:20]}</h3><p>{prose(1, 2)}</p></div></section><footer><div><div><p>{prose(1, 3)}</p></div></div></footer></body>", [title, *blocks]
+
+
+def exact_share(model, seed=5, pages=200):
+    import random
+
+    rng, right = random.Random(seed), 0
+    for _ in range(pages):
+        source, blocks = other_layout(rng)
+        right += model.text(source) == "\n\n".join(b.strip() for b in blocks)
+    return right / pages
+
+
+def test_unseen_layouts_need_the_tree():
+    assert exact_share(maintext.trained()) >= 0.75
+    assert exact_share(maintext.train(tree=False)) < 0.3
+
+
+def test_plain_legal_notice_is_left_out():
+    page = "<body><article><h1>A title</h1><p>Some text that is long enough, and goes on for a while. It does.</p></article><div>Copyright 2024 Somebody and others</div></body>"
+    assert maintext.trained().text(page) == "A title\n\nSome text that is long enough, and goes on for a while. It does."
+
+
 def test_capital_dotted_i_before_a_script_moves_nothing():
     page = "<p>" + "\u0130" * 40 + "</p><SCRIPT>var a = 1;</Script><p>" + "The article goes on here. " * 3 + "</p><p>More.</p>"
     assert [t.strip() for t in maintext.Page(page).text if t.strip()] == ["\u0130" * 40, ("The article goes on here. " * 3).strip(), "More."]
@@ -78,13 +117,13 @@ def test_marginals_match_enumeration():
 
     rng = np.random.default_rng(3)
     parent = [-1, 0, 0, 1, 1, 2, 5]
-    unary, table = rng.normal(size=7).tolist(), rng.normal(size=4).tolist()
+    unary, tables, kind = rng.normal(size=7).tolist(), rng.normal(size=(2, 4)).tolist(), [0, 1, 0, 0, 1, 1, 0]
     weight = np.zeros((7, 2))
     for states in product((0, 1), repeat=7):
-        w = np.exp(sum(u * s for u, s in zip(unary, states, strict=True)) + sum(table[2 * states[p] + states[i]] for i, p in enumerate(parent) if p >= 0))
+        w = np.exp(sum(u * s for u, s in zip(unary, states, strict=True)) + sum(tables[kind[i]][2 * states[p] + states[i]] for i, p in enumerate(parent) if p >= 0))
         for i, s in enumerate(states):
             weight[i, s] += w
-    odds, _ = maintext.marginals(parent, unary, table)
+    odds, _ = maintext.marginals(parent, unary, tables, kind)
     assert np.allclose(odds, np.log(weight[:, 1] / weight[:, 0]))
 
 
