@@ -32,11 +32,57 @@ def test_same_ids_as_the_library_on_odd_texts(library):
         assert tok.decode(ids) == text.encode()
 
 
-def test_matrix_and_heap_agree():
+def one_by_one(tok, piece):
+    """The leftmost pair of least rank, again and again."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        rank, at = min((tok.ranks.get(parts[i] + parts[i + 1], 2**31), i) for i in range(len(parts) - 1))
+        if rank == 2**31:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return b"".join(tok.ranks[p].to_bytes(4, "little") for p in parts)
+
+
+def test_matrix_merges_one_by_one():
     tok = bpe.ByteBPE(PATH, P.PATTERN)
     rng = random.Random(5)
     pieces = [bytes(rng.choices(b"etaoinshr", k=rng.randrange(2, 200))) for _ in range(300)]
-    assert tok._by_matrix(pieces, 256) == [tok._by_heap(p) for p in pieces]
+    assert tok._by_matrix(pieces, 256) == [one_by_one(tok, p) for p in pieces]
+
+
+def test_long_rows_merge_in_the_same_order():
+    tok = bpe.ByteBPE(PATH, P.PATTERN)
+    rng = random.Random(9)
+    pieces = [bytes(rng.choices(letters, k=rng.randrange(2, 900))) for letters in (b"etaoinshr", b"ab", b"a", bytes(range(256)), b"aab0 ", "日本語テキスト".encode()) for _ in range(60)]
+    pieces += [b"the" * 800, bytes(rng.choices(b"etaoinshrdlu", k=3000)), b"a" * 3000, b"=" * 1001]
+    for p in pieces:
+        assert tok._by_long_row(p) == one_by_one(tok, p)
+
+
+def test_very_long_matches_as_the_library(library):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("etaoinshrdlu", k=300_000)), "a" * 200_000, "日本語テキスト" * 20_000]
+    tok = bpe.ByteBPE(PATH, P.PATTERN)
+    for text, ids in zip(texts, tok.encode_texts(texts), strict=True):
+        assert ids_of(ids) == library.encode_ordinary(text)
+
+
+def test_merges_that_make_lower_ranks_go_first():
+    """A rank file in which merging makes pairs that go before what is left, as trained ones hardly have."""
+    tok = bpe.ByteBPE(PATH, P.PATTERN)
+    rng = random.Random(2)
+    for _ in range(30):
+        parts = {bytes([b]): i for i, b in enumerate(b"abc")}
+        words = sorted({bytes(rng.choices(b"abc", k=rng.randrange(2, 5))) for _ in range(25)})
+        rng.shuffle(words)
+        tok.ranks = parts | {w: i + 3 for i, w in enumerate(words)}
+        tok.tokens = sorted(tok.ranks, key=tok.ranks.get)
+        tok.bytes = bpe.np.array([tok.ranks.get(bytes([b]), 0) for b in range(256)], bpe.np.int32)
+        pairs = [(tok.ranks[t[:i]], tok.ranks[t[i:]], r) for t, r in tok.ranks.items() for i in range(1, len(t)) if t[:i] in tok.ranks and t[i:] in tok.ranks]
+        tok.pairs = bpe.PairTable(*bpe.np.array(pairs).T.reshape(3, -1).astype(bpe.np.int32))
+        for _ in range(20):
+            p = bytes(rng.choices(b"abc", k=rng.randrange(2, 60)))
+            assert tok._by_long_row(p) == one_by_one(tok, p) == tok._by_matrix([p], 64)[0]
 
 
 def test_long_texts_are_cut_only_where_matches_begin(library):

@@ -4,8 +4,9 @@ A text is cut by the tokenizer's pattern; each match is encoded by itself. The m
 are gathered for a batch of texts and encoded together: they are bucketed by length and laid out as rows of padded
 id matrices; each round looks up every row's adjacent pairs in a hash table (open addressing, vectorised probing),
 merges the leftmost pair of minimum rank of every row, closes the gap, and drops rows without a pair left
-(compaction). Very long matches, where a matrix row would need a round a merge, go through a heap over a linked
-list with the same order of merges. Encoded matches are kept in a bounded cache, which only saves work.
+(compaction). A row of more than SINGLE bytes merges all occurrences of its minimum pair in one round, from the left
+and without overlap, up to the first that makes a pair of lower rank: the same merges in the same order, in as many
+rounds as it has different merges. Encoded matches are kept in a bounded cache, which only saves work.
 
 Ids come as binary columns of little-endian unsigned 32-bit integers. Rank files are read on each worker from a
 path that is a parameter (they belong to an installed package).
@@ -19,7 +20,6 @@ results; an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from functools import lru_cache
 
@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from volatide.llm.common import add_columns
 
 NONE = np.int32(2**31 - 1)
-#: Longest match (in bytes) that is laid out in a matrix.
-MATRIX_BYTES = 256
+#: Bytes of a match up to which its row merges one pair a round.
+SINGLE = 1024
 #: Cached stretches and matches a worker keeps before it starts anew, and texts it encodes at once.
 CACHE_ENTRIES = 150_000
 TEXTS_AT_ONCE = 256
@@ -108,8 +108,8 @@ class ByteBPE:
         for i, piece in enumerate(pieces):
             if (rank := self.ranks.get(piece)) is not None:
                 out[i] = rank.to_bytes(4, "little")
-            elif len(piece) > MATRIX_BYTES:
-                out[i] = self._by_heap(piece)
+            elif len(piece) > SINGLE:
+                out[i] = self._by_long_row(piece)
             else:
                 buckets.setdefault(max(4, 1 << (len(piece) - 1).bit_length()), []).append(i)
         for width, rows in buckets.items():
@@ -154,31 +154,32 @@ class ByteBPE:
             ids = moved
         return done
 
-    def _by_heap(self, piece: bytes) -> bytes:
-        n, ranks, tokens = len(piece), self.ranks, self.tokens
-        ids = [ranks[piece[i : i + 1]] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        alive = [True] * n
-        heap: list[tuple[int, int, int, int]] = []
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j < n and (rank := ranks.get(tokens[ids[i]] + tokens[ids[j]])) is not None:
-                heapq.heappush(heap, (rank, i, ids[i], ids[j]))
-
-        for i in range(n - 1):
-            push(i)
-        while heap:
-            rank, i, left, right = heapq.heappop(heap)
-            if not alive[i] or ids[i] != left or (j := after[i]) >= n or ids[j] != right:
-                continue
-            ids[i], alive[j], after[i] = rank, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return np.array([x for x, live in zip(ids, alive, strict=True) if live], "<u4").tobytes()
+    def _by_long_row(self, piece: bytes) -> bytes:
+        ids = self.bytes[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.find(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != NONE:
+            # Of touching occurrences every second one, from the left, is merged.
+            at = np.flatnonzero(ranks == best)
+            start = np.flatnonzero(np.append(True, np.diff(at) > 1))
+            at = at[(np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))) % 2 == 0]
+            # When one is merged, those before it are, and those after it aren't yet.
+            before = np.where(at > 0, ids[at - 1], -1)
+            before[1:][np.diff(at) == 2] = best
+            after = np.append(ids, [-1, -1])[at + 2]
+            first = np.minimum(self.pairs.find(before, np.full_like(before, best)), self.pairs.find(np.full_like(after, best), after)) <= best
+            if first.any():  # a pair that goes before the rest
+                at = at[: int(first.argmax()) + 1]
+            kept = np.ones(len(ids), bool)
+            kept[at + 1] = False
+            ids[at] = best
+            now = ids[kept]
+            place = np.cumsum(kept)[at] - 1  # of the merged tokens
+            left, right = place[place > 0] - 1, place[place < len(now) - 1]
+            # A pair goes with its left token; those of a merged token, and of the one before it, are new.
+            ranks = np.append(ranks, NONE)[kept][:-1]
+            ranks[left], ranks[right] = self.pairs.find(now[left], now[left + 1]), self.pairs.find(now[right], now[right + 1])
+            ids = now
+        return ids.astype("<u4").tobytes()
 
     def _learn(self, wanted: set[str]) -> None:
         """Put the ids of these stretches without inner spaces into the cache."""
