@@ -45,3 +45,62 @@ def test_isotonic_matches_brute_force():
     s = y[np.argsort(x, kind="stable")]
     best = [max(min(s[a : b + 1].mean() for b in range(i, len(s))) for a in range(i + 1)) for i in range(len(s))]  # the min-max formula
     assert np.allclose(sorted(set(np.round(best, 12))), np.round(level, 12))
+
+
+def plain_statistics(text):
+    """The statistics, said again a character and a word at a time."""
+    raw = (text or "").encode()
+    words, n = raw.split(), max(1, len(raw))
+    w = max(1, len(words))
+    count = lambda chars: sum(b in chars for b in raw)
+    upper, lower = count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count(b"abcdefghijklmnopqrstuvwxyz")
+    lines, tail = [x for x in raw.split(b"\n") if x], words[-400:]
+    return [
+        np.log1p(len(raw)), np.log1p(len(words)), min(30.0, (len(raw) - count(b"\n")) / w), len(set(words)) / w,
+        sum(a == b for a, b in zip(words, words[1:])) / w, count(b"|") / w, upper / max(1, upper + lower), count(b"0123456789") / n, count(b"!") / w,
+        count(b"&%$#*~^=+_") / w, count(b".?") / w, count(b",;:") / w, count(b"\n") / w, 1 - len(set(lines)) / len(lines) if lines else 0.0,
+        sum(b >= 128 for b in raw) / n, sum(b < 32 and b not in (9, 10, 13) or b == 127 for b in raw) / n, count(b"()[]{}<>") / w, count(b"\"'`") / w, count(b"@") / w, count(b"/\\") / w,
+        sum(len(x) <= 2 for x in words) / w, sum(len(x) >= 15 for x in words) / w, len(set(tail)) / max(1, len(tail)),
+        sum(b in b"&%$#*!|" for x in tail for b in x) / max(1, len(tail)),
+    ]
+
+
+def test_query_matches_brute_force(spark):
+    """Statistics, features, ridge and calibration over the whole table, by plain sums on one machine."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    train = {r["doc_id"]: float(r["quality"]) for r in labels.where(~quality.held_out()).collect() if r["doc_id"] in docs and r["quality"] is not None}
+    folds = {r["doc_id"]: r["f"] for r in spark.createDataFrame([(d,) for d in docs], "doc_id long").select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(quality.FOLDS)).alias("f")).collect()}
+    stats = {d: np.array(plain_statistics(t)) for d, t in docs.items()}
+    ids = sorted(train)
+    rows, y, fold = np.array([stats[d] for d in ids]), np.array([train[d] for d in ids]), np.array([folds[d] for d in ids])
+    mean, scale = rows.mean(0), rows.std(0)
+    drawn = quality.Model(mean, scale)
+
+    def phi(x):
+        z = np.clip((x - mean) / np.where(scale > 1e-9, scale, 1), -4, 4)
+        return np.array([*(np.sqrt(2 / quality.FEATURES) * np.cos(z @ drawn.directions[:, j] + drawn.phases[j]) for j in range(quality.FEATURES)), *(z / 8), 1.0])
+
+    x = np.array([phi(r) for r in rows])
+    ridge = lambda part: np.linalg.solve(x[part].T @ x[part] + 0.01 * quality.RIDGE * part.sum() * np.eye(x.shape[1]), x[part].T @ y[part])
+    whole = ridge(np.ones(len(ids), bool))
+    left_out = np.empty(len(ids))
+    for k in range(quality.FOLDS):
+        left_out[fold == k] = x[fold == k] @ ridge(fold != k)
+    drawn.knots = quality.isotonic(left_out, y)
+    found = {r["doc_id"]: r["score"] for r in queries.op1_quality(spark, sf).collect()}
+    for d in docs:
+        raw = phi(stats[d]) @ whole
+        want = 0.999 * np.interp(raw, *drawn.knots) + 0.001 / (1 + np.exp(-(4 * raw - 2)))
+        assert abs(found[d] - want) < 1e-6, d
+
+
+def test_features_approximate_a_gaussian_kernel():
+    rng = np.random.default_rng(1)
+    d = len(quality.STATISTICS)
+    model = quality.Model(np.zeros(d), np.ones(d))
+    a, b = rng.normal(0, 1, (200, d)), rng.normal(0, 1, (200, d))
+    waves = lambda x: model.features(x)[:, : quality.FEATURES]
+    kernel = np.exp(-((a - b) ** 2).sum(1) * quality.WIDTH**2 / d / 2)
+    assert np.abs((waves(a) * waves(b)).sum(1) - kernel).mean() < 0.06
