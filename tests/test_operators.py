@@ -48,7 +48,7 @@ def test_alignment(spark, case):
 
 
 def test_alignment_needs_a_date(spark):
-    with pytest.raises(ValueError, match="at least one"):
+    with pytest.raises(ValueError, match="tells when"):
         alignment.align(spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(d("2024-01-01"),)], "date date"))
 
 
@@ -115,7 +115,7 @@ def test_text_functions(spark):
     show = lambda c: one.select(c.alias("x")).first()["x"]
     assert show(text.input_text(F.lit(" t "), F.lit("l  l"))) == "t . l l" and show(text.input_text(F.lit(""), F.lit("l"))) == "l"
     assert show(text.infer_category(F.lit("/kinh-te-vi-mo/x"), sites.BUSINESS_KEYWORDS, "?")) == "Kinh tế"
-    assert show(text.normalize_url(F.lit("../b?q#f"), F.lit("https://h.x/a/c"))) == "https://h.x/a/../b?q"
+    assert show(text.normalize_url(F.lit("../b?q#f"), F.lit("https://h.x/a/c"))) == "https://h.x/b?q"
     assert show(text.normalize_url(F.lit("/r"), F.lit("https://h.x/a/c"))) == "https://h.x/r" and show(text.normalize_url(F.lit("javascript:x"))) is None
     for raw in ("2015-01-02T08:30:00+07:00", "Thứ sáu, 02/01/2015, 08:30", "02-01-2015"):
         assert show(dates.extract_date(F.lit(raw))) == d("2015-01-02")
@@ -145,11 +145,11 @@ def test_merging_annotations(spark):
     review = spark.createDataFrame([("a1", "positive")], "article_id string, label string")
     rows = labels.merge_annotations(labelled(spark), notes, review).orderBy("article_id").collect()
     assert [(r["article_id"], r["label"], r["confidence"], r["label_source"]) for r in rows] == [("a0", "negative", 0.91, "bootstrap"), ("a1", "positive", 1.0, "reviewed")]
-    bad = {"duplicate": notes.union(notes), "missing labels": notes.withColumn("label", F.lit(" ")), "invalid labels": notes.withColumn("label", F.lit("bullish"))}
+    bad = {"duplicate": notes.union(notes), "no label": notes.withColumn("label", F.lit(" ")), "none of the three": notes.withColumn("label", F.lit("bullish"))}
     for message, frame_ in bad.items():
         with pytest.raises(ValueError, match=message):
             labels.merge_annotations(labelled(spark), frame_)
-    with pytest.raises(ValueError, match="No article_id overlap"):
+    with pytest.raises(ValueError, match="None of the annotated"):
         labels.merge_annotations(labelled(spark), notes.withColumn("article_id", F.concat(F.lit("z"), "article_id")))
 
 
@@ -160,9 +160,9 @@ def test_splits(spark):
     one_day = labelled(spark, 4).withColumn("published_at", F.lit("2024-01-01"))
     assert by(labels.assign_splits(one_day, val=0.1)) == ["train", "test", "val", "train"]
     assert by(labels.assign_splits(labelled(spark, 3), train=0.6, val=0.01)) == ["val", "train", "test"]
-    with pytest.raises(ValueError, match="Split ratios"):
+    with pytest.raises(ValueError, match="leave nothing"):
         labels.assign_splits(labelled(spark), train=0.9, val=0.1)
-    with pytest.raises(ValueError, match="Invalid split"):
+    with pytest.raises(ValueError, match="splits other than"):
         labels.assign_splits(labelled(spark).withColumn("split", F.lit("dev")))
 
 
@@ -460,3 +460,95 @@ def test_forecasting_queries_run_the_whole_job(monkeypatch):
     assert [(c["length"], c["epochs"]) for c in calls] == [(15, 30)] * 3
     assert all((c.get("features") or residual.FEATURES) == residual.FEATURES for c in calls)
     assert calls[1]["specs"] == residual.specifications()
+
+
+def test_urls_are_joined_as_browsers_do(spark):
+    from urllib.parse import urldefrag, urljoin
+
+    bases = ["https://h.x/a/c", "https://h.x", "https://h.x/a/b/c/?k=1", "http://h.x:8/a/"]
+    urls = ["../b?q", "../../../b", "./x/./y", "/r/../s", "x//y/../z", "..", ".", "a/..", "?p=2", "//o.x/p/../q", "https://z.x/a/../b", "/", "b/?u=../v", "//o.x", "c/d/"]
+    rows = [(u, b) for u in urls for b in bases]
+    df = spark.createDataFrame(rows, "u string, b string").select("u", "b", text.normalize_url(F.col("u"), F.col("b")).alias("n"))
+    for r in df.collect():
+        assert r["n"] == urldefrag(urljoin(r["b"], r["u"]))[0], (r["u"], r["b"])
+
+
+def test_unix_seconds(spark):
+    day = F.lit("2024-03-10").cast("date")
+    row = spark.range(1).select(dates.unix_seconds(day).alias("a"), dates.unix_seconds(day, True).alias("b"), dates.unix_seconds(day, zone="Asia/Ho_Chi_Minh").alias("c")).first()
+    start = int(dt.datetime(2024, 3, 10, tzinfo=dt.timezone.utc).timestamp())
+    assert tuple(row) == (start, start + 86399, start - 7 * 3600)
+
+
+def test_batches_never_exceed_their_size(spark, monkeypatch):
+    monkeypatch.setattr(labels, "HASHED_TOGETHER", 90)
+    sizes = [r["count"] for r in labels.batches(spark.range(1003).withColumnRenamed("id", "article_id"), 20).groupBy("batch_index").count().collect()]
+    assert sum(sizes) == 1003 and max(sizes) == 20 and sum(s < 20 for s in sizes) <= 12
+
+
+def test_checkpoints_need_three_labels_in_order(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IndexToString
+
+    rows = [(f"{w} word {i}", l) for i in range(6) for w, l in (("bad", "negative"), ("so", "neutral"), ("good", "positive"))]
+    df = spark.createDataFrame(rows, "input_text string, label string")
+    good = classify.train(df)
+    classify.check_labels(good, "good")
+    with pytest.raises(ValueError, match="2 classes|\\[2\\] classes"):
+        classify.check_labels(classify.train(df.where("label <> 'positive'")), "two")
+    for names in (["positive", "neutral", "negative"], ["negative", "neutral"]):
+        wrong = Pipeline(stages=[*good.stages[:-1], IndexToString(inputCol="prediction", outputCol="__label", labels=names)]).fit(df)
+        wrong.save(str(tmp_path / names[0]))
+        with pytest.raises(ValueError, match="must be"):
+            classify.validate_checkpoint(str(tmp_path / names[0]))
+
+
+def test_garchx_is_fitted_up_to_the_validation_end(spark):
+    """Against the recursion spelled out: lagged sentiment, the whole sample's variance, a day's variance for its row."""
+    rng = np.random.default_rng(3)
+    n = 140
+    y, mood, vol = rng.normal(size=n) * 0.01, rng.normal(size=n) * 0.1, np.abs(rng.normal(size=n)) * 0.01 + 0.002
+    df = series(spark, y, mean_sentiment=mood, target_next_vol=vol)
+    got = residual.garchx_forecasts(df, "2024-04-20").toPandas().sort_values("date")
+    days = [r["date"] for r in df.orderBy("date").collect()]
+    cut = sum(x <= dt.date(2024, 4, 20) for x in days)
+    assert got["date"].tolist() == days[cut:] and np.allclose(got["actual"], vol[cut:])
+    x = np.r_[0.0, mood[:-1]]
+    p = garch.fit(y[:cut], exog=x[:cut])
+    z = y * 100
+    e = z - p["c"] - p["phi"] * np.r_[0.0, z[:-1]]
+    v = [max(z.var(ddof=1), p["omega"] / max(1e-6, 1 - p["alpha"] - p["beta"]))]
+    for i in range(1, n):
+        v.append(p["omega"] + p["alpha"] * e[i - 1] ** 2 + p["beta"] * v[-1] + p["gamma"] * x[i - 1])
+    assert np.allclose(got["hybrid"] * 100, np.sqrt(v)[cut:]) and np.allclose(got["gamma"], p["gamma"])
+
+
+def test_specifications_follow_one_window_and_feature_list(spark):
+    by = {s.name: s for s in residual.specifications()}
+    assert by["no_sentiment"].features == residual.FEATURES[:6] and len(by["baseline_005"].features) == 17
+    assert {"garch_forecast_var", "neutral_share", "macro_sentiment", "market_sentiment"} <= set(residual.FEATURES)
+
+
+def test_expanding_starts_where_each_series_says(spark):
+    rng = np.random.default_rng(8)
+    a, b = (series(spark, rng.normal(size=n) * 0.01).withColumn("series_id", F.lit(name)) for n, name in ((90, "a"), (70, "b")))
+    days = [r["date"] for r in a.orderBy("date").collect()]
+    both = garch.expanding(a.union(b), train_end=str(days[49]), every=10).orderBy("date")
+    for df, name in ((a, "a"), (b, "b")):
+        alone = garch.expanding(df, 50, every=10).orderBy("date").toPandas()
+        assert np.allclose(alone["forecast_vol"], both.where(F.col("series_id") == name).toPandas()["forecast_vol"])
+    # One fit a cut, each on the rows before it.
+    y = np.array([r["log_return"] for r in a.orderBy("date").collect()])
+    p = garch.fit(y[:80])
+    row = garch.expanding(a, 50, every=10).orderBy("date").toPandas().iloc[80]
+    assert abs(row["std_resid"] - (y[80] * 100 - p["c"] - p["phi"] * y[79] * 100) / (row["conditional_vol"] * 100)) < 1e-6
+
+
+def test_days_before_the_first_session_and_far_away(spark):
+    sessions = spark.createDataFrame([(dt.date(2024, 1, 3),), (dt.date(2024, 1, 5),)], "date date")
+    days = [dt.date(1, 1, 1), dt.date(2024, 1, 1), dt.date(2024, 1, 4), dt.date(2024, 1, 6), dt.date(9999, 12, 31), None]
+    rows = alignment.align(spark.createDataFrame([(str(i), x) for i, x in enumerate(days)], "url string, date date"), sessions, timestamp=None).orderBy("url").collect()
+    assert [r["trading_date"] for r in rows] == [dt.date(2024, 1, 3), dt.date(2024, 1, 3), dt.date(2024, 1, 5), None, None, None]
+    wide = spark.createDataFrame([(dt.date(1, 1, 1),), (dt.date(9999, 1, 1),)], "date date")
+    with pytest.raises(Exception, match="span more than"):
+        alignment.align(spark.createDataFrame([("u", days[1])], "url string, date date"), wide, timestamp=None).collect()

@@ -40,6 +40,13 @@ def date_from_unix(seconds: Column) -> Column:
     return F.to_date(F.timestamp_seconds(seconds))
 
 
+def unix_seconds(day: Column, end_of_day: bool = False, zone: str = "UTC") -> Column:
+    """Seconds since 1970 at which a day begins, or its last second, on the clocks of a zone."""
+    local = day.cast("timestamp_ntz") + F.expr("interval '86399' second") if end_of_day else day.cast("timestamp_ntz")
+    at = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+    return F.unix_date(at.cast("date")).cast("long") * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+
+
 def date_blocks(spans: DataFrame, start: str, end: str, days: int) -> DataFrame:
     """Rows of (block_start, block_end): consecutive blocks of `days` days that cover each span."""
     blocks = spans.withColumn("block_start", F.explode(F.expr(f"sequence({start}, {end}, interval {int(days)} days)")))

@@ -52,19 +52,33 @@ def infer_category(url: Column, table: dict[str, str], default: str) -> Column:
     return out.otherwise(default) if out is not None else F.lit(default)
 
 
+def _without_dots(path: Column, tidy: Column) -> Column:
+    """A path with its . and .. segments resolved; where `tidy`, without empty inner segments."""
+    parts = F.split(path, "/", -1)
+    inner = F.filter(parts, lambda p, i: ~tidy | (i == 0) | (i == F.size(parts) - 1) | (p != ""))
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    kept = F.aggregate(inner, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", up(acc)).when(p == ".", acc).otherwise(F.concat(acc, F.array(p))))
+    ends = F.when(path.rlike(r"(^|/)\.\.?$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    out = F.array_join(ends, "/")
+    return F.when(out.startswith("/"), out).otherwise(F.concat(F.lit("/"), out))
+
+
 def normalize_url(url: Column, base: Column | None = None) -> Column:
-    """Absolute, without fragment; null for script and mail links. `base` resolves root- and path-relative urls."""
+    """Absolute, without fragment; null for script and mail links. `base` resolves relative urls, with . and .. in their paths."""
     clean = F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), "#.*$", "")
     if base is not None:
+        plain = F.regexp_replace(base, "#.*$", "")
         root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
         scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
-        folder = F.concat(root, F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace(base, "[?#].*$", ""), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*(/.*/|/)", 1), F.lit("")), F.lit("/")))
+        folder = F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace(base, "[?#].*$", ""), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*(/.*/|/)", 1), F.lit("")), F.lit("/"))
+        path, rest = F.regexp_extract(clean, r"^([^?]*)", 1), F.regexp_extract(clean, r"^[^?]*(.*)$", 1)
+        rooted = clean.startswith("/")
         clean = (
             F.when(clean.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), clean)
             .when(clean.startswith("//"), F.concat(scheme, clean))
-            .when(clean.startswith("/"), F.concat(root, clean))
-            .when(clean == "", F.regexp_replace(base, "#.*$", ""))
-            .otherwise(F.concat(folder, clean))
+            .when(clean == "", plain)
+            .when(clean.startswith("?"), F.concat(F.regexp_replace(plain, r"\?.*$", ""), clean))
+            .otherwise(F.concat(root, _without_dots(F.when(rooted, path).otherwise(F.concat(folder, path)), ~rooted), rest))
         )
     return F.when(F.lower(clean).rlike("^(javascript|mailto):") | (clean == ""), F.lit(None).cast("string")).otherwise(clean)
 

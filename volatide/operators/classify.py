@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +37,16 @@ def centroid_logits(df: DataFrame, vector: str, klass: str, sharpness: float = 4
 
 
 def text_pipeline(features: int = 1 << 16, rounds: int = 30) -> Pipeline:
-    words = RegexTokenizer(inputCol="input_text", outputCol="__words", pattern=r"(?U)[^\w]+")
-    return Pipeline(stages=[words, HashingTF(inputCol="__words", outputCol="__tf", numFeatures=features), IDF(inputCol="__tf", outputCol="__x"), LogisticRegression(featuresCol="__x", labelCol="__y", probabilityCol="__p", maxIter=rounds, regParam=0.01, family="multinomial")])
+    """TF-IDF and multinomial logistic regression; the last stage keeps the labels' names and order with the model."""
+    return Pipeline(
+        stages=[
+            RegexTokenizer(inputCol="input_text", outputCol="__words", pattern=r"(?U)[^\w]+"),
+            HashingTF(inputCol="__words", outputCol="__tf", numFeatures=features),
+            IDF(inputCol="__tf", outputCol="__x"),
+            LogisticRegression(featuresCol="__x", labelCol="__y", probabilityCol="__p", maxIter=rounds, regParam=0.01, family="multinomial"),
+            IndexToString(inputCol="prediction", outputCol="__label", labels=list(LABELS)),
+        ]
+    )
 
 
 def with_label_id(df: DataFrame) -> DataFrame:
@@ -50,20 +58,29 @@ def train(df: DataFrame) -> PipelineModel:
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    n = model.stages[-1].numClasses
+    n = next(s.numClasses for s in model.stages if hasattr(s, "numClasses"))
     filled = F.concat(vector_to_array(F.col("__p")), F.array_repeat(F.lit(0.0), 3 - n)) if n < 3 else vector_to_array(F.col("__p"))
     out = model.transform(df).withColumn("__probabilities", filled)
-    return score_rows(out, "__probabilities").drop("__words", "__tf", "__x", "__p", "__probabilities", "rawPrediction", "prediction")
+    return score_rows(out, "__probabilities").drop("__words", "__tf", "__x", "__p", "__probabilities", "__label", "rawPrediction", "prediction")
 
 
 def validate_checkpoint(path: str) -> PipelineModel:
-    """The saved model, if it classifies into at most the three labels."""
+    """The saved model, if it has exactly the three labels, in their order."""
     model = PipelineModel.load(path)
-    if not hasattr(model.stages[-1], "numClasses") or model.stages[-1].numClasses > len(LABELS):
-        raise ValueError(f"{path} is not a classifier of {len(LABELS)} labels.")
+    check_labels(model, path)
     return model
 
 
+def check_labels(model: PipelineModel, name: str) -> None:
+    """Fail unless the last stage gives the labels, in their order, and the stage before it as many logits."""
+    named = getattr(model.stages[-1], "getLabels", lambda: [])()
+    if list(named) != list(LABELS):
+        raise ValueError(f"{name} has labels {list(named)}; they must be {list(LABELS)}.")
+    classes = [s.numClasses for s in model.stages if hasattr(s, "numClasses")]
+    if classes != [len(LABELS)]:
+        raise ValueError(f"{name} tells {classes} classes apart, not {len(LABELS)}.")
+
+
 def confusion(df: DataFrame, gold: str = "label", predicted: str = "sentiment_label") -> DataFrame:
     return df.groupBy(gold).agg(*[F.sum((F.col(predicted) == x).cast("long")).alias(f"predicted_{x}") for x in LABELS])
 

@@ -129,30 +129,62 @@ def add_features(df: DataFrame, train_end: str, column: str = "log_return", targ
     return out.withColumn("hybrid_residual_target", F.col(target) - F.col("garch_forecast_vol"))
 
 
-def expanding(df: DataFrame, train_rows: int, every: int = 21, column: str = "log_return") -> DataFrame:
+def filter_fitted(df: DataFrame, parameters: DataFrame, column: str = "log_return") -> DataFrame:
+    """(series_id, date, conditional_var, forecast_var, std_resid) for each series' own parameters."""
+
+    def run(key, frame: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("date").dropna(subset=[column])
+        if not len(frame) or not len(fits):
+            return pd.DataFrame(columns=["series_id", "date", "conditional_var", "forecast_var", "std_resid"])
+        y = frame[column].to_numpy()
+        out = project(y, fits.to_dict("records")[0], float((y * 100).var(ddof=1)))
+        return out.assign(series_id=key[0], date=frame["date"].to_numpy())[["series_id", "date", "conditional_var", "forecast_var", "std_resid"]]
+
+    picked = df.select("series_id", "date", column).groupBy("series_id")
+    return picked.cogroup(parameters.groupBy("series_id")).applyInPandas(run, "series_id string, date date, conditional_var double, forecast_var double, std_resid double")
+
+
+#: Groups of re-fits of a series that run in parallel, each with the rows before its last one.
+REFIT_GROUPS = 8
+
+
+def expanding(df: DataFrame, train_rows: int | None = None, every: int = 21, column: str = "log_return", train_end: str | None = None) -> DataFrame:
     """(series_id, date, conditional_vol, forecast_vol, std_resid) with parameters re-fitted as rows arrive.
 
-    Each re-fit sees only rows before its date, so all of them run in parallel; one pass a series then walks along,
-    changing parameters at the re-fit dates. A failed re-fit keeps the parameters before it. A re-fit recomputes past
-    residuals but not past variances.
+    The first fit is of the first `train_rows` rows, or of those up to `train_end`. Each re-fit sees only rows before its
+    date, so groups of them run in parallel (a series is sent REFIT_GROUPS times at most); one pass a series then walks
+    along, changing parameters at the re-fit dates. A failed re-fit keeps the parameters before it. A re-fit recomputes
+    past residuals but not past variances.
     """
-    place = F.row_number().over(Window.partitionBy("series_id").orderBy("date"))
-    rows = df.where(F.col(column).isNotNull()).select("series_id", "date", F.col(column).alias("r")).withColumn("i", place - 1)
-    ends = rows.where((F.col("i") >= train_rows) & ((F.col("i") - train_rows) % every == 0)).select("series_id", F.col("i").alias("cut"))
-    jobs = rows.join(ends.withColumnRenamed("series_id", "s"), (F.col("series_id") == F.col("s")) & (F.col("i") < F.col("cut"))).drop("s")
+    if (train_rows is None) == (train_end is None):
+        raise ValueError("Either train_rows or train_end says where the first fit ends.")
+    whole, place = Window.partitionBy("series_id"), F.row_number().over(Window.partitionBy("series_id").orderBy("date"))
+    early = F.lit(train_rows) if train_end is None else F.count(F.when(F.col("date") <= F.lit(train_end).cast("date"), 1)).over(whole).cast("int")
+    rows = df.where(F.col(column).isNotNull()).select("series_id", "date", F.col(column).alias("r")).withColumns({"i": place - 1, "first": early, "n": F.count("*").over(whole).cast("int")})
+    # Cut j is at first + every * j; a group has `per` cuts in a row.
+    cuts = F.ceil(F.greatest(F.col("n") - F.col("first"), F.lit(0)) / every).cast("int")
+    jobs = rows.withColumn("cuts", cuts).withColumn("per", F.ceil(F.col("cuts") / REFIT_GROUPS).cast("int"))
+    jobs = jobs.withColumn("job", F.explode(F.sequence(F.lit(0), F.lit(REFIT_GROUPS - 1))))
+    last = F.col("first") + every * (F.least((F.col("job") + 1) * F.col("per"), F.col("cuts")) - 1)
+    jobs = jobs.where((F.col("job") * F.col("per") < F.col("cuts")) & (F.col("i") < last))
 
     def refit(key, frame: pd.DataFrame) -> pd.DataFrame:
-        try:
-            return pd.DataFrame([{"series_id": key[0], "cut": key[1], **fit(frame.sort_values("i")["r"].to_numpy())}])
-        except (ValueError, np.linalg.LinAlgError):
-            return pd.DataFrame(columns=["series_id", "cut", "c", "phi", "omega", "alpha", "beta", "gamma", "loss"])
+        frame = frame.sort_values("i")
+        y, (first, cuts, per) = frame["r"].to_numpy(), (int(frame[c].iloc[0]) for c in ("first", "cuts", "per"))
+        found = []
+        for j in range(key[1] * per, min((key[1] + 1) * per, cuts)):
+            try:
+                found.append({"series_id": key[0], "cut": first + every * j, **fit(y[: first + every * j])})
+            except (ValueError, np.linalg.LinAlgError):
+                continue
+        return pd.DataFrame(found, columns=["series_id", "cut", "c", "phi", "omega", "alpha", "beta", "gamma", "loss"])
 
-    fitted = jobs.groupBy("series_id", "cut").applyInPandas(refit, f"series_id string, cut int, {PARAMETERS}")
+    fitted = jobs.groupBy("series_id", "job").applyInPandas(refit, f"series_id string, cut int, {PARAMETERS}")
 
     def walk(key, frame: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("i")
         y = frame["r"].to_numpy() * 100
-        n = len(y)
+        n, train_rows = len(y), int(frame["first"].iloc[0]) if len(frame) else 0
         if n <= train_rows or n == 0:
             return pd.DataFrame(columns=["series_id", "date", "conditional_vol", "forecast_vol", "std_resid"])
         by_cut = {int(f["cut"]): f for f in fits.to_dict("records")}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from volatide.functions.text import normalize_label
+from volatide.operators.alignment import MOST_DAYS
 from volatide.schemas import LABELED, SPLITS, TRAINING, require_columns, require_unique
 
 
@@ -20,13 +21,13 @@ def clean_annotations(df: DataFrame, dataset: str, threshold: float, allow_low:
         require_unique(df, ["article_id"], dataset)
         bad = df.agg(F.max((F.trim(F.coalesce("label", F.lit(""))) == "").cast("int")), F.max(label.isNull().cast("int"))).first()
         if bad[0]:
-            raise ValueError(f"{dataset} contains missing labels.")
+            raise ValueError(f"{dataset}: some rows have no label.")
         if bad[1]:
-            raise ValueError(f"{dataset} contains invalid labels.")
+            raise ValueError(f"{dataset}: some labels are none of the three.")
     confidence = F.col("confidence").try_cast("double") if "confidence" in df.columns else F.lit(1.0 if reviewed else None).cast("double")
     out = df.select("article_id", label.alias("label"), confidence.alias("confidence"), F.lit("reviewed" if reviewed else "bootstrap").alias("label_source"))
     if check and "confidence" in df.columns and not out.where(F.col("confidence").isNull()).isEmpty():
-        raise ValueError(f"{dataset} contains non-numeric confidence values.")
+        raise ValueError(f"{dataset}: some confidences are no numbers.")
     if "confidence" in df.columns and not allow_low and not reviewed:
         out = out.where(F.col("confidence") >= threshold)
     return out
@@ -44,7 +45,7 @@ def merge_annotations(corpus: DataFrame, annotations: DataFrame, reviewed: DataF
         out = out.join(review, "article_id", "left").withColumns({f: F.coalesce(f"reviewed_{f}", f) for f in fields}).drop(*[f"reviewed_{f}" for f in fields])
     out = out.where(F.col("label").isNotNull())
     if check and out.isEmpty():
-        raise ValueError("No article_id overlap between normalized corpus and annotation inputs.")
+        raise ValueError("None of the annotated article_ids is in the corpus.")
     return out
 
 
@@ -55,16 +56,16 @@ def assign_splits(df: DataFrame, order: str = "article_id", time: str = "publish
     round half to even. On one day the first rows by `order` fill the other splits, the rest trains.
     """
     if train <= 0 or val < 0 or train + val >= 1:
-        raise ValueError("Split ratios must satisfy 0 < train_ratio, 0 <= val_ratio and train_ratio + val_ratio < 1.")
+        raise ValueError(f"Shares of {train} for train and {val} for val leave nothing for a split.")
     if "split" in df.columns and df.where(F.col("split").isNull()).isEmpty():
         out = df.withColumn("split", F.lower(F.trim("split")))
         if not out.where(~F.col("split").isin(*SPLITS)).isEmpty():
-            raise ValueError(f"Invalid split values. Expected one of {sorted(SPLITS)}")
+            raise ValueError(f"Rows have splits other than {", ".join(SPLITS)}.")
         return out
     require_columns(df, [time], "Temporal split")
     dated = df.drop("split").withColumn("__day", F.to_date(F.try_to_timestamp(F.col(time).cast("string"))))
     if not dated.where(F.col("__day").isNull()).isEmpty():
-        raise ValueError(f"Temporal split requires valid {time} values for all rows.")
+        raise ValueError(f"Rows without a date in {time} can't be split by time.")
     days = dated.select("__day").distinct()
     total = days.count()
     if total <= 1:
@@ -81,7 +82,8 @@ def assign_splits(df: DataFrame, order: str = "article_id", time: str = "publish
         n_val = max(0, total - n_train - 1)
     ranked = days.withColumn("__n", F.row_number().over(Window.orderBy("__day")))
     split = F.when(F.col("__n") <= n_train, "train").when(F.col("__n") <= n_train + n_val, "val").otherwise("test")
-    out = dated.join(F.broadcast(ranked.select("__day", split.alias("split"))), "__day").drop("__day")
+    named = ranked.select("__day", split.alias("split"))
+    out = dated.join(F.broadcast(named) if total <= MOST_DAYS else named, "__day").drop("__day")
     if val > 0 and n_val == 0:  # an expected split without a day gets the first row of the largest one
         sizes = out.groupBy("split").count().orderBy(F.col("count").desc(), "split").first()
         moved = out.where(F.col("split") == sizes["split"]).agg(F.min(order)).first()[0]
@@ -137,7 +139,7 @@ def source_balanced_sample(df: DataFrame, n: int, seed: int = 42, key: str = "ar
     sizes = df.groupBy("source").agg(F.count("*").alias("__size"))
     quotas = sizes.withColumn("__quota", F.floor(F.lit(n) / F.count("*").over(Window.partitionBy())) + (F.row_number().over(Window.orderBy("source")) <= F.lit(n) % F.count("*").over(Window.partitionBy())).cast("int"))
     place = F.row_number().over(Window.partitionBy("source").orderBy("__h", key))
-    ranked = hashed.withColumn("__place", place).where(F.col("__place") <= n).join(F.broadcast(quotas), "source")
+    ranked = hashed.withColumn("__place", place).where(F.col("__place") <= n).join(quotas, "source")
     within = ranked.withColumn("__extra", (F.col("__place") > F.col("__quota")).cast("int"))
     return within.orderBy("__extra", F.when(F.col("__extra") == 1, F.col("__h")), "source", "__place").limit(n).drop("__h", "__size", "__quota", "__place", "__extra")
 
@@ -149,10 +151,21 @@ def unlabeled(df: DataFrame) -> DataFrame:
 # --- labelling by a model -------------------------------------------------------------------------------------
 
 
+#: Rows that are numbered together when batches are made.
+HASHED_TOGETHER = 10_000
+
+
 def batches(df: DataFrame, size: int = 20, key: str = "article_id") -> DataFrame:
-    """Add batch_index: about `size` rows share a batch, by hash, so no global order is needed."""
-    n = max(1, -(-df.count() // size))
-    return df.withColumn("batch_index", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    """Add batch_index: at most `size` rows share a batch.
+
+    Rows are dealt by hash into groups of about HASHED_TOGETHER and numbered within them, so there is no global order;
+    all batches of a group but its last are full.
+    """
+    groups = max(1, -(-df.count() // HASHED_TOGETHER))
+    h = F.xxhash64(key)
+    dealt = df.withColumns({"__group": F.pmod(h, F.lit(groups)), "__h": h})
+    place = F.row_number().over(Window.partitionBy("__group").orderBy("__h", key)) - 1
+    return dealt.withColumn("batch_index", F.floor(place / size) * groups + F.col("__group")).drop("__group", "__h")
 
 
 def bootstrap_labels(df: DataFrame, runners: list[tuple[str, Callable[[list[dict]], list[dict]]]], size: int = 20, prompt_version: str = "v1") -> DataFrame:

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from volatide.operators import garch
 from volatide.operators.stats import error_metrics
 
+# Inputs of the network; without sentiment there are the market's and the news volume's only.
+QUIET = ["garch_std_resid", "garch_forecast_var", "abs_return", "n_articles", "n_categories", "mean_body_len"]
 FEATURES = [
-    "log_return", "abs_return", "target_vol", "volume_zscore_21", "n_articles", "n_categories", "mean_body_len", "mean_sentiment", "sentiment_std",
-    "sentiment_volume", "negative_share", "positive_share", "net_sentiment", "sentiment_surprise", "has_sentiment", "garch_forecast_vol", "garch_std_resid",
+    *QUIET, "mean_sentiment", "sentiment_std", "sentiment_volume", "negative_share", "neutral_share", "positive_share", "net_sentiment",
+    "sentiment_surprise", "macro_sentiment", "market_sentiment", "has_sentiment",
 ]
 
 
@@ -125,40 +127,59 @@ class Spec:
 
 def specifications() -> list[Spec]:
     """The seven robustness runs; each rebuilds its frame with its own threshold and target."""
-    quiet = [f for f in FEATURES if f in ("log_return", "abs_return", "target_vol", "volume_zscore_21", "garch_forecast_vol", "garch_std_resid")]
-    return [Spec("baseline_005"), Spec("threshold_010", 0.10), Spec("threshold_015", 0.15), Spec("garman_klass", target="garman_klass"), Spec("no_sentiment", features=quiet), Spec("garchx", kind="garchx"), Spec("expanding", kind="expanding")]
+    return [Spec("baseline_005"), Spec("threshold_010", 0.10), Spec("threshold_015", 0.15), Spec("garman_klass", target="garman_klass"), Spec("no_sentiment", features=list(QUIET)), Spec("garchx", kind="garchx"), Spec("expanding", kind="expanding")]
 
 
 def hybrid_forecasts(frame: DataFrame, train_end: str, val_end: str, features: list[str] | None = None, length: int = 15, epochs: int = 30) -> DataFrame:
     """(series_id, date, split, actual, baseline, hybrid): the GARCH forecast, and it plus the learned residual."""
+    return corrected_forecasts(garch.add_features(frame, train_end), train_end, val_end, features, length, epochs)
+
+
+def corrected_forecasts(full: DataFrame, train_end: str, val_end: str, features: list[str] | None = None, length: int = 15, epochs: int = 30) -> DataFrame:
+    """The same from a frame that has its garch columns. Features that the frame lacks are left out; rows without a target go."""
     from volatide.operators.labels import split_by_dates
 
-    used = features or FEATURES
-    full = garch.add_features(frame, train_end)
-    windows = split_by_dates(sequences(full, used, length).where(F.col("target_next_vol").isNotNull()), train_end, val_end)
+    used = [f for f in features or FEATURES if f in full.columns]
+    windows = split_by_dates(sequences(full.dropna(subset=["hybrid_residual_target"]), used, length), train_end, val_end)
     learned = learn_residuals(windows, epochs=epochs).select("series_id", "date", "predicted_residual")
     out = windows.select("series_id", "date", "split", F.col("target_next_vol").alias("actual"), F.col("garch_forecast_vol").alias("baseline")).join(learned, ["series_id", "date"])
     return out.select("series_id", "date", "split", "actual", "baseline", (F.col("baseline") + F.col("predicted_residual")).alias("hybrid"))
 
 
-def garchx_forecasts(frame: DataFrame, train_end: str, aligned: bool = True) -> DataFrame:
-    """(series_id, date, actual, baseline, hybrid): plain GARCH against one with lagged sentiment in the variance.
+def expanding_forecasts(frame: DataFrame, train_end: str, val_end: str, length: int = 15, epochs: int = 30, every: int = 21) -> DataFrame:
+    """`hybrid_forecasts` with GARCH parameters that are first fitted up to `val_end` and again every few rows from there on."""
+    walked = garch.expanding(frame, train_end=val_end, every=every)
+    names = {"garch_conditional_vol": "conditional_vol", "garch_forecast_vol": "forecast_vol", "garch_std_resid": "std_resid"}
+    columns = [F.col(old).alias(new) for new, old in names.items()]
+    squares = [(F.col(c) * F.col(c)).alias(f"garch_{c.removesuffix('vol')}var") for c in ("conditional_vol", "forecast_vol")]
+    full = frame.join(walked.select("series_id", "date", *columns, *squares), ["series_id", "date"], "left")
+    full = full.withColumn("hybrid_residual_target", F.col("target_next_vol") - F.col("garch_forecast_vol"))
+    return corrected_forecasts(full, train_end, val_end, None, length, epochs)
+
+
+def garchx_forecasts(frame: DataFrame, val_end: str, aligned: bool = False) -> DataFrame:
+    """(series_id, date, actual, baseline, hybrid, gamma): plain GARCH against one with lagged sentiment in the variance.
 
-    `aligned` scores the next day's forecast; otherwise the same day's variance is scored against the next day's target.
+    Both are fitted up to `val_end` and scored after it. A day's variance is scored against the target of the same row;
+    with `aligned` the next day's forecast is, which is made for the day that the target is of.
     """
 
     def run(key, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("date").dropna(subset=["log_return"])
-        y, x = f["log_return"].to_numpy(), np.nan_to_num(f["mean_sentiment"].to_numpy(float))
-        known = (f["date"].astype(str) <= train_end).to_numpy()
-        sample = float((y[known] * 100).var(ddof=1))
-        plain, pushed = garch.project(y, garch.fit(y[known]), sample), garch.project(y, garch.fit(y[known], exog=x[known]), sample, exog=x)
+        f = f.sort_values("date")
+        f["x"] = f["mean_sentiment"].astype(float).shift(1).fillna(0.0)
+        f = f.dropna(subset=["log_return", "target_next_vol"])
+        y, x = f["log_return"].to_numpy(), f["x"].to_numpy()
+        known = (f["date"].astype(str) <= val_end).to_numpy()
+        sample = float((y * 100).var(ddof=1))
+        pushed = garch.fit(y[known], exog=x[known])
+        both = garch.project(y, garch.fit(y[known]), sample), garch.project(y, pushed, sample, exog=x)
         name = "forecast_var" if aligned else "conditional_var"
-        return pd.DataFrame({"series_id": key[0], "date": f["date"].to_numpy(), "actual": f["target_next_vol"].to_numpy(), "baseline": np.sqrt(plain[name]), "hybrid": np.sqrt(np.maximum(pushed[name], 1e-12))})
+        plain, other = (np.sqrt(np.maximum(p[name].to_numpy(), 1e-12)) for p in both)
+        return pd.DataFrame({"series_id": key[0], "date": f["date"].to_numpy(), "actual": f["target_next_vol"].to_numpy(), "baseline": plain, "hybrid": other, "gamma": pushed["gamma"]})
 
     picked = frame.select("series_id", "date", "log_return", "mean_sentiment", "target_next_vol")
-    out = picked.groupBy("series_id").applyInPandas(run, "series_id string, date date, actual double, baseline double, hybrid double")
-    return out.where(F.col("date") > F.lit(train_end).cast("date")).dropna(subset=["actual"])
+    out = picked.groupBy("series_id").applyInPandas(run, "series_id string, date date, actual double, baseline double, hybrid double, gamma double")
+    return out.where(F.col("date") > F.lit(val_end).cast("date"))
 
 
 def compare(forecasts: DataFrame) -> DataFrame:

@@ -63,22 +63,24 @@ def experiment(frame_df: DataFrame, train_end: str, val_end: str, length: int =
 
 
 def robustness(build, specs: list[residual.Spec], train_end: str, val_end: str, length: int = 15, epochs: int = 30) -> DataFrame:
-    """Errors of every specification; build(threshold, target) gives its frame, so no stale frame is reused."""
-    from volatide.operators import garch
+    """Errors, Diebold-Mariano test and gamma (of GARCH-X) of every specification on the dates after `val_end`.
 
+    build(threshold, target) gives a specification's frame, so no stale frame is reused.
+    """
     parts = []
     for spec in specs:
         data = build(spec.threshold, spec.target)
+        gamma = None
         if spec.kind == "garchx":
-            found = residual.garchx_forecasts(data, train_end)
+            found = residual.garchx_forecasts(data, val_end)
+            gamma = found.groupBy("series_id").agg(F.max("gamma").alias("gamma"))
         elif spec.kind == "expanding":
-            n = data.where(F.col("log_return").isNotNull() & (F.col("date") <= F.lit(train_end).cast("date"))).groupBy("series_id").count().agg(F.min("count")).first()[0]
-            walked = garch.expanding(data, n).select("series_id", "date", F.col("forecast_vol").alias("hybrid"))
-            plain = garch.add_features(data, train_end).select("series_id", "date", F.col("target_next_vol").alias("actual"), F.col("garch_forecast_vol").alias("baseline"))
-            found = plain.join(walked, ["series_id", "date"]).where(F.col("date") > F.lit(val_end).cast("date")).dropna(subset=["actual"])
+            found = residual.expanding_forecasts(data, train_end, val_end, length, epochs).where("split = 'test'")
         else:
             found = residual.hybrid_forecasts(data, train_end, val_end, spec.features, length, epochs).where("split = 'test'")
-        parts.append(residual.compare(found).withColumn("spec", F.lit(spec.name)))
+        row = residual.compare(found).join(stats.diebold_mariano(found), "series_id")
+        row = row.withColumn("gamma", F.lit(None).cast("double")) if gamma is None else row.join(gamma, "series_id")
+        parts.append(row.withColumn("spec", F.lit(spec.name)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

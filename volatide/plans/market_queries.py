@@ -259,12 +259,13 @@ def garchx_fit(spark, sf_dir):
 @query()
 def garch_diagnostics(spark, sf_dir):
     x = log_returns(bars(spark, sf_dir))
-    return garch.validate(garch.filter_series(x, GARCH), garch.fit_series(x))
+    fitted = garch.fit_series(x)
+    return garch.validate(garch.filter_fitted(x, fitted), fitted)
 
 
 @query()
 def expanding_garch(spark, sf_dir):
-    return garch.expanding(log_returns(bars(spark, sf_dir)), train_rows=1200, every=63)
+    return garch.expanding(log_returns(bars(spark, sf_dir)), train_rows=1200)
 
 
 @query()

@@ -22,7 +22,7 @@ def residual_forecast(spark, sf_dir):
 @query()
 def garchx_forecast(spark, sf_dir):
     frame = build_frame(spark, sf_dir)
-    return residual.garchx_forecasts(frame, _ends(frame)[0])
+    return residual.garchx_forecasts(frame, _ends(frame)[1])
 
 
 @query()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volatide.operators.alignment import CLOSE, session_map
+from volatide.operators.alignment import CLOSE, with_next_sessions
 
 
 def article_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 16) -> DataFrame:
@@ -21,12 +21,10 @@ def distinct_articles(stream: DataFrame, key: str = "url", at: str = "published_
 
 def align_stream(stream: DataFrame, sessions: DataFrame, timestamp: str = "published_at", close: str = CLOSE) -> DataFrame:
     """Stream-static join with the session map (a row a day): late news goes to the next session."""
-    days = session_map(sessions, sessions)
-    day = F.col(timestamp).cast("date")
-    joined = stream.withColumn("origin_date", day).join(F.broadcast(days), F.col("origin_date") == F.col("day"), "left")
+    joined = with_next_sessions(stream.withColumn("origin_date", F.col(timestamp).cast("date")), sessions, "origin_date")
     late = F.coalesce(F.col("is_session") & (F.date_format(timestamp, "HH:mm:ss.SSSSSS") > f"{close}.000000"), F.lit(False))
     reason = F.when(late, "after_close_forward").when(F.coalesce("is_session", F.lit(False)), "same_session").otherwise("non_trading_forward")
-    return joined.withColumns({"trading_date": F.when(late, F.col("next_gt")).otherwise(F.col("next_ge")), "alignment_reason": reason}).drop("day", "is_session", "next_ge", "next_gt")
+    return joined.withColumns({"trading_date": F.when(late, F.col("next_gt")).otherwise(F.col("next_ge")), "alignment_reason": reason}).drop("is_session", "next_ge", "next_gt")
 
 
 def windowed_counts(stream: DataFrame, at: str = "published_at", size: str = "1 day", late: str = "2 days") -> DataFrame:
