@@ -133,6 +133,21 @@ def ljung_box_p_values(spark, sf_dir):
     return stats.ljung_box(x, "pct")
 
 
+def _chi2_even_sql(q: str, degrees: int) -> str:
+    """Upper tail of chi-squared with an even number of degrees: a Poisson sum."""
+    terms, factorial = [], 1
+    for j in range(degrees // 2):
+        factorial *= max(1, j)
+        terms.append(f"pow({q} / 2, {j}) / {factorial}")
+    return f"exp(-{q} / 2) * ({' + '.join(terms)})"
+
+
+@query(f"WITH q10 AS ({_ljung_sql('log_return * 100')}) SELECT lag, {r(_chi2_even_sql('q', 10) + ' p')} FROM q10 WHERE lag = 10")
+def ljung_box_p_value_lag10(spark, sf_dir):
+    x = log_returns(bars(spark, sf_dir)).withColumn("pct", F.col("log_return") * 100)
+    return rounded(stats.ljung_box(x, "pct", lags=(10,)).select("lag", "p"))
+
+
 # Stand-in forecasts: yesterday's volatility and a five-day mean.
 FORECASTS = f"""{VOLATILITY}, forecasts AS (
     SELECT date, target_next_vol AS actual, target_vol AS baseline, avg(target_vol) OVER (ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hybrid, log_return AS sentiment
@@ -239,10 +254,18 @@ def garchx_filter_fixed(spark, sf_dir):
     return rounded(_filtered(log_returns(bars(spark, sf_dir)).withColumn("x", F.col("volume").cast("double")), GARCH | {"gamma": 0.5}, "x"), 4)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {RETURNS}, y AS (SELECT log_return * 100 AS y, row_number() OVER (ORDER BY date) AS i, var_samp(log_return * 100) OVER () AS sample FROM returns WHERE log_return IS NOT NULL),
+    points AS (SELECT a::DOUBLE AS a, b::DOUBLE AS b FROM (VALUES (0.02), (0.05), (0.08), (0.12)) AS x(a), (VALUES (0.8), (0.85), (0.9), (0.95)) AS z(b) WHERE a + b < 0.999),
+    v AS (
+      SELECT i, a, b, y, sample, sample AS v FROM y, points WHERE i = 1
+      UNION ALL SELECT y.i, v.a, v.b, y.y, v.sample, v.sample * (1 - v.a - v.b) + v.a * v.y * v.y + v.b * v.v FROM v JOIN y ON y.i = v.i + 1),
+    losses AS (SELECT a, b, sum(0.5::DOUBLE * (ln(2 * pi()) + ln(v) + y * y / v)) AS loss FROM v GROUP BY a, b)
+    SELECT 'index' AS series_id, arg_min(a, loss) AS alpha, arg_min(b, loss) AS beta, round(min(loss), 3) + 0.0 AS loss FROM losses"""
+)
 def garch_grid_argmin(spark, sf_dir):
     points = garch.grid(log_returns(bars(spark, sf_dir)), [0.02, 0.05, 0.08, 0.12], [0.8, 0.85, 0.9, 0.95])
-    return points.groupBy("series_id").agg(F.min_by(F.struct("alpha", "beta", "loss"), "loss").alias("b")).select("series_id", "b.*")
+    return points.groupBy("series_id").agg(F.min_by(F.struct("alpha", "beta", "loss"), "loss").alias("b")).select("series_id", "b.alpha", "b.beta", (F.round("b.loss", 3) + F.lit(0.0)).alias("loss"))
 
 
 @query()

@@ -275,6 +275,15 @@ def score_threshold_shares(spark, sf_dir):
     return rounded(checks.threshold_shares(domain.scores(spark, sf_dir)))
 
 
+@query(
+    f"""WITH {SCORES}, x AS (SELECT sentiment_score AS v FROM scores WHERE sentiment_score IS NOT NULL), e AS (SELECT min(v) AS lo, max(v) AS hi, count(*) AS t FROM x),
+    c AS (SELECT least(floor((v - lo) / ((hi - lo) / 50)), 49)::BIGINT AS bin, count(*) AS n FROM x, e GROUP BY 1)
+    SELECT b.bin, coalesce(c.n, 0)::BIGINT AS n, {r('coalesce(c.n, 0) / (t * ((hi - lo) / 50)) density')} FROM (SELECT unnest(range(50)) AS bin) b LEFT JOIN c ON b.bin = c.bin, e"""
+)
+def score_histogram_50(spark, sf_dir):
+    return rounded(checks.data_histogram(domain.scores(spark, sf_dir), "sentiment_score", 50))
+
+
 VALIDATION = f"""{VOLATILITY}, {SENTIMENT}, top AS (SELECT date FROM features WHERE abs_return IS NOT NULL ORDER BY abs_return DESC, date LIMIT 20),
   tested AS (SELECT (SELECT coalesce(avg(negative_share), 0) FROM sentiment) AS corpus_negative, (SELECT coalesce(avg(coalesce(negative_share, 0)), 0) FROM top LEFT JOIN sentiment USING (date)) AS top_negative)"""
 
@@ -377,9 +386,9 @@ def key_set_difference(spark, sf_dir):
     return line.groupBy("k").agg(F.min("side").alias("lo"), F.max("side").alias("side")).where("lo = side").select("k", "side")
 
 
-@query()
+@query(f"WITH {ALIGNED} SELECT url, origin_date, trading_date, alignment_reason FROM aligned WHERE published_at IS NOT NULL")
 def stream_alignment(spark, sf_dir):
-    """The stream's rows, processed with an available-now trigger."""
+    """The stream's rows, processed with an available-now trigger. Articles without a timestamp have no place in a stream."""
     import uuid
 
     from volatide.streaming import news
@@ -394,10 +403,14 @@ def stream_alignment(spark, sf_dir):
 
 
 def _scratch(spark) -> str:
-    """The session's shared folder; a temporary one only where none is set."""
+    """The session's shared folder. Where none is named, a temporary one on local masters only; on a cluster that is an error."""
+    import re
     import tempfile
 
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="volatide-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\[\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder, which streams need on a cluster")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="volatide-"))
     return context._jsc.sc().getCheckpointDir().get()
