@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from volatide.__main__ import COMMANDS, main, parser
 
 
+def fails(rows):
+    raise RuntimeError("no answer")
+
+
+def by_title(rows):
+    label = {"good": "positive", "bad ": "negative", "so n": "neutral"}
+    return [{"article_id": r["article_id"], "label": label[r["title"][:4]], "confidence": 0.9, "rationale": "its title"} for r in rows]
+
+
 @pytest.fixture(scope="module")
 def market(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("market")
@@ -52,11 +61,26 @@ def test_a_whole_run(spark, market, capsys):
     run("repair-csv", "--news", at("news.csv"), "--output", at("fixed.csv"))
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"total_rows": 180, "padded_rows": 0, "correct_rows": 180, "odd_rows": 0}
     frame.fillna({"macro_sentiment": 0.0, "market_sentiment": 0.0}).write.parquet(at("full.parquet"))
+    run("validate-daily", "--scores", at("scores.parquet"), "--output", at("days"))
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["daily_rows"] == 90
+    run("plot-data", "--prices", at("prices.csv"), "--scores", at("scores.parquet"), "--bins", "10", "--output", at("plots"))
+    assert spark.read.parquet(at("plots/returns.parquet")).agg(F.sum("n")).first()[0] == 89 and spark.read.parquet(at("plots/scores.parquet")).count() == 10
+    run("bootstrap-labels", "--corpus", at("sample.parquet"), "--models", "tests.test_command_line:fails,tests.test_command_line:by_title", "--limit", "50", "--output", at("boot.parquet"))
+    boot = spark.read.parquet(at("boot.parquet"))
+    assert boot.count() == 50 and {r["model_name"] for r in boot.collect()} == {"tests.test_command_line:by_title"}
+    (market / "params.yaml").write_text("sentiment:\n  sample_size: 90  # rows\nother:\n  unknown: 1\n  seed: 7\n")
+    both = ["--corpus", at("corpus.parquet"), "--models", "tests.test_command_line:by_title", "--articles", articles, "--prices", at("prices.csv"), "--news", at("pre/daily_news_prices.parquet")]
+    run("--params", at("params.yaml"), "pipeline", "--mode", "full", *both, "--output", at("whole"))
+    reports = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert {r["split"] for r in reports["accuracy"]} == {"train", "test"} and reports["daily"]["daily_rows"] == 90
+    assert spark.read.parquet(at("whole/annotation_sample.parquet")).count() == 90 and spark.read.parquet(at("whole/modeling_ready.parquet")).count() == 90
+    with pytest.raises(ValueError, match="needs a corpus"):
+        run("pipeline", "--mode", "train", "--output", at("none"))
     run("experiment", "--frame", at("full.parquet"), "--train-end", "2024-04-01", "--val-end", "2024-04-15", "--sequence-length", "5", "--epochs", "1", "--output", at("experiment"))
     assert spark.read.parquet(at("experiment/errors.parquet")).first()["n"] > 5
 
 
 def test_every_command_parses():
     for name, (_, needed, _, _) in COMMANDS.items():
-        words = [w for path in needed for w in (f"--{path}", "x")] + (["--output", "y"] if name != "describe" else [])
+        words = [w for path in needed for w in (f"--{path}", "x")] + (["--output", "y"] if name != "describe" else []) + (["--mode", "full"] if name == "pipeline" else [])
         assert parser().parse_args([name, *words]).command == name

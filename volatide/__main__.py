@@ -1,9 +1,14 @@
-"""Command line: python -m volatide COMMAND --help. Inputs and outputs are Parquet unless a path ends in .csv."""
+"""Command line: python -m volatide COMMAND --help. Inputs and outputs are Parquet unless a path ends in .csv.
+
+--params FILE before the command gives defaults for options: lines of `option: value`, perhaps under section names.
+"""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +22,8 @@ from volatide.sources import files
 OPTIONS = {
     "min_body_len": 100, "max_body_chars": 300, "min_tokens": 5, "max_tokens": 220, "sample_size": 6000, "seed": 42, "train_ratio": 0.8, "val_ratio": 0.0,
     "confidence": 0.8, "threshold": 0.05, "target_type": "parkinson", "sequence_length": 15, "train_end": "2021-12-31", "val_end": "2023-12-31", "epochs": 30,
-    "train_rows": 1000, "every": 21, "how": "left", "max_date": None,
+    "train_rows": 1000, "every": 21, "how": "left", "max_date": None, "limit": 0, "batch_size": 20, "prompt_version": "v1", "features": 1 << 16, "rounds": 30,
+    "bins": 50, "corpus_chars": 1200,
 }
 
 
@@ -33,6 +39,11 @@ def _news(spark: SparkSession, path: str) -> DataFrame:
     return files.read_raw_news(spark, path) if path.endswith(".csv") else files.read_table(spark, path)
 
 
+def _head(df: DataFrame, limit: int, order: str) -> DataFrame:
+    """The first rows by a column, or all for a limit of 0."""
+    return df.orderBy(order).limit(limit) if limit else df
+
+
 def _out(df: DataFrame, path: str) -> None:
     (files.write_csv if path.endswith(".csv") else files.write_parquet)(df, path)
 
@@ -43,14 +54,14 @@ def preprocess(spark, a):
 
 def prepare_inputs(spark, a):
     articles = _in(spark, a.articles).withColumn("body_text", F.col("body_clean")).withColumn("article_id", F.col("url"))
-    _out(corpus.prepare_inputs(articles, a.max_body_chars, a.min_tokens, a.max_tokens).drop("body_text", "body_clean"), a.output)
+    _out(_head(corpus.prepare_inputs(articles, a.max_body_chars, a.min_tokens, a.max_tokens).drop("body_text", "body_clean"), a.limit, "article_id"), a.output)
 
 
 def prepare_training(spark, a):
     parts = [corpus.training_rows(_in(spark, a.articles), "primary", "url", "category", "published_at", "title", "body_clean")]
     if a.extra:
         parts.append(corpus.training_rows(_in(spark, a.extra), "extra", "url", "category", "time", "title", "content", a.max_date))
-    _out(corpus.training_corpus(parts), a.output)
+    _out(corpus.training_corpus(parts, a.corpus_chars), a.output)
 
 
 def sample(spark, a):
@@ -66,7 +77,7 @@ def merge_annotations(spark, a):
 
 def train(spark, a):
     rows = _in(spark, a.labeled)
-    model = classify.train(rows.where("split = 'train'"))
+    model = classify.train(rows.where("split = 'train'"), a.features, a.rounds)
     model.write().overwrite().save(a.output)
     for row in classify.accuracy(classify.predict(model, rows), ["split"]).collect():
         print(json.dumps(row.asDict()))
@@ -81,6 +92,43 @@ def merge_scores(spark, a):
     _out(reconcile.merge_scores(_in(spark, a.articles), _in(spark, a.scores), a.how, [F.col("title")], [F.col("sentiment_score")]), a.output)
 
 
+def _runners(names: str) -> list[tuple]:
+    """Labelling models, given as module:function, separated by commas; each takes rows as dicts and returns dicts."""
+    found = []
+    for name in names.split(","):
+        module, function = name.strip().split(":")
+        found.append((name.strip(), getattr(importlib.import_module(module), function)))
+    return found
+
+
+def bootstrap(spark, a):
+    rows = _head(labels.unlabeled(_in(spark, a.corpus)), a.limit, "article_id")
+    _out(labels.bootstrap_labels(rows, _runners(a.models), a.batch_size, a.prompt_version), a.output)
+
+
+def validate_daily(spark, a):
+    daily_rows = daily_sentiment(_in(spark, a.scores), None, a.threshold).withColumnRenamed("sentiment_volume", "n_articles")
+    print(json.dumps(files.write_report(checks.daily_validation(daily_rows), a.output)))
+
+
+def pipeline(spark, a):
+    reports = flows.sentiment_pipeline(
+        spark, a.mode, a.output, corpus_df=_in(spark, a.corpus), annotations=_in(spark, a.annotations), reviewed=_in(spark, a.reviewed), articles=_in(spark, a.articles),
+        prices=None if a.prices is None else _prices(spark, a.prices), daily=_in(spark, a.news), runners=None if a.models is None else _runners(a.models),
+        sample_size=a.sample_size, seed=a.seed, threshold=a.confidence, fail=a.fail_on_validation,
+    )
+    print(json.dumps(reports))
+
+
+def plot_data(spark, a):
+    """What the plots show: distributions of returns and scores, and label shares by year."""
+    _out(checks.data_histogram(_prices(spark, a.prices), "log_return", a.bins), f"{a.output}/returns.parquet")
+    if a.scores:
+        scores = _in(spark, a.scores)
+        _out(checks.data_histogram(scores, "sentiment_score", a.bins), f"{a.output}/scores.parquet")
+        _out(checks.threshold_shares(scores, "sentiment_score", a.threshold), f"{a.output}/shares.parquet")
+
+
 def validate(spark, a):
     returns = None if a.prices is None else _prices(spark, a.prices).withColumn("abs_return", F.abs("log_return"))
     report = checks.inference_validation(_in(spark, a.articles), _in(spark, a.scores), "Chứng khoán", "Kinh doanh", returns)
@@ -135,15 +183,19 @@ def repair_csv(spark, a):
 # Command -> (function, required inputs, optional inputs, options).
 COMMANDS = {
     "preprocess": (preprocess, ["news", "prices"], [], ["min_body_len"]),
-    "prepare-inputs": (prepare_inputs, ["articles"], [], ["max_body_chars", "min_tokens", "max_tokens"]),
-    "prepare-training": (prepare_training, ["articles"], ["extra"], ["max_date"]),
+    "prepare-inputs": (prepare_inputs, ["articles"], [], ["max_body_chars", "min_tokens", "max_tokens", "limit"]),
+    "prepare-training": (prepare_training, ["articles"], ["extra"], ["max_date", "corpus_chars"]),
     "sample": (sample, ["corpus"], [], ["sample_size", "seed"]),
     "merge-annotations": (merge_annotations, ["corpus", "annotations"], ["reviewed"], ["confidence", "train_ratio", "val_ratio"]),
-    "train": (train, ["labeled"], [], []),
+    "bootstrap-labels": (bootstrap, ["corpus", "models"], [], ["limit", "batch_size", "prompt_version"]),
+    "train": (train, ["labeled"], [], ["features", "rounds"]),
     "infer": (infer, ["inputs", "model"], [], []),
     "merge-scores": (merge_scores, ["articles", "scores"], [], ["how"]),
     "daily-sentiment": (daily, ["scores"], ["articles"], ["threshold"]),
     "validate": (validate, ["articles", "scores"], ["prices"], []),
+    "validate-daily": (validate_daily, ["scores"], [], ["threshold"]),
+    "pipeline": (pipeline, [], ["corpus", "annotations", "reviewed", "articles", "prices", "news", "models"], ["sample_size", "seed", "confidence"]),
+    "plot-data": (plot_data, ["prices"], ["scores"], ["bins", "threshold"]),
     "model-frame": (model_frame, ["prices"], ["news", "scores", "articles"], ["threshold", "target_type"]),
     "experiment": (experiment, ["frame"], [], ["train_end", "val_end", "sequence_length", "epochs"]),
     "robustness": (robustness, ["prices", "scores"], ["news", "articles"], ["train_end", "val_end", "sequence_length", "epochs"]),
@@ -155,8 +207,21 @@ COMMANDS = {
 SILENT = ("describe",)
 
 
-def parser() -> argparse.ArgumentParser:
-    top = argparse.ArgumentParser(prog="volatide", description=__doc__)
+def parameters(path: str | None) -> dict:
+    """Options set in a file of `option: value` lines; section names, comments and unknown options are passed over."""
+    found = {}
+    for line in Path(path).read_text().splitlines() if path else []:
+        name, _, value = line.split("#")[0].strip().partition(":")
+        value = value.strip().strip("\"'")
+        if name in OPTIONS and value:
+            kind = type(OPTIONS[name])
+            found[name] = kind(value) if kind in (int, float) else value
+    return found
+
+
+def parser(defaults: dict | None = None) -> argparse.ArgumentParser:
+    top = argparse.ArgumentParser(prog="volatide", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    top.add_argument("--params", help="file of defaults")
     commands = top.add_subparsers(dest="command", required=True)
     for name, (_, needed, optional, options) in COMMANDS.items():
         one = commands.add_parser(name)
@@ -165,19 +230,23 @@ def parser() -> argparse.ArgumentParser:
         for path in optional:
             one.add_argument(f"--{path}")
         for option in options:
-            default = OPTIONS[option]
-            one.add_argument(f"--{option.replace('_', '-')}", default=default, type=str if default is None else type(default))
+            kind = str if OPTIONS[option] is None else type(OPTIONS[option])
+            one.add_argument(f"--{option.replace('_', '-')}", default=(defaults or {}).get(option, OPTIONS[option]), type=kind)
         if name not in SILENT:
             one.add_argument("--output", required=True)
         if name == "sample":
             one.add_argument("--source-balance", action="store_true")
-        if name == "validate":
+        if name == "pipeline":
+            one.add_argument("--mode", choices=flows.MODES, required=True)
+        if name in ("validate", "pipeline"):
             one.add_argument("--fail-on-validation", action="store_true")
     return top
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
     chosen = parser().parse_args(arguments)
+    if chosen.params:
+        chosen = parser(parameters(chosen.params)).parse_args(arguments)
     COMMANDS[chosen.command][0](spark or SparkSession.builder.appName("volatide").getOrCreate(), chosen)
 
 

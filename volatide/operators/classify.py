@@ -53,8 +53,8 @@ def with_label_id(df: DataFrame) -> DataFrame:
     return df.withColumn("__y", (F.array_position(F.array(*[F.lit(x) for x in LABELS]), F.col("label")) - 1).cast("double"))
 
 
-def train(df: DataFrame) -> PipelineModel:
-    return text_pipeline().fit(with_label_id(df))
+def train(df: DataFrame, features: int = 1 << 16, rounds: int = 30) -> PipelineModel:
+    return text_pipeline(features, rounds).fit(with_label_id(df))
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from volatide.functions.dates import market_timestamp
 from volatide.functions.text import clean_body
 from volatide.operators import alignment, checks, classify, corpus, frame, labels, reconcile, residual, stats
+from volatide.operators.sentiment import daily_sentiment
 from volatide.operators.volatility import log_returns
-from volatide.schemas import ARTICLES_CLEAN, DAILY_NEWS_PRICES
+from volatide.schemas import ARTICLES_CLEAN, DAILY_NEWS_PRICES, SCORES
 from volatide.sources import files
 
 
@@ -50,6 +51,46 @@ def infer(articles: DataFrame, prices: DataFrame, daily: DataFrame, model, fail:
     return with_scores, validation, frame.model_frame(prices, daily, scored)
 
 
+MODES = ("train", "infer", "full")
+
+
+def sentiment_pipeline(spark, mode: str, folder: str, *, corpus_df=None, annotations=None, reviewed=None, articles=None, prices=None, daily=None, runners=None, sample_size: int = 6000, seed: int = 42, threshold: float = 0.8, fail: bool = False) -> dict:
+    """The sentiment stages in order, each written below `folder`: train, infer, or both ("full", with the model just trained).
+
+    train: a sample of the corpus for annotation; labels by `runners` where no annotations are given; annotations and
+    reviews merged and split; the classifier and its accuracy. infer: model inputs, scores, scores beside articles, the
+    reports on inference and days, and the model frame. Gives the reports' rows.
+    """
+    if mode not in MODES:
+        raise ValueError(f"Mode {mode!r} is none of {', '.join(MODES)}.")
+    at = lambda name: f"{folder}/{name}"
+    written = lambda df, name: (files.write_parquet(df, at(name)), spark.read.parquet(at(name)))[1]
+    reports = {}
+    if mode in ("train", "full"):
+        if corpus_df is None or (annotations is None and runners is None):
+            raise ValueError("Training needs a corpus, and annotations or a labelling model.")
+        sample = written(labels.stratified_sample(labels.unlabeled(corpus_df), sample_size, seed), "annotation_sample.parquet")
+        if annotations is None:
+            annotations = written(labels.bootstrap_labels(sample, runners), "bootstrap_labels.parquet")
+        model, split, accuracy = train(corpus_df, annotations, reviewed, threshold)
+        files.write_parquet(split, at("training_labeled.parquet"))
+        model.write().overwrite().save(at("model"))
+        reports["accuracy"] = [row.asDict() for row in accuracy.collect()]  # a row a split
+    if mode in ("infer", "full"):
+        if articles is None or prices is None or daily is None:
+            raise ValueError("Inference needs articles, prices and daily news.")
+        model = classify.validate_checkpoint(at("model"))
+        scored = written(classify.predict(model, corpus.prepare_inputs(articles.withColumn("body_text", F.col("body_clean")))).select(*SCORES), "article_sentiment_scores.parquet")
+        files.write_parquet(reconcile.merge_scores(articles, scored, "left", [F.col("title")], [F.col("sentiment_score")]), at("articles_with_scores.parquet"))
+        validation = checks.inference_validation(articles, scored, "Chứng khoán", "Kinh doanh", log_returns(prices).withColumn("abs_return", F.abs("log_return")))
+        reports["inference"] = files.write_report(validation, at("sentiment_inference_validation.json"))
+        reports["daily"] = files.write_report(checks.daily_validation(daily_sentiment(scored).withColumnRenamed("sentiment_volume", "n_articles")), at("daily_aggregation_validation.json"))
+        if fail:
+            checks.raise_for_failed(validation)
+        files.write_parquet(frame.model_frame(prices, daily, scored), at("modeling_ready.parquet"))
+    return reports
+
+
 def experiment(frame_df: DataFrame, train_end: str, val_end: str, length: int = 15, epochs: int = 30, features: list[str] | None = None) -> dict[str, DataFrame]:
     """Forecasts of the test dates, with errors, Diebold-Mariano and subperiods."""
     forecasts = residual.hybrid_forecasts(frame_df, train_end, val_end, features, length, epochs).where("split = 'test'")
