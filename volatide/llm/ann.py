@@ -37,8 +37,8 @@ from volatide.llm.common import cut
 SAMPLE = 16_384
 CENTROIDS = 2048
 LIST_ROWS = 256
-REPLICAS = 3
-BOUNDARY = 1.05
+REPLICAS = 2
+BOUNDARY = 1.03
 APART = 0.5
 DEGREE = 24
 AIM = 0.96

@@ -47,7 +47,15 @@ def checked_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
 
 
+#: Bytes of rows that are sent to a Python worker at once.
+BATCH_BYTES, DEFAULT_BATCH = 8 << 20, "67108864b"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of whole texts. Batches for Python workers are bounded by bytes, since a thousand texts may be large."""
+    option = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(option) == DEFAULT_BATCH:  # unless the session asks for something else
+        spark.conf.set(option, f"{BATCH_BYTES}b")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
