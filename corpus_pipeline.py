@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volatide.llm import bpe, mixing, neardup, pii, quality
-from volatide.llm.common import shared_folder, table, unused
+from volatide.llm.common import checked_broadcast, cut, shared_folder, table, unused
 
+#: Keys of two numbers that are broadcast at most.
+MOST_KEYS = 200_000
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -34,11 +36,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     columns = [F.col(f"`{c}`") for c in docs.columns]
     found = neardup.near_duplicates(docs, words=5, percent=80)
     key = lambda doc_id, text_hash: F.struct(F.coalesce(doc_id.cast("long"), F.lit(0)), text_hash).alias("key")
-    gone = found.where(~F.col("first")).select(key(F.col("doc_id"), F.col("text_hash"))).distinct()
+    gone = checked_broadcast(cut(found.where(~F.col("first")).select(key(F.col("doc_id"), F.col("text_hash"))).distinct()), MOST_KEYS)
     mine = key(F.col("doc_id"), neardup.text_hash(F.col("doc_id").cast("long"), F.col("text")))
     left = docs.select(mine, F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("order")).join(gone, "key", "left_anti")
-    # Only documents whose rows repeat need to meet.
-    repeated = docs.select(mine).groupBy("key").count().where("count > 1").select("key")
+    # Only documents whose rows repeat need to meet; texts are shuffled only where the keys are too many to be broadcast.
+    repeated = checked_broadcast(cut(docs.select(mine).groupBy("key").count().where("count > 1").select("key")), MOST_KEYS)
     one = left.join(repeated, "key", "left_semi").groupBy("key").agg(F.min_by("row", "order").alias("row"))
     return left.join(repeated, "key", "left_anti").select("row.*").union(one.select("row.*"))
 
