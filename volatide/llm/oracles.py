@@ -102,5 +102,33 @@ hits AS (
 SELECT t.doc_id, count(*) FILTER (kind = 'email')::BIGINT AS n_email, count(*) FILTER (kind = 'ip')::BIGINT AS n_ip, count(*) FILTER (kind = 'card')::BIGINT AS n_card, count(*) FILTER (kind = 'phone')::BIGINT AS n_phone,
   sha256(coalesce(string_agg(span, ',' ORDER BY o, s) FILTER (o <= 4), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY o, s), '') AS spans
 FROM t LEFT JOIN spans USING (r) GROUP BY t.r, t.doc_id
+""",
+    "op11_phrases": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (
+  SELECT lang, 1 AS size, unnest(ws) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w
+), f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, count(*) AS n FROM g WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE size > 1),
+k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+s AS (
+  SELECT k.lang, k.phrase, k.size, k.a, k.k, l.f AS l, r.f AS r, (1000000::HUGEINT * k.a * k.a) // (l.f::HUGEINT * r.f) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.ws[:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.ws[k.k + 1:], ' ')
+), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS over FROM (
+    SELECT lang, a, ws[1] || ' ' || ws[2] AS phrase FROM c WHERE size = 3 UNION ALL SELECT lang, a, ws[2] || ' ' || ws[3] FROM c WHERE size = 3)
+  GROUP BY ALL
+), kept AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN inside USING (lang, phrase) WHERE b.size = 3 OR over IS NULL OR 100 * over < 50 * b.a
+)
+SELECT kept.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN n ON n.lang = kept.lang WHERE rank <= 2000
 """,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volatide.llm import ann, bpe, chat, maintext, mixing, neardup, pii, pseudolikelihood, quality, topk
+from volatide.llm import ann, bpe, chat, collocations, maintext, mixing, neardup, pii, pseudolikelihood, quality, topk
 from volatide.llm.common import table
 from volatide.llm.oracles import ORACLES  # noqa: F401
 
@@ -92,6 +92,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, inside=50, top=2000)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -105,5 +109,6 @@ QUERIES = {
         op8_mix_sources,
         op9_pii,
         op10_exact_top_k,
+        op11_phrases,
     )
 }
