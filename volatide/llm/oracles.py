@@ -130,5 +130,24 @@ inside AS (
 )
 SELECT kept.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
 FROM kept JOIN n ON n.lang = kept.lang WHERE rank <= 2000
+""",
+    "op13_first_seen_lines": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines,
+    -- CRC-32 of the digits, a bit at a time: 8 steps a byte.
+    (xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 64) // 8 AS batch
+  FROM documents
+), l AS (
+  SELECT r, batch, i, lines[i] AS line, translate(trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT r, batch, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)
+), h AS (SELECT key, batch, count(DISTINCT r) AS docs FROM l WHERE length(key) >= 10 GROUP BY ALL),
+e AS (SELECT key, batch, coalesce(sum(docs) OVER (PARTITION BY key ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 5 AS gone, sum(docs) OVER (PARTITION BY key) AS n FROM h),
+m AS (SELECT l.*, e.n, coalesce(e.gone, false) AS gone FROM l LEFT JOIN e USING (key, batch))
+SELECT 'doc' AS row_kind, d.doc_id::VARCHAR AS row_id, d.batch::INTEGER AS batch, count(*)::BIGINT AS n_all, count(*) FILTER (gone)::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM d JOIN m USING (r) GROUP BY d.r, d.doc_id, d.batch
+UNION ALL
+SELECT 'line', sha256(key), min(batch)::INTEGER, any_value(n)::BIGINT, count(*)::BIGINT, NULL FROM m WHERE gone GROUP BY key
 """,
 }

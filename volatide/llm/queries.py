@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volatide.llm import ann, bpe, chat, collocations, maintext, mixing, neardup, pii, pseudolikelihood, quality, topk
+from volatide.llm import ann, bpe, chat, collocations, langid, linestrip, maintext, mixing, neardup, pii, pseudolikelihood, quality, topk
 from volatide.llm.common import table
 from volatide.llm.oracles import ORACLES  # noqa: F401
 
@@ -96,6 +96,20 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, inside=50, top=2000)
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_first_seen_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    number = F.floor((F.crc32(F.col("doc_id").cast("string")) % 64) * 8 / 64)
+    docs_left, lines = linestrip.strip_seen_lines(docs, number, batches=8, min_docs=5, min_chars=10)
+    columns = ["row_kind", "row_id", "batch", "n_all", "n_removed", "kept_sha256"]
+    kept = docs_left.withColumns({"row_kind": F.lit("doc"), "row_id": F.col("doc_id").cast("string"), "kept_sha256": F.sha2("kept", 256)})
+    gone = lines.withColumns({"row_kind": F.lit("line"), "row_id": F.lower(F.hex("digest")), "kept_sha256": F.lit(None).cast("string")})
+    return kept.select(*columns).union(gone.select(*columns))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -110,5 +124,7 @@ QUERIES = {
         op9_pii,
         op10_exact_top_k,
         op11_phrases,
+        op12_language,
+        op13_first_seen_lines,
     )
 }
