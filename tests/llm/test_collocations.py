@@ -47,10 +47,9 @@ def corpus(seed, rows=300):
     return out + [out[-1]] * 20
 
 
-@pytest.mark.parametrize("known, chunk, longest", [(1 << 18, 4 << 20, 3), (6, 50, 4), (0, 7, 2)])
-def test_matches_brute_force(spark, monkeypatch, known, chunk, longest):
+@pytest.mark.parametrize("known, longest", [(1 << 16, 3), (6, 4), (0, 2)])
+def test_matches_brute_force(spark, monkeypatch, known, longest):
     monkeypatch.setattr(collocations, "KNOWN", known)
-    monkeypatch.setattr(collocations, "KNOWN_BYTES", 64)
     rows = corpus(known)
     docs = spark.createDataFrame([(i, t, g, 1, "x") for i, (g, t) in enumerate(rows)], "doc_id long, text string, lang string, n long, word string").repartition(3)
     found = collocations.collocations(docs, longest=longest, least=3, inside=50, top=30)

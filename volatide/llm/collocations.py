@@ -3,9 +3,9 @@
 ASCII letters are lower-cased; texts are split at `.,;:!?` and line ends into pieces and those at blanks into words. A phrase is
 a run of words inside a piece. What is rarer than `least` can be no part of a candidate, so the work shrinks by levels:
 
-1. Words are counted by language. Frequent ones (f >= least) get dense 32-bit ids, the most frequent the smallest: up
-   to KNOWN of them are sent with the tasks, the others (the tail, none of them hot) are joined by word.
-2. Texts become arrays of ids, written once; 0 stands for the end of a piece and for every other word, so both break phrases.
+1. Words are counted by language. Frequent ones (f >= least) get dense 32-bit ids, the most frequent the smallest: the
+   first KNOWN are sent with the tasks, the others (the tail, none of them hot) are joined by word.
+2. Texts become packed arrays of ids, written once; 0 stands for the end of a piece and for every other word, so both break phrases.
 3. For each length, runs of ids are packed into fixed-width binary keys, radix sorted and run-length counted inside the
    task, so that a hot phrase leaves a task once in RUN occurrences; the counted keys are range partitioned by the
    place that the dictionary's cumulative frequencies give to their first two words, sorted and run-length counted
@@ -14,7 +14,7 @@ a run of words inside a piece. What is rarer than `least` can be no part of a ca
 4. Frequent phrases join the counts of their parts; the lowest-scoring cut counts. Ranks are taken inside salted
    groups of a language before those of the language.
 
-Bounds, as documented parameters: KNOWN words of at most KNOWN_BYTES bytes, BITS bits of bitmap, CHUNK bytes of text
+Bounds, as documented parameters: KNOWN words of at most KNOWN_BYTES bytes (longer ones get the last ids), BITS bits of bitmap, CHUNK bytes of text
 and RUN keys at once in a task.
 
 Defined results: null texts have no words; null languages count as `und`, together with documents of that language;
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +36,12 @@ from pyspark.sql import functions as F
 
 from volatide.llm.common import cut, shared_folder
 
-KNOWN, KNOWN_BYTES = 1 << 18, 64
+KNOWN, KNOWN_BYTES = 1 << 16, 64
 BITS, BITS_A_KEY = 1 << 26, 16
-CHUNK, RUN = 4 << 20, 1 << 21
+CHUNK, RUN = 4 << 20, 1 << 20
 #: Occurrences that one range holds, and the most ranges; beyond, sorting spills.
 RANGE, MOST_RANGES = 1 << 22, 100_000
 SALTS = 32
-#: Steps of the histogram of counts, a doubling.
-STEPS = 8
 
 #: In decimals of up to 38 digits; the quotient is at most a million.
 SCORE = "cast(1000000 as decimal(7,0)) * (cast(a as decimal(15,0)) * cast(a as decimal(15,0))) div (cast(l as decimal(15,0)) * cast(r as decimal(15,0)))"
@@ -104,7 +103,7 @@ def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 class Dictionary:
     """The known words by language, each with its id, and how frequencies add up over ids. Bounded by KNOWN rows."""
 
-    def __init__(self, table: pa.Table, tail: int, tail_f: int):
+    def __init__(self, table: pa.Table, n: int, total: int):
         self.words: dict[str, pa.Array] = {}
         self.ids: dict[str, np.ndarray] = {}
         lang, word, f = (table.column(c).combine_chunks() for c in ("lang", "word", "f"))
@@ -113,10 +112,9 @@ class Dictionary:
         for i, name in enumerate(coded.dictionary.to_pylist()):
             at = np.flatnonzero(order == i)
             self.words[name], self.ids[name] = word.take(pa.array(at)).cast(pa.large_string()), (at + 1).astype(np.uint32)
-        self.size, self.tail = len(table), tail
+        self.size, self.tail = len(table), n - len(table)
         f = np.asarray(f.to_numpy(), np.float64)
-        total = max(1.0, f.sum() + tail_f)
-        self.upto, self.tail_share = np.concatenate([[0.0, 0.0], np.cumsum(f)]) / total, tail_f / total
+        self.upto, self.tail_share = np.concatenate([[0.0, 0.0], np.cumsum(f)]) / max(1, total), (total - f.sum()) / max(1, total)
 
     def place(self, ids: np.ndarray) -> np.ndarray:
         """The share of occurrences of words with smaller ids; increases with the id."""
@@ -128,6 +126,16 @@ class Dictionary:
         return np.minimum(ranges - 1, (low + (high - low) * self.place(keys[:, 1])) * ranges).astype(np.int32)
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids by zstd, behind their number of bytes."""
+    return len(ids).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(np.ascontiguousarray(ids).view(np.uint8), asbytes=True)
+
+
+def _unpacked(raw: pa.Buffer) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    return np.frombuffer(pa.Codec("zstd").decompress(raw[8:], 4 * n), np.uint32)
+
+
 def _encoded(dictionary: Dictionary):
     """(uid, ids, rest) of (uid, lang, text): ids end with 0; rest holds the places of words that aren't known."""
 
@@ -157,7 +165,7 @@ def _encoded(dictionary: Dictionary):
                 for k, row in enumerate(rows[starts].tolist()):
                     parts[row].append(out[bounds[k] : bounds[k + 1]])
                     length[row] += bounds[k + 1] - bounds[k]
-            packed = pa.array([np.concatenate([*p, np.zeros(1, np.uint32)]).tobytes() for p in parts], pa.binary())
+            packed = pa.array([_packed(np.concatenate([*p, np.zeros(1, np.uint32)])) for p in parts], pa.binary())
             rows = np.concatenate([r[0] for r in rest]) if rest else np.zeros(0, np.int64)
             order = np.argsort(rows, kind="stable")
             word = pa.concat_arrays([r[2] for r in rest]).take(pa.array(order)) if rest else pa.array([], pa.string())
@@ -174,11 +182,12 @@ def _patched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for raw, found in zip(batch.column(0), batch.column(1), strict=True):
-            ids = np.frombuffer(raw.as_buffer(), np.uint32)
             if found.is_valid:
-                ids = ids.copy()
+                ids = _unpacked(raw.as_buffer()).copy()
                 ids[found.values.field(0).to_numpy()] = found.values.field(1).to_numpy()
-            out.append(ids.tobytes())
+                out.append(_packed(ids))
+            else:
+                out.append(raw.as_py())
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
 
@@ -264,17 +273,20 @@ def _counted_grams(dictionary: Dictionary, n: int, ranges: int, bitmap: np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(dictionary.range_of(k, ranges)), _binary(k), pa.array(counts[at : at + (1 << 16)].astype(np.int64))], ["range", "key", "a"])
 
     def run(batches):
-        parts, held = [], 0
-        for batch in batches:
-            column = batch.column(0)
-            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-            ids = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(np.uint32)
-            for at in range(0, len(ids), RUN):
-                parts.append(_grams(ids[at : at + RUN + n - 1], n, bitmap))
-                held += len(parts[-1])
-                if held >= RUN:
-                    yield from packed(parts)
-                    parts, held = [], 0
+        rows, there, parts, held = [], 0, [], 0
+        for raw in chain((raw for batch in batches for raw in batch.column(0)), [None]):
+            if raw is not None:
+                rows.append(_unpacked(raw.as_buffer()))
+                there += len(rows[-1])
+            if rows and (there >= RUN or raw is None):
+                ids = np.concatenate(rows)
+                rows, there = [], 0
+                for at in range(0, len(ids), RUN):
+                    parts.append(_grams(ids[at : at + RUN + n - 1], n, bitmap))
+                    held += len(parts[-1])
+                    if held >= RUN:
+                        yield from packed(parts)
+                        parts, held = [], 0
         if held:
             yield from packed(parts)
 
@@ -305,52 +317,44 @@ def _summed_runs(n: int, least: int):
     return run
 
 
-def _known_and_tail(words: DataFrame) -> tuple[Dictionary, DataFrame, DataFrame]:
-    """The dictionary, all frequent words as (id, lang, word, f), and the tail's."""
-    spark = words.sparkSession
-    step = F.when(F.octet_length("word") <= KNOWN_BYTES, F.floor(F.log2("f") * STEPS)).otherwise(-1)
-    words = words.withColumn("step", step)
-    taken, lowest = 0, 64 * STEPS
-    for row in sorted(words.groupBy("step").agg(F.count("*").alias("n")).collect(), reverse=True):  # a few hundred rows at most
-        if row["step"] < 0 or (taken := taken + row["n"]) > KNOWN:
-            break
-        lowest = row["step"]
-    known = words.where(F.col("step") >= lowest).orderBy(F.desc("f"), "lang", "word").select("lang", "word", "f").toArrow()
-    rare = words.where(F.col("step") < lowest)
-    tail = rare.select(F.monotonically_increasing_id().alias("row"), "lang", "word", "f")
-    tail = cut(tail)
+def _numbered(words: DataFrame) -> tuple[Dictionary, DataFrame]:
+    """The dictionary of the known words, and all frequent words as (id, lang, word, f), by falling f."""
+    order = [F.octet_length("word") > KNOWN_BYTES, F.desc("f"), "lang", "word"]
+    rows = cut(words.orderBy(*order).select(F.monotonically_increasing_id().alias("row"), "lang", "word", "f"))
     # Rows are numbered inside their partitions; the partitions' sizes make that dense.
-    sizes = sorted(tail.groupBy(F.shiftright("row", 33).alias("p")).agg(F.count("*").alias("n"), F.sum("f").alias("f")).collect())
-    offsets, at = [], known.num_rows + 1
-    for p in sizes:
-        offsets.append((p["p"], at))
-        at += p["n"]
-    if at >= 2**32:
+    sizes = sorted(rows.groupBy(F.shiftright("row", 33).alias("p")).agg(F.count("*").alias("n"), F.sum("f").alias("f")).collect())
+    firsts = list(zip((p["p"] for p in sizes), accumulate((p["n"] for p in sizes), initial=1)))
+    n, total = sum(p["n"] for p in sizes), sum(p["f"] for p in sizes)
+    if n >= 2**32 - 1:
         raise ValueError("more frequent words than 32-bit ids")
-    dictionary = Dictionary(known, at - known.num_rows - 1, sum(p["f"] for p in sizes))
-    numbers = spark.createDataFrame(offsets, "p long, first long")
-    tail = tail.join(F.broadcast(numbers), F.shiftright("row", 33) == F.col("p")).select((F.col("first") + F.col("row").bitwiseAND(2**33 - 1)).alias("id"), "lang", "word", "f")
-    table = pa.table({"id": pa.array(np.arange(1, known.num_rows + 1)), "lang": known["lang"], "word": known["word"], "f": known["f"]})
-    listed = spark.createDataFrame(table) if known.num_rows else spark.createDataFrame([], tail.schema)
-    return dictionary, listed.union(tail), tail
+    numbers = F.broadcast(words.sparkSession.createDataFrame(firsts, "p long, first long"))  # a row a partition
+    listed = rows.join(numbers, F.shiftright("row", 33) == F.col("p")).select((F.col("first") + F.col("row").bitwiseAND(2**33 - 1)).alias("id"), "lang", "word", "f")
+    known = listed.where((F.col("id") <= KNOWN) & (F.octet_length("word") <= KNOWN_BYTES)).toArrow().sort_by("id")
+    return Dictionary(known, n, total), listed
 
 
 def frequent_phrases(docs: DataFrame, longest: int, least: int, lang: str, text: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Words (id, lang, word, f), word occurrences (lang, n), and (key, a) of the frequent phrases of 2, 3, ... words."""
     spark, folder = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/collocations-{uuid.uuid4().hex}"
+
+    def delete(*part: str) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path("/".join([folder, *part]))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
     docs = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
     counted = docs.mapInArrow(_counted_words, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
     counted = cut(counted.where(F.col("word").isNull() | (F.col("f") >= least)))
     totals = counted.where("word is null").select("lang", F.col("f").alias("n"))
-    dictionary, words, tail = _known_and_tail(counted.where("word is not null"))
+    dictionary, words = _numbered(counted.where("word is not null"))
     encoded = docs.select(F.monotonically_increasing_id().alias("uid"), "lang", "text").mapInArrow(_encoded(dictionary), "uid long, lang string, ids binary, rest array<struct<at int, word string>>")
     encoded.write.parquet(f"{folder}/known")
     ids = spark.read.parquet(f"{folder}/known")
     if dictionary.tail:
-        rest = ids.select("uid", "lang", F.explode("rest").alias("r")).select("uid", "lang", "r.at", "r.word").join(tail.select("lang", "word", "id"), ["lang", "word"])
+        rest = ids.select("uid", "lang", F.explode("rest").alias("r")).select("uid", "lang", "r.at", "r.word").join(words.where(F.col("id") > dictionary.size).select("lang", "word", "id"), ["lang", "word"])
         found = rest.groupBy("uid").agg(F.collect_list(F.struct("at", "id")).alias("found"))
         ids.select("uid", "ids").join(found, "uid", "left").select("ids", "found").mapInArrow(_patched, "ids binary").write.parquet(f"{folder}/all")
         ids = spark.read.parquet(f"{folder}/all")
+        delete("known")
     occurrences = totals.agg(F.sum("n")).first()[0] or 0
     ranges = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), occurrences // RANGE))
     levels, bitmap = [], None
@@ -359,8 +363,7 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int, lang: str, text:
         level = grams.repartitionById(ranges, F.col("range")).select("key", "a").sortWithinPartitions("key").mapInArrow(_summed_runs(n, least), "key binary, a long")
         levels.append(cut(level))
         bitmap = _bitmap(levels[-1], n) if n < longest else None
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete()
     return words, totals, levels
 
 
