@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from volatide.functions import dates, text
-from volatide.functions.optimize import nelder_mead
+from volatide.functions.optimize import Minimiser, minimise
 from volatide.operators import alignment, checks, classify, corpus, frame, garch, labels, reconcile, residual, stats
 from volatide.operators.sentiment import daily_sentiment
 from volatide.operators.volatility import volatility_features, with_series
@@ -276,9 +276,22 @@ def test_garch_fit_and_filter(spark):
     assert len(garch.add_features(df.withColumn("target_next_vol", F.lit(0.01)), "2025-03-01").dropna(subset=["hybrid_residual_target"]).collect()) == 600
 
 
-def test_simplex_finds_minima():
-    at, value = nelder_mead(lambda x: (x[0] - 1) ** 2 + 10 * (x[1] + 2) ** 2 + 3, np.zeros(2))
-    assert at == pytest.approx([1, -2], abs=1e-3) and value == pytest.approx(3, abs=1e-6)
+def test_minimiser_finds_minima_and_can_be_kept_in_a_row():
+    def f(x):
+        value = (100 * (x[1:] - x[:-1] ** 2) ** 2 + (1 - x[:-1]) ** 2).sum() + 3
+        slope = np.zeros_like(x)
+        slope[:-1] = -400 * x[:-1] * (x[1:] - x[:-1] ** 2) - 2 * (1 - x[:-1])
+        slope[1:] += 200 * (x[1:] - x[:-1] ** 2)
+        return value, slope
+
+    at, value = minimise(f, np.array([-1.2, 1.0, 0.5]))
+    assert at == pytest.approx([1, 1, 1], abs=1e-5) and value == pytest.approx(3, abs=1e-9)
+    search = Minimiser(np.array([-1.2, 1.0, 0.5]))
+    while not search.done:
+        search = Minimiser.restored([float(x) for x in search.state()])
+        search.tell(*f(search.trial))
+    assert (search.at == at).all()
+    assert Minimiser(np.zeros(1)).tell(np.nan, np.zeros(1)) is None
 
 
 def test_sequences_and_splits(spark):

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import base64
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from volatide.operators import garch
+from volatide.operators.recurrence import numbered
 from volatide.operators.stats import error_metrics
+from volatide.storage import cut
 
 # Inputs of the network; without sentiment there are the market's and the news volume's only.
 QUIET = ["garch_std_resid", "garch_forecast_var", "abs_return", "n_articles", "n_categories", "mean_body_len"]
@@ -20,12 +25,24 @@ FEATURES = [
 ]
 
 
-def sequences(df: DataFrame, features: list[str], length: int) -> DataFrame:
-    """Add `window`: the features of the last `length` rows up to each row of a series; rows without a full window go."""
-    clean = df.dropna(subset=features)
-    last = Window.partitionBy("series_id").orderBy("date").rowsBetween(1 - length, 0)
+#: Rows of a series that are windowed together, beside the halo of the rows before them.
+SPAN = 512
+
+
+def sequences(df: DataFrame, features: list[str], length: int, span: int = SPAN) -> DataFrame:
+    """Add `window`: the features of the last `length` rows up to each row of a series; rows without a full window go.
+
+    Rows are numbered and dealt into blocks of `span`; the last length - 1 rows of a block are sent to the next one too,
+    so windows are made inside blocks and no series is sorted as a whole.
+    """
+    span = max(span, length)
+    clean = numbered(df.dropna(subset=features).where(F.col("date").isNotNull()), name="__i")
+    home, halo = F.floor(F.col("__i") / span), F.col("__i") % span > span - length
+    sent = clean.withColumn("__in", F.explode(F.when(halo, F.array(home, home + 1)).otherwise(F.array(home))))
+    last = Window.partitionBy("series_id", "__in").orderBy("__i").rowsBetween(1 - length, 0)
     rows = F.collect_list(F.array(*[F.col(f).cast("double") for f in features])).over(last)
-    return clean.withColumn("window", rows).where(F.size("window") == length)
+    out = sent.withColumn("window", rows).where((F.size("window") == length) & (home == F.col("__in")))
+    return out.drop("__i", "__in")
 
 
 class LSTM:
@@ -69,23 +86,40 @@ class LSTM:
             dh, dc = dz @ self.w["h"].T, dc * f
         return float(((out - y) ** 2).mean()), g
 
-    def train(self, x, y, vx, vy, epochs: int = 30, batch: int = 32, rate: float = 1e-3, patience: int = 5, seed: int = 0) -> list[float]:
-        rng = np.random.default_rng(seed)
-        first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
+    def train(self, x, y, vx, vy, epochs: int = 30, batch: int = 32, rate: float = 1e-3, patience: int = 5, seed: int = 0, summed=None, worker: int = 0, workers: int = 1) -> list[float]:
+        """Losses of the epochs, on the validation rows where there are any.
+
+        With several workers each has its own rows and takes its share of every batch; `summed` adds up an array of
+        numbers over all of them, so that all make the same steps.
+        """
+        summed = summed or (lambda numbers: numbers)
+        most = int(summed(np.eye(workers)[worker] * len(x)).max())
+        share = max(1, batch // workers)
+        rng = np.random.default_rng(seed if workers == 1 else [seed, worker])
+        names, sizes = list(self.w), np.cumsum([0, *(w.size for w in self.w.values())])
+        first, second = (np.zeros(sizes[-1]) for _ in range(2))
         kept, best, waited, step, losses = {k: v.copy() for k, v in self.w.items()}, np.inf, 0, 0, []
+        has_val = summed(np.array([float(len(vx))]))[0] > 0
         for _ in range(epochs):
             order = rng.permutation(len(x))
-            for at in range(0, len(order), batch):
+            for at in range(0, most, share):
                 step += 1
-                _, g = self.gradient(x[order[at : at + batch]], y[order[at : at + batch]])
-                for k in self.w:
-                    first[k] = 0.9 * first[k] + 0.1 * g[k]
-                    second[k] = 0.999 * second[k] + 0.001 * g[k] ** 2
-                    self.w[k] = self.w[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-            loss = float(((self.forward(vx)[0] - vy) ** 2).mean()) if len(vx) else float(((self.forward(x)[0] - y) ** 2).mean())
-            losses.append(loss)
-            if loss < best - 1e-12:
-                best, waited, kept = loss, 0, {k: v.copy() for k, v in self.w.items()}
+                own = order[at : at + share]
+                total = np.zeros(sizes[-1] + 1)
+                if len(own):
+                    _, g = self.gradient(x[own], y[own])
+                    total = np.append(np.concatenate([g[k].ravel() for k in names]), 1.0) * len(own)
+                total = summed(total)
+                g = total[:-1] / total[-1]
+                first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g**2
+                change = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+                for i, k in enumerate(names):
+                    self.w[k] = self.w[k] - change[sizes[i] : sizes[i + 1]].reshape(self.w[k].shape)
+            a, b = (vx, vy) if has_val else (x, y)
+            total = summed(np.array([((self.forward(a)[0] - b) ** 2).sum() if len(a) else 0.0, len(a)]))
+            losses.append(float(total[0] / total[1]))
+            if losses[-1] < best - 1e-12:
+                best, waited, kept = losses[-1], 0, {k: v.copy() for k, v in self.w.items()}
             else:
                 waited += 1
                 if waited >= patience:
@@ -94,26 +128,100 @@ class LSTM:
         return losses
 
 
-def learn_residuals(windows: DataFrame, target: str = "hybrid_residual_target", by: str = "series_id", epochs: int = 30) -> DataFrame:
-    """(by, date, split, predicted_residual) of every row: one network a group, on its train rows, stopped on val.
+class Learned:
+    """A network with the scales of its inputs and target."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, split: np.ndarray, epochs: int, summed=None, worker: int = 0, workers: int = 1):
+        """Inputs and target are standardised on the train rows (of all workers) only."""
+        add = summed or (lambda numbers: numbers)
+        known = ~np.isnan(y)
+        train, val = (split == "train") & known, (split == "val") & known
+        steps = x.shape[1]
+        n = add(np.array([float(train.sum())]))[0]
+        if n == 0:
+            raise ValueError("No train rows with a target.")
+        self.mean = add(x[train].sum((0, 1))) / (n * steps)
+        scale = np.sqrt(add(((x[train] - self.mean) ** 2).sum((0, 1))) / (n * steps))
+        self.scale = np.where(scale > 1e-12, scale, 1)
+        self.m = add(np.array([y[train].sum()]))[0] / n
+        self.s = float(np.sqrt(add(np.array([((y[train] - self.m) ** 2).sum()]))[0] / n)) or 1.0
+        z = (x - self.mean) / self.scale
+        self.net = LSTM(x.shape[2])
+        self.losses = self.net.train(z[train], (y[train] - self.m) / self.s, z[val], (y[val] - self.m) / self.s, epochs=epochs, summed=summed, worker=worker, workers=workers)
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.net.forward((x - self.mean) / self.scale)[0] * self.s + self.m
+
 
-    Rows need `window`, `split`, `target`. Inputs and target are standardised on train rows only.
+def _windows(column: pd.Series) -> np.ndarray:
+    return np.stack([np.stack(w) for w in column]).astype(float)
+
+
+def _sum_over_tasks(numbers: np.ndarray) -> np.ndarray:
+    """The sum of an array over the tasks of a barrier stage, in the same order everywhere."""
+    said = BarrierTaskContext.get().allGather(base64.b64encode(np.asarray(numbers, float).tobytes()).decode())
+    return np.sum([np.frombuffer(base64.b64decode(x)) for x in said], axis=0)
+
+
+def learn_in_parallel(windows: DataFrame, target: str = "hybrid_residual_target", epochs: int = 30, workers: int = 4) -> DataFrame:
+    """(model, losses), one row: a network whose rows are spread over the `workers` tasks of a barrier stage, which exchange gradients.
+
+    The stage needs as many free slots as workers. If one task is lost, Spark starts all of them again.
     """
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(frames):
+        parts, context = list(frames), BarrierTaskContext.get()
+        frame = pd.concat(parts) if parts else pd.DataFrame(columns=["date", "split", "window", target])
+        # Numbers of inputs are the same in all tasks, also in one without rows.
+        shape = [x for x in context.allGather("x".join(map(str, _windows(frame["window"]).shape[1:])) if len(frame) else "") if x]
+        if not shape:
+            return
+        empty = np.zeros((0, *map(int, shape[0].split("x"))))
         frame = frame.sort_values("date")
-        x = np.stack([np.stack(w) for w in frame["window"]]).astype(float)
-        y, split = frame[target].to_numpy(float), frame["split"].to_numpy()
-        known = ~np.isnan(y)
-        train, val = (split == "train") & known, (split == "val") & known
-        mean, scale = x[train].mean((0, 1)), x[train].std((0, 1))
-        x = (x - mean) / np.where(scale > 1e-12, scale, 1)
-        m, s = y[train].mean(), y[train].std() or 1.0
-        net = LSTM(x.shape[2])
-        net.train(x[train], (y[train] - m) / s, x[val], (y[val] - m) / s, epochs=epochs)
-        return pd.DataFrame({by: key[0], "date": frame["date"].to_numpy(), "split": split, "predicted_residual": net.forward(x)[0] * s + m})
+        x = _windows(frame["window"]) if len(frame) else empty
+        learned = Learned(x, frame[target].to_numpy(float), frame["split"].to_numpy(), epochs, _sum_over_tasks, context.partitionId(), workers)
+        if context.partitionId() == 0:
+            yield pd.DataFrame({"model": [pickle.dumps(learned)], "losses": [learned.losses]})
+
+    dealt = windows.select("date", "split", "window", target).repartition(workers, "date")
+    return dealt.mapInPandas(run, "model binary, losses array<double>", barrier=True)
+
 
-    return windows.select(by, "date", "split", "window", target).groupBy(by).applyInPandas(run, f"{by} string, date date, split string, predicted_residual double")
+#: Rows of a group whose network is trained in one task at most.
+MOST_ROWS = 50_000
+
+
+def learn_residuals(windows: DataFrame, target: str = "hybrid_residual_target", by: str = "series_id", epochs: int = 30, keep: tuple[str, ...] = (), most_rows: int = MOST_ROWS, workers: int = 4) -> DataFrame:
+    """(by, date, split, *keep, predicted_residual) of every row: one network a group, on its train rows, stopped on val.
+
+    Rows need `window`, `split`, `target`. Groups of up to `most_rows` rows (counted) are a task each; a larger one is
+    trained by `workers` tasks that exchange gradients, and then predicted wherever its rows are.
+    """
+    columns = [by, "date", "split", *keep]
+    kinds = dict(windows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", predicted_residual double"
+    picked = windows.select(*columns, "window", *[c for c in [target] if c not in columns])
+
+    def run(_, frame):
+        frame = frame.sort_values("date")
+        x = _windows(frame["window"])
+        return frame[columns].assign(predicted_residual=Learned(x, frame[target].to_numpy(float), frame["split"].to_numpy(), epochs).predict(x))
+
+    sizes = picked.groupBy(by).agg(F.count("*").alias("__n")).where(F.col("__n") > most_rows)
+    large = [row[by] for row in sizes.collect()]  # few: each has most_rows rows at least
+    small = picked.where(~F.col(by).isin(large)) if large else picked
+    out = small.groupBy(by).applyInPandas(run, schema)
+    for name in large:
+        own = picked.where(F.col(by) == F.lit(name))
+        model = pickle.loads(learn_in_parallel(own, target, epochs, workers).collect()[0]["model"])
+
+        def predict(frames, model=model):
+            for frame in frames:
+                if len(frame):
+                    yield frame[columns].assign(predicted_residual=model.predict(_windows(frame["window"])))
+
+        out = out.union(own.mapInPandas(predict, schema))
+    return out
 
 
 @dataclass(frozen=True)
@@ -135,26 +243,40 @@ def hybrid_forecasts(frame: DataFrame, train_end: str, val_end: str, features: l
     return corrected_forecasts(garch.add_features(frame, train_end), train_end, val_end, features, length, epochs)
 
 
-def corrected_forecasts(full: DataFrame, train_end: str, val_end: str, features: list[str] | None = None, length: int = 15, epochs: int = 30) -> DataFrame:
-    """The same from a frame that has its garch columns. Features that the frame lacks are left out; rows without a target go."""
+def residual_windows(full: DataFrame, train_end: str, val_end: str, features: list[str] | None = None, length: int = 15) -> DataFrame:
+    """Windows with splits of a frame that has its garch columns. Features that it lacks are left out; rows without a target go."""
     from volatide.operators.labels import split_by_dates
 
     used = [f for f in features or FEATURES if f in full.columns]
-    windows = split_by_dates(sequences(full.dropna(subset=["hybrid_residual_target"]), used, length), train_end, val_end)
-    learned = learn_residuals(windows, epochs=epochs).select("series_id", "date", "predicted_residual")
-    out = windows.select("series_id", "date", "split", F.col("target_next_vol").alias("actual"), F.col("garch_forecast_vol").alias("baseline")).join(learned, ["series_id", "date"])
-    return out.select("series_id", "date", "split", "actual", "baseline", (F.col("baseline") + F.col("predicted_residual")).alias("hybrid"))
+    out = split_by_dates(sequences(full.dropna(subset=["hybrid_residual_target"]), used, length), train_end, val_end)
+    return out.select("series_id", "date", "split", "window", "hybrid_residual_target", "target_next_vol", "garch_forecast_vol")
 
 
-def expanding_forecasts(frame: DataFrame, train_end: str, val_end: str, length: int = 15, epochs: int = 30, every: int = 21) -> DataFrame:
-    """`hybrid_forecasts` with GARCH parameters that are first fitted up to `val_end` and again every few rows from there on."""
+def corrected(windows: DataFrame, epochs: int = 30) -> DataFrame:
+    """(series_id, date, split, actual, baseline, hybrid) of residual windows."""
+    out = learn_residuals(windows, epochs=epochs, keep=("target_next_vol", "garch_forecast_vol"))
+    baseline = F.col("garch_forecast_vol")
+    return out.select("series_id", "date", "split", F.col("target_next_vol").alias("actual"), baseline.alias("baseline"), (baseline + F.col("predicted_residual")).alias("hybrid"))
+
+
+def corrected_forecasts(full: DataFrame, train_end: str, val_end: str, features: list[str] | None = None, length: int = 15, epochs: int = 30) -> DataFrame:
+    """`hybrid_forecasts` from a frame that has its garch columns."""
+    return corrected(cut(residual_windows(full, train_end, val_end, features, length)), epochs)
+
+
+def with_expanding_garch(frame: DataFrame, val_end: str, every: int = 21) -> DataFrame:
+    """The garch columns with parameters that are first fitted up to `val_end` and again every few rows from there on."""
     walked = garch.expanding(frame, train_end=val_end, every=every)
     names = {"garch_conditional_vol": "conditional_vol", "garch_forecast_vol": "forecast_vol", "garch_std_resid": "std_resid"}
     columns = [F.col(old).alias(new) for new, old in names.items()]
     squares = [(F.col(c) * F.col(c)).alias(f"garch_{c.removesuffix('vol')}var") for c in ("conditional_vol", "forecast_vol")]
     full = frame.join(walked.select("series_id", "date", *columns, *squares), ["series_id", "date"], "left")
-    full = full.withColumn("hybrid_residual_target", F.col("target_next_vol") - F.col("garch_forecast_vol"))
-    return corrected_forecasts(full, train_end, val_end, None, length, epochs)
+    return full.withColumn("hybrid_residual_target", F.col("target_next_vol") - F.col("garch_forecast_vol"))
+
+
+def expanding_forecasts(frame: DataFrame, train_end: str, val_end: str, length: int = 15, epochs: int = 30, every: int = 21) -> DataFrame:
+    """`hybrid_forecasts` with the garch columns of an expanding window."""
+    return corrected_forecasts(with_expanding_garch(frame, val_end, every), train_end, val_end, None, length, epochs)
 
 
 def garchx_forecasts(frame: DataFrame, val_end: str, aligned: bool = False) -> DataFrame:
@@ -164,22 +286,16 @@ def garchx_forecasts(frame: DataFrame, val_end: str, aligned: bool = False) -> D
     with `aligned` the next day's forecast is, which is made for the day that the target is of.
     """
 
-    def run(key, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("date")
-        f["x"] = f["mean_sentiment"].astype(float).shift(1).fillna(0.0)
-        f = f.dropna(subset=["log_return", "target_next_vol"])
-        y, x = f["log_return"].to_numpy(), f["x"].to_numpy()
-        known = (f["date"].astype(str) <= val_end).to_numpy()
-        sample = float((y * 100).var(ddof=1))
-        pushed = garch.fit(y[known], exog=x[known])
-        both = garch.project(y, garch.fit(y[known]), sample), garch.project(y, pushed, sample, exog=x)
-        name = "forecast_var" if aligned else "conditional_var"
-        plain, other = (np.sqrt(np.maximum(p[name].to_numpy(), 1e-12)) for p in both)
-        return pd.DataFrame({"series_id": key[0], "date": f["date"].to_numpy(), "actual": f["target_next_vol"].to_numpy(), "baseline": plain, "hybrid": other, "gamma": pushed["gamma"]})
-
-    picked = frame.select("series_id", "date", "log_return", "mean_sentiment", "target_next_vol")
-    out = picked.groupBy("series_id").applyInPandas(run, "series_id string, date date, actual double, baseline double, hybrid double, gamma double")
-    return out.where(F.col("date") > F.lit(val_end).cast("date"))
+    along = Window.partitionBy("series_id").orderBy("date")
+    rows = frame.select("series_id", "date", "log_return", F.coalesce(F.lag("mean_sentiment").over(along).cast("double"), F.lit(0.0)).alias("x"), "target_next_vol")
+    rows = rows.dropna(subset=["log_return", "target_next_vol"])
+    known, blocks = rows.where(F.col("date") <= F.lit(val_end).cast("date")), garch.blocks_of(rows, "log_return", "x")
+    sample = garch.sample_variance(blocks)
+    plain, pushed = garch.fit_series(known), cut(garch.fit_series(known, exog="x"))
+    value = F.sqrt(F.greatest(F.col("forecast_var" if aligned else "conditional_var"), F.lit(1e-12)))
+    both = [garch.project(blocks, p.join(sample, "series_id"), exog).select("series_id", "date", value.alias(name)) for p, exog, name in ((plain, False, "baseline"), (pushed, True, "hybrid"))]
+    out = rows.select("series_id", "date", F.col("target_next_vol").alias("actual")).join(both[0], ["series_id", "date"]).join(both[1], ["series_id", "date"])
+    return out.join(pushed.select("series_id", "gamma"), "series_id").where(F.col("date") > F.lit(val_end).cast("date"))
 
 
 def compare(forecasts: DataFrame) -> DataFrame:

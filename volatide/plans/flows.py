@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from volatide.functions.dates import market_timestamp
 from volatide.functions.text import clean_body
-from volatide.operators import alignment, checks, classify, corpus, frame, labels, reconcile, residual, stats
+from volatide.operators import alignment, checks, classify, corpus, frame, garch, labels, reconcile, residual, stats
 from volatide.operators.sentiment import daily_sentiment
 from volatide.operators.volatility import log_returns
 from volatide.schemas import ARTICLES_CLEAN, DAILY_NEWS_PRICES, SCORES
 from volatide.sources import files
+from volatide.storage import cut
 
 
 def preprocess(news: DataFrame, prices: DataFrame, min_body: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -93,7 +94,8 @@ def sentiment_pipeline(spark, mode: str, folder: str, *, corpus_df=None, annotat
 
 def experiment(frame_df: DataFrame, train_end: str, val_end: str, length: int = 15, epochs: int = 30, features: list[str] | None = None) -> dict[str, DataFrame]:
     """Forecasts of the test dates, with errors, Diebold-Mariano and subperiods."""
-    forecasts = residual.hybrid_forecasts(frame_df, train_end, val_end, features, length, epochs).where("split = 'test'")
+    frame_df = cut(frame_df)
+    forecasts = cut(residual.hybrid_forecasts(frame_df, train_end, val_end, features, length, epochs).where("split = 'test'"))
     moods = frame_df.select("series_id", "date", F.col("mean_sentiment").alias("sentiment"))
     return {
         "forecasts": forecasts,
@@ -106,22 +108,35 @@ def experiment(frame_df: DataFrame, train_end: str, val_end: str, length: int =
 def robustness(build, specs: list[residual.Spec], train_end: str, val_end: str, length: int = 15, epochs: int = 30) -> DataFrame:
     """Errors, Diebold-Mariano test and gamma (of GARCH-X) of every specification on the dates after `val_end`.
 
-    build(threshold, target) gives a specification's frame, so no stale frame is reused.
+    build(threshold, target) gives a frame. One is built for each threshold and target, all are written together, as series
+    of their own, and so are the windows of all specifications: fits, networks and tests of all run side by side.
     """
-    parts = []
-    for spec in specs:
-        data = build(spec.threshold, spec.target)
-        gamma = None
-        if spec.kind == "garchx":
-            found = residual.garchx_forecasts(data, val_end)
-            gamma = found.groupBy("series_id").agg(F.max("gamma").alias("gamma"))
-        elif spec.kind == "expanding":
-            found = residual.expanding_forecasts(data, train_end, val_end, length, epochs).where("split = 'test'")
-        else:
-            found = residual.hybrid_forecasts(data, train_end, val_end, spec.features, length, epochs).where("split = 'test'")
-        row = residual.compare(found).join(stats.diebold_mariano(found), "series_id")
-        row = row.withColumn("gamma", F.lit(None).cast("double")) if gamma is None else row.join(gamma, "series_id")
-        parts.append(row.withColumn("spec", F.lit(spec.name)))
+    named = lambda df, name: df.withColumn("series_id", F.concat(F.lit(f"{name}|"), F.col("series_id")))
+    of = {spec.name: f"{spec.threshold}/{spec.target}" for spec in specs}
+    frames = {of[spec.name]: (spec.threshold, spec.target) for spec in specs}
+    data = cut(_union([named(build(*key), name) for name, key in frames.items()]))
+    only = lambda df, spec: df.where(F.startswith("series_id", F.lit(f"{of[spec.name]}|"))).withColumn("series_id", F.concat(F.lit(f"{spec.name}|"), F.substring_index("series_id", "|", -1)))
+    kinds = {kind: [spec for spec in specs if spec.kind == kind] for kind in ("hybrid", "garchx", "expanding")}
+    windows, found, gammas = [], [], []
+    if kinds["hybrid"]:
+        full = cut(garch.add_features(data, train_end))
+        windows += [residual.residual_windows(only(full, spec), train_end, val_end, spec.features, length) for spec in kinds["hybrid"]]
+    if kinds["expanding"]:
+        full = cut(residual.with_expanding_garch(_union([only(data, spec) for spec in kinds["expanding"]]), val_end))
+        windows.append(residual.residual_windows(full, train_end, val_end, None, length))
+    if windows:
+        found.append(residual.corrected(cut(_union(windows)), epochs).where("split = 'test'"))
+    if kinds["garchx"]:
+        pushed = cut(residual.garchx_forecasts(_union([only(data, spec) for spec in kinds["garchx"]]), val_end))
+        found.append(pushed.withColumn("split", F.lit("test")))
+        gammas = [pushed.groupBy("series_id").agg(F.max("gamma").alias("gamma"))]
+    all_found = cut(_union([f.select("series_id", "date", "actual", "baseline", "hybrid") for f in found]))
+    out = residual.compare(all_found).join(stats.diebold_mariano(all_found), "series_id")
+    out = out.join(gammas[0], "series_id", "left") if gammas else out.withColumn("gamma", F.lit(None).cast("double"))
+    return out.withColumns({"spec": F.substring_index("series_id", "|", 1), "series_id": F.substring_index("series_id", "|", -1)})
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

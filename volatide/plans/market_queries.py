@@ -268,6 +268,54 @@ def garch_grid_argmin(spark, sf_dir):
     return points.groupBy("series_id").agg(F.min_by(F.struct("alpha", "beta", "loss"), "loss").alias("b")).select("series_id", "b.alpha", "b.beta", (F.round("b.loss", 3) + F.lit(0.0)).alias("loss"))
 
 
+def _segments(spark, sf_dir, *keys) -> DataFrame:
+    """Log returns of the last order a day of each group of customers."""
+    orders, customer = domain.table(spark, sf_dir, "orders"), domain.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    joined = orders.where(F.weekday("o_orderdate") < 5).select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    many = joined.groupBy(F.concat_ws("-", *keys).alias("series_id"), F.col("o_orderdate").cast("date").alias("date")).agg(F.max_by("o_totalprice", "o_orderkey").alias("close"))
+    return log_returns(many)
+
+
+@query(
+    f"""WITH RECURSIVE p AS (
+      SELECT c_mktsegment || '-' || c_nationkey AS series_id, o_orderdate::DATE AS date, arg_max(o_totalprice, o_orderkey) AS close
+      FROM orders JOIN customer ON o_custkey = c_custkey WHERE isodow(o_orderdate) <= 5 GROUP BY 1, 2),
+    q AS (SELECT series_id, date, 100 * ln(close / lag(close) OVER (PARTITION BY series_id ORDER BY date)) AS y FROM p),
+    y AS (SELECT *, row_number() OVER s AS i, count(*) OVER (PARTITION BY series_id) AS n, coalesce(var_samp(y) OVER (PARTITION BY series_id), 0) AS sample FROM q WHERE y IS NOT NULL WINDOW s AS (PARTITION BY series_id ORDER BY date)),
+    e AS (SELECT *, y - {GARCH['c']}::DOUBLE - coalesce({GARCH['phi']}::DOUBLE * lag(y) OVER (PARTITION BY series_id ORDER BY i), 0) AS e FROM y),
+    v AS (
+      SELECT series_id, i, greatest(sample, {GARCH['omega']}::DOUBLE / greatest(1e-6, 1 - {GARCH['alpha']}::DOUBLE - {GARCH['beta']}::DOUBLE)) AS v, e FROM e WHERE i = 1
+      UNION ALL SELECT e.series_id, e.i, {GARCH['omega']}::DOUBLE + {GARCH['alpha']}::DOUBLE * v.e * v.e + {GARCH['beta']}::DOUBLE * v.v, e.e FROM v JOIN e ON e.series_id = v.series_id AND e.i = v.i + 1)
+    SELECT e.series_id, e.date, round(sqrt(v.v), 4) + 0.0 AS conditional_vol,
+      round(sqrt(CASE WHEN e.i < n THEN {GARCH['omega']}::DOUBLE + {GARCH['alpha']}::DOUBLE * e.e * e.e + {GARCH['beta']}::DOUBLE * v.v ELSE {GARCH['omega']}::DOUBLE + ({GARCH['alpha']}::DOUBLE + {GARCH['beta']}::DOUBLE) * v.v END), 4) + 0.0 AS forecast_vol, round(e.e / sqrt(v.v), 4) + 0.0 AS std_resid
+    FROM e JOIN v ON e.series_id = v.series_id AND e.i = v.i"""
+)
+def garch_filter_series(spark, sf_dir):
+    """A series for each segment and nation."""
+    f = garch.filter_series(_segments(spark, sf_dir, "c_mktsegment", "c_nationkey"), GARCH)
+    return rounded(f.select("series_id", "date", (F.sqrt("conditional_var") * 100).alias("conditional_vol"), (F.sqrt("forecast_var") * 100).alias("forecast_vol"), "std_resid"), 4)
+
+
+@query()
+def garch_fit_segments(spark, sf_dir):
+    """A fit for each segment."""
+    return garch.fit_series(_segments(spark, sf_dir, "c_mktsegment"))
+
+
+@query(
+    f"""WITH vol AS ({_garch_sql()}), {VOLATILITY.removeprefix('WITH ')}
+    SELECT f.date, {r('f.target_next_vol target_next_vol')}, conditional_vol AS garch_conditional_vol, forecast_vol AS garch_forecast_vol, std_resid AS garch_std_resid
+    FROM features f LEFT JOIN vol ON vol.date = f.date"""
+)
+def garch_features_fixed(spark, sf_dir):
+    """The garch columns of the frame (volatilities in per cent), for given parameters."""
+    frame = features(spark, sf_dir)
+    given = frame.select("series_id").distinct().select("series_id", *[F.lit(v).alias(n) for n, v in GARCH.items()])
+    full = garch.add_features(frame, "9999-12-31", parameters=given)
+    cents = [F.round(F.col(c) * k, 4).alias(c) for c, k in (("garch_conditional_vol", 100), ("garch_forecast_vol", 100), ("garch_std_resid", 1))]
+    return rounded(full.select("date", "target_next_vol", *cents))
+
+
 @query()
 def garch_fit(spark, sf_dir):
     return garch.fit_series(log_returns(bars(spark, sf_dir)))

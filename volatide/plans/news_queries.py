@@ -12,6 +12,8 @@ from volatide.operators.volatility import log_returns
 from volatide.plans.registry import ALIGNED, DAILY_NEWS, EVENTS, LINES, SCORES, VOLATILITY, Registry, daily_sentiment_sql, r, rounded
 from volatide.sources import domain
 from volatide.sources.domain import bars
+from volatide.storage import new_folder
+from volatide.streaming import news
 
 REGISTRY = query = Registry()
 
@@ -389,28 +391,10 @@ def key_set_difference(spark, sf_dir):
 @query(f"WITH {ALIGNED} SELECT url, origin_date, trading_date, alignment_reason FROM aligned WHERE published_at IS NOT NULL")
 def stream_alignment(spark, sf_dir):
     """The stream's rows, processed with an available-now trigger. Articles without a timestamp have no place in a stream."""
-    import uuid
-
-    from volatide.streaming import news
-
-    root = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
+    root = new_folder(spark, "stream")
     batch = domain.event_articles(spark, sf_dir).where("published_at is not null").select("url", "category", F.col("published_at").cast("timestamp").alias("published_at"))
     batch.write.parquet(f"{root}/in")
     stream = news.article_stream(spark, f"{root}/in", batch.schema)
     found = news.align_stream(news.distinct_articles(stream), domain.event_sessions(spark, sf_dir).select("date"))
     news.run_available(found.select("url", "origin_date", "trading_date", "alignment_reason"), f"{root}/out", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/out")
-
-
-def _scratch(spark) -> str:
-    """The session's shared folder. Where none is named, a temporary one on local masters only; on a cluster that is an error."""
-    import re
-    import tempfile
-
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not re.fullmatch(r"local(\[[^\[\]]*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir names no shared folder, which streams need on a cluster")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="volatide-"))
-    return context._jsc.sc().getCheckpointDir().get()
