@@ -13,7 +13,7 @@ from volatide.plans.registry import ALIGNED, DAILY_NEWS, EVENTS, LINES, SCORES,
 from volatide.sources import domain
 from volatide.sources.domain import bars
 from volatide.storage import new_folder
-from volatide.streaming import news
+from volatide.streaming import ledger, news
 
 REGISTRY = query = Registry()
 
@@ -398,3 +398,54 @@ def stream_alignment(spark, sf_dir):
     found = news.align_stream(news.distinct_articles(stream), domain.event_sessions(spark, sf_dir).select("date"))
     news.run_available(found.select("url", "origin_date", "trading_date", "alignment_reason"), f"{root}/out", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/out")
+
+
+def _in_turns(spark, rows: DataFrame, turn, turns: int, name: str, start) -> str:
+    """Write the rows by turn, and start a stream anew after each turn has arrived; gives the folder of all of it."""
+    root = new_folder(spark, name)
+    rows.withColumn("turn", turn.cast("int")).write.partitionBy("turn").parquet(f"{root}/waiting")
+    path = lambda part: spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{part}")
+    files = path("").getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path("in"))
+    for n in range(turns):
+        if files.exists(path(f"waiting/turn={n}")):
+            files.rename(path(f"waiting/turn={n}"), path(f"in/turn={n}"))
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 16).parquet(f"{root}/in")
+        start(stream, root)
+    return root
+
+
+@query(f"WITH {ALIGNED}, {DAILY_NEWS} SELECT date, n_articles, n_categories, max_calendar_gap_days, {r(*NEWS)} FROM daily_news")
+def stream_daily_news(spark, sf_dir):
+    """The news controls of all events, which arrive in three turns by a hash, so every turn touches every day again."""
+    articles = domain.event_articles(spark, sf_dir).select("url", "category", "published_at", "date", "body_clean")
+    sessions = domain.event_sessions(spark, sf_dir)
+    root = _in_turns(spark, articles, F.pmod(F.xxhash64("url"), F.lit(3)), 3, "daily-news", lambda stream, root: news.upsert_days(news.daily_news_stream(stream, sessions), f"{root}/daily", f"{root}/checkpoint"))
+    return rounded(spark.read.schema("date date, n_articles long, n_categories long, mean_body_len double, after_close_share double, non_trading_share double, max_calendar_gap_days long").parquet(f"{root}/daily"))
+
+
+@query(
+    """WITH a AS (
+      SELECT user_id || '/' || ts::DATE AS url, ts AS moment, event_type IN ('purchase', 'signup') AS ok, event_type AS error FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    t AS (SELECT *, count(*) OVER (PARTITION BY url) AS total, min(moment) FILTER (ok) OVER (PARTITION BY url) AS first_ok FROM a),
+    f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY moment, error) AS i FROM t WHERE NOT ok AND (first_ok IS NULL OR moment < first_ok)),
+    s AS (SELECT url, count(*) AS n, max(moment) FILTER (i <= 3) AS last_at, max_by(error, i) FILTER (i <= 3) AS last_error, max(moment) FILTER (i = 3) AS dead_at FROM f GROUP BY url),
+    u AS (SELECT url, any_value(total) AS total, any_value(first_ok) AS first_ok FROM t GROUP BY url),
+    o AS (
+      SELECT u.url, CASE WHEN coalesce(n, 0) >= 3 THEN 'dead' WHEN first_ok IS NOT NULL THEN 'completed' ELSE 'failed' END AS status, coalesce(n, 0) AS n, total, last_error, last_at, first_ok, dead_at
+      FROM u LEFT JOIN s USING (url)
+    ), x AS (
+      SELECT *, CASE status WHEN 'dead' THEN 3 WHEN 'completed' THEN n + 1 ELSE n END AS attempts, CASE WHEN status = 'failed' THEN last_at + INTERVAL 600 SECOND * (2 ** (n - 1)) END AS retry_at FROM o)
+    SELECT url, status, attempts::BIGINT AS attempts, (total - attempts)::BIGINT AS skipped, last_error, epoch_us(retry_at) AS retry_us, CASE status WHEN 'dead' THEN epoch_us(dead_at) WHEN 'completed' THEN epoch_us(first_ok) END AS done_us,
+      coalesce(retry_at <= (SELECT max(moment) FROM a) - INTERVAL 1 HOUR, false) AS due FROM x"""
+)
+def fetch_ledger(spark, sf_dir):
+    """Events as attempts to fetch a user's page of a day, in three turns by time; purchases and signups succeed."""
+    e = domain.table(spark, sf_dir, "events").where("user_id is not null and ts is not null")
+    at = F.col("ts").cast("timestamp_ntz").cast("timestamp")
+    attempts = e.select(F.concat_ws("/", F.col("user_id").cast("string"), F.col("ts").cast("date").cast("string")).alias("url"), at.alias("at"), F.col("event_type").isin("purchase", "signup").alias("ok"), F.col("event_type").alias("error"))
+    cuts = attempts.agg(F.percentile_approx("at", F.array(F.lit(0.3), F.lit(0.7)), F.lit(1000)).alias("c")).first()["c"] or []
+    turn = sum((F.col("at") > F.lit(c)).cast("int") for c in cuts) if cuts else F.lit(0)
+    root = _in_turns(spark, attempts, turn, 3, "ledger", lambda stream, root: ledger.run(stream, f"{root}/ledger", f"{root}/checkpoint"))
+    micros = lambda c: F.unix_micros(c)
+    return ledger.read(spark, f"{root}/ledger").select("url", "status", "attempts", "skipped", "last_error", micros("retry_at").alias("retry_us"), micros("done_at").alias("done_us"), "due")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volatide.operators.alignment import CLOSE, with_next_sessions
+from volatide.operators.alignment import CLOSE, align, with_next_sessions
 
 
 def article_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 16) -> DataFrame:
@@ -44,3 +44,32 @@ def score_available(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame],
         scorer(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
+def daily_news_stream(articles: DataFrame, sessions: DataFrame, body: str = "body_clean") -> DataFrame:
+    """News controls of the trading days that a micro-batch touches, over all articles so far (update mode).
+
+    State is a row a trading day. Days and reasons are those of the batch alignment, also for articles that only have a date.
+    """
+    aligned = align(articles, sessions).where("trading_date is not null")
+    off = F.col("alignment_reason").isin("non_trading_forward", "date_only_forward")
+    sums = aligned.groupBy(F.col("trading_date").alias("date")).agg(
+        F.count("*").alias("n_articles"),
+        F.size(F.collect_set("category")).cast("long").alias("n_categories"),
+        F.sum(F.length(body)).alias("chars"),
+        F.count(body).alias("bodies"),
+        F.sum("is_after_close").alias("after_close"),
+        F.sum(off.cast("int")).alias("off"),
+        F.max("calendar_gap_days").alias("max_calendar_gap_days"),
+    )
+    share = lambda part, whole: F.col(part) / F.when(F.col(whole) > 0, F.col(whole))
+    return sums.select("date", "n_articles", "n_categories", share("chars", "bodies").alias("mean_body_len"), share("after_close", "n_articles").alias("after_close_share"), share("off", "n_articles").alias("non_trading_share"), "max_calendar_gap_days")
+
+
+def upsert_days(daily: DataFrame, table: str, checkpoint: str) -> None:
+    """Replace the touched days in a table that is partitioned by date; a micro-batch that runs again replaces the same days by the same rows."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(table)
+
+    daily.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
