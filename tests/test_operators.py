@@ -340,7 +340,7 @@ def test_article_pages(spark):
     pages = spark.createDataFrame([("https://cafef.vn/thi-truong-chung-khoan/x-20150103.chn", CAFEF), ("https://cafef.vn/y", "<h1>no body</h1>"), ("https://cafef.vn/z", None)], "url string, html string")
     rows = sites.parse_articles(pages, "cafef").collect()
     assert [tuple(r) for r in rows] == [("https://cafef.vn/thi-truong-chung-khoan/x-20150103.chn", "cafef", "Chứng khoán", "A title", "2015-01-03", "2015-01-03T09:00:00+07:00", "Lead here. One. Two & three.")]
-    with pytest.raises(ValueError, match="Unsupported source"):
+    with pytest.raises(ValueError, match="No selectors"):
         sites.parse_articles(pages, "other")
     xml = "<urlset><url><loc>https://cafef.vn/thi-truong-chung-khoan/a.chn</loc></url><url><loc>https://cafef.vn/doi-song/a.chn</loc></url><url><loc>https://cafef.vn/doanh-nghiep/b.chn</loc></url></urlset>"
     assert sorted(r["url"] for r in sites.sitemap_urls(spark.createDataFrame([(xml,)], "xml string")).collect()) == ["https://cafef.vn/doanh-nghiep/b.chn", "https://cafef.vn/thi-truong-chung-khoan/a.chn"]

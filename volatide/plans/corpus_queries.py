@@ -9,7 +9,8 @@ from volatide.functions import dates, text
 from volatide.operators import checks, classify, corpus, labels, stats
 from volatide.operators.reconcile import reconcile_keys
 from volatide.plans.registry import BLANK, DOCS, INK, NOTES, Registry, norm_sql, r, rounded
-from volatide.sources import domain, providers, sites
+from volatide.sources import archive, domain, providers, sites
+from volatide.storage import new_folder
 
 REGISTRY = query = Registry()
 
@@ -218,6 +219,30 @@ def html_articles_vietstock(spark, sf_dir):
     return sites.parse_articles(site_pages(spark, sf_dir, "vietstock"), "vietstock")
 
 
+def _archive(spark, sf_dir, site: str) -> str:
+    """The site's pages in an archive: a folder a day of January."""
+    folder = new_folder(spark, "pages")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.xxhash64("url"), F.lit(31)).cast("int")).cast("string")
+    archive.write_pages(site_pages(spark, sf_dir, site).withColumn("day", day), folder)
+    archive.register(spark)
+    return folder
+
+
+@query(_site_sql("cafef"))
+def archive_articles(spark, sf_dir):
+    """html_articles_cafef through the data source of stored pages."""
+    return archive.articles(spark.read.format("news_pages").option("site", "cafef").load(_archive(spark, sf_dir, "cafef")), "cafef")
+
+
+@query(_site_sql("vietstock"))
+def archive_stream_articles(spark, sf_dir):
+    """html_articles_vietstock through the stream of stored pages."""
+    folder, out = _archive(spark, sf_dir, "vietstock"), new_folder(spark, "articles")
+    stream = spark.readStream.format("news_pages").option("site", "vietstock").load(folder)
+    archive.articles(stream, "vietstock").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
 @query()
 def html_articles(spark, sf_dir):
     return sites.parse_articles(domain.table(spark, sf_dir, "pages"), "plain", require_date=False)

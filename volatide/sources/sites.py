@@ -6,6 +6,7 @@ chain of simple ones (tag, .class, #id, [attribute=value]), each below the one b
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from volatide.functions.dates import extract_date, five_day_blocks
 from volatide.functions.text import infer_category
+from volatide.storage import cut
 
 # Url keywords and their categories, tried in this order.
 BUSINESS_KEYWORDS = {
@@ -58,6 +60,9 @@ SITES = {
     "plain": {"title": ["h1"], "date_meta": [], "date_text": [".date"], "lead": [], "body": ["article p"]},
 }
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: What ends an open paragraph by beginning, and what a paragraph isn't looked for beyond (as HTML has it).
+ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
+ENCLOSES = frozenset("applet button caption html marquee object table td template th".split())
 _STEP = re.compile(r"([a-zA-Z][\w-]*)?((?:\.[\w-]+|#[\w-]+|\[[\w:-]+=[^\]]+\])*)")
 _PART = re.compile(r"\.([\w-]+)|#([\w-]+)|\[([\w:-]+)=([^\]]+)\]")
 
@@ -68,6 +73,8 @@ class Node:
     attributes: dict[str, str]
     parent: "Node | None" = None
     pieces: list = field(default_factory=list)  # texts and nodes
+    classes: frozenset = frozenset()
+    in_paragraph: bool = False  # below a paragraph that the next block ends
 
     def text(self) -> str:
         out, todo = [], [self]
@@ -87,7 +94,13 @@ class _Tree(HTMLParser):
         self.nodes: list[Node] = []
 
     def handle_starttag(self, tag, attrs):
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.now)
+        if tag in ENDS_PARAGRAPH and self.now.in_paragraph:
+            while self.now.tag != "p":
+                self.now = self.now.parent
+            self.now = self.now.parent
+        attributes = {k: v or "" for k, v in attrs}
+        inside = tag == "p" or (self.now.in_paragraph and tag not in ENCLOSES)
+        node = Node(tag, attributes, self.now, classes=frozenset(attributes.get("class", "").split()), in_paragraph=inside)
         self.now.pieces.append(node)
         self.nodes.append(node)
         if tag not in VOID:
@@ -104,38 +117,44 @@ class _Tree(HTMLParser):
         self.now.pieces.append(data)
 
 
-def _fits(node: Node, simple: str) -> bool:
-    found = _STEP.fullmatch(simple)
-    if not found or (found[1] and node.tag != found[1]):
+@functools.cache
+def _simple(text: str) -> tuple:
+    """(tag, classes, ids, attributes) of a simple selector; None if it isn't one."""
+    found = _STEP.fullmatch(text)
+    parts = _PART.findall(found[2] or "") if found else []
+    return found and (found[1], frozenset(p[0] for p in parts if p[0]), [p[1] for p in parts if p[1]], [(p[2], p[3]) for p in parts if p[2]])
+
+
+@functools.cache
+def _steps(selector: str) -> tuple:
+    """The simple selectors from the last to the first, each with whether the one before it is the parent."""
+    words = selector.replace(">", " > ").split()
+    return tuple((_simple(w), i > 0 and words[i - 1] == ">") for i, w in reversed(list(enumerate(words))) if w != ">")
+
+
+def _fits(node: Node, simple: tuple | None) -> bool:
+    if simple is None:
         return False
-    for name, ident, key, value in _PART.findall(found[2] or ""):
-        if name and name not in node.attributes.get("class", "").split():
-            return False
-        if ident and node.attributes.get("id") != ident:
-            return False
-        if key and node.attributes.get(key) != value:
-            return False
-    return True
+    tag, classes, ids, attributes = simple
+    return (not tag or node.tag == tag) and classes <= node.classes and all(node.attributes.get("id") == i for i in ids) and all(node.attributes.get(k) == v for k, v in attributes)
 
 
 def select(nodes: list[Node], selector: str) -> list[Node]:
     """Nodes in page order that a selector picks."""
-    steps = selector.replace(">", " > ").split()
+    steps = _steps(selector)
 
-    def reaches(node: Node | None, i: int) -> bool:
-        if i < 0:
+    def reaches(node: Node | None, i: int, direct: bool) -> bool:
+        if i == len(steps):
             return True
-        direct = steps[i] == ">"
-        i -= direct
         while node is not None:
-            if _fits(node, steps[i]) and reaches(node.parent, i - 1):
+            if _fits(node, steps[i][0]) and reaches(node.parent, i + 1, steps[i][1]):
                 return True
             if direct:
                 return False
             node = node.parent
         return False
 
-    return [n for n in nodes if _fits(n, steps[-1]) and reaches(n.parent, len(steps) - 2)]
+    return [n for n in nodes if _fits(n, steps[0][0]) and reaches(n.parent, 1, steps[0][1])]
 
 
 def parse(html: str, site: str) -> tuple[str, str, str]:
@@ -155,14 +174,18 @@ def parse(html: str, site: str) -> tuple[str, str, str]:
 def parse_articles(pages: DataFrame, site: str, require_date: bool = True) -> DataFrame:
     """(url, source, category, title, date, published_at, body) of the pages (url, html) that have all parts."""
     if site not in SITES:
-        raise ValueError(f"Unsupported source: {site}")
+        raise ValueError(f"No selectors are known for site {site!r}.")
 
     def run(frames):
         for frame in frames:
             found = [parse(h, site) for h in frame["html"]]
             yield pd.DataFrame({"url": frame["url"], "title": [f[0] for f in found], "date_text": [f[1] for f in found], "body": [f[2] for f in found]})
 
-    raw = pages.select("url", "html").mapInPandas(run, "url string, title string, date_text string, body string")
+    return as_articles(pages.select("url", "html").mapInPandas(run, "url string, title string, date_text string, body string"), site, require_date)
+
+
+def as_articles(raw: DataFrame, site: str, require_date: bool = True) -> DataFrame:
+    """Articles of the parts (url, title, date_text, body) that were found in pages."""
     out = raw.withColumn("day", extract_date(F.col("date_text"))).where((F.col("title") != "") & (F.col("body") != ""))
     if require_date:
         out = out.where(F.col("day").isNotNull())
@@ -184,10 +207,39 @@ def sitemap_blocks(spans: DataFrame, start: str, end: str, base: str) -> DataFra
     return blocks.withColumn("sitemap_url", F.concat_ws("-", F.lit(f"{base}/sitemaps/sitemaps"), F.year(b), F.month(b), F.dayofmonth(b), F.concat(F.dayofmonth(e).cast("string"), F.lit(".xml"))))
 
 
+#: A sitemap, or an index of sitemaps, as the XML reader sees it.
+SITEMAP = "url array<struct<loc string, lastmod string>>, sitemap array<struct<loc string>>, broken string"
+
+
+def read_sitemaps(files: DataFrame, xml: str = "xml") -> DataFrame:
+    """Add urls (of articles, trimmed), children (other sitemaps) and broken (files that aren't XML; they list nothing).
+
+    Namespaces with and without a prefix, CDATA and character references are the XML reader's.
+    """
+    options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}
+    # A prefix is a namespace's own business, but the reader keeps it in names.
+    plain = F.regexp_replace(F.col(xml), r"(</?)[A-Za-z_][\w.-]*:(urlset|sitemapindex|url|sitemap|loc|lastmod)\b", "$1$2")
+    found = files.withColumn("__found", F.from_xml(plain, SITEMAP, options))
+    listed = lambda part: F.filter(F.transform(F.coalesce(part, F.array()), lambda x: F.trim(F.regexp_replace(x["loc"], r"^\s+|\s+$", ""))), lambda u: u != "")
+    return found.withColumns({"urls": listed(F.col("__found.url")), "children": listed(F.col("__found.sitemap")), "broken": F.col("__found.broken").isNotNull() | F.col(xml).isNull()}).drop("__found")
+
+
+def reachable_sitemaps(files: DataFrame, roots: list[str]) -> DataFrame:
+    """The rows of files (sitemap_url, xml) that the roots lead to through indexes of any depth, each once, read."""
+    read = cut(read_sitemaps(files.dropDuplicates(["sitemap_url"])))
+    near = files.sparkSession.createDataFrame([(r,) for r in dict.fromkeys(roots)], "sitemap_url string")
+    seen = near
+    while True:
+        beyond = read.join(near, "sitemap_url").select(F.explode("children").alias("sitemap_url")).distinct()
+        near = cut(beyond.join(seen, "sitemap_url", "left_anti"))
+        if near.isEmpty():
+            return read.join(seen, "sitemap_url")
+        seen = cut(seen.union(near))
+
+
 def sitemap_urls(files: DataFrame, xml: str = "xml", suffix: str = ".chn") -> DataFrame:
     """Distinct article urls of sitemap files that hold a business keyword."""
-    locs = F.regexp_extract_all(F.col(xml), F.lit(r"<(?:\w+:)?loc>\s*([^<]*?)\s*</"), F.lit(1))
-    urls = files.select(F.explode(locs).alias("url"))
+    urls = read_sitemaps(files, xml).select(F.explode("urls").alias("url"))
     wanted = F.lit(False)
     for key in BUSINESS_KEYWORDS:
         wanted = wanted | F.col("url").contains(key)
