@@ -104,3 +104,13 @@ def test_features_approximate_a_gaussian_kernel():
     waves = lambda x: model.features(x)[:, : quality.FEATURES]
     kernel = np.exp(-((a - b) ** 2).sum(1) * quality.WIDTH**2 / d / 2)
     assert np.abs((waves(a) * waves(b)).sum(1) - kernel).mean() < 0.06
+
+
+def test_the_order_of_rows_that_share_an_id_changes_nothing(spark):
+    rows = [(i, f"{'fine words in a row ' * (i % 7 + 1)}{kind}", None) for i in range(200) for kind in ("one.", "&&& two ***")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    weights = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string")
+        weights.append(quality.learn(docs, labels).weights)
+    assert np.allclose(*weights, rtol=1e-6, atol=1e-9)

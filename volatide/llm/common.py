@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from volatide.storage import cut, new_folder, shared_folder  # noqa: F401
+
 #: The words of every contract: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,30 +18,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 50_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's folder below the one that the cluster names in spark.checkpoint.dir.
-
-    The setting is read from the session. Where it is unset, a temporary folder is used if driver and workers are one
-    process (local masters: tests, a laptop); a cluster without a shared folder is an error.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not re.fullmatch(r"local(\[[^\[\]]*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir names no shared folder, which operators need on a cluster")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="volatide-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder.
-
-    Checkpoint files go when Spark's cleaner finds the frame unused, if the cluster enables that.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def checked_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The frame with a broadcast hint if it has at most `limit` rows (counted), else as it is."""
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small

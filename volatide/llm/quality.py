@@ -12,7 +12,7 @@ are more; they are summed in FIT_PARTITIONS partitions. Statistics and scores co
 
 Defined results: null and empty texts have the statistics of an empty text and get a score like any other; a
 document's score depends on its text alone, so repeated rows tie; a document that is labelled twice trains with the
-mean label; labels that are null are ignored; without labels of both classes every score is the mean label (0.5
+mean label; an id that has several texts trains with the one whose hash is least, in whatever order rows come; labels that are null are ignored; without labels of both classes every score is the mean label (0.5
 without labels); an empty table gives an empty table; extra columns are ignored (`annotate` keeps them, but replaces
 one with the name of its score).
 """
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volatide.llm.common import add_columns, cut, slices
+from volatide.llm.common import add_columns, checked_broadcast, cut, slices
 
 STATISTICS = (
     "log_bytes", "log_words", "word_bytes", "distinct_words", "repeated_neighbours", "pipes", "upper", "digits", "exclamations",
@@ -40,6 +40,8 @@ WIDTH = 0.9
 FOLDS = 4
 FIT_PARTITIONS = 8
 TAIL_WORDS = 400
+#: Rows that a worker turns into matrices at once; texts are parsed one by one.
+TOGETHER = 256
 
 _CLASS = np.zeros(256, np.int64)
 for _i, _chars in enumerate((b"|", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!", b"&%$#*~^=+_", b".?", b",;:", b"\n", b"()[]{}<>", b"\"'`", b"@", b"/\\", b"abcdefghijklmnopqrstuvwxyz"), 1):
@@ -69,14 +71,14 @@ def statistics(text: str | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, stats) of every row."""
+    """(doc_id, label, order, stats) of every row of (doc_id, label, text); `order` is a hash of the text."""
 
     def run(batches):
-        for batch in slices(batches, 1024):
-            found = pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["doc_id", "stats"])
+        for batch in slices(batches, TOGETHER):
+            found = pa.array([statistics(t.as_py()) for t in batch.column(3)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), found], ["doc_id", "label", "order", "stats"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, stats array<double>")
+    return docs.select("doc_id", "label", F.xxhash64("text"), "text").mapInArrow(run, "doc_id long, label double, order long, stats array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -145,7 +147,7 @@ def fit(labelled: DataFrame) -> Model:
 
     def summed(batches):
         total = np.zeros((FOLDS, size, size + 1))
-        for batch in batches:
+        for batch in slices(batches, TOGETHER):
             x, y, f = model.features(_matrix(batch.column(0))), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for k in range(FOLDS):
                 part = x[f == k]
@@ -163,7 +165,7 @@ def fit(labelled: DataFrame) -> Model:
     without = [solve(total.sum(0) - total[k]) for k in range(FOLDS)]
 
     def left_out(batches):
-        for batch in batches:
+        for batch in slices(batches, TOGETHER):
             x, f = model.features(_matrix(batch.column(0))), batch.column(2).to_numpy()
             raw = np.choose(f, [x @ w for w in without]) if len(f) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([pa.array(raw), batch.column(1)], ["raw", "label"])
@@ -181,17 +183,19 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     if n > max_rows:  # the hash picks documents and labels alike, so other texts aren't looked at
         picked = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(2**32)) < int(max_rows / n * 2**32)
         clean, rows = clean.where(picked), rows.where(picked)
-    return fit(cut(with_statistics(rows).join(clean, "doc_id").dropDuplicates(["doc_id"])))
+    # Only labelled texts are parsed; of an id's texts the one with the least hash trains.
+    parsed = with_statistics(rows.join(checked_broadcast(clean), "doc_id"))
+    return fit(cut(parsed.groupBy("doc_id").agg(F.min_by(F.struct("stats", "label"), "order").alias("r")).select("doc_id", "r.stats", "r.label")))
 
 
 def annotate(docs: DataFrame, model: Model, score: str = "score", text: str = "text") -> DataFrame:
     """Add `score` to every row, in one pass over the whole texts."""
 
     def make(batch):
-        found = np.array([statistics(t) for t in batch.column(text).to_pylist()]).reshape(-1, len(STATISTICS))
+        found = np.array([statistics(t.as_py()) for t in batch.column(text)]).reshape(-1, len(STATISTICS))
         return [pa.array(model.score(found))]
 
-    return add_columns(docs, [T.StructField(score, T.DoubleType())], make, 512)
+    return add_columns(docs, [T.StructField(score, T.DoubleType())], make, TOGETHER)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 20_000) -> DataFrame:
