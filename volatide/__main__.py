@@ -17,13 +17,15 @@ from volatide.operators import checks, classify, corpus, frame, garch, labels, r
 from volatide.operators.sentiment import daily_sentiment
 from volatide.operators.volatility import canonical_prices, log_returns
 from volatide.plans import flows
+from volatide.schemas import SCORES
 from volatide.sources import files
+from volatide.streaming.news import article_stream, score_available
 
 OPTIONS = {
     "min_body_len": 100, "max_body_chars": 300, "min_tokens": 5, "max_tokens": 220, "sample_size": 6000, "seed": 42, "train_ratio": 0.8, "val_ratio": 0.0,
     "confidence": 0.8, "threshold": 0.05, "target_type": "parkinson", "sequence_length": 15, "train_end": "2021-12-31", "val_end": "2023-12-31", "epochs": 30,
     "train_rows": 1000, "every": 21, "how": "left", "max_date": None, "limit": 0, "batch_size": 20, "prompt_version": "v1", "features": 1 << 16, "rounds": 30,
-    "bins": 50, "corpus_chars": 1200,
+    "bins": 50, "corpus_chars": 1200, "site": "cafef", "start": None, "end": None, "batch_files": 16,
 }
 
 
@@ -52,6 +54,10 @@ def preprocess(spark, a):
     print(json.dumps(flows.export_preprocessed(_news(spark, a.news), _prices(spark, a.prices), a.output, a.min_body_len)))
 
 
+def ingest(spark, a):
+    print(json.dumps(flows.ingest(spark, a.pages, a.site, a.output, a.start, a.end, a.limit or None, a.discover_only)))
+
+
 def prepare_inputs(spark, a):
     articles = _in(spark, a.articles).withColumn("body_text", F.col("body_clean")).withColumn("article_id", F.col("url"))
     _out(_head(corpus.prepare_inputs(articles, a.max_body_chars, a.min_tokens, a.max_tokens).drop("body_text", "body_clean"), a.limit, "article_id"), a.output)
@@ -84,8 +90,14 @@ def train(spark, a):
 
 
 def infer(spark, a):
-    scored = classify.predict(classify.validate_checkpoint(a.model), _in(spark, a.inputs))
-    _out(scored.select("url", "trading_date", "category", "sentiment_score", "sentiment_label", "prob_positive", "prob_negative", "prob_neutral"), a.output)
+    """With a checkpoint: what has arrived in the inputs' folder since the last run, `batch_files` files at a time."""
+    model = classify.validate_checkpoint(a.model)
+    score = lambda df: classify.predict(model, df).select(*SCORES)
+    if not a.checkpoint:
+        _out(score(_in(spark, a.inputs)), a.output)
+        return
+    inputs = article_stream(spark, a.inputs, spark.read.parquet(a.inputs).schema, a.batch_files)
+    score_available(inputs, score, a.output, a.checkpoint)
 
 
 def merge_scores(spark, a):
@@ -182,6 +194,7 @@ def repair_csv(spark, a):
 
 # Command -> (function, required inputs, optional inputs, options).
 COMMANDS = {
+    "ingest": (ingest, ["pages"], [], ["site", "start", "end", "limit"]),
     "preprocess": (preprocess, ["news", "prices"], [], ["min_body_len"]),
     "prepare-inputs": (prepare_inputs, ["articles"], [], ["max_body_chars", "min_tokens", "max_tokens", "limit"]),
     "prepare-training": (prepare_training, ["articles"], ["extra"], ["max_date", "corpus_chars"]),
@@ -189,7 +202,7 @@ COMMANDS = {
     "merge-annotations": (merge_annotations, ["corpus", "annotations"], ["reviewed"], ["confidence", "train_ratio", "val_ratio"]),
     "bootstrap-labels": (bootstrap, ["corpus", "models"], [], ["limit", "batch_size", "prompt_version"]),
     "train": (train, ["labeled"], [], ["features", "rounds"]),
-    "infer": (infer, ["inputs", "model"], [], []),
+    "infer": (infer, ["inputs", "model"], ["checkpoint"], ["batch_files"]),
     "merge-scores": (merge_scores, ["articles", "scores"], [], ["how"]),
     "daily-sentiment": (daily, ["scores"], ["articles"], ["threshold"]),
     "validate": (validate, ["articles", "scores"], ["prices"], []),
@@ -236,6 +249,8 @@ def parser(defaults: dict | None = None) -> argparse.ArgumentParser:
             one.add_argument("--output", required=True)
         if name == "sample":
             one.add_argument("--source-balance", action="store_true")
+        if name == "ingest":
+            one.add_argument("--discover-only", action="store_true")
         if name == "pipeline":
             one.add_argument("--mode", choices=flows.MODES, required=True)
         if name in ("validate", "pipeline"):

@@ -13,7 +13,9 @@ def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     names = df.columns
     ranked = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     rest = F.struct(*[F.col(f"`{c}`") for c in names])
-    return df.groupBy(*keys).agg(F.min_by(rest, ranked).alias("__kept")).select("__kept.*").select(*names)
+    # The keys are the group's own, so that what comes after knows how rows are dealt.
+    kept = df.groupBy(*keys).agg(F.min_by(rest, ranked).alias("__kept"))
+    return kept.select(*[F.col(f"`{c}`") if c in keys else F.col(f"__kept.`{c}`").alias(c) for c in names])
 
 
 def title_dedupe(df: DataFrame, source_order: list[str]) -> DataFrame:
@@ -50,3 +52,25 @@ def reconcile_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
 def not_done(urls: DataFrame, ledger: DataFrame, states: tuple[str, ...] = ("completed",)) -> DataFrame:
     """Urls that the ledger (url, status) doesn't list as done."""
     return urls.join(ledger.where(F.col("status").isin(*states)).select("url"), "url", "left_anti")
+
+
+#: Buckets of tables whose keys are joined again and again.
+BUCKETS = 64
+
+
+def write_bucketed(df: DataFrame, table: str, path: str | None = None, keys: tuple[str, ...] = KEYS, buckets: int = BUCKETS) -> DataFrame:
+    """Save the frame as a table that is dealt into buckets by its keys and sorted in them; gives the table.
+
+    Deduplication, merging and reconciliation of two such tables with the same number of buckets shuffle nothing.
+    """
+    writer = df.repartition(buckets, *keys).write.format("parquet").mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def reconcile_bucketed(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """`reconcile_keys` of bucketed tables: an outer join of the distinct keys inside buckets; only counts are shuffled."""
+    sides = [df.select(*keys).distinct().withColumn(name, F.lit(1)) for df, name in ((left, "l"), (right, "r"))]
+    both = sides[0].join(sides[1], keys, "full")
+    kind = F.when(F.col("l").isNotNull() & F.col("r").isNotNull(), "both").when(F.col("l").isNotNull(), "left_only").otherwise("right_only")
+    return both.groupBy(kind.alias("merge")).agg(F.count("*").alias("n"))

@@ -11,8 +11,8 @@ from volatide.operators import alignment, checks, classify, corpus, frame, garch
 from volatide.operators.sentiment import daily_sentiment
 from volatide.operators.volatility import log_returns
 from volatide.schemas import ARTICLES_CLEAN, DAILY_NEWS_PRICES, SCORES
-from volatide.sources import files
-from volatide.storage import cut
+from volatide.sources import archive, files
+from volatide.storage import cut, delete, new_folder
 
 
 def preprocess(news: DataFrame, prices: DataFrame, min_body: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -27,10 +27,18 @@ def preprocess(news: DataFrame, prices: DataFrame, min_body: int = 100) -> tuple
 
 
 def export_preprocessed(news: DataFrame, prices: DataFrame, folder: str, min_body: int = 100) -> dict:
-    articles, daily, report = preprocess(news, prices, min_body)
-    files.write_parquet(articles, f"{folder}/articles_clean.parquet")
-    files.write_parquet(daily, f"{folder}/daily_news_prices.parquet")
-    return files.write_report(report, f"{folder}/report.json")
+    """Write both tables and the report, whose counts are taken in the passes that write; the news is read once."""
+    body = clean_body(F.col("body"))
+    timed = news.withColumns({"body_clean": body, "body_len": F.length(body), "__raw": F.col("published_at"), "published_at": market_timestamp(F.col("published_at")), "date": F.to_date(F.try_to_timestamp("date"))})
+    columns = [F.col("__raw").alias(c) if c == "published_at" else F.col(c) for c in ARTICLES_CLEAN]
+    report = alignment.write_aligned(timed, log_returns(prices), f"{folder}/articles_clean.parquet", f"{folder}/daily_news_prices.parquet", F.col("body_len") >= min_body, columns, days=DAILY_NEWS_PRICES)
+    rows = spark_row(news.sparkSession, report)
+    return files.write_report(rows, f"{folder}/report.json")
+
+
+def spark_row(spark, values: dict) -> DataFrame:
+    """One row of named numbers."""
+    return spark.createDataFrame([values], ", ".join(f"{k} {'double' if isinstance(v, float) else 'long'}" for k, v in values.items()))
 
 
 def train(corpus_df: DataFrame, annotations: DataFrame, reviewed: DataFrame | None = None, threshold: float = 0.8, train_share: float = 0.8):
@@ -52,6 +60,51 @@ def infer(articles: DataFrame, prices: DataFrame, daily: DataFrame, model, fail:
     return with_scores, validation, frame.model_frame(prices, daily, scored)
 
 
+LEDGER = "url string, status string"
+
+
+def ingest(spark, pages: str, site: str, output: str, start: str | None = None, end: str | None = None, limit: int | None = None, discover_only: bool = False, require_date: bool = True) -> dict[str, int]:
+    """Articles of an archive of stored pages, with a ledger, resumable; gives the counts of this run.
+
+    A micro-batch's articles and then its part of the ledger are written under its number, so a run that was stopped goes on
+    with the next batch and one that runs again replaces its own. Urls that the ledger lists as completed are skipped; an article
+    outside `start` to `end` (ISO dates) is completed without being kept; a page without an article has failed.
+    `discover_only` counts urls; `limit` takes the first files of the archive.
+    """
+    archive.register(spark)
+    options = {"site": site} | ({"limit": str(limit)} if limit else {})
+    if discover_only:
+        return {"discovered_urls": spark.read.format("news_pages").options(**options).load(pages).select("url").distinct().count()}
+    counts = dict.fromkeys(("discovered_urls", "parsed_articles", "skipped_duplicates", "date_filter_skips", "failed_pages"), 0)
+    folder = new_folder(spark, "ingest")
+
+    def write(batch: DataFrame, number: int) -> None:
+        part = f"batch={number}"
+        batch.dropDuplicates(["url"]).write.mode("overwrite").parquet(f"{folder}/{part}")  # parsed once
+        raw = spark.read.schema(archive.PAGES).parquet(f"{folder}/{part}")
+        listed = spark.createDataFrame([], LEDGER)
+        if files.exists(spark, f"{output}/ledger"):
+            listed = spark.read.schema(f"{LEDGER}, batch int").parquet(f"{output}/ledger").where(F.col("batch") != number)
+        fresh = reconcile.not_done(raw, listed)
+        found = archive.articles(fresh, site, require_date)
+        kept = found
+        if start or end:
+            kept = found.where(F.col("date").between(start or "0001-01-01", end or "9999-12-31"))
+        kept.write.mode("overwrite").parquet(f"{output}/articles/{part}")
+        status = fresh.select("url").join(found.select("url", F.lit("completed").alias("status")), "url", "left").fillna({"status": "failed"})
+        status.write.mode("overwrite").parquet(f"{output}/ledger/{part}")
+        mine, rows = spark.read.schema(LEDGER).parquet(f"{output}/ledger/{part}"), spark.read.schema("url string").parquet(f"{output}/articles/{part}").count()
+        by = {r["status"]: r["n"] for r in mine.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        total, parsed = raw.count(), by.get("completed", 0)
+        for name, n in zip(counts, (total, rows, total - sum(by.values()), parsed - rows, by.get("failed", 0)), strict=True):
+            counts[name] += n
+        delete(spark, f"{folder}/{part}")
+
+    stream = spark.readStream.format("news_pages").options(**options).load(pages)
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{output}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return counts
+
+
 MODES = ("train", "infer", "full")
 
 

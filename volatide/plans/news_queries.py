@@ -94,6 +94,20 @@ def preprocessing_diagnostics(spark, sf_dir):
     return rounded(alignment.diagnostics(domain.line_articles(spark, sf_dir), aligned, daily))
 
 
+@query(
+    f"""WITH {ALIGNED}, {DAILY_NEWS} SELECT (SELECT count(*) FROM articles)::BIGINT AS raw_rows, count(*)::BIGINT AS clean_rows, count(trading_date)::BIGINT AS mapped_rows, (count(*) - count(trading_date))::BIGINT AS unmapped_rows,
+      {r('avg(has_timestamp::DOUBLE) timestamp_share')}, sum((alignment_reason = 'after_close_forward')::INTEGER)::BIGINT AS after_close_rows,
+      sum((alignment_reason IN ('non_trading_forward', 'date_only_forward'))::INTEGER)::BIGINT AS non_trading_rows,
+      (SELECT count(*) FROM sessions)::BIGINT AS trading_days, (SELECT count(*) FROM sessions WHERE d NOT IN (SELECT date FROM daily_news))::BIGINT AS zero_news_days FROM aligned"""
+)
+def observed_diagnostics(spark, sf_dir):
+    """The report of a run that writes its articles and days: all counts come from the passes that write."""
+    folder = new_folder(spark, "preprocessed")
+    prices = domain.event_sessions(spark, sf_dir).select("date")
+    report = alignment.write_aligned(domain.event_articles(spark, sf_dir), prices, f"{folder}/articles", f"{folder}/daily")
+    return rounded(spark.createDataFrame([report], "raw_rows long, clean_rows long, mapped_rows long, unmapped_rows long, timestamp_share double, after_close_rows long, non_trading_rows long, trading_days long, zero_news_days long"))
+
+
 @query(f"WITH {LINES}, {DAILY_NEWS}, p AS (SELECT coalesce(n_articles, 0) AS n FROM bars LEFT JOIN daily_news USING (date)) SELECT {r('avg(n) mean', 'stddev_samp(n) std', 'min(n)::DOUBLE min', 'max(n)::DOUBLE max', 'avg((n = 0)::INTEGER::DOUBLE) zero_share')} FROM p")
 def news_volume_stats(spark, sf_dir):
     return rounded(stats.news_volume(alignment.news_prices(bars(spark, sf_dir), alignment.daily_news(aligned_lines(spark, sf_dir)))))
@@ -367,6 +381,37 @@ def key_reconciliation(spark, sf_dir):
     return reconcile.reconcile_keys(_articles(spark, sf_dir), s, ["url", "trading_date"])
 
 
+@query(f"WITH {EVENTS} SELECT url, category, date FROM articles ORDER BY date DESC, url LIMIT 50")
+def latest_articles(spark, sf_dir):
+    """A report of the first 50 articles, latest days first."""
+    return domain.event_articles(spark, sf_dir).select("url", "category", "date").orderBy(F.desc("date"), "url").limit(50)
+
+
+def _bucketed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    s = domain.scores(spark, sf_dir).where(F.col("l_suppkey") % 5 != 0).select("url", "trading_date", "category", "sentiment_score", F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    folder = new_folder(spark, "bucketed")
+    name = folder.rsplit("-", 1)[-1]
+    return reconcile.write_bucketed(_articles(spark, sf_dir), f"articles_{name}", f"{folder}/articles"), reconcile.write_bucketed(s, f"scores_{name}", f"{folder}/scores")
+
+
+@query(f"WITH {PAIRS} SELECT {SHOWN} FROM a LEFT JOIN s USING (url, trading_date)")
+def merge_articles_sentiment_bucketed(spark, sf_dir):
+    """The left merge of tables that are bucketed by its keys."""
+    articles, scores = _bucketed(spark, sf_dir)
+    first = [F.col("l_partkey"), F.col("l_suppkey"), F.col("category"), F.col("source")]
+    last = [-F.col("p"), -F.col("s"), F.col("category"), F.col("sentiment_score")]
+    out = reconcile.merge_scores(articles, scores, "left", first, last)
+    return rounded(out.select("url", "trading_date", "source", "category", "category_sentiment", "sentiment_score"))
+
+
+@query(
+    f"""WITH {PAIRS} SELECT CASE WHEN a.x IS NOT NULL AND s.x IS NOT NULL THEN 'both' WHEN a.x IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS merge, count(*)::BIGINT AS n
+    FROM a FULL JOIN s USING (url, trading_date) GROUP BY 1"""
+)
+def key_reconciliation_bucketed(spark, sf_dir):
+    return reconcile.reconcile_bucketed(*_bucketed(spark, sf_dir), ["url", "trading_date"])
+
+
 ORDERED = "ORDER BY l_partkey, l_suppkey, l_returnflag, l_extendedprice, l_quantity"
 
 

@@ -7,7 +7,8 @@ An archive is a folder of Parquet files with the columns url and html, a folder
     spark.read.format("news_pages").option("site", "cafef").load(folder).where("day >= '2024-01-01'")
 
 Every file is a partition of its own, parsed by the task that reads it. Ranges of `day` reach the reader (register() lets
-filters through); options `start` and `end` do the same, also for streams. A stream takes
+filters through); options `start` and `end` do the same, also for streams,
+and `limit` takes the first files only (to try things out). A stream takes
 the files in the order of their paths; its offset is the last path taken, so days and files are only appended.
 
 Pages without a title or body give no row (nor without a date, unless `require_date` is false); null pages too.
@@ -65,7 +66,8 @@ class _Archive:
             day = _DAY.search(info.path)
             if info.is_file and info.path.endswith(".parquet") and day and self.low <= day[1] <= self.high:
                 found.append(PageFile(info.path, day[1]))
-        return sorted(found, key=lambda f: f.path)
+        limit = int(self.options.get("limit", 0))
+        return sorted(found, key=lambda f: f.path)[: limit or None]
 
     def read(self, partition: PageFile) -> Iterator[pa.RecordBatch]:
         store, _ = self._store()

@@ -12,14 +12,14 @@ from volatide.operators.volatility import canonical_prices, log_returns
 from volatide.schemas import RAW_NEWS, VENDOR_PRICES, conform, strings
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """Parquet or CSV by suffix."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     kind = os.path.splitext(path.rstrip("/"))[1]
     if kind == ".parquet":
