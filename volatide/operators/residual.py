@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import pickle
 from dataclasses import dataclass, field
 
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from volatide.operators import garch
+from volatide.operators.network import Network, sum_over_tasks
 from volatide.operators.recurrence import numbered
 from volatide.operators.stats import error_metrics
 from volatide.storage import cut
@@ -45,7 +45,7 @@ def sequences(df: DataFrame, features: list[str], length: int, span: int = SPAN)
     return out.drop("__i", "__in")
 
 
-class LSTM:
+class LSTM(Network):
     """One LSTM layer, a rectified layer and a linear output, trained by Adam with early stopping, in numpy."""
 
     def __init__(self, inputs: int, hidden: int = 32, dense: int = 16, seed: int = 0):
@@ -86,46 +86,8 @@ class LSTM:
             dh, dc = dz @ self.w["h"].T, dc * f
         return float(((out - y) ** 2).mean()), g
 
-    def train(self, x, y, vx, vy, epochs: int = 30, batch: int = 32, rate: float = 1e-3, patience: int = 5, seed: int = 0, summed=None, worker: int = 0, workers: int = 1) -> list[float]:
-        """Losses of the epochs, on the validation rows where there are any.
-
-        With several workers each has its own rows and takes its share of every batch; `summed` adds up an array of
-        numbers over all of them, so that all make the same steps.
-        """
-        summed = summed or (lambda numbers: numbers)
-        most = int(summed(np.eye(workers)[worker] * len(x)).max())
-        share = max(1, batch // workers)
-        rng = np.random.default_rng(seed if workers == 1 else [seed, worker])
-        names, sizes = list(self.w), np.cumsum([0, *(w.size for w in self.w.values())])
-        first, second = (np.zeros(sizes[-1]) for _ in range(2))
-        kept, best, waited, step, losses = {k: v.copy() for k, v in self.w.items()}, np.inf, 0, 0, []
-        has_val = summed(np.array([float(len(vx))]))[0] > 0
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for at in range(0, most, share):
-                step += 1
-                own = order[at : at + share]
-                total = np.zeros(sizes[-1] + 1)
-                if len(own):
-                    _, g = self.gradient(x[own], y[own])
-                    total = np.append(np.concatenate([g[k].ravel() for k in names]), 1.0) * len(own)
-                total = summed(total)
-                g = total[:-1] / total[-1]
-                first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g**2
-                change = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-                for i, k in enumerate(names):
-                    self.w[k] = self.w[k] - change[sizes[i] : sizes[i + 1]].reshape(self.w[k].shape)
-            a, b = (vx, vy) if has_val else (x, y)
-            total = summed(np.array([((self.forward(a)[0] - b) ** 2).sum() if len(a) else 0.0, len(a)]))
-            losses.append(float(total[0] / total[1]))
-            if losses[-1] < best - 1e-12:
-                best, waited, kept = losses[-1], 0, {k: v.copy() for k, v in self.w.items()}
-            else:
-                waited += 1
-                if waited >= patience:
-                    break
-        self.w = kept
-        return losses
+    def loss(self, x: np.ndarray, y: np.ndarray) -> float:
+        return float(((self.forward(x)[0] - y) ** 2).sum()) if len(x) else 0.0
 
 
 class Learned:
@@ -157,12 +119,6 @@ def _windows(column: pd.Series) -> np.ndarray:
     return np.stack([np.stack(w) for w in column]).astype(float)
 
 
-def _sum_over_tasks(numbers: np.ndarray) -> np.ndarray:
-    """The sum of an array over the tasks of a barrier stage, in the same order everywhere."""
-    said = BarrierTaskContext.get().allGather(base64.b64encode(np.asarray(numbers, float).tobytes()).decode())
-    return np.sum([np.frombuffer(base64.b64decode(x)) for x in said], axis=0)
-
-
 def learn_in_parallel(windows: DataFrame, target: str = "hybrid_residual_target", epochs: int = 30, workers: int = 4) -> DataFrame:
     """(model, losses), one row: a network whose rows are spread over the `workers` tasks of a barrier stage, which exchange gradients.
 
@@ -179,7 +135,7 @@ def learn_in_parallel(windows: DataFrame, target: str = "hybrid_residual_target"
         empty = np.zeros((0, *map(int, shape[0].split("x"))))
         frame = frame.sort_values("date")
         x = _windows(frame["window"]) if len(frame) else empty
-        learned = Learned(x, frame[target].to_numpy(float), frame["split"].to_numpy(), epochs, _sum_over_tasks, context.partitionId(), workers)
+        learned = Learned(x, frame[target].to_numpy(float), frame["split"].to_numpy(), epochs, sum_over_tasks, context.partitionId(), workers)
         if context.partitionId() == 0:
             yield pd.DataFrame({"model": [pickle.dumps(learned)], "losses": [learned.losses]})
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volatide.functions import dates, text
-from volatide.operators import checks, classify, corpus, labels, stats
+from volatide.operators import checks, classify, corpus, encoder, labels, stats
 from volatide.operators.reconcile import reconcile_keys
 from volatide.plans.registry import BLANK, DOCS, INK, NOTES, Registry, norm_sql, r, rounded
 from volatide.sources import archive, domain, providers, sites
@@ -425,6 +425,14 @@ def text_classifier(spark, sf_dir):
     return classify.predict(model, rows).select("article_id", "split", "label", "sentiment_label", "sentiment_score", "prob_negative", "prob_neutral", "prob_positive")
 
 
+@query()
+def encoder_classifier(spark, sf_dir):
+    """The same labels by sub-word embeddings with attention."""
+    rows = merged(spark, sf_dir)
+    model = encoder.train(rows, workers=2)
+    return encoder.predict(model, rows).select("article_id", "split", "label", "sentiment_label", "sentiment_score", "prob_negative", "prob_neutral", "prob_positive")
+
+
 # --- language-model labelling ---------------------------------------------------------------------------------
 
 
