@@ -12,7 +12,7 @@ amount of text (a shard for SHARD_BYTES of it), so that a blob stays small howev
 
 What a shard found is written in foreachBatch, under the batch's number, and the batch's documents are read again: lines
 that pass a bitmap of fixed size (BITS; when it fills up more lines pass, and results stay the same) join the found
-digests, and what a document loses is left out of it. Nothing that grows with the input is broadcast by this module,
+digests, and what a document loses is left out of it. Nothing that grows with the input is broadcast,
 collected, or dealt to one task.
 
 Defined results: null and empty texts are one empty line; trailing empty lines count; each row is a document of its own,
@@ -221,10 +221,11 @@ def _likely_lines(bitmap: np.ndarray, min_chars: int):
 def _without_lines(docs: DataFrame, found: DataFrame, min_chars: int) -> DataFrame:
     """The documents without the lines whose digests were found."""
     likely = docs.select("row", "text").mapInArrow(_likely_lines(_bitmap(found), min_chars), "row long, at int, digest binary")
-    away = likely.join(found.select("digest"), "digest").groupBy("row").agg(F.collect_list("at").alias("away"))
+    # Merge joins by hint: otherwise Spark broadcasts a side that happens to be small.
+    away = likely.join(found.select("digest").hint("merge"), "digest").groupBy("row").agg(F.collect_list("at").alias("away"))
     lines, places = F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda n: F.sequence(F.lit(0), n - 1)
     left = F.transform(F.array_except(places(F.size(lines)), F.col("away")), lambda i: F.get(lines, i))
-    return docs.join(away, "row", "left").select(
+    return docs.join(away.hint("merge"), "row", "left").select(
         "doc_id",
         "batch",
         F.size(lines).cast("long").alias("n_all"),
