@@ -217,13 +217,35 @@ def test_gradients_match_differences():
 
 
 def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
-    monkeypatch.setattr(lm, "SHARD_DOCS", 64)
+    monkeypatch.setattr(lm, "SHARD_POSITIONS", 1500)
+    monkeypatch.setattr(lm, "PIECE", 37)
+    monkeypatch.setattr(lm, "STRETCH", 101)
     df = spark.createDataFrame(lm_rows(np.random.default_rng(9)), "doc_id long, text string, n_tokens int")
     key = lambda r: r["doc_id"]
     two, nine = (sorted(lm.score(df.repartition(n)).collect(), key=key) for n in (2, 9))
     assert all(abs(a["mean_log_probability"] - b["mean_log_probability"]) < 1e-4 for a, b in zip(two, nine, strict=True))
 
 
+def test_pieces_hold_every_position_between_its_sides(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", 10)
+    rng = np.random.default_rng(3)
+    texts = {i: rng.integers(0, lm.CODES, n).astype(np.uint16) for i, n in enumerate([0, 1, 9, 10, 11, 12, 20, 21, 305])}
+    df = spark.createDataFrame([(i, len(c), bytearray(c.tobytes())) for i, c in texts.items()], "doc_id long, n long, codes binary")
+    rows = lm.pieces(df).toArrow()
+    cuts = [p for group in lm._together(rows.to_batches()) for p in group]
+    assert sum(many for _, many, _ in cuts) == sum(map(len, texts.values())) and len(set(rows.column("h").to_pylist())) == rows.num_rows
+    got = sorted((int(t), *w) for skip, many, codes in cuts for t, w in zip(codes[skip : skip + many], lm.Network.windows(codes)[skip : skip + many].tolist(), strict=True))
+    assert got == sorted((int(t), *w) for c in texts.values() for t, w in zip(c, lm.Network.windows(c).tolist(), strict=True))
+    shards = [0] * 4
+    monkeypatch.setattr(lm, "TOGETHER", 50)
+    for group in lm._together(rows.to_batches(max_chunksize=3)):
+        assert sum(many for _, many, _ in group) < 60
+    dealt = lm.pieces(df).repartitionById(4, F.pmod("h", F.lit(4)).cast("int")).groupBy(F.spark_partition_id().alias("p"), F.pmod("h", F.lit(4)).alias("s")).count().collect()
+    for r in dealt:
+        shards[r["s"]] += 1
+    assert max(shards) == 1 and all(r["p"] == r["s"] for r in dealt)  # a shard is a partition
+
+
 def test_mix_meets_targets(spark):
     rng = np.random.default_rng(8)
     rows = [(i, ["a", "b", None, "z"][min(3, i % 7)], "w " * int(rng.integers(0, 60)), 9) for i in range(4000)]

@@ -18,15 +18,17 @@ hot, since KNOWN others are more frequent.
 Beside its probability a document gets the number of its novel tokens: those whose word occurs in no other document of
 the corpus (by the exact counts), which tells what the corpus holds once from what it holds again elsewhere.
 
-Training: a start is fitted in one task to the whole texts of START_DOCS documents. Documents are then dealt into
-shards of about SHARD_DOCS by a hash of id and codes; every shard goes on from the start over all positions of all its
-documents, in an order of its own, and the shards' weights are averaged by their numbers of positions, on the
-executors. So the model depends on the rows alone, not on how they are partitioned (but for rounding).
+Training: texts are cut into pieces of at most PIECE positions, which keep the codes beside them, so that every position
+sees both of its sides. A start is fitted in one task to START_PIECES pieces. All pieces are then dealt by a hash of id,
+codes and place into shards of about SHARD_POSITIONS positions, a task each; every shard goes on from the start over all
+its positions, in an order of its own, and the shards' weights are averaged by their numbers of positions, on the
+executors. So the model depends on the rows alone, not on how they are partitioned (but for rounding), and neither many
+nor long texts make a task larger.
 
 Defined results: null and empty texts have no tokens and log-probability 0; the mean of no tokens is 0; a document's
 score depends on its text and the corpus, and repeated texts get the very same one; words that the counts lack (in
 texts outside the corpus) count as half an occurrence; an empty table gives an empty table; extra columns are ignored;
-texts of any length are scored whole, in stretches of tokens.
+texts of any length are scored whole, in stretches of STRETCH tokens, however many texts these are of.
 """
 
 from __future__ import annotations
@@ -49,10 +51,11 @@ TAIL = FREQUENT  # the code of the rarest words; the bands follow
 KNOWN = 1 << 18
 SIDE = 2
 EMBED, HIDDEN = 12, 24
-START_DOCS, SHARD_DOCS = 512, 8192
+PIECE = 1 << 14
+START_PIECES, SHARD_POSITIONS = 512, 1 << 20
 BATCH, BLOCK = 4096, 8192
-TOGETHER = 256
-STRETCH = 1 << 18
+TOGETHER = 1 << 18  # positions that are held and put in random order at once
+SCORED_ROWS, STRETCH = 256, 1 << 18
 WORDS_CACHED = 300_000
 PAD = CODES  # beyond either end of a text
 PARTS = 32
@@ -184,6 +187,10 @@ def coded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return text.mapInArrow(run, "doc_id long, print string, n long, codes binary, share double, novel long, tail array<struct<h:long,k:long>>")
 
 
+#: Codes beside it, positions, codes: a piece trains the positions from `skip` on, `many` of them.
+Piece = tuple[int, int, np.ndarray]
+
+
 class Network:
     def __init__(self, weights: list[np.ndarray] | None = None, seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -278,11 +285,12 @@ class Network:
             m += g * g
             w -= rate * g / (np.sqrt(m) + 1e-6)
 
-    def train(self, codes: list[np.ndarray], memory: list[np.ndarray], rate: float, rng: np.random.Generator) -> int:
-        """All positions of these documents once, in batches in random order; gives their number."""
-        if not (n := sum(map(len, codes))):
+    def train(self, pieces: list[Piece], memory: list[np.ndarray], rate: float, rng: np.random.Generator) -> int:
+        """All positions of these pieces once, in batches in random order; gives their number."""
+        if not (n := sum(many for _, many, _ in pieces)):
             return 0
-        around, target = np.concatenate([self.windows(c) for c in codes]), np.concatenate(codes)
+        around = np.concatenate([self.windows(codes)[skip : skip + many] for skip, many, codes in pieces])
+        target = np.concatenate([codes[skip : skip + many] for skip, many, codes in pieces])
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
             mine = order[at : at + BATCH]
@@ -293,18 +301,32 @@ class Network:
         return [np.full_like(w, value) for w in self.w]
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Shard and codes of up to TOGETHER documents of a shard at once, however the batches are cut."""
-    now, held = None, []
+def pieces(rows: DataFrame) -> DataFrame:
+    """(h, skip, many, codes): the pieces of coded documents with up to SIDE codes on either side, and a hash to deal them by."""
+    at = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PIECE).cast("int"))
+
+    def piece(i):
+        skip = F.when(i == 0, 0).otherwise(SIDE)
+        many = F.least(F.lit(PIECE), F.col("n") - i.cast("long") * PIECE)
+        codes = F.substring("codes", 1 + 2 * (i * PIECE - skip), 2 * (skip + PIECE + SIDE))
+        return F.struct(i.alias("i"), skip.alias("skip"), many.cast("int").alias("many"), codes.alias("codes"))
+
+    found = rows.where("n > 0").select(F.xxhash64("doc_id", "codes").alias("d"), F.inline(F.transform(at, piece)))
+    return found.select(F.xxhash64("d", "i").alias("h"), "skip", "many", "codes")
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Piece]]:
+    """Pieces of about TOGETHER positions at once, however the batches are cut."""
+    held, n = [], 0
     for batch in batches:
-        for shard, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if held and (shard != now or len(held) == TOGETHER):
-                yield now, held
-                held = []
-            now = shard
-            held.append(np.frombuffer(codes, np.uint16))
+        for skip, many, codes in zip(*(batch.column(c).to_pylist() for c in ("skip", "many", "codes")), strict=True):
+            held.append((skip, many, np.frombuffer(codes, np.uint16)))
+            n += many
+            if n >= TOGETHER:
+                yield held
+                held, n = [], 0
     if held:
-        yield now, held
+        yield held
 
 
 def _weighed(parts: DataFrame) -> Network:
@@ -343,63 +365,60 @@ def _flat(network: Network, seen: int) -> np.ndarray:
     return np.append(np.concatenate([w.ravel() for w in network.w]).astype(float) * seen, float(seen))
 
 
-def start(rows: DataFrame, total: int) -> Network:
-    """A network fitted to a bounded sample of whole documents, for weights that the shards can be averaged from."""
-    h = F.pmod(F.xxhash64("doc_id", "codes", F.lit("start")), F.lit(2**32))
+def start(cuts: DataFrame, total: int) -> Network:
+    """A network fitted to a bounded sample of pieces (whole texts, but for those longer than PIECE), for weights that the shards can be averaged from."""
+    h = F.pmod(F.xxhash64("h", F.lit("start")), F.lit(2**32))
     # A hash threshold leaves a few times as many before they are ordered, however many partitions there are.
-    some = rows.where(h < int(4 * START_DOCS / total * 2**32)) if total > 4 * START_DOCS else rows
-    some = some.where("n > 0").select(F.lit(0).alias("shard"), "codes", h.alias("h")).orderBy("h", "codes").limit(START_DOCS).coalesce(1)
+    some = cuts.where(h < int(4 * START_PIECES / total * 2**32)) if total > 4 * START_PIECES else cuts
+    some = some.select("skip", "many", "codes", h.alias("h")).orderBy("h", "codes").limit(START_PIECES).coalesce(1)
 
     def run(batches):
-        codes = [c for _, part in _documents(batches) for c in part]
-        if codes:
+        if groups := list(_together(batches)):
             network, rng = Network(), np.random.default_rng(1)
             memory = network.memory(1e-6)
-            seen = [network.train(codes, memory, 0.2, rng) for _ in range(2)][0]
+            seen = [sum(network.train(g, memory, 0.2, rng) for g in groups) for _ in range(2)][0]
             yield _parts(_flat(network, seen))
 
-    return _weighed(some.select("shard", "codes").mapInArrow(run, "i int, part binary"))
+    return _weighed(some.select("skip", "many", "codes").mapInArrow(run, "i int, part binary"))
 
 
 def fit(rows: DataFrame) -> Network:
     """From coded documents."""
-    total = rows.count()
+    whole = F.floor((F.col("n") + PIECE - 1) / PIECE)
+    total, positions = rows.agg(F.coalesce(F.sum(whole), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not total:
         return Network()
-    first = start(rows, total).w
-    shards = -(-total // SHARD_DOCS)
-    h = F.xxhash64("doc_id", "codes")
-    dealt = rows.where("n > 0").select(F.pmod(h, F.lit(shards)).cast("int").alias("shard"), "codes", h.alias("h"))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h", "codes").select("shard", "codes")
+    cuts = pieces(rows)
+    first = start(cuts, total).w
+    shards = -(-positions // SHARD_POSITIONS)
+    # A shard is a partition: by number, since hashes of the numbers would put several into one.
+    dealt = cuts.repartitionById(shards, F.pmod("h", F.lit(shards)).cast("int")).sortWithinPartitions("h", "codes")
 
     def run(batches):
-        now, seen, network, total = None, 0, None, None
-        for shard, codes in _documents(batches):
-            if shard != now:
-                if network is not None:
-                    total = _flat(network, seen) + (0 if total is None else total)
-                now, seen, network, rng = shard, 0, Network([w.copy() for w in first]), np.random.default_rng(1)
-                memory = network.memory(1e-6)
-            seen += network.train(codes, memory, 0.1, rng)
-        if network is not None:
-            yield _parts(_flat(network, seen) + (0 if total is None else total))
+        network, rng = Network([w.copy() for w in first]), np.random.default_rng(1)
+        memory = network.memory(1e-6)
+        seen = sum(network.train(group, memory, 0.1, rng) for group in _together(batches))
+        if seen:
+            yield _parts(_flat(network, seen))
 
-    return _weighed(dealt.mapInArrow(run, "i int, part binary"))
+    return _weighed(dealt.select("skip", "many", "codes").mapInArrow(run, "i int, part binary"))
 
 
 def _scored(rows: DataFrame, network: Network) -> DataFrame:
     """(print, n, total, novel, tail) of coded documents: all terms but those of the tail's words."""
 
     def run(batches):
-        for batch in slices(batches, TOGETHER):
+        ends, sides = np.full(SIDE, PAD, np.uint16), np.array([o for o in range(-SIDE, SIDE + 1) if o])
+        for batch in slices(batches, SCORED_ROWS):
             codes = [np.frombuffer(c, np.uint16) for c in batch.column(1).to_pylist()]
             sizes = np.array([len(c) for c in codes], np.int64)
-            total = batch.column(2).to_numpy().copy()
-            owner, flat = np.repeat(np.arange(len(codes)), sizes), np.concatenate([*codes, np.zeros(0, np.uint16)])
-            around = np.concatenate([*map(Network.windows, codes), np.zeros((0, 2 * SIDE), np.uint16)])
-            for at in range(0, len(flat), STRETCH):
-                part = slice(at, at + STRETCH)
-                total += np.bincount(owner[part], network.log_probability(around[part], flat[part]), minlength=len(codes))
+            total, bounds = batch.column(2).to_numpy().copy(), np.cumsum(sizes)
+            flat = np.concatenate([ends, *(part for c in codes for part in (c, ends))])
+            for a in range(0, int(sizes.sum()), STRETCH):
+                at = np.arange(a, min(a + STRETCH, bounds[-1]))
+                owner = np.searchsorted(bounds, at, side="right")
+                at += SIDE * (owner + 1)
+                total += np.bincount(owner, network.log_probability(flat[at[:, None] + sides], flat[at]), minlength=len(codes))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(total), batch.column(3), batch.column(4)], ["print", "n", "total", "novel", "tail"])
 
     return rows.select("print", "codes", "share", "novel", "tail").mapInArrow(run, "print string, n long, total double, novel long, tail array<struct<h:long,k:long>>")
