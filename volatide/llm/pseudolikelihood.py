@@ -192,10 +192,7 @@ Piece = tuple[int, int, np.ndarray]
 
 
 class Network:
-    """Work is done in arrays that are kept from batch to batch, since fresh ones cost as much as the arithmetic (their pages are mapped anew)."""
-
     def __init__(self, weights: list[np.ndarray] | None = None, seed: int = 3):
-        self.kept: dict[str, np.ndarray] = {}
         rng = np.random.default_rng(seed)
         self.w = weights or [
             rng.normal(0, 0.3, (CODES + 1, EMBED)).astype(np.float32),
@@ -207,16 +204,6 @@ class Network:
             np.zeros((CLASSES, PLACES), np.float32),
         ]
 
-    def __reduce__(self):
-        return Network, (self.w,)
-
-    def room(self, name: str, *shape: int) -> np.ndarray:
-        """The kept array of this name, in this shape and with any content."""
-        size = int(np.prod(shape))
-        if name not in self.kept or self.kept[name].size < size:
-            self.kept[name] = np.empty(size, self.w[0].dtype)
-        return self.kept[name][:size].reshape(shape)
-
     @staticmethod
     def windows(codes: np.ndarray) -> np.ndarray:
         """(positions, 2 * SIDE) codes on both sides."""
@@ -225,22 +212,18 @@ class Network:
         return np.stack([padded[SIDE + o : SIDE + o + len(codes)] for o in range(-SIDE, SIDE + 1) if o], 1)
 
     def forward(self, around: np.ndarray, target: np.ndarray):
-        """Inputs, hidden layer, logits of the classes; order by class, bounds of the classes in it, hidden layer and logits of the places in that order.
-
-        All until the next call only.
-        """
+        """Inputs, hidden layer, logits of the classes; order by class, bounds of the classes in it, logits of the places in that order."""
         embed, w1, b1, w2, b2, w3, b3 = self.w
-        n = len(target)
-        x = embed.take(around.ravel(), axis=0, out=self.room("x", around.size, EMBED), mode="clip").reshape(n, -1)
-        h = np.matmul(x, w1, out=self.room("h", n, HIDDEN))
+        x = embed.take(around.ravel(), axis=0).reshape(len(around), -1)
+        h = x @ w1
         h += b1
         np.tanh(h, out=h)
-        z = np.matmul(h, w2, out=self.room("z", n, CLASSES))
+        z = h @ w2
         z += b2
         klass = target >> 6
         order = np.argsort(klass.astype(np.uint8), kind="stable")
         ends = np.cumsum(np.bincount(klass, minlength=CLASSES)).tolist()
-        hs, y, a = h.take(order, axis=0, out=self.room("hs", n, HIDDEN), mode="clip"), self.room("y", n, PLACES), 0
+        hs, y, a = h.take(order, axis=0), np.empty((len(target), PLACES), np.float32), 0
         for c, b in enumerate(ends):
             if b > a:
                 np.matmul(hs[a:b], w3[c], out=y[a:b])
@@ -283,10 +266,7 @@ class Network:
             _, total = self._powers(logits, at)
             logits /= (total * logits.dtype.type(len(t)))[:, None]
             logits[np.arange(len(t)), at] -= np.float32(1 / len(t))
-        dh, back, a, ones = np.matmul(z, w2.T, out=self.room("dh", *h.shape)), self.room("back", *h.shape), 0, np.ones(len(t), y.dtype)
-        g3, gb3, de = self.room("g3", *w3.shape), self.room("gb3", *b3.shape), self.room("de", *embed.shape)
-        for g in (g3, gb3, de):
-            g.fill(0)
+        dh, back, g3, gb3, a, ones = z @ w2.T, np.empty_like(hs), np.zeros_like(w3), np.zeros_like(b3), 0, np.ones(len(t), y.dtype)
         for c, b in enumerate(ends):
             if b > a:
                 np.matmul(y[a:b], w3[c].T, out=back[a:b])
@@ -294,22 +274,16 @@ class Network:
                 np.matmul(ones[a:b], y[a:b], out=gb3[c])
                 a = b
         dh[order] += back
-        slope = np.multiply(h, h, out=back)
-        dh *= np.subtract(1, slope, out=slope)
-        dx = np.matmul(dh, w1.T, out=self.room("dx", *x.shape)).reshape(-1, EMBED)
-        flat = around.ravel()
+        dh *= 1 - h * h
+        dx = (dh @ w1.T).reshape(-1, EMBED)
+        flat, de = around.ravel(), np.zeros_like(embed)
         by_code = np.argsort(flat, kind="stable")
         ordered = flat[by_code]
         starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        de[ordered[starts]] = np.add.reduceat(dx.take(by_code, axis=0, out=self.room("ordered", *dx.shape), mode="clip"), starts, axis=0)
+        de[ordered[starts]] = np.add.reduceat(dx.take(by_code, axis=0), starts, axis=0)
         for w, m, g in zip(self.w, memory, (de, x.T @ dh, dh.sum(0), h.T @ z, z.sum(0), g3, gb3), strict=True):
-            part = np.multiply(g, g, out=self.room("part", *g.shape))
-            m += part
-            np.sqrt(m, out=part)
-            part += 1e-6
-            g *= rate
-            g /= part
-            w -= g
+            m += g * g
+            w -= rate * g / (np.sqrt(m) + 1e-6)
 
     def train(self, pieces: list[Piece], memory: list[np.ndarray], rate: float, rng: np.random.Generator) -> int:
         """All positions of these pieces once, in batches in random order; gives their number."""
