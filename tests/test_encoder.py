@@ -58,3 +58,29 @@ def test_options(spark):
     short = encoder.train(df, split=None, epochs=1, workers=1, buckets=64, width=4, max_length=1)
     assert short.max_length == 1 and len(short.losses) == 1
     assert encoder.predict(short, df.where(F.lit(False))).count() == 0
+
+
+def test_training_is_a_job_an_epoch_and_copies_share_no_shard(spark, monkeypatch):
+    monkeypatch.setattr(encoder, "SHARD_ROWS", 32)
+    base = rows(spark, 60)
+    hot = base.union(spark.createDataFrame([("gains soared", "positive", "train")] * 200, base.schema))
+    sizes, inner = [], encoder.summed_parts
+
+    def watched(parts):
+        sizes.append([int(np.frombuffer(r["part"])[-1]) for r in parts.where("i = 15").collect()])
+        return inner(parts)
+
+    monkeypatch.setattr(encoder, "summed_parts", watched)
+    model = encoder.train(hot, epochs=2, batch=8, workers=2, buckets=64, width=4)
+    known = hot.where("split = 'train' and label in ('positive', 'neutral', 'negative')").count()
+    assert len(model.losses) == len(sizes) == 2
+    assert all(sum(s) == known for s in sizes) and len(sizes[0]) > 4 and max(sizes[0]) < 3 * 32
+
+
+def test_batches_have_the_derivatives_of_their_rows():
+    net = encoder.Encoder(buckets=32, width=4, seed=3)
+    x, y = net.prepared(["one two two", "", "three one", None]), np.array([0, 1, 2, 1])
+    loss, g = net.gradient(x, y)
+    alone = [net.gradient(x[i : i + 1], y[i : i + 1]) for i in range(4)]
+    assert loss == pytest.approx(np.mean([a for a, _ in alone]))
+    assert all(np.allclose(g[k], np.mean([a[k] for _, a in alone], axis=0)) for k in net.w)
