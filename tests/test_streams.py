@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from volatide.operators import alignment
@@ -57,6 +58,20 @@ def test_a_ledger_after_restarts_equals_one_pass(spark, tmp_path, cuts):
     assert {r["status"]: r["urls"] for r in ledger.report(found).collect()} == {s: sum(v[0] == s for v in want.values()) for s in {v[0] for v in want.values()}}
 
 
+def test_a_ledger_calls_python_by_shard_and_not_by_url(spark, tmp_path):
+    rows = [(f"u{i}", START + dt.timedelta(seconds=i), i % 5 == 0, "e") for i in range(3000)]
+    schema = "url string, at timestamp, ok boolean, error string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    ledger.run(stream(), str(tmp_path / "ledger"), str(tmp_path / "checkpoint"), shards=7)
+    state = spark.read.format("statestore").load(str(tmp_path / "checkpoint"))
+    assert 1 <= state.count() <= 7
+    assert ledger.report(ledger.read(spark, str(tmp_path / "ledger"))).where("status = 'completed'").first()["urls"] == 600
+    spark.createDataFrame(rows[:9], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(StreamingQueryException, match="7 shards"):
+        ledger.run(stream(), str(tmp_path / "ledger"), str(tmp_path / "checkpoint"), shards=8)
+
+
 def test_outcomes():
     m = 1_000_000
     assert ledger.outcome(None, [1 * m], ["x"], 3, 60) == ("failed", 1, "x", 61 * m, None)

@@ -489,8 +489,9 @@ def fetch_ledger(spark, sf_dir):
     e = domain.table(spark, sf_dir, "events").where("user_id is not null and ts is not null")
     at = F.col("ts").cast("timestamp_ntz").cast("timestamp")
     attempts = e.select(F.concat_ws("/", F.col("user_id").cast("string"), F.col("ts").cast("date").cast("string")).alias("url"), at.alias("at"), F.col("event_type").isin("purchase", "signup").alias("ok"), F.col("event_type").alias("error"))
-    cuts = attempts.agg(F.percentile_approx("at", F.array(F.lit(0.3), F.lit(0.7)), F.lit(1000)).alias("c")).first()["c"] or []
+    cuts, n = attempts.agg(F.percentile_approx("at", F.array(F.lit(0.3), F.lit(0.7)), F.lit(1000)), F.count("*")).first()
+    cuts, shards = cuts or [], max(16, n // 10_000)
     turn = sum((F.col("at") > F.lit(c)).cast("int") for c in cuts) if cuts else F.lit(0)
-    root = _in_turns(spark, attempts, turn, 3, "ledger", lambda stream, root: ledger.run(stream, f"{root}/ledger", f"{root}/checkpoint"))
+    root = _in_turns(spark, attempts, turn, 3, "ledger", lambda stream, root: ledger.run(stream, f"{root}/ledger", f"{root}/checkpoint", shards=shards))
     micros = lambda c: F.unix_micros(c)
     return ledger.read(spark, f"{root}/ledger").select("url", "status", "attempts", "skipped", "last_error", micros("retry_at").alias("retry_us"), micros("done_at").alias("done_us"), "due")
