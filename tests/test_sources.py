@@ -1,8 +1,11 @@
 """Stored pages as a data source, sitemaps as XML, page markup that isn't closed."""
 
 import datetime as dt
+import gc
 import time
+import weakref
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +103,28 @@ def test_selectors():
     tree.feed("<div id=a class='x y'><section><p class=k>1</p></section><p>2</p></div><p>3</p>")
     texts = lambda s: [n.text() for n in sites.select(tree.nodes, s)]
     assert texts("#a p") == ["1", "2"] and texts(".x.y > p") == ["2"] and texts("div section > p.k") == ["1"] and texts("p") == ["1", "2", "3"] and texts("[id=a]") == ["1 2"] and texts("div:hover") == []
+
+
+def test_pages_are_parsed_in_bounded_runs(spark, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"url": [str(i) for i in range(300)], "html": ["x" * n for n in [10] * 200 + [700_000] * 3 + [3_000_000] + [10] * 95] + [None]})
+    parts = list(sites._pieces(batch))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert all(p.num_rows <= sites.TOGETHER and (p.num_rows == 1 or sum(map(len, filter(None, p["html"].to_pylist()))) <= sites.PARSED_BYTES) for p in parts)
+
+
+def test_a_pages_tree_is_not_left_to_the_collector():
+    made, inner = [], sites.Node.__init__
+
+    def noted(self, *args, **kwargs):
+        inner(self, *args, **kwargs)
+        made.append(weakref.ref(self))
+
+    gc.collect()
+    gc.disable()
+    try:
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(sites.Node, "__init__", noted)
+            assert sites.parse("<h1>t</h1><div class='detail-content'><p>a<b>b</b></p><p>c</p></div>", "cafef")[2] == "a b c"
+        assert made and not [r for r in made if r() is not None]
+    finally:
+        gc.enable()

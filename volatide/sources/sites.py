@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,9 @@ SITES = {
     },
     "plain": {"title": ["h1"], "date_meta": [], "date_text": [".date"], "lead": [], "body": ["article p"]},
 }
+#: Bytes of rows that are sent to a Python worker at once; rows and bytes of pages that are parsed before their articles go out.
+BATCH_BYTES, DEFAULT_BATCH = 8 << 20, "67108864b"
+TOGETHER, PARSED_BYTES = 64, 1 << 20
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: What ends an open paragraph by beginning, and what a paragraph isn't looked for beyond (as HTML has it).
 ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
@@ -168,7 +173,12 @@ def parse(html: str, site: str) -> tuple[str, str, str]:
     title, meta, shown = first(rules["title"]), first(rules["date_meta"]), first(rules["date_text"])
     date = (meta.attributes.get("content", "") if meta else "") or (shown.text() if shown else "")
     parts = [n.text() for s in [*rules["lead"], *rules["body"]] for n in select(nodes, s)]
-    return title.text() if title else "", date, " ".join(p for p in parts if p)
+    found = title.text() if title else "", date, " ".join(p for p in parts if p)
+    # Children and parents hold each other: a page's tree is taken apart here, and doesn't wait for the collector.
+    for node in nodes:
+        node.parent = None
+        node.pieces.clear()
+    return found
 
 
 def parse_articles(pages: DataFrame, site: str, require_date: bool = True) -> DataFrame:
@@ -176,12 +186,27 @@ def parse_articles(pages: DataFrame, site: str, require_date: bool = True) -> Da
     if site not in SITES:
         raise ValueError(f"No selectors are known for site {site!r}.")
 
-    def run(frames):
-        for frame in frames:
-            found = [parse(h, site) for h in frame["html"]]
-            yield pd.DataFrame({"url": frame["url"], "title": [f[0] for f in found], "date_text": [f[1] for f in found], "body": [f[2] for f in found]})
-
-    return as_articles(pages.select("url", "html").mapInPandas(run, "url string, title string, date_text string, body string"), site, require_date)
+    def run(batches):
+        for batch in batches:
+            for part in _pieces(batch):
+                found = [parse(h, site) for h in part.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("url"), *(pa.array([f[i] for f in found], pa.string()) for i in range(3))], ["url", "title", "date_text", "body"])
+
+    option = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if pages.sparkSession.conf.get(option) == DEFAULT_BATCH:  # unless the session asks for something else
+        pages.sparkSession.conf.set(option, f"{BATCH_BYTES}b")
+    return as_articles(pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "url string, title string, date_text string, body string"), site, require_date)
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The pages of a batch in runs of at most TOGETHER rows and, but for single pages, PARSED_BYTES bytes."""
+    at, sizes = 0, pc.fill_null(pc.binary_length(batch.column("html")), 0).to_pylist()
+    while at < len(sizes):
+        to, held = at + 1, sizes[at]
+        while to < min(len(sizes), at + TOGETHER) and held + sizes[to] <= PARSED_BYTES:
+            held, to = held + sizes[to], to + 1
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def as_articles(raw: DataFrame, site: str, require_date: bool = True) -> DataFrame:
