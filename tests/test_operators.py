@@ -475,6 +475,33 @@ def test_forecasting_queries_run_the_whole_job(monkeypatch):
     assert calls[1]["specs"] == residual.specifications()
 
 
+def test_robustness_reads_the_large_tables_once_for_all_frames(spark, monkeypatch):
+    from volatide.plans import flows, model_queries, news_queries
+    from volatide.sources import domain
+
+    sf, read, built, inner = "/root/testdata/sf0.001", [], {}, domain.table
+
+    def noted(spark, sf_dir, name):
+        read.append(name)
+        return inner(spark, sf_dir, name)
+
+    def build_all(build, specs, *ends):
+        built.update({key: build(*key) for key in {(s.threshold, s.target) for s in specs}})
+
+    with monkeypatch.context() as patch:
+        patch.setattr(domain, "table", noted)
+        patch.setattr(flows, "robustness", build_all)
+        model_queries.robustness_specs(spark, sf)
+    # Line items for the news, and once a threshold.
+    assert read.count("orders") == 1 and read.count("lineitem") == 4
+    assert len(built) == 4
+    for key, found in built.items():
+        alone = news_queries.build_frame(spark, sf, *key)
+        assert found.columns == alone.columns
+        a, b = (df.orderBy("date").toPandas() for df in (found, alone))
+        pd.testing.assert_frame_equal(a, b, rtol=1e-9)
+
+
 def test_urls_are_joined_as_browsers_do(spark):
     from urllib.parse import urldefrag, urljoin
 

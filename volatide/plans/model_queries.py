@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from volatide.operators import residual
 from volatide.plans import flows
-from volatide.plans.news_queries import build_frame
+from volatide.plans.news_queries import DailyParts, build_frame
 from volatide.plans.registry import Registry
 
 REGISTRY = query = Registry()
@@ -27,8 +27,9 @@ def garchx_forecast(spark, sf_dir):
 
 @query()
 def robustness_specs(spark, sf_dir):
-    first = build_frame(spark, sf_dir)
-    return flows.robustness(lambda threshold, target: build_frame(spark, sf_dir, threshold, target), residual.specifications(), *_ends(first))
+    parts = DailyParts(spark, sf_dir)
+    frame_of = lambda threshold=0.05, target="parkinson": build_frame(spark, sf_dir, threshold, target, parts)
+    return flows.robustness(frame_of, residual.specifications(), *_ends(frame_of()))
 
 
 @query()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from volatide.operators.volatility import log_returns
 from volatide.plans.registry import ALIGNED, DAILY_NEWS, EVENTS, LINES, SCORES, VOLATILITY, Registry, daily_sentiment_sql, r, rounded
 from volatide.sources import domain
 from volatide.sources.domain import bars
-from volatide.storage import new_folder
+from volatide.storage import cut, new_folder
 from volatide.streaming import ledger, news
 
 REGISTRY = query = Registry()
@@ -247,7 +249,30 @@ FRAME = [
 ]
 
 
-def build_frame(spark, sf_dir, threshold=0.05, target="parkinson") -> DataFrame:
+class DailyParts:
+    """The daily tables that frames are joined of. Each is made when it is first asked for, once, and written to the shared folder."""
+
+    def __init__(self, spark, sf_dir):
+        self.spark, self.sf_dir, self._sentiment = spark, sf_dir, {}
+
+    @functools.cached_property
+    def bars(self) -> DataFrame:
+        return cut(bars(self.spark, self.sf_dir))
+
+    @functools.cached_property
+    def news(self) -> DataFrame:
+        return cut(alignment.daily_news(alignment.align(domain.line_articles(self.spark, self.sf_dir), self.bars.select("date"), timestamp=None)))
+
+    def sentiment(self, threshold: float) -> DataFrame:
+        if threshold not in self._sentiment:
+            self._sentiment[threshold] = cut(daily_sentiment(domain.scores(self.spark, self.sf_dir), None, threshold, **GROUPS))
+        return self._sentiment[threshold]
+
+
+def build_frame(spark, sf_dir, threshold=0.05, target="parkinson", parts: DailyParts | None = None) -> DataFrame:
+    """The frame; with `parts`, of what they hold already."""
+    if parts is not None:
+        return frame.validate(frame.model_frame(parts.bars, parts.news, parts.sentiment(threshold), None, threshold, target, **GROUPS))
     news = alignment.daily_news(aligned_lines(spark, sf_dir))
     return frame.validate(frame.model_frame(bars(spark, sf_dir), news, domain.scores(spark, sf_dir), None, threshold, target, **GROUPS))
 
