@@ -188,6 +188,42 @@ def test_pseudo_likelihood_matches_brute_force_and_learns(spark, monkeypatch, kn
     assert lm.score(df.where("1 = 0")).count() == 0
 
 
+def test_tokens_are_the_plain_words_at_a_fraction_of_their_time():
+    import time
+
+    import pyarrow as pa
+    import xxhash
+
+    odd = [None, "", " ", "\t\n\x0b\x0c\r ", " a  A\x0bb\n", "\x1ca\x1fb\x85c", "É\u00a0é\u3000İ K ß", "x" * 100_000, "a\0b \0", "😀 \u2028 😀"]
+    for texts in (odd, odd[:4], [None], [], ["one"]):
+        sizes, found, hashes = lm.tokens(pa.array([None, *texts, "beyond"], pa.string()).slice(1, len(texts)))
+        plain = [lm.words(t) for t in texts]
+        assert sizes.tolist() == [len(p) for p in plain]
+        assert hashes[found].tolist() == [xxhash.xxh3_64_intdigest(w) for p in plain for w in p]
+        assert len(set(hashes.tolist())) == len(hashes)
+
+    # A look-up a word took more CPU seconds than the check allows; the best of some runs of each counts.
+    class Slots(dict):
+        def __missing__(self, word):
+            hashes.append(xxhash.xxh3_64_intdigest(word))
+            self[word] = len(self)
+            return self[word]
+
+    rng = np.random.default_rng(5)
+    column = pa.array([" ".join(f"Word{k}" for k in rng.zipf(1.2, 400) % 1_000_000) for _ in range(1000)])
+    took = []
+    for _ in range(5):
+        slots, hashes, start = Slots(), [], time.process_time()
+        for t in column.to_pylist():
+            found = lm.words(t)
+            np.fromiter(map(slots.__getitem__, found), np.int64, len(found))
+        middle = time.process_time()
+        lm.tokens(column)
+        took.append((middle - start, time.process_time() - middle))
+    plain, together = np.min(took, axis=0)
+    assert together < 0.7 * plain, took
+
+
 def test_each_position_is_a_distribution_over_all_words():
     rng = np.random.default_rng(4)
     network = lm.Network([rng.normal(0, 0.5, w.shape).astype(np.float32) for w in lm.Network().w])

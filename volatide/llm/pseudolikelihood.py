@@ -34,9 +34,11 @@ texts of any length are scored whole, in stretches of STRETCH tokens, however ma
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,49 +58,56 @@ START_PIECES, SHARD_POSITIONS = 512, 1 << 20
 BATCH, BLOCK = 4096, 8192
 TOGETHER = 1 << 18  # positions that are held and put in random order at once
 SCORED_ROWS, STRETCH = 256, 1 << 18
-WORDS_CACHED = 300_000
+TEXTS, WORDS_CACHED = 256, 300_000
 PAD = CODES  # beyond either end of a text
 PARTS = 32
-TAIL_TYPE = pa.list_(pa.struct([("h", pa.int64()), ("k", pa.int64())]))
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-class _Slots(dict):
-    """Numbers words as they are met, and keeps their hashes."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of words of each text, all their words as places among the distinct ones, and the hashes of these."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found, sizes = split.flatten(), pc.list_value_length(split).to_numpy().astype(np.int64)
+    filled = pc.greater(pc.binary_length(found), 0).to_numpy(zero_copy_only=False)  # there are empty ones at a text's ends
+    if not filled.all():
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[filled], minlength=len(sizes))
+        found = found.filter(pa.array(filled))
+    numbered = found.dictionary_encode()
+    distinct = numbered.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    return sizes, numbered.indices.to_numpy(), np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
 
-    def __init__(self) -> None:
-        self.hashes: list[int] = []
 
-    def __missing__(self, word: bytes) -> int:
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        self[word] = len(self.hashes) - 1
-        return len(self.hashes) - 1
-
-    def of(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+def words(text: str | None) -> list[bytes]:
+    """What `tokens` finds, plainly and of one text."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
     """(h, n): the count of every word of the corpus, by hash."""
 
-    def run(batches):
-        slots, counts = _Slots(), np.zeros(0, np.int64)
+    def summed(held):
+        h, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(h)
+        h = h[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        return h[first], np.add.reduceat(n[order], first) if len(h) else n
 
-        def given():
-            h = np.array(slots.hashes, np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(counts)], ["h", "n"])
+    def given(h, n):
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-        for batch in slices(batches, 64):
-            found = np.concatenate([slots.of(words(t)) for t in batch.column(0).to_pylist()])
-            counts = np.bincount(found, minlength=len(slots.hashes)) + np.pad(counts, (0, len(slots.hashes) - len(counts)))
-            if len(counts) > WORDS_CACHED:
-                yield given()
-                slots, counts = _Slots(), np.zeros(0, np.int64)
-        if len(counts):
-            yield given()
+    def run(batches):
+        held, many = [], 0
+        for batch in slices(batches, TEXTS):
+            _, found, hashes = tokens(batch.column(0))
+            held.append((hashes, np.bincount(found, minlength=len(hashes))))
+            many += len(hashes)
+            if many > 2 * WORDS_CACHED:
+                held = [summed(held)]
+                many = len(held[0][0])
+                if many > WORDS_CACHED:
+                    yield given(*held[0])
+                    held, many = [], 0
+        if held:
+            yield given(*summed(held))
 
     return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
@@ -121,6 +130,14 @@ class Vocabulary:
         self.counts = counts[order]
         self.tail = total - int(counts.sum())
 
+    def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, log shares and counts of words; of words of the tail TAIL, 0 and 0."""
+        if not len(self.hashes):
+            return np.full(len(hashes), TAIL, np.uint16), np.zeros(len(hashes)), np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        known = self.hashes[at] == hashes
+        return np.where(known, self.codes[at], np.uint16(TAIL)), np.where(known, self.shares[at], 0.0), np.where(known, self.counts[at], 0)
+
     @classmethod
     def of(cls, table: DataFrame) -> Vocabulary:
         """At most KNOWN words of a table of counts: all from the least count at which they aren't more."""
@@ -136,49 +153,26 @@ class Vocabulary:
         return cls(got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy(), int(n.sum()))
 
 
-class Coder:
-    """What `coded` gives of texts, with a bounded cache of words."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.clear()
-
-    def clear(self) -> None:
-        self.slots = _Slots()
-        self.codes, self.shares, self.counts = np.zeros(0, np.uint16), np.zeros(0), np.zeros(0, np.int64)
-
-    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, float, int, list[dict]]]:
-        if len(self.slots.hashes) > WORDS_CACHED:
-            self.clear()
-        found = [self.slots.of(words(t)) for t in texts]
-        new = np.array(self.slots.hashes[len(self.codes) :], np.uint64)
-        if len(new):
-            v = self.vocabulary
-            at = np.minimum(np.searchsorted(v.hashes, new), max(0, len(v.hashes) - 1))
-            known = v.hashes[at] == new if len(v.hashes) else np.zeros(len(new), bool)
-            self.codes = np.append(self.codes, np.where(known, v.codes[at] if len(v.hashes) else 0, TAIL).astype(np.uint16))
-            self.shares = np.append(self.shares, np.where(known, v.shares[at] if len(v.hashes) else 0, 0.0))
-            self.counts = np.append(self.counts, np.where(known, v.counts[at] if len(v.hashes) else 0, 0))
-        return [self._one(s) for s in found]
-
-    def _one(self, slots: np.ndarray) -> tuple[np.ndarray, float, int, list[dict]]:
-        own, k = np.unique(slots, return_counts=True)
-        rare = self.codes[own] == TAIL
-        tail = [{"h": self.slots.hashes[i] - (self.slots.hashes[i] >> 63 << 64), "k": n} for i, n in zip(own[rare].tolist(), k[rare].tolist(), strict=True)]
-        return self.codes[slots], float((self.shares[own] * k).sum()), int(k[self.counts[own] == k].sum()), tail
-
-
 def coded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, print, n, codes, share, novel, tail): 16-bit codes, novel tokens of known words, the tail's words with their numbers."""
 
     def run(batches):
-        coder = Coder(vocabulary)
-        for batch in slices(batches, 64):
-            codes, shares, novel, tails = zip(*coder(batch.column(1).to_pylist()), strict=True)
+        for batch in slices(batches, TEXTS):
+            sizes, found, hashes = tokens(batch.column(1))
+            code, share, count = vocabulary.known(hashes)
+            texts, many = len(sizes), max(1, len(hashes))
+            codes, ends = code[found], np.append(0, np.cumsum(sizes)).tolist()
+            # The distinct words of each text, and how often it has them.
+            own, k = np.unique(np.repeat(np.arange(texts) * many, sizes) + found, return_counts=True)
+            owner, word = own // many, own % many
+            rare = code[word] == TAIL
+            rows = pa.array(np.append(0, np.cumsum(np.bincount(owner[rare], minlength=texts))), pa.int32())
+            tail = pa.StructArray.from_arrays([pa.array(hashes[word[rare]].view(np.int64)), pa.array(k[rare])], ["h", "k"])
+            novel = np.bincount(owner, np.where(count[word] == k, k, 0), minlength=texts).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(2), pa.array([len(c) for c in codes], pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary()),
-                    pa.array(shares, pa.float64()), pa.array(novel, pa.int64()), pa.array(tails, TAIL_TYPE),
+                    batch.column(0), batch.column(2), pa.array(sizes), pa.array([codes[a:b].tobytes() for a, b in pairwise(ends)], pa.binary()),
+                    pa.array(np.bincount(owner, share[word] * k, minlength=texts)), pa.array(novel), pa.ListArray.from_arrays(rows, tail),
                 ],
                 ["doc_id", "print", "n", "codes", "share", "novel", "tail"],
             )
@@ -294,7 +288,7 @@ class Network:
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
             mine = order[at : at + BATCH]
-            self.step(around[mine], target[mine], memory, rate)
+            self.step(around.take(mine, axis=0), target.take(mine), memory, rate)
         return n
 
     def memory(self, value: float) -> list[np.ndarray]:
